@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("notes_checks",)
+_MODULES = ("notes_checks", "search_checks")
 
 
 def _modules():
