@@ -189,9 +189,10 @@ def chunk_documents(notes: DataFrame, strategy: str = "section", max_tokens: int
         )
     )
     has_meta = F.size("metadata") > 0
+    meta = [F.when(has_meta, F.col(c)).alias(c) for c in ("metadata", "metadata_is_list")]
     return (
-        split.select("path", "name", F.when(has_meta, F.col("metadata")).alias("metadata"), final.alias("_final"))
-        .select("path", "name", "metadata", F.posexplode_outer("_final").alias("chunk_index", "c"))
+        split.select("path", "name", *meta, final.alias("_final"))
+        .select("path", "name", "metadata", "metadata_is_list", F.posexplode_outer("_final").alias("chunk_index", "c"))
         .where(F.col("c").isNotNull())  # outer: keeps the optimizer from chunking twice for a size check
         .select(
             F.concat("path", F.lit("::"), F.col("chunk_index").cast("string")).alias("chunk_id"),
@@ -204,5 +205,6 @@ def chunk_documents(notes: DataFrame, strategy: str = "section", max_tokens: int
             F.col("c.end_line").alias("end_line"),
             F.col("c.tokens").alias("tokens"),
             "metadata",
+            "metadata_is_list",
         )
     )
