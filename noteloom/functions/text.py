@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 # --- fixed values -----------------------------------------------------------------------
 # White space as JavaScript strings define it (wider than Java's or Spark's own notion).
 WHITESPACE = (
-    "\t\n\x0b\x0c\r              "
-    "    　﻿"
+    "\t\n\x0b\x0c\r \u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 WS_CLASS = (
     r"\x{09}\x{0A}\x{0B}\x{0C}\x{0D}\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}"
