@@ -43,9 +43,9 @@ union all select concat('Old/', n_name, '.md'), concat('# ', n_name), {past} fro
 _CACHED_SQL = f"cached as ({_CACHED.format(past="timestamp '1999-01-01 00:00:00'", notes='notes', nation='nation')})"
 
 
-def _cached(spark, sf):
+def _cached(spark, sf, notes):
     sql = _CACHED.replace("{past}", "timestamp_ntz'1999-01-01 00:00:00'")
-    old = spark.sql(sql, notes=X.notes(spark, sf), nation=X.table(spark, sf, "nation"))
+    old = spark.sql(sql, notes=notes, nation=X.table(spark, sf, "nation"))
     return old.withColumn("name", t.base_name("path")).withColumn("hash", t.content_hash("content"))
 
 
@@ -57,15 +57,17 @@ _CHANGES_SQL = """chg as (select coalesce(n.path, c.path) as path, case when n.p
 
 @query(f"{S.WITH_NOTES}, {_CACHED_SQL}, {_CHANGES_SQL} select * from chg")
 def detect_changes(spark, sf):
-    found = changes.detect_changes(X.notes(spark, sf), _cached(spark, sf))
+    notes = X.stored_notes(spark, sf)
+    found = changes.detect_changes(notes, _cached(spark, sf, notes))
     return found.select("path", "status", "hash", t.epoch_micros("mtime").alias("mtime_us"))
 
 
 @query(f"{S.WITH_NOTES}, {CHUNK_CTES} select chunk_id, path, content, heading, start_line, end_line from chunks")
 def incremental_index(spark, sf):
     """Bringing the stale cache up to date must give exactly the chunks of a full rebuild."""
-    cached = _cached(spark, sf)
-    _, chunks, _ = changes.incremental_index(X.notes(spark, sf), cached.select("path", "hash", "mtime"), chunk_documents(cached))
+    notes = X.stored_notes(spark, sf)
+    cached = stage(_cached(spark, sf, notes))
+    _, chunks, _ = changes.incremental_index(notes, cached.select("path", "hash", "mtime"), chunk_documents(cached))
     longs = [F.col(c).cast("long").alias(c) for c in ("start_line", "end_line")]
     return chunks.select("chunk_id", "path", "content", "heading", *longs)
 
@@ -99,7 +101,7 @@ def index_cache_valid(spark, sf):
     select path, sha256(content) as hash, epoch_us(mtime)::bigint as mtime_us, '[' || (select string_agg(j, ',' order by chunk_index) from f where f.path = notes.path) || ']' as chunks_json from notes"""
 )
 def export_index(spark, sf):
-    notes = X.notes(spark, sf)
+    notes = X.stored_notes(spark, sf)
     files = notes.select("path", t.content_hash("content").alias("hash"), t.epoch_micros("mtime").alias("mtime"))
     return index_store.export_files(files, chunk_documents(notes)).withColumnRenamed("mtime", "mtime_us")
 
@@ -236,7 +238,7 @@ def embed_chunks(spark, sf):
     (select count(*) from notes where path like '%/%')::bigint as indexed_files, count(*)::bigint as vectors, (count(*) * ceil(64 * 4 * 1.33))::bigint as vector_bytes, sum(vec_id)::bigint as tokens_used from embeddings"""
 )
 def index_stats(spark, sf):
-    notes = X.notes(spark, sf)
+    notes = X.stored_notes(spark, sf)
     vectors = X.table(spark, sf, "embeddings").select(F.size("embedding").alias("dims"), F.col("vec_id").alias("tokens"))
     return embedding.index_stats(notes, notes.where("path like '%/%'"), chunk_documents(notes), vectors)
 
@@ -322,13 +324,13 @@ _BLOCK = "'--- ' || {0} || ' (' || path || ') ---' || chr(10) || content"
     rq as (select query_id as request_id, text, anchor, case query_id % 3 when 0 then 'active' when 1 then 'local' else 'vault' end as scope from queries),
     parts as (
       select request_id, 1 as p, 0 as s, 'Be brief.' as text from rq union all select request_id, 2, 0, 'Use the tools.' from rq
-      union all select request_id, 4, 0, 'The following notes are referenced from the user''s notes:' || chr(10) || chr(10) || {_BLOCK.format("'ASIA.md'")} from rq join notes on path = 'ASIA.md'
+      union all select request_id, 4, 0, 'The following notes are referenced from the user''s notes:' || chr(10) || chr(10) || {_BLOCK.format("basename || '.md'")} from rq join att using (request_id) join notes on path = attached
       union all select request_id, 5, 0, 'Currently open note:' || chr(10) || {_BLOCK.format("basename || '.md'")} from rq join notes on path = anchor
-      union all select request_id, 6, 0, {_BLOCK.format('basename')} from rq join graph_out on src = anchor join notes on path = dst where scope = 'local' and path <> 'ASIA.md'
-      union all select request_id, 7, 0, {_BLOCK.format('basename')} from rq join notes on basename = 'EUROPE'
+      union all select request_id, 6, 0, {_BLOCK.format('basename')} from rq join graph_out on src = anchor join notes on path = dst where scope = 'local'
+      union all select request_id, 7, 0, {_BLOCK.format('basename')} from rq join att using (request_id) join notes on basename = 'EUROPE' where attached <> 'EUROPE.md'
       union all select f.query_id, 8, 0, {_CONTEXT} from found f join rq on rq.request_id = f.query_id where scope = 'vault' group by f.query_id)
     select request_id, string_agg(text, chr(10) || chr(10) order by p, s) as prompt from parts group by request_id""".replace(
-        "parts as (", "graph_out as (select src, dst from edges), parts as (", 1
+        "parts as (", "graph_out as (select src, dst from edges), att as (select n_nationkey::bigint as request_id, r_name || '.md' as attached from nation join region on r_regionkey = (n_regionkey + 1) % 5), parts as (", 1
     )
 )
 def assemble_prompt(spark, sf):
@@ -336,7 +338,10 @@ def assemble_prompt(spark, sf):
     q = note_queries(spark, sf)
     scope = F.expr("case query_id % 3 when 0 then 'active' when 1 then 'local' else 'vault' end")
     requests = q.select(F.col("query_id").alias("request_id"), F.concat("text", F.lit(" [[EUROPE]]")).alias("text"), scope.alias("scope"), "anchor")
-    attached = requests.select("request_id", F.lit("ASIA.md").alias("path"), F.lit(0).alias("position"))
+    nation, region = X.table(spark, sf, "nation"), X.table(spark, sf, "region")
+    attached = nation.join(region, (nation.n_regionkey + 1) % 5 == region.r_regionkey).select(
+        F.col("n_nationkey").cast("long").alias("request_id"), F.concat("r_name", F.lit(".md")).alias("path"), F.lit(0).alias("position")
+    )
     return build_prompts(
-        requests, X.notes(spark, sf), note_retriever(spark, sf), attached, "Be brief.", "Use the tools.", 5, 0.2
+        requests, X.stored_notes(spark, sf), note_retriever(spark, sf), attached, "Be brief.", "Use the tools.", 5, 0.2
     )

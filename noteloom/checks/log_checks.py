@@ -8,6 +8,7 @@ from noteloom.checks import sqltext as S
 from noteloom.checks import tables as X
 from noteloom.operators import chatlog, context, diff, responses
 from noteloom.operators.embedding import batch_complete as run_completions
+from noteloom.runtime import spread, stage
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -187,7 +188,7 @@ def sse_lines(spark, sf):
 
 @query("select conv_id || '-' || turn as response_id, text as content from conversations where role = 'assistant'")
 def sse_reassemble(spark, sf):
-    return responses.sse_reassemble(sse_lines(spark, sf))
+    return responses.sse_reassemble(stage(sse_lines(spark, sf)))
 
 
 _PAYLOAD = """with m as (select conv_id, list(struct_pack("role" := role, content := text) order by turn) as all_m,
@@ -230,7 +231,7 @@ def batch_complete(spark, sf):
 def document_pairs(spark, sf):
     """Every document against itself with some words changed and its lines in other places broken."""
     new = F.regexp_replace(F.regexp_replace("text", r"\b(the|la|die|que)\b", "<$1>"), r", ", ",\n")
-    return X.table(spark, sf, "documents").select("doc_id", F.col("text").alias("old_text"), new.alias("new_text"))
+    return spread(X.table(spark, sf, "documents")).select("doc_id", F.col("text").alias("old_text"), new.alias("new_text"))
 
 
 @query()
@@ -258,7 +259,7 @@ def note_pairs(spark, sf):
     from sp join d on d.path = sp.path and d.seq between f and l group by sp.path, hunk_no"""
 )
 def diff_hunks(spark, sf):
-    h = diff.diff_hunks(diff.diff_lines(note_pairs(spark, sf)))
+    h = diff.diff_hunks(stage(diff.diff_lines(note_pairs(spark, sf))))
     longs = [F.col(c).cast("long").alias(c) for c in ("hunk_no", "first_seq", "last_seq")]
     return h.select("path", *longs, "old_text", "new_text")
 
@@ -271,7 +272,7 @@ def diff_hunks(spark, sf):
 )
 def apply_hunks(spark, sf):
     """Two edits per note: the first of several occurrences, with pattern characters in the new text."""
-    notes = X.notes(spark, sf)
+    notes = X.stored_notes(spark, sf)
     edits = F.array(
         F.struct(F.lit("customer").alias("old_text"), F.lit("client $& \\1").alias("new_text")),
         F.struct(F.lit("orders on file").alias("old_text"), F.lit("orders").alias("new_text")),

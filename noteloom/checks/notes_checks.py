@@ -63,8 +63,9 @@ def recent_notes(spark, sf):
     union all select path, sha256(content) from notes where path not in (select path from new)"""
 )
 def upsert_notes(spark, sf):
-    notes = X.notes(spark, sf).select("path", "content")
-    edited = src.in_folder(X.notes(spark, sf), "EUROPE").select("path", "content")
+    stored = X.stored_notes(spark, sf)
+    notes = stored.select("path", "content")
+    edited = src.in_folder(stored, "EUROPE").select("path", "content")
     created = X.table(spark, sf, "nation").select(
         F.concat(F.lit("Inbox/"), "n_name", F.lit(".md")).alias("path"), F.concat(F.lit("# "), "n_name").alias("content")
     )
@@ -303,7 +304,7 @@ graph as (select src, dst from edges union select dst, src from edges)"""
 
 @query(f"{S.WITH_NOTES}, {LINK_CTES} select path, target, min(pos)::bigint as first_pos from lk group by path, target")
 def wikilinks(spark, sf):
-    notes = X.notes(spark, sf)
+    notes = X.stored_notes(spark, sf)
     every = links.wikilinks(notes, distinct=False)
     unique = links.wikilinks(notes).select("path", "target")
     return every.join(unique, ["path", "target"], "left_semi").groupBy("path", "target").agg(F.min("pos").cast("long").alias("first_pos"))
@@ -311,13 +312,13 @@ def wikilinks(spark, sf):
 
 @query(f"{S.WITH_NOTES}, {LINK_CTES} select path, pos::bigint as pos, target, target_path from res")
 def resolve_links(spark, sf):
-    notes = X.notes(spark, sf)
+    notes = X.stored_notes(spark, sf)
     return links.resolve_links(links.wikilinks(notes, distinct=False), notes).select("path", F.col("pos").cast("long").alias("pos"), "target", "target_path")
 
 
 @query(f"{S.WITH_NOTES}, {LINK_CTES} select src, dst from graph union all select path, null from notes where path not in (select src from graph)")
 def link_graph(spark, sf):
-    notes = X.notes(spark, sf)
+    notes = X.stored_notes(spark, sf)
     graph = links.link_graph(links.note_edges(notes))
     return links.graph_nodes(graph, notes).select(F.col("path").alias("src")).join(graph, "src", "left")
 
@@ -331,7 +332,7 @@ def link_graph(spark, sf):
 )
 def link_graph_delta(spark, sf):
     """Root notes are deleted; every note below AFRICA now links to ASIA.md only."""
-    notes = X.notes(spark, sf)
+    notes = X.stored_notes(spark, sf)
     is_root = ~F.contains(F.col("path"), F.lit("/"))
     changed = notes.where(is_root | F.startswith("path", F.lit("AFRICA/"))).select("path", is_root.alias("deleted"))
     fresh = changed.where(~F.col("deleted")).select(F.col("path").alias("src"), F.lit("ASIA.md").alias("dst"))
@@ -350,7 +351,7 @@ folders as (select f.path, regexp_extract(f.path, '[^/]*$', 0) as name, regexp_r
 
 @query(f"{S.WITH_NOTES}, {FOLDERS_SQL} select path, name, parent, children::bigint as children from folders")
 def folder_entries(spark, sf):
-    return listing.folder_entries(X.notes(spark, sf))
+    return listing.folder_entries(X.stored_notes(spark, sf))
 
 
 _ENTRIES_SQL = f"""{S.WITH_NOTES}, {FOLDERS_SQL},
@@ -364,7 +365,7 @@ page as (select *, row_number() over (order by mtime desc nulls last, path) as p
     110 < (select count(*) from entries) as has_more from page where position between 11 and 110"""
 )
 def list_notes(spark, sf):
-    page = listing.list_notes(X.notes(spark, sf), "mtime", limit=100, offset=10, folder="ASIA", include_folders=True)
+    page = listing.list_notes(X.stored_notes(spark, sf), "mtime", limit=100, offset=10, folder="ASIA", include_folders=True)
     return page.select("path", "name", "type", "size", t.epoch_micros("mtime").alias("mtime_us"), "children", "total", "has_more")
 
 
@@ -377,7 +378,7 @@ def list_notes(spark, sf):
     from page where position between 11 and 110"""
 )
 def list_report(spark, sf):
-    return listing.list_report(X.notes(spark, sf), "mtime", limit=100, offset=10, folder="ASIA", include_folders=True)
+    return listing.list_report(X.stored_notes(spark, sf), "mtime", limit=100, offset=10, folder="ASIA", include_folders=True)
 
 
 @query(
@@ -388,7 +389,7 @@ def list_report(spark, sf):
     from page where pos <= 200"""
 )
 def render_table(spark, sf):
-    return listing.render_table(X.notes(spark, sf), ["path", "size", "mtime"], [("mtime", "desc"), ("path", "asc")], links=["path"])
+    return listing.render_table(X.stored_notes(spark, sf), ["path", "size", "mtime"], [("mtime", "desc"), ("path", "asc")], links=["path"])
 
 
 # --- ad-hoc queries over the note views ------------------------------------------------------
@@ -398,7 +399,7 @@ def render_table(spark, sf):
 def tag_counts(spark, sf):
     from noteloom.plans.views import note_views
 
-    v = note_views(X.notes(spark, sf))
+    v = note_views(X.stored_notes(spark, sf))
     return spark.sql("select tag, count(*) as n from {tags} group by tag", tags=v["tags"])
 
 
@@ -406,7 +407,7 @@ def tag_counts(spark, sf):
 def metadata_filter(spark, sf):
     from noteloom.plans.views import note_views
 
-    v = note_views(X.notes(spark, sf))
+    v = note_views(X.stored_notes(spark, sf))
     found = spark.sql(
         "select n.path, n.mtime from {notes} n left semi join (select * from {metadata} where key = 'status' and value = 'active') s on n.path = s.path "
         "left semi join (select * from {tags} where tag = 'building') t on n.path = t.path",

@@ -162,9 +162,9 @@ union all select path, mtime, path, mtime from {notes}
 _PAIRS_SQL = f"{S.WITH_NOTES}, pairs as ({_PAIRS.format(customer='customer', notes='notes', nation='nation', region='region')})"
 
 
-def _pairs(spark, sf):
+def _pairs(spark, sf, notes=None):
     t3 = {n: X.table(spark, sf, n) for n in ("customer", "nation", "region")}
-    return spark.sql(_PAIRS, notes=X.notes(spark, sf), **t3)
+    return spark.sql(_PAIRS, notes=notes or X.stored_notes(spark, sf), **t3)
 
 
 _LINK_SCORE_SQL = """case when p.anchor = p.target then 1.0 when exists (select 1 from graph g where g.src = p.anchor and g.dst = p.target) then 0.8
@@ -180,8 +180,9 @@ _NAME_SQL = f"""(select case when len(a) = 0 and len(b) = 0 then 1.0::double whe
 
 @query(f"{_PAIRS_SQL}, {LINK_CTES}, p as (select distinct anchor, target from pairs) select anchor, target, {_LINK_SCORE_SQL} as link from p")
 def link_score(spark, sf):
-    graph = links.link_graph(links.note_edges(X.notes(spark, sf)))
-    return proximity.link_scores(_pairs(spark, sf), stage(graph))
+    notes = X.stored_notes(spark, sf)
+    graph = links.link_graph(links.note_edges(notes))
+    return proximity.link_scores(_pairs(spark, sf, notes), stage(graph))
 
 
 @query(f"{_PAIRS_SQL} select anchor, target, round({_FOLDER_SQL}, 9) as folder from pairs p")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions.text import base_name, extension, file_name
-from noteloom.runtime import spread
+from noteloom.runtime import spread, stage
 
 # Markdown notes derived from the order tables: valid in Spark and in DuckDB.
 NOTES_SQL = """
@@ -56,6 +56,11 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes as a table, for queries that read them more than once."""
+    return stage(notes(spark, sf_dir))
+
+
 def document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain documents as notes: path = source/doc_id.md, with the row's other columns."""
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))

@@ -21,13 +21,21 @@ def _line_ops(old: list[str], new: list[str]) -> list[tuple[str, str]]:
     """Longest-common-subsequence diff; among equal choices an addition is written last."""
     if len(old) > MAX_LINES or len(new) > MAX_LINES:
         return [("add", line) for line in new]
+    # Equal last lines are always kept, so only what precedes them needs the table.
+    tail = 0
+    while tail < min(len(old), len(new)) and old[-1 - tail] == new[-1 - tail]:
+        tail += 1
+    kept = [("same", line) for line in old[len(old) - tail :]]
+    old, new = old[: len(old) - tail], new[: len(new) - tail]
     ids: dict[str, int] = {}
     a = np.array([ids.setdefault(x, len(ids)) for x in old])
     b = np.array([ids.setdefault(x, len(ids)) for x in new])
     best = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int16)
+    steps = np.empty(len(b), dtype=np.int16)
     for row, value in enumerate(a, start=1):
-        matched = np.maximum(best[row - 1, 1:], best[row - 1, :-1] + (b == value))
-        best[row, 1:] = np.maximum.accumulate(matched)
+        np.add(best[row - 1, :-1], b == value, out=steps)
+        np.maximum(steps, best[row - 1, 1:], out=steps)
+        np.maximum.accumulate(steps, out=best[row, 1:])
     ops, i, j = [], len(a), len(b)
     while i or j:
         if i and j and a[i - 1] == b[j - 1]:
@@ -39,7 +47,7 @@ def _line_ops(old: list[str], new: list[str]) -> list[tuple[str, str]]:
         else:
             i -= 1
             ops.append(("remove", old[i]))
-    return ops[::-1]
+    return ops[::-1] + kept
 
 
 def diff_lines(pairs: DataFrame, key: str = "path") -> DataFrame:
@@ -65,9 +73,12 @@ def diff_lines(pairs: DataFrame, key: str = "path") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for k, old, new in zip(batch[key], batch["old_text"], batch["new_text"]):
-                ops = _line_ops(old.split("\n"), new.split("\n"))
-                yield pd.DataFrame({key: k, "seq": range(len(ops)), "op": [o for o, _ in ops], "line": [l for _, l in ops]})
+            rows = [
+                (k, seq, op, line)
+                for k, old, new in zip(batch[key], batch["old_text"], batch["new_text"])
+                for seq, (op, line) in enumerate(_line_ops(old.split("\n"), new.split("\n")))
+            ]
+            yield pd.DataFrame(rows, columns=[key, "seq", "op", "line"])
 
     changed = pairs.where(~equal & small).select(key, "old_text", "new_text").mapInPandas(run, schema)
     return whole.select(key, "seq", "op", "line").unionByName(changed)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noteloom.runtime import stage
+
 # --- fixed values: model catalogue (provider, model, dims, reduced dims, price per million tokens) ---
 MODELS = [
     ("openai", "text-embedding-3-small", 1536, 512, 0.02),
@@ -67,6 +69,7 @@ def pending_embeddings(chunks: DataFrame, vectors: DataFrame, provider: str, mod
 def embed_queue(pending: DataFrame, edited: DataFrame, size: int = QUEUE) -> DataFrame:
     """Next work: every pending chunk of an edited file, then others up to ``size`` in total."""
     first = pending.join(edited.select("path").distinct(), "path", "left_semi").withColumn("priority", F.lit(True))
+    first = stage(first)
     others = pending.join(edited.select("path").distinct(), "path", "left_anti").withColumn("priority", F.lit(False))
     room = max(0, size - first.count())
     return first.unionByName(others.orderBy("path", "chunk_index").limit(room))

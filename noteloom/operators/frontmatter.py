@@ -109,6 +109,7 @@ def metadata_rows(notes: DataFrame) -> DataFrame:
     """One row per (path, key, value) of the front matter, for ad-hoc queries."""
     parsed = with_frontmatter(notes).select("path", "metadata", "metadata_is_list")
     return (
-        parsed.select("path", "metadata_is_list", F.explode("metadata").alias("key", "vals"))
+        parsed.select("path", "metadata_is_list", F.explode_outer("metadata").alias("key", "vals"))
+        .where(F.col("key").isNotNull())
         .select("path", "key", F.element_at("metadata_is_list", F.col("key")).alias("is_list"), F.posexplode_outer("vals").alias("pos", "value"))
     )

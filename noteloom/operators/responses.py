@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.functions.text import js_trim
+from noteloom.runtime import stage
 
 _USES = "array<struct<id:string,name:string,input:string>>"
 _OPENAI = (
@@ -156,24 +157,28 @@ def sse_reassemble(lines: DataFrame) -> DataFrame:
     responses with a fragment go to Python, one response at a time. Complete responses are joined
     in two levels (blocks of lines, then blocks), so a very long one is built by many tasks.
     """
-    trimmed = lines.withColumn("line", js_trim("line")).where((F.col("line") != "") & (F.col("line") != "data: [DONE]"))
-    is_data = F.startswith(F.col("line"), F.lit("data: "))
+    trimmed = lines.withColumn("line", js_trim("line"))
+    is_data = F.startswith(F.col("line"), F.lit("data: ")) & (F.col("line") != "data: [DONE]")
     payload = F.when(is_data, F.substring("line", 7, 1 << 30))
-    marked = trimmed.withColumn("_payload", payload).withColumn("_ok", is_data & F.try_parse_json("_payload").isNotNull())
-    broken = marked.where(~F.col("_ok") & F.col("_payload").isNotNull()).select("response_id").distinct()
-    whole = marked.where("_ok").join(broken, "response_id", "left_anti")
-    tokens = whole.select("response_id", "line_no", _token(F.col("_payload")).alias("t")).where("t <> ''")
-    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"]), "")
-    blocks = tokens.groupBy("response_id", F.floor(F.col("line_no") / 4096).alias("block")).agg(text(F.struct("line_no", "t")).alias("t"))
-    done = blocks.groupBy("response_id").agg(text(F.struct("block", "t")).alias("content"))
+    events = trimmed.withColumn("_payload", payload)
+    torn = F.col("_payload").isNotNull() & F.try_parse_json("_payload").isNull()
+    tokens = events.select("response_id", "line_no", F.when(~torn, _token(F.col("_payload"))).alias("t"), torn.alias("torn"))
+    # Lines without a token leave no entry in the lists: collect_list skips nulls.
+    entry = lambda order: F.when(F.coalesce("t", F.lit("")) != "", F.struct(order, "t"))
+    text = lambda order: F.array_join(F.transform(F.array_sort(F.collect_list(entry(order))), lambda x: x["t"]), "")
+    blocks = tokens.groupBy("response_id", F.floor(F.col("line_no") / 4096).alias("block")).agg(
+        text("line_no").alias("t"), F.max("torn").alias("torn")
+    )
+    done = stage(blocks.groupBy("response_id").agg(text("block").alias("content"), F.max("torn").alias("torn")))
+    broken = done.where("torn").select("response_id")
     repaired = (
-        marked.join(broken, "response_id", "left_semi")
+        trimmed.where(F.col("line") != "data: [DONE]")
+        .join(broken, "response_id", "left_semi")
         .select("response_id", "provider", "line_no", "line")
         .groupBy("response_id")
         .applyInPandas(_repair, lines.select("response_id", F.lit("").alias("content")).schema)
     )
-    empty = lines.select("response_id").distinct()
-    return empty.join(done.unionByName(repaired), "response_id", "left").withColumn("content", F.coalesce("content", F.lit("")))
+    return done.where(~F.col("torn")).select("response_id", "content").unionByName(repaired)
 
 
 # --- requests --------------------------------------------------------------------------------

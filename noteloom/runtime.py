@@ -105,8 +105,10 @@ def lookup_join(
     fact rows are joined by broadcast (there can be at most ``hot_share`` of them, whatever the
     data) and only the rest is shuffled, so that no task receives a hot key.
     """
-    rows = dim.count() if dim_rows is None else dim_rows
-    if rows <= BROADCAST_ROWS:
+    if dim_rows is None:
+        dim = stage(dim)  # counted, and read again for the join
+        dim_rows = dim.count()
+    if dim_rows <= BROADCAST_ROWS:
         return facts.join(F.broadcast(dim), keys, how)
     if weight is None:
         return facts.join(dim, keys, how)
