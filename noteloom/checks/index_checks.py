@@ -159,14 +159,19 @@ def _vectors(spark, sf):
     )
 
 
-@query()
+@query("select vec_id::varchar as chunk_id, len(embedding)::bigint as dims, embedding[1]::double as first, list_sum(embedding::double[]) is not null as read_back from embeddings")
 def vector_shards_roundtrip(spark, sf):
     """Vectors written as shard files and read back; rows whose floats changed would disappear."""
     v = _vectors(spark, sf).select("chunk_id", "embedding")
     path = f"{shared_dir(spark)}/noteloom/shards-{uuid.uuid4().hex}"
     write_shards(v, path)
     back = read_shards(spark, f"{path}/shard=*/*").select("chunk_id", F.col("embedding").alias("read_back"))
-    return v.join(back, "chunk_id").where(F.col("embedding") == F.col("read_back")).select("chunk_id", F.size("read_back").alias("dims"))
+    return v.join(back, "chunk_id").where(F.col("embedding") == F.col("read_back")).select(
+        "chunk_id",
+        F.size("read_back").cast("long").alias("dims"),
+        F.get("read_back", F.lit(0)).cast("double").alias("first"),
+        F.col("read_back").isNotNull().alias("read_back"),
+    )
 
 
 @query(

@@ -58,7 +58,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The notes as a table, for queries that read them more than once."""
-    return stage(notes(spark, sf_dir))
+    return spread(stage(notes(spark, sf_dir)))
 
 
 def document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noteloom.functions.text import content_hash, epoch_micros
 from noteloom.operators.chunking import chunk_documents
-from noteloom.runtime import BROADCAST_ROWS, stage
+from noteloom.runtime import BROADCAST_ROWS, checked, stage
 
 DEBOUNCE_MS, IDLE_MS = 500, 30_000
 _DAY_US = 86_400_000_000
@@ -46,9 +46,9 @@ def incremental_index(
     """(files, chunks, changes) after bringing a cached index up to date: chunks of unchanged files are
     kept, those of added and modified files cut anew, deleted files disappear."""
     changes = stage(detect_changes(notes, cached_files))
-    kept = changes.where(F.col("status") == "unchanged").select("path")
-    fresh = changes.where(F.col("status").isin("added", "modified")).select("path")
-    chunks = cached_chunks.join(kept, "path", "left_semi").select(cached_chunks.columns)
+    stale = checked(changes.where(F.col("status").isin("modified", "deleted")).select("path"))
+    fresh = checked(changes.where(F.col("status").isin("added", "modified")).select("path"))
+    chunks = cached_chunks.join(stale, "path", "left_anti").select(cached_chunks.columns)
     again = chunk_documents(notes.join(fresh, "path", "left_semi"), strategy, max_tokens).select(cached_chunks.columns)
     files = changes.where(F.col("status") != "deleted").select("path", "hash", "mtime")
     return files, chunks.unionByName(again), changes
@@ -56,7 +56,7 @@ def incremental_index(
 
 def remove_files(rows: DataFrame, removed: DataFrame) -> DataFrame:
     """Rows of chunks, vectors or files without the removed paths (compared as whole paths)."""
-    return rows.join(removed.select("path"), "path", "left_anti").select(rows.columns)
+    return rows.join(checked(removed.select("path")), "path", "left_anti").select(rows.columns)
 
 
 def normalize_changes(events: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ READ_TAG = r"<vault_read>([^<]+)</vault_read>"
 WRITE_TAG = rf'(?s)<vault_write[{WS_CLASS}]+path="([^"]+)">(.*?)</vault_write>'
 ANY_READ_TAG = r"<vault_read>[^<]*</vault_read>"
 ANY_WRITE_TAG = rf'(?s)<vault_write[{WS_CLASS}]+path="[^"]*">.*?</vault_write>'
+OPEN_TAG = r"(?s)<vault.*$"
+TAG_START = r"<v(?:a(?:u(?:l)?)?)?\z"  # the first letters of a tag at the very end
 NEW_CHAT = "New chat"
 # ------------------------------------------------------------------------
 
@@ -93,5 +95,5 @@ def strip_tool_tags(text: Column | str) -> Column:
 def clean_truncated(text: Column | str) -> Column:
     """Displayable part of a response that may have been cut inside a tag."""
     done = F.regexp_replace(F.regexp_replace(text, ANY_READ_TAG, ""), ANY_WRITE_TAG, "")
-    opened = F.regexp_replace(done, r"(?s)<vault.*$", "")
-    return js_rtrim(F.regexp_replace(opened, r"<v(?:a(?:u(?:l)?)?)?\z", ""))
+    opened = F.regexp_replace(done, OPEN_TAG, "")
+    return js_rtrim(F.regexp_replace(opened, TAG_START, ""))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noteloom.functions.text import estimate_tokens, fixed_digits
 from noteloom.operators.packing import LINKED_BUDGET, LINKED_MAX, omitted_counts, pack
+from noteloom.runtime import checked, stage
 
 # --- fixed values: texts every consumer of the context expects -------------------------------
 CONTEXT_HEADER = "Relevant notes from vault (auto-retrieved by RAG):"
@@ -87,7 +88,7 @@ def linked_notes(links: DataFrame, notes: DataFrame, taken: DataFrame) -> tuple[
     packed, contents join afterwards.
     """
     free = links.select("request_id", "path").distinct().join(taken, ["request_id", "path"], "left_anti")
-    sized = free.join(notes.select("path", "mtime", estimate_tokens("content").alias("tokens")), "path")
+    sized = stage(notes.select("path", "mtime", estimate_tokens("content").alias("tokens")).join(checked(free), "path"))
     picked = pack(sized, "request_id", [F.desc("mtime"), F.asc("path")], LINKED_BUDGET, LINKED_MAX)
     return picked, omitted_counts(sized, picked, "request_id")
 

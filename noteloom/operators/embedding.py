@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noteloom.runtime import stage
+from noteloom.runtime import checked, stage
 
 # --- fixed values: model catalogue (provider, model, dims, reduced dims, price per million tokens) ---
 MODELS = [
@@ -41,6 +41,14 @@ def embedding_models(spark: SparkSession) -> DataFrame:
     )
 
 
+def model_dims(model: str, compact: bool = False) -> int:
+    """Vector width of a catalogue model; ``compact`` picks its reduced width where it has one."""
+    for _, name, dims, reduced, _ in MODELS:
+        if name == model:
+            return reduced if compact and reduced else dims
+    raise ValueError(f"unknown embedding model {model!r}")
+
+
 def with_retry(call: Callable, argument, attempts: int = ATTEMPTS, pause: Callable[[float], None] = time.sleep):
     """Up to ``attempts`` calls: rate limits wait 2**n seconds, server failures 1, others raise."""
     for n in range(attempts):
@@ -60,10 +68,12 @@ def with_retry(call: Callable, argument, attempts: int = ATTEMPTS, pause: Callab
 def pending_embeddings(chunks: DataFrame, vectors: DataFrame, provider: str, model: str, dims: int) -> DataFrame:
     """Chunks without a vector of exactly this provider, model and width.
 
-    A model change therefore re-embeds everything, and older vectors stay readable.
+    A model change therefore re-embeds everything, and older vectors stay readable. Ids are
+    compared first; the texts of the pending chunks follow without a shuffle while those are few.
     """
     have = vectors.where((F.col("provider") == provider) & (F.col("model") == model) & (F.col("dims") == dims))
-    return chunks.join(have.select("chunk_id"), "chunk_id", "left_anti")
+    ids = checked(chunks.select("chunk_id").join(have.select("chunk_id"), "chunk_id", "left_anti"))
+    return chunks.join(ids, "chunk_id", "left_semi")
 
 
 def embed_queue(pending: DataFrame, edited: DataFrame, size: int = QUEUE) -> DataFrame:
@@ -122,6 +132,18 @@ def embed_chunks(
     return pending.select(key, text).mapInPandas(run, schema)
 
 
+def embed_queries(queries: DataFrame, embed_query: Embedder, key: str = "query_id") -> DataFrame:
+    """(query_id, embedding) for search queries; models may treat queries and documents differently,
+    hence a function of its own. Queries whose call failed are left out and use the text list."""
+    done = embed_chunks(queries, embed_query, "", "", key, "text")
+    return done.where(F.col("status") == "ok").select(key, "embedding")
+
+
+def vectors_for(vectors: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Stored vectors of the given ids; ids without a vector have no row."""
+    return vectors.join(checked(ids.select(key).distinct()), key, "left_semi")
+
+
 def tokens_used(embedded: DataFrame) -> DataFrame:
     return embedded.groupBy("provider", "model").agg(F.sum("tokens").alias("tokens_used"))
 
@@ -145,8 +167,8 @@ def batch_complete(prompts: DataFrame, complete: Callable[[str], str], key: str
 
 def upsert_vectors(existing: DataFrame, updates: DataFrame, keys: tuple[str, ...] = ("chunk_id", "provider", "model", "dims")) -> DataFrame:
     """Existing vectors with updates applied; the highest ``seq`` of a key wins."""
-    latest = updates.groupBy(*keys).agg(F.max_by("embedding", "seq").alias("embedding"))
-    return existing.join(latest.select(*keys), list(keys), "left_anti").select(*keys, "embedding").unionByName(latest.select(*keys, "embedding"))
+    latest = stage(updates.groupBy(*keys).agg(F.max_by("embedding", "seq").alias("embedding")))
+    return existing.join(checked(latest.select(*keys)), list(keys), "left_anti").select(*keys, "embedding").unionByName(latest.select(*keys, "embedding"))
 
 
 def index_stats(notes: DataFrame, files: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:

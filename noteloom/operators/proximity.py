@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions.text import base_name, char_bigrams, epoch_micros, folder_segments
-from noteloom.runtime import rounded
+from noteloom.runtime import checked, rounded, stage
 
 # --- fixed values: weights of the four parts and the link scores by distance ---
 WEIGHTS = {"link": 0.4, "folder": 0.3, "name": 0.15, "time": 0.15}
@@ -50,13 +50,15 @@ def link_scores(pairs: DataFrame, graph: DataFrame) -> DataFrame:
 
     A two-hop test asks whether two neighbour lists meet. Only the shorter list of each pair is
     expanded and its members are looked up as (middle, other end) edges, so a hub is expanded only
-    when both ends are hubs; the expansion join is salted for that case.
+    when both ends are hubs; the expansion join is salted for that case. The graph is reduced to
+    what the pairs touch before anything else; few pairs are broadcast to it.
     """
-    asked = pairs.select("anchor", "target").distinct()
-    direct = graph.select(F.col("src").alias("anchor"), F.col("dst").alias("target"), F.lit(True).alias("_one"))
-    known = asked.join(direct, ["anchor", "target"], "left")
+    asked = checked(pairs.select("anchor", "target").distinct())
+    direct = graph.select(F.col("src").alias("anchor"), F.col("dst").alias("target")).join(asked, ["anchor", "target"], "left_semi")
+    known = stage(asked.join(direct.withColumn("_one", F.lit(True)), ["anchor", "target"], "left"))
     open_pairs = known.where(F.col("_one").isNull() & (F.col("anchor") != F.col("target"))).select("anchor", "target")
-    degree = graph.groupBy("src").agg(F.count("*").alias("deg"))
+    ends = checked(open_pairs.select(F.explode(F.array("anchor", "target")).alias("src")).distinct())
+    degree = stage(graph.join(ends, "src", "left_semi").groupBy("src").agg(F.count("*").alias("deg")))
     sized = open_pairs.join(degree.select(F.col("src").alias("anchor"), F.col("deg").alias("_da")), "anchor").join(
         degree.select(F.col("src").alias("target"), F.col("deg").alias("_dt")), "target"
     )
@@ -71,7 +73,7 @@ def link_scores(pairs: DataFrame, graph: DataFrame) -> DataFrame:
         F.col("src").alias("near"), F.col("dst").alias("mid"), F.pmod(F.xxhash64("dst"), F.lit(_SALTS)).cast("int").alias("_salt")
     )
     two = (
-        probes.join(arcs, ["near", "_salt"])
+        arcs.join(checked(probes), ["near", "_salt"])
         .join(graph.select(F.col("src").alias("mid"), F.col("dst").alias("far")), ["mid", "far"], "left_semi")
         .select("anchor", "target")
         .distinct()

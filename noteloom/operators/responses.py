@@ -183,7 +183,7 @@ def sse_reassemble(lines: DataFrame) -> DataFrame:
 
 # --- requests --------------------------------------------------------------------------------
 
-_REASONING = r"(?i)^(o[1-9]|gpt-5)"
+_REASONING = r"(?i)^(o[1-9]|gpt-5)"  # fixed pattern: models with another limit name and no temperature
 
 
 def request_payloads(requests: DataFrame, messages: DataFrame, tools: str | None = None) -> DataFrame:

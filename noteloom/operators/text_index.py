@@ -69,9 +69,11 @@ def idf(df: Column, n_docs: int | Column) -> Column:
 
 @dataclass
 class TextIndex:
-    """``postings(key, term, n, tf)`` bucketed by key, ``terms(term, df, idf)``, ``norms(key, norm)``."""
+    """``postings(key, term, n, tf)`` and ``norms(key, norm, rank columns)``, both bucketed by key, and
+    ``terms(term, df, idf)``. ``ties`` are the columns that order equal scores."""
 
     key: str
+    ties: list[str]
     n_docs: int
     postings: DataFrame
     terms: DataFrame
@@ -85,8 +87,12 @@ def weighted_postings(postings: DataFrame, terms: DataFrame, n_terms: int | None
     return joined.withColumn("weight", F.col("tf") * F.col("idf"))
 
 
-def build_index(docs: DataFrame, key: str, text: str) -> TextIndex:
-    """Index ``docs``: one pass over the texts, then only the compact postings are read again."""
+def build_index(docs: DataFrame, key: str, text: str, ties: list[str] | None = None) -> TextIndex:
+    """Index ``docs``: one pass over the texts, then only the compact postings are read again.
+
+    Rank columns are stored beside the norms, so that a search orders ties without the documents.
+    """
+    ties = ties or [key]
     postings = stage_bucketed(term_frequencies(docs, key, text), key)
     n_docs = docs.count()
     terms = stage(document_frequencies(postings).withColumn("idf", idf(F.col("df"), n_docs)))
@@ -96,7 +102,10 @@ def build_index(docs: DataFrame, key: str, text: str) -> TextIndex:
         .groupBy(key)
         .agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     )
-    return TextIndex(key, n_docs, postings, terms, stage_bucketed(norms, key), n_terms)
+    extra = [t for t in ties if t != key]
+    if extra:
+        norms = norms.join(docs.select(key, *extra), key)
+    return TextIndex(key, ties, n_docs, postings, terms, stage_bucketed(norms, key), n_terms)
 
 
 def updated_document_frequencies(df_old: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:

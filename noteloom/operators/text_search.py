@@ -23,8 +23,13 @@ def top_k(scored: DataFrame, k: int, ties: list[str], by: str = "query_id", scor
     return ranked.where(F.col("rank") <= k)
 
 
-def query_weights(queries: DataFrame, index: TextIndex) -> DataFrame:
-    """(query_id, term, q, qnorm): query-side TF-IDF weights; unseen terms enlarge the norm."""
+def query_weights(queries: DataFrame, index: TextIndex, min_score: float) -> DataFrame:
+    """(query_id, term, w, qnorm, common): query weights times the term's idf; unseen terms enlarge the norm.
+
+    ``common`` marks the query's most frequent terms as long as their joint share of the query
+    norm stays below ``min_score``: a document that matches nothing else cannot reach the threshold
+    (Cauchy-Schwarz), so these terms never have to produce candidates.
+    """
     counted = queries.select("query_id", term_counts(tokenize("text")).alias("c"))
     terms = counted.select(
         "query_id",
@@ -32,49 +37,81 @@ def query_weights(queries: DataFrame, index: TextIndex) -> DataFrame:
         F.explode("c").alias("c"),
     ).select("query_id", F.col("c.term").alias("term"), (F.col("c.n") / F.col("peak")).alias("tf"))
     unseen = math.log(index.n_docs + 1.0)
-    weighted = terms.join(index.terms.select("term", "idf"), "term", "left").select(
-        "query_id",
-        "term",
-        "idf",
-        (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("q"),
+    weighted = terms.join(index.terms.select("term", "idf"), "term", "left").withColumn(
+        "q", F.col("tf") * F.coalesce("idf", F.lit(unseen))
+    )
+    # A query's terms are one text's distinct words; the windows stay as small as that.
+    by_query = Window.partitionBy("query_id")
+    square = F.col("q") * F.col("q")
+    most_frequent_first = by_query.orderBy(F.asc_nulls_last("idf"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        weighted.withColumn("qnorm", F.sqrt(F.sum(square).over(by_query)))
+        .withColumn("_share", F.sqrt(F.sum(square).over(most_frequent_first)) / F.col("qnorm"))
+        .where(F.col("idf").isNotNull())
+        .select(
+            "query_id",
+            "term",
+            (F.col("q") * F.col("idf")).alias("w"),
+            "qnorm",
+            (F.col("_share") < F.lit(min_score - 1e-6)).alias("common"),
+        )
     )
-    norms = weighted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qnorm"))
-    return weighted.where(F.col("idf").isNotNull()).join(norms, "query_id")
 
 
-def _score_block(index: TextIndex, weights: DataFrame, min_score: float) -> DataFrame:
+def _score_block(index: TextIndex, weights: DataFrame, min_score: float, any_common: bool) -> DataFrame:
     """Scores of one broadcast block of query terms.
 
     The postings are bucketed by document, so the broadcast join, the sum per (document, query),
-    the norm lookup and the threshold all run inside the scan's own tasks: a term that occurs
-    everywhere produces no shuffle.
+    the norm lookup and the threshold all run inside the scan's own tasks, without a shuffle. Only
+    distinctive terms are joined; common ones are added afterwards for the documents found.
     """
     key = index.key
+    rare = weights.where(~F.col("common")).select("query_id", "term", "w", "qnorm")
     dots = (
         index.postings.select(key, "term", "tf")
-        .join(F.broadcast(weights), "term")
+        .join(F.broadcast(rare), "term")
         .groupBy(key, "query_id")
-        .agg(F.sum(F.col("tf") * F.col("idf") * F.col("q")).alias("dot"), F.first("qnorm").alias("qnorm"))
+        .agg(F.sum(F.col("tf") * F.col("w")).alias("dot"), F.first("qnorm").alias("qnorm"))
     )
+    if any_common:
+        common = weights.where("common")
+        per_query = common.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("more"))
+        # The common terms of each document as one small map (same bucketing: no shuffle either).
+        tfs = (
+            index.postings.select(key, "term", "tf")
+            .join(F.broadcast(common.select("term").distinct()), "term", "left_semi")
+            .groupBy(key)
+            .agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tfs"))
+        )
+        added = F.aggregate(
+            F.coalesce("more", F.array().cast("array<struct<term:string,w:double>>")),
+            F.lit(0.0),
+            lambda acc, m: acc + F.coalesce(F.try_element_at("tfs", m["term"]) * m["w"], F.lit(0.0)),
+        )
+        dots = dots.join(F.broadcast(per_query), "query_id", "left").join(tfs, key, "left").select(
+            key, "query_id", "qnorm", (F.col("dot") + added).alias("dot")
+        )
     score = rounded(F.col("dot") / (F.col("qnorm") * F.col("norm")))
-    return dots.join(index.norms, key).select("query_id", key, score.alias("score")).where(F.col("score") >= min_score)
+    scored = dots.join(index.norms, key).withColumn("score", score)
+    return scored.select("query_id", key, *[t for t in index.ties if t != key], "score").where(F.col("score") >= min_score)
 
 
 def cosine_hits(queries: DataFrame, index: TextIndex, min_score: float, block_terms: int = BROADCAST_ROWS) -> DataFrame:
-    """All (query_id, key, score) with a shared term and ``score >= min_score``.
+    """All (query_id, key, rank columns, score) with a shared term and ``score >= min_score``.
 
     Queries are handled in blocks of bounded size, each broadcast to the postings, so the query
     batch may be arbitrarily large.
     """
-    weights = stage(query_weights(queries, index))
-    blocks = max(1, math.ceil(weights.count() / block_terms))
+    weights = stage(query_weights(queries, index, min_score))
+    size = weights.agg(F.count("*").alias("n"), F.coalesce(F.max("common"), F.lit(False)).alias("common")).first()
+    blocks = max(1, math.ceil(size.n / block_terms))
     parts = [
         weights if blocks == 1 else weights.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         for b in range(blocks)
     ]
-    out = _score_block(index, parts[0], min_score)
+    out = _score_block(index, parts[0], min_score, size.common)
     for part in parts[1:]:
-        out = out.unionByName(_score_block(index, part, min_score))
+        out = out.unionByName(_score_block(index, part, min_score, size.common))
     return out
 
 
@@ -84,14 +121,17 @@ def _zero_fill(queries: DataFrame, hits: DataFrame, docs: DataFrame, key: str, t
     A query with fewer than k hits is filled in tie order. The first k documents hold enough
     non-hits whatever the query matched, so at most k rows are combined with each query.
     """
-    first = docs.select(key, *[t for t in ties if t != key]).orderBy(*ties).limit(k).collect()
-    values = F.array(*[F.lit(r[key]) for r in first])
+    columns = [key, *[t for t in ties if t != key]]
+    first = docs.select(*columns).orderBy(*ties).limit(k).collect()
+    values = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in columns]) for r in first])
     with_tokens = queries.where(F.size(tokenize("text")) > 0).select("query_id")
-    filler = with_tokens.select("query_id", F.explode(values).alias(key))
+    filler = with_tokens.select("query_id", F.explode(values).alias("d")).select("query_id", "d.*")
     return filler.join(hits.select("query_id", key), ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))
 
 
-def substring_hits(queries: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def substring_hits(
+    queries: DataFrame, docs: DataFrame, key: str, text: str, ties: list[str] | None = None
+) -> DataFrame:
     """Case-insensitive literal matches for queries that yield no token (punctuation, one CJK character...).
 
     score = min(1, occurrences * query length / max(document length, 100)). The threshold of the
@@ -102,15 +142,16 @@ def substring_hits(queries: DataFrame, docs: DataFrame, key: str, text: str) ->
         .select("query_id", F.lower(js_trim("text")).alias("q"))
         .where(F.col("q") != "")
     )
-    low = docs.select(key, F.lower(text).alias("_low"))
+    extra = [t for t in ties or [] if t != key]
+    low = docs.select(key, *extra, F.lower(text).alias("_low"))
     few = bounded_rows(plain, FALLBACK_QUERIES)
     if few is not None and not few:
         id_type = plain.schema["query_id"].dataType
-        return low.where(F.lit(False)).select(F.lit(None).cast(id_type).alias("query_id"), key, F.lit(0.0).alias("score"))
+        return low.where(F.lit(False)).select(F.lit(None).cast(id_type).alias("query_id"), key, *extra, F.lit(0.0).alias("score"))
     if few is not None:
         known = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.lit(r["q"]).alias("q")) for r in few])
-        pairs = low.select(key, "_low", F.explode(F.filter(known, lambda e: F.contains(F.col("_low"), e["q"]))).alias("e"))
-        pairs = pairs.select(key, "_low", F.col("e.query_id").alias("query_id"), F.col("e.q").alias("q"))
+        matching = F.filter(known, lambda e: F.contains(F.col("_low"), e["q"]))
+        pairs = low.select(key, *extra, "_low", F.explode(matching).alias("e")).select(key, *extra, "_low", "e.query_id", "e.q")
     else:
         pairs = _gram_pairs(plain, low, key)
     n16 = utf16_length("q")
@@ -118,7 +159,7 @@ def substring_hits(queries: DataFrame, docs: DataFrame, key: str, text: str) ->
         F.lit(1.0),
         count_occurrences(F.col("_low"), F.col("q")) * n16 / F.greatest(utf16_length("_low"), F.lit(100)),
     )
-    return pairs.select("query_id", key, rounded(score).alias("score"))
+    return pairs.select("query_id", key, *extra, rounded(score).alias("score"))
 
 
 def _gram_pairs(plain: DataFrame, low: DataFrame, key: str) -> DataFrame:
@@ -140,7 +181,7 @@ def _gram_pairs(plain: DataFrame, low: DataFrame, key: str) -> DataFrame:
         .join(plain.select(head.alias("_g")).distinct(), "_g", "left_semi")
     )
     found = salted_d.join(salted_q, ["_g", "_s"]).select(key, "query_id", "q")
-    return found.join(low, key).where(F.contains(F.col("_low"), F.col("q"))).select(key, "_low", "query_id", "q")
+    return found.join(low, key).where(F.contains(F.col("_low"), F.col("q")))
 
 
 def text_search(
@@ -150,17 +191,12 @@ def text_search(
     text: str,
     k: int = 5,
     min_score: float = 0.3,
-    ties: list[str] | None = None,
 ) -> DataFrame:
     """(query_id, key, score, rank) for every query with text; blank queries have no rows."""
-    key = index.key
-    ties = ties or [key]
+    key, ties = index.key, index.ties
     hits = cosine_hits(queries, index, min_score)
     if min_score <= 0:
         hits = stage(hits)
         hits = hits.unionByName(_zero_fill(queries, hits, docs, key, ties, k))
-    scored = hits.unionByName(substring_hits(queries, docs, key, text).select("query_id", key, "score"))
-    if ties != [key]:
-        # Rank columns other than the key are looked up for the threshold's survivors only.
-        scored = scored.join(docs.select(key, *[t for t in ties if t != key]), key)
+    scored = hits.unionByName(substring_hits(queries, docs, key, text, ties).select(hits.columns))
     return top_k(scored, k, ties).select("query_id", key, "score", F.col("rank").cast("int").alias("rank"))

@@ -16,7 +16,8 @@ from noteloom.runtime import bounded_rows
 
 # Query vectors shipped to every task: 2,048 x 3,072 doubles are 48 MB.
 QUERY_BLOCK = 2048
-_GRID_ROWS = 20_000
+_SCORE_BLOCK = 256  # queries scored at once: 256 x 10,000 scores are 20 MB
+_GRID_ROWS = 10_000  # vectors and queries per grid cell
 
 
 def _matrix(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +78,12 @@ def _frame(query_ids, scores, keys, k, key, exclude_self) -> pd.DataFrame:
     return frame[np.isfinite(frame["score"])] if exclude_self else frame
 
 
+def _keep_best(frames: list[pd.DataFrame], key: str, k: int) -> pd.DataFrame:
+    """A task's k best rows per query over the batches seen so far."""
+    rows = pd.concat(frames, ignore_index=True).sort_values(["query_id", "score", key], ascending=[True, False, True])
+    return rows.groupby("query_id", sort=False).head(k)
+
+
 def vector_topk(
     queries: DataFrame,
     vectors: DataFrame,
@@ -112,11 +119,20 @@ def vector_topk(
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             q_ids, q_matrix, q_lengths = shipped.value
+            held: list[pd.DataFrame] = []
             for batch in batches:
-                if len(batch) and len(q_ids):
-                    m, n = _matrix(batch["v"])
-                    scores = _cosines(q_matrix, q_lengths, m, n)
-                    yield _frame(q_ids, scores, batch[key].to_numpy(), k, key, exclude_self)
+                if not len(batch):
+                    continue
+                m, n = _matrix(batch["v"])
+                keys = batch[key].to_numpy()
+                for at in range(0, len(q_ids), _SCORE_BLOCK):
+                    part = slice(at, at + _SCORE_BLOCK)
+                    scores = _cosines(q_matrix[part], q_lengths[part], m, n)
+                    held.append(_frame(q_ids[part], scores, keys, k, key, exclude_self))
+                if sum(map(len, held)) > 16 * k * len(q_ids):
+                    held = [_keep_best(held, key, k)]
+            if held:
+                yield _keep_best(held, key, k)
 
         local = v.mapInPandas(scan, schema)
     else:
@@ -126,7 +142,7 @@ def vector_topk(
 
 def _grid(q: DataFrame, v: DataFrame, key: str, k: int, schema: T.StructType, exclude_self: bool) -> DataFrame:
     columns = max(1, math.ceil(v.count() / _GRID_ROWS))
-    rows = max(1, math.ceil(q.count() / _GRID_ROWS * 8))
+    rows = max(1, math.ceil(q.count() / _GRID_ROWS))
     dealt_q = q.withColumn("_r", F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int")).withColumn(
         "_c", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))
     )
@@ -139,6 +155,8 @@ def _grid(q: DataFrame, v: DataFrame, key: str, k: int, schema: T.StructType, ex
             return pd.DataFrame({"query_id": left["query_id"][:0], key: right[key][:0], "score": np.zeros(0)})
         qm, qn = _matrix(left["qv"])
         vm, vn = _matrix(right["v"])
-        return _frame(left["query_id"].to_numpy(), _cosines(qm, qn, vm, vn), right[key].to_numpy(), k, key, exclude_self)
+        ids, keys = left["query_id"].to_numpy(), right[key].to_numpy()
+        blocks = [slice(at, at + _SCORE_BLOCK) for at in range(0, len(ids), _SCORE_BLOCK)]
+        return pd.concat([_frame(ids[b], _cosines(qm[b], qn[b], vm, vn), keys, k, key, exclude_self) for b in blocks], ignore_index=True)
 
     return dealt_q.groupBy("_r", "_c").cogroup(dealt_v.groupBy("_r", "_c")).applyInPandas(cell, schema)

@@ -9,7 +9,7 @@ from noteloom.functions.text import epoch_micros, file_name
 from noteloom.operators.context import ACTIVE_HEADER, FILES_HEADER, assemble_prompt, attached_context, linked_notes, note_block, rag_context
 from noteloom.operators.links import resolve_links, wikilinks
 from noteloom.plans.retriever import Retriever
-from noteloom.runtime import stage
+from noteloom.runtime import checked, stage
 from noteloom.sources.notes import recent_paths
 
 SCOPES = ("active", "local", "vault")
@@ -40,6 +40,7 @@ def build_prompts(
     """
     req = stage(requests.select("request_id", "text", "scope", "anchor"))
     ids = req.select("request_id")
+    texts = notes.select("path", "content")
     parts = []
 
     def part(df, no, text, seq=None):
@@ -56,12 +57,12 @@ def build_prompts(
         part(req.where("scope = 'vault'"), 3, text)
     taken = None
     if attachments is not None:
-        with_text = attachments.join(notes.select("path", "content"), "path").withColumn("file_name", file_name("path"))
+        with_text = texts.join(checked(attachments), "path").withColumn("file_name", file_name("path"))
         part(attached_context(with_text), 4, F.col("text"))
         taken = attachments.select("request_id", "path")
     anchors = req.where(F.col("anchor").isNotNull()).select("request_id", "scope", F.col("anchor").alias("path"))
     shown = anchors if taken is None else anchors.join(taken, ["request_id", "path"], "left_anti")
-    active = shown.join(notes.select("path", "content"), "path").withColumn("file_name", file_name("path"))
+    active = texts.join(checked(shown), "path").withColumn("file_name", file_name("path"))
     part(active, 5, F.concat(F.lit(ACTIVE_HEADER + "\n"), note_block("file_name")))
     in_context = anchors.select("request_id", "path")
     if taken is not None:
@@ -69,11 +70,11 @@ def build_prompts(
     body = notes.select("path", "name", "content", "mtime")
 
     local = anchors.where("scope = 'local'")
-    own_links = wikilinks(notes.join(local.select("path").distinct(), "path", "left_semi"), distinct=False)
+    own_links = wikilinks(texts.join(checked(local.select("path").distinct()), "path", "left_semi"), distinct=False)
     targets = resolve_links(own_links, notes).where(F.col("target_path").isNotNull()).select("path", "target_path").distinct()
     linked = local.join(targets, "path").select("request_id", F.col("target_path").alias("path"))
     picked, omitted = linked_notes(linked, notes, in_context)
-    packed = picked.select("request_id", "path").join(body, "path")
+    packed = body.join(checked(picked.select("request_id", "path")), "path")
     parts.append(
         packed.select(
             "request_id",
@@ -87,7 +88,7 @@ def build_prompts(
     asked = wikilinks(req, "request_id", "text")
     named = resolve_links(asked, notes, source=None).where(F.col("target_path").isNotNull())
     named = named.groupBy("request_id", F.col("target_path").alias("path")).agg(F.min("pos").alias("pos"))
-    named = named.join(in_context.distinct(), ["request_id", "path"], "left_anti").join(body.drop("mtime"), "path")
+    named = body.drop("mtime").join(checked(named.join(in_context.distinct(), ["request_id", "path"], "left_anti")), "path")
     part(named, 7, note_block(), F.col("pos"))
 
     if retriever is not None:

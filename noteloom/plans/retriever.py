@@ -12,7 +12,7 @@ from noteloom.operators.proximity import proximity_rerank
 from noteloom.operators.text_index import TextIndex, build_index
 from noteloom.operators.text_search import text_search
 from noteloom.operators.vector_search import vector_topk
-from noteloom.runtime import stage
+from noteloom.runtime import checked, spread, stage
 
 DEFAULTS = {"k": 5, "min_score": 0.3, "boost": 0.5}
 TOOL_MAX_K = 10
@@ -30,8 +30,8 @@ class Retriever:
 
     @classmethod
     def build(cls, chunks: DataFrame, **parts) -> Retriever:
-        chunks = stage(chunks)
-        return cls(chunks, build_index(chunks, "chunk_id", "content"), **parts)
+        chunks = spread(stage(chunks))
+        return cls(chunks, build_index(chunks, "chunk_id", "content", ["path", "chunk_index"]), **parts)
 
     def ranked(
         self, queries: DataFrame, k: int, min_score: float, query_vectors: DataFrame | None = None
@@ -41,12 +41,11 @@ class Retriever:
         Queries without a vector, and every query when there are no vectors at all, fall back to
         the text list.
         """
-        ties = ["path", "chunk_index"]
         if self.vectors is None or query_vectors is None:
-            hits = text_search(queries, self.index, self.chunks, "content", k, min_score, ties)
+            hits = text_search(queries, self.index, self.chunks, "content", k, min_score)
             return hits.withColumn("match_type", F.lit("text"))
         pool = pool_size(k)
-        text = text_search(queries, self.index, self.chunks, "content", pool, min_score, ties)
+        text = text_search(queries, self.index, self.chunks, "content", pool, min_score)
         near = vector_topk(query_vectors, self.vectors, "chunk_id", pool)
         return fuse(text, near, "chunk_id", k, known=self.chunks)
 
@@ -59,14 +58,13 @@ class Retriever:
         anchors: DataFrame | None = None,
         boost: float = DEFAULTS["boost"],
     ) -> DataFrame:
-        """Result rows with their chunk. Text joins the at most k winners per query at the end."""
+        """Result rows with their chunk. The at most k winners per query meet the texts at the end, by
+        a broadcast of the winners unless the batch is very large."""
         if not 1 <= k <= 20:
             raise ValueError("k must lie in 1..20")
-        ranked = self.ranked(queries, k, min_score, query_vectors)
-        found = ranked.join(
-            self.chunks.select("chunk_id", "path", "name", "chunk_index", "content", "heading", "start_line", "end_line"),
-            "chunk_id",
-        )
+        ranked = checked(self.ranked(queries, k, min_score, query_vectors))
+        columns = ("chunk_id", "path", "name", "chunk_index", "content", "heading", "start_line", "end_line")
+        found = self.chunks.select(*columns).join(ranked, "chunk_id")
         if anchors is None:
             return found
         if self.notes is None or self.graph is None:

@@ -89,6 +89,16 @@ def bounded_rows(df: DataFrame, limit: int) -> list[Row] | None:
     return rows if len(rows) <= limit else None
 
 
+def checked(df: DataFrame) -> DataFrame:
+    """Write ``df`` once, count it, and mark it for broadcast if it is within the bound.
+
+    For the side of a join that is usually small next to note texts (winners of a search, changed
+    paths): within the bound the texts are not shuffled, beyond it Spark joins by shuffle.
+    """
+    staged = stage(df)
+    return F.broadcast(staged) if staged.count() <= BROADCAST_ROWS else staged
+
+
 def lookup_join(
     facts: DataFrame,
     dim: DataFrame,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions.text import base_name, content_hash, extension, file_name
+from noteloom.runtime import checked, stage
 
 
 def scan_files(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
@@ -66,8 +67,10 @@ def not_excluded(path: Column, folders: str | list[str]) -> Column:
 
 def read_by_path(requests: DataFrame, notes: DataFrame) -> DataFrame:
     """Each requested path with its content; missing paths keep a row with status 'missing'."""
-    found = notes.select("path", "name", "content", F.lit(True).alias("_hit"))
-    return requests.join(found, "path", "left").select(
+    asked = stage(requests)
+    wanted = checked(asked.select("path").distinct())
+    found = notes.select("path", "name", "content").join(wanted, "path", "left_semi").withColumn("_hit", F.lit(True))
+    return asked.join(found, "path", "left").select(
         *requests.columns,
         "name",
         "content",
@@ -89,7 +92,8 @@ def upsert_notes(existing: DataFrame, updates: DataFrame) -> DataFrame:
     cols = existing.columns
     rest = [c for c in cols if c != "path"]
     latest = updates.groupBy("path").agg(F.max_by(F.struct(*rest), "seq").alias("u")).select("path", *[F.col(f"u.{c}") for c in rest])
-    return existing.join(latest.select("path"), "path", "left_anti").select(cols).unionByName(latest.select(cols))
+    latest = stage(latest)
+    return existing.join(checked(latest.select("path")), "path", "left_anti").select(cols).unionByName(latest.select(cols))
 
 
 def write_partitioned(df: DataFrame, target: str, buckets: int = 64) -> None:

@@ -256,3 +256,52 @@ def test_views(spark):
     assert [(r.completed, r.text) for r in v["tasks"].orderBy("pos").collect()] == [(False, "open"), (True, "done [[b]]")]
     assert render_tasks(v["tasks"], [("pos", "asc")]).first().text == "- [ ] open\n- [x] done [[b]]"
     assert [r.target for r in v["links"].collect()] == ["b"]
+
+
+def test_conversation_store(spark, tmp_path):
+    from noteloom.sources import conversations as store
+
+    a = {"id": "a", "title": "t", "provider": "p", "model": "m", "createdAt": 1, "updatedAt": 2, "messages": [{"role": "user", "content": "hé", "timestamp": 1}]}
+    (tmp_path / "a.json").write_text(json.dumps(a, indent=2))
+    (tmp_path / "bad.json").write_text("{oops")
+    heads, msgs = store.import_json(spark, str(tmp_path / "*.json"))
+    assert [(r.conv_id, r.updated_at) for r in heads.collect()] == [("a", 2)]
+    assert [tuple(r) for r in msgs.collect()] == [("a", 0, "user", "hé", 1)]
+    new = _messages(spark, [("a", 0, "user", "new", 5), ("b", 0, "user", "b", 6)])
+    both = store.replace_conversations(msgs, new)
+    assert sorted(r.content for r in both.collect()) == ["b", "new"]
+    ids = spark.createDataFrame([("a",), ("zz",)], "conv_id string")
+    assert [r.conv_id for r in store.delete_conversations(both, ids).collect()] == ["b"]
+    assert [r.conv_id for r in store.load_conversations(both, ids).collect()] == ["a"]
+
+
+def test_query_embedding_and_model_width(spark):
+    q = spark.createDataFrame([(1, "ab"), (2, "boom")], "query_id int, text string")
+
+    def embed(texts):
+        if "boom" in texts:
+            raise RuntimeError
+        return [[1.0]] * len(texts), 0
+
+    assert [r.query_id for r in embedding.embed_queries(q.repartition(2, "query_id"), embed).collect()] in ([1], [])
+    assert embedding.model_dims("text-embedding-3-large", compact=True) == 512 and embedding.model_dims("nomic-embed-text", True) == 768
+    vectors = spark.createDataFrame([("a", 1), ("b", 2)], "chunk_id string, v int")
+    assert [r.v for r in embedding.vectors_for(vectors, spark.createDataFrame([("b",), ("c",)], "chunk_id string")).collect()] == [2]
+
+
+def test_retriever_hybrid_fallback(spark):
+    from noteloom.operators.chunking import chunk_documents
+    from noteloom.plans.retriever import Retriever
+
+    notes = spark.createDataFrame([(f"n{i}.md", f"n{i}", f"# T\n{w} text") for i, w in enumerate(["apple", "pear", "plum"])], "path string, name string, content string")
+    chunks = chunk_documents(notes)
+    vectors = spark.createDataFrame([("n1.md::0", [1.0, 0.0]), ("n2.md::0", [0.0, 1.0]), ("gone.md::0", [1.0, 0.0])], "chunk_id string, embedding array<float>")
+    r = Retriever.build(chunks, vectors=vectors)
+    queries = spark.createDataFrame([(1, "apple"), (2, "apple")], "query_id int, text string")
+    q_vectors = spark.createDataFrame([(1, [1.0, 0.1])], "query_id int, embedding array<float>")
+    rows = {(x.query_id, x.chunk_id): x for x in r.search(queries, 3, 0.1, query_vectors=q_vectors).collect()}
+    assert rows[1, "n0.md::0"].match_type == "text" and rows[1, "n1.md::0"].match_type == "semantic"
+    assert (1, "gone.md::0") not in rows and [k for k in rows if k[0] == 2] == [(2, "n0.md::0")]
+    assert rows[2, "n0.md::0"].score > 0.3
+    with pytest.raises(ValueError):
+        r.search(queries, 21)

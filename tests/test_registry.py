@@ -10,7 +10,7 @@ QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 def test_names():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"diff_lines", "vector_shards_roundtrip"}
+    assert set(QUERIES) - set(SQL) == {"diff_lines"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -41,7 +41,7 @@ def test_text_search_matches_model(spark):
     docs, queries = _frames(spark)
     index = build_index(docs, "id", "text")
     assert index.n_docs == len(DOCS)
-    for k, floor in itertools.product((1, 3, 20), (0.3, 0.0, 0.05)):
+    for k, floor in itertools.product((1, 3, 20), (0.3, 0.0, 0.05, 0.6, 0.9)):
         got = _ranked(text_search(queries, index, docs, "text", k, floor).collect())
         for i, q in enumerate(QUERIES):
             assert got.get(i, []) == m.text_search(DOCS, q, k, floor), (q, k, floor)
