@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -129,32 +130,42 @@ def _pick_token(event: dict, provider: str) -> str:
         return ""
 
 
-def _repair(batch: pd.DataFrame) -> pd.DataFrame:
-    """Tokens of one broken response: fragments are glued until they parse."""
-    batch = batch.sort_values("line_no")
-    held, out = "", []
-    for line in batch["line"]:
-        if line.startswith("data: "):
-            held += line[6:]
-        elif held:
-            held += line
-        else:
-            continue
-        try:
-            event = json.loads(held)
-        except ValueError:
-            continue
-        held = ""
-        if isinstance(event, dict):
-            out.append(_pick_token(event, batch["provider"].iloc[0]))
-    return pd.DataFrame({"response_id": batch["response_id"].iloc[:1], "content": ["".join(out)]})
+def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Tokens of broken responses, whose lines arrive in order: fragments are glued until they parse.
+
+    Lines stream through; only the text of the response at hand is held.
+    """
+    current, held, out = None, "", []
+    for batch in batches:
+        done = []
+        for rid, provider, line in zip(batch["response_id"], batch["provider"], batch["line"]):
+            if rid != current:
+                if current is not None:
+                    done.append((current, "".join(out)))
+                current, held, out = rid, "", []
+            if line.startswith("data: "):
+                held += line[6:]
+            elif held:
+                held += line
+            else:
+                continue
+            try:
+                event = json.loads(held)
+            except ValueError:
+                continue
+            held = ""
+            if isinstance(event, dict):
+                out.append(_pick_token(event, provider))
+        yield pd.DataFrame(done, columns=["response_id", "content"])
+    if current is not None:
+        yield pd.DataFrame([(current, "".join(out))], columns=["response_id", "content"])
 
 
 def sse_reassemble(lines: DataFrame) -> DataFrame:
     """(response_id, content) from stream log lines (response_id, provider, line_no, line).
 
     A log whose ``data:`` lines all hold complete JSON is handled line by line with built-ins; only
-    responses with a fragment go to Python, one response at a time. Complete responses are joined
+    responses with a fragment go to Python, streamed in line order. Complete responses are joined
     in two levels (blocks of lines, then blocks), so a very long one is built by many tasks.
     """
     trimmed = lines.withColumn("line", js_trim("line"))
@@ -175,8 +186,9 @@ def sse_reassemble(lines: DataFrame) -> DataFrame:
         trimmed.where(F.col("line") != "data: [DONE]")
         .join(broken, "response_id", "left_semi")
         .select("response_id", "provider", "line_no", "line")
-        .groupBy("response_id")
-        .applyInPandas(_repair, lines.select("response_id", F.lit("").alias("content")).schema)
+        .repartition("response_id")
+        .sortWithinPartitions("response_id", "line_no")
+        .mapInPandas(_repair, lines.select("response_id", F.lit("").alias("content")).schema)
     )
     return done.where(~F.col("torn")).select("response_id", "content").unionByName(repaired)
 
