@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,10 @@ def pack(
         able = able.where((size > 0) & (F.col("_rn") <= fits))
     else:
         able = able.where((size == 0) | (F.col("_rn") <= fits))
+    if max_items is None:
+        return _take_in_order(able, request, order, budget, key, tokens).unionByName(
+            free.select(request, key, size.cast("long").alias(tokens))
+        )
     placed = able.withColumn("_at", F.row_number().over(Window.partitionBy(request).orderBy(*order)))
     gathered = placed.groupBy(request).agg(
         F.array_sort(F.collect_list(F.struct(F.col("_at"), F.col(key).alias("k"), size.cast("long").alias("t")))).alias("_all")
@@ -41,9 +48,7 @@ def pack(
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(entry).alias("picked"))
 
     def step(acc, x):
-        ok = acc["used"] + x["t"] <= budget
-        if max_items is not None:
-            ok = ok & (F.size(acc["picked"]) < max_items) & (acc["used"] < budget)
+        ok = (acc["used"] + x["t"] <= budget) & (F.size(acc["picked"]) < max_items) & (acc["used"] < budget)
         taken = F.array_append(acc["picked"], F.struct(x["k"].alias("k"), x["t"].alias("t")))
         return F.struct(
             F.when(ok, acc["used"] + x["t"]).otherwise(acc["used"]).alias("used"),
@@ -53,10 +58,26 @@ def pack(
     picked = gathered.select(request, F.explode_outer(F.aggregate("_all", start, step, lambda a: a["picked"])).alias("p")).where(
         F.col("p").isNotNull()
     )
-    out = picked.select(request, F.col("p.k").alias(key), F.col("p.t").alias(tokens))
-    if max_items is None:
-        out = out.unionByName(free.select(request, key, size.cast("long").alias(tokens)))
-    return out
+    return picked.select(request, F.col("p.k").alias(key), F.col("p.t").alias(tokens))
+
+
+def _take_in_order(able: DataFrame, request: str, order: list, budget: int, key: str, tokens: str) -> DataFrame:
+    """Stream each request's rows in order and keep what fits; only the running total is held."""
+    rows = able.withColumn(tokens, F.col(tokens).cast("long"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, used = None, 0
+        for batch in batches:
+            keep = []
+            for r, t in zip(batch[request], batch[tokens]):
+                if r != current:
+                    current, used = r, 0
+                keep.append(used + t <= budget)
+                used += t if keep[-1] else 0
+            yield batch.loc[keep, [request, key, tokens]]
+
+    ordered = rows.repartition(request).sortWithinPartitions(request, *order)
+    return ordered.mapInPandas(run, rows.select(request, key, tokens).schema)
 
 
 def omitted_counts(items: DataFrame, picked: DataFrame, request: str, key: str = "path") -> DataFrame:

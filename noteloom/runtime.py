@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only after it was counted and found below this many rows.
 BROADCAST_ROWS = 1_000_000
+_TABLE = "noteloom_staged_"
 
 
 def local_session(app: str = "noteloom", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -47,13 +48,25 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/noteloom/{spark.sparkContext.applicationId}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove everything this application staged. Frames built on it must not be used afterwards."""
+    for t in spark.catalog.listTables(pattern=f"{_TABLE}*"):
+        spark.sql(f"drop table if exists {t.name}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where a result is read several times or its lineage must be cut: the copy survives
     lost executors, is columnar (so later reads prune columns) and carries size statistics.
     """
-    path = f"{shared_dir(df.sparkSession)}/noteloom/{uuid.uuid4().hex}"
+    path = f"{_run_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -62,11 +75,11 @@ def stage_bucketed(df: DataFrame, column: str, buckets: int | None = None) -> Da
     """Like :func:`stage`, bucketed by ``column``: later group-bys and joins on it need no shuffle."""
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"noteloom_{uuid.uuid4().hex}"
+    name = f"{_TABLE}{uuid.uuid4().hex}"
     (
         df.repartition(n, column)
         .write.bucketBy(n, column)
-        .option("path", f"{shared_dir(spark)}/noteloom/{name}")
+        .option("path", f"{_run_dir(spark)}/{name}")
         .format("parquet")
         .saveAsTable(name)
     )

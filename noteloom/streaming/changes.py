@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.operators.changes import DEBOUNCE_MS, IDLE_MS, incremental_index, normalize_changes
+from noteloom.operators.changes import DEBOUNCE_MS, IDLE_MS, incremental_index, normalize_changes, remove_files
 from noteloom.sources.notes import write_partitioned
 
 CHANGE_SCHEMA = "path string, old_path string, op string, ts timestamp"
@@ -49,6 +49,10 @@ class IndexMaintainer:
         self.max_tokens = max_tokens
         self.buckets = buckets
 
+    def _has_vectors(self, spark: SparkSession) -> bool:
+        """Vectors are optional: a table like the others, partitioned by path hash, with a ``path`` column."""
+        return _exists(spark, f"{self.root}/vectors")
+
     def _bucket(self):
         return F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int")
 
@@ -71,10 +75,18 @@ class IndexMaintainer:
             asked_files = files.join(paths, "path", "left_semi")
             asked_chunks = chunks.join(paths, "path", "left_semi")
             current = self.notes().join(paths, "path", "left_semi")
-            new_files, new_chunks, _ = incremental_index(current, asked_files, asked_chunks, self.strategy, self.max_tokens)
+            new_files, new_chunks, found = incremental_index(current, asked_files, asked_chunks, self.strategy, self.max_tokens)
             files.join(paths, "path", "left_anti").unionByName(new_files).write.mode("overwrite").parquet(f"{work}/files")
+            if self._has_vectors(spark):
+                # Only texts that really changed lose their vectors; the embedding job finds them pending.
+                stale = found.where(F.col("status").isin("modified", "deleted"))
+                vectors = spark.read.parquet(f"{self.root}/vectors").where(in_touched).drop("bucket")
+                remove_files(vectors, stale).write.mode("overwrite").parquet(f"{work}/vectors")
+            # Last, because its success mark tells a repeated batch that everything is there.
             chunks.join(paths, "path", "left_anti").unionByName(new_chunks).write.mode("overwrite").parquet(f"{work}/chunks")
-        for table in ("files", "chunks"):
+        for table in ("files", "chunks", "vectors"):
+            if table == "vectors" and not _finished(spark, f"{work}/vectors"):
+                continue
             rows = spark.read.parquet(f"{work}/{table}")
             write_partitioned(rows, f"{self.root}/{table}", self.buckets)
             self._clear_empty(spark, rows, table, work)
@@ -93,11 +105,15 @@ def _fs_path(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def _finished(spark: SparkSession, path: str) -> bool:
-    fs, target = _fs_path(spark, path + "/_SUCCESS")
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _fs_path(spark, path)
     return fs.exists(target)
 
 
+def _finished(spark: SparkSession, path: str) -> bool:
+    return _exists(spark, f"{path}/_SUCCESS")
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     fs, target = _fs_path(spark, path)
     if fs.exists(target):
