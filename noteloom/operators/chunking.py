@@ -15,7 +15,7 @@ from noteloom.operators.frontmatter import with_frontmatter
 
 STRATEGIES = ("section", "paragraph", "fixed")
 _HEADING = rf"^#{{1,6}}[{WS_CLASS}]"
-_SPANS = "array<struct<first:int,last:int,heading:string>>"
+_MARK = 2**31  # a mark packs a break's line number and a heading's line number into one long
 
 
 def _line_facts(lines: Column) -> Column:
@@ -32,68 +32,75 @@ def _line_facts(lines: Column) -> Column:
     return F.transform(lines, facts)
 
 
-def _state(in_code, first, held, used, heading, spans) -> Column:
+def _mark(line: Column, heading_line: Column) -> Column:
+    return line.cast("long") * _MARK + heading_line + 1
+
+
+def _no_marks() -> Column:
+    return F.array().cast("array<bigint>")
+
+
+def _state(in_code, held, used, heading_line, marks) -> Column:
     return F.struct(
         in_code.alias("in_code"),
-        first.cast("int").alias("first"),
         held.cast("int").alias("held"),
         used.cast("int").alias("used"),
-        heading.cast("string").alias("heading"),
-        spans.alias("spans"),
+        heading_line.cast("int").alias("heading_line"),
+        marks.alias("marks"),
     )
 
 
-def _span(first, last, heading) -> Column:
-    return F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"), heading.alias("heading"))
-
+def _marks(facts: Column, n_lines: Column, strategy: str, max_tokens: int) -> Column:
+    """Where the raw chunks end, each with the line of its heading (-1: none), closed by the last line.
 
-def _spans(facts: Column, n_lines: Column, strategy: str, max_tokens: int) -> Column:
-    """Line ranges of the raw chunks, 0-based and inclusive."""
-    start = _state(F.lit(False), F.lit(0), F.lit(0), F.lit(0), F.lit(None), F.array().cast(_SPANS))
+    The fold copies its state at every line, so the state holds numbers only.
+    """
+    start = _state(F.lit(False), F.lit(0), F.lit(0), F.lit(-1), _no_marks())
 
-    def push(acc, when, upto, heading):
-        return F.when(when, F.array_append(acc["spans"], _span(acc["first"], upto, heading))).otherwise(acc["spans"])
+    def mark_if(acc, cut, line, heading_line):
+        return F.when(cut, F.array_append(acc["marks"], _mark(line, heading_line))).otherwise(acc["marks"])
 
     def section(acc, f):
         in_code = acc["in_code"] != f["fence"]
         opens = ~in_code & f["heading"].isNotNull()
-        return _state(
-            in_code,
-            F.when(opens, f["i"]).otherwise(acc["first"]),
-            acc["held"] + 1,
-            F.lit(0),
-            F.when(opens, f["heading"]).otherwise(acc["heading"]),
-            push(acc, opens & (acc["held"] > 0), f["i"] - 1, acc["heading"]),
-        )
+        heading_line = F.when(opens, f["i"]).otherwise(acc["heading_line"])
+        cut = opens & (acc["held"] > 0)
+        return _state(in_code, acc["held"] + 1, F.lit(0), heading_line, mark_if(acc, cut, f["i"], acc["heading_line"]))
 
     def paragraph(acc, f):
         in_code = acc["in_code"] != f["fence"]
-        heading = F.when(~in_code & f["heading"].isNotNull(), f["heading"]).otherwise(acc["heading"])
+        heading_line = F.when(~in_code & f["heading"].isNotNull(), f["i"]).otherwise(acc["heading_line"])
         gap = f["blank"] & ~in_code
-        return _state(
-            in_code,
-            F.when(gap, f["i"] + 1).otherwise(acc["first"]),
-            F.when(gap, F.lit(0)).otherwise(acc["held"] + 1),
-            F.lit(0),
-            heading,
-            push(acc, gap & (acc["held"] > 0), f["i"] - 1, heading),
-        )
+        return _state(in_code, acc["held"], F.lit(0), heading_line, mark_if(acc, gap, f["i"], heading_line))
 
     def fixed(acc, f):
         in_code = acc["in_code"] != f["fence"]
-        heading = F.when(~in_code & f["heading"].isNotNull(), f["heading"]).otherwise(acc["heading"])
+        heading_line = F.when(~in_code & f["heading"].isNotNull(), f["i"]).otherwise(acc["heading_line"])
         full = (acc["used"] + f["cost"] > max_tokens) & (acc["held"] > 0) & ~in_code
         return _state(
             in_code,
-            F.when(full, f["i"]).otherwise(acc["first"]),
             F.when(full, F.lit(1)).otherwise(acc["held"] + 1),
             F.when(full, f["cost"]).otherwise(acc["used"] + f["cost"]),
-            heading,
-            push(acc, full, f["i"] - 1, heading),
+            heading_line,
+            mark_if(acc, full, f["i"], heading_line),
         )
 
     step = {"paragraph": paragraph, "fixed": fixed}.get(strategy, section)
-    return F.aggregate(facts, start, step, lambda acc: push(acc, acc["held"] > 0, n_lines - 1, acc["heading"]))
+    return F.aggregate(facts, start, step, lambda acc: F.array_append(acc["marks"], _mark(n_lines, acc["heading_line"])))
+
+
+def _ranges(marks: Column, skip: int = 0) -> Column:
+    """(first, last, heading_line) per mark; ``skip`` = 1 when the marked line belongs to no chunk."""
+
+    def one(mark, j):
+        before = F.floor(F.get(marks, j - 1) / _MARK) + skip
+        return F.struct(
+            F.when(j == 0, F.lit(0)).otherwise(before).cast("int").alias("first"),
+            (F.floor(mark / _MARK) - 1).cast("int").alias("last"),
+            (mark % _MARK - 1).cast("int").alias("heading_line"),
+        )
+
+    return F.transform(marks, one)
 
 
 def _text(lines: Column, first: Column, last: Column) -> Column:
@@ -120,31 +127,25 @@ def _piece(content, heading, start_line, end_line) -> Column:
 
 def split_large(chunk: Column, max_tokens: int) -> Column:
     """Cut one oversize chunk at line ends; a single line over the budget stays whole."""
-    start = F.struct(
-        F.lit(0).alias("first"), F.lit(0).alias("held"), F.lit(0).alias("used"), F.array().cast(_SPANS).alias("spans")
-    )
+    start = F.struct(F.lit(0).alias("held"), F.lit(0).alias("used"), _no_marks().alias("marks"))
 
     def step(acc, f):
         full = (acc["used"] + f["cost"] > max_tokens) & (acc["held"] > 0)
-        cut = F.array_append(acc["spans"], _span(acc["first"], f["i"] - 1, chunk["heading"]))
         return F.struct(
-            F.when(full, f["i"]).otherwise(acc["first"]).alias("first"),
             F.when(full, F.lit(1)).otherwise(acc["held"] + 1).alias("held"),
             F.when(full, f["cost"]).otherwise(acc["used"] + f["cost"]).alias("used"),
-            F.when(full, cut).otherwise(acc["spans"]).alias("spans"),
+            F.when(full, F.array_append(acc["marks"], _mark(f["i"], F.lit(-1)))).otherwise(acc["marks"]).alias("marks"),
         )
 
     def pieces(lines):
         last_line = F.size(lines) - 1
         costs = F.transform(lines, lambda l, i: F.struct(i.alias("i"), estimate_tokens(l).alias("cost")))
-        spans = F.aggregate(
-            costs, start, step, lambda a: F.array_append(a["spans"], _span(a["first"], last_line, chunk["heading"]))
-        )
+        marks = F.aggregate(costs, start, step, lambda a: F.array_append(a["marks"], _mark(F.size(lines), F.lit(-1))))
         return F.transform(
-            spans,
+            _bind(marks, _ranges),
             lambda s: _piece(
                 _text(lines, s["first"], s["last"]),
-                s["heading"],
+                chunk["heading"],
                 chunk["start_line"] + s["first"],
                 F.when(s["last"] == last_line, chunk["end_line"]).otherwise(chunk["start_line"] + s["last"]),
             ),
@@ -158,15 +159,15 @@ def raw_chunks(bodies: DataFrame, strategy: str, max_tokens: int) -> DataFrame:
     return (
         bodies.withColumn("_lines", F.split("body", "\n", -1))
         .withColumn("_facts", _line_facts(F.col("_lines")))
-        .withColumn("_spans", _spans(F.col("_facts"), F.size("_lines"), strategy, max_tokens))
+        .withColumn("_marks", _marks(F.col("_facts"), F.size("_lines"), strategy, max_tokens))
         .withColumn(
             "raw",
             F.filter(
                 F.transform(
-                    "_spans",
+                    _ranges(F.col("_marks"), skip=1 if strategy == "paragraph" else 0),
                     lambda s: _piece(
                         _text(F.col("_lines"), s["first"], s["last"]),
-                        s["heading"],
+                        F.when(s["heading_line"] >= 0, F.get("_facts", s["heading_line"])["heading"]),
                         F.col("body_start_line") + s["first"],
                         F.col("body_start_line") + s["last"],
                     ),
@@ -174,7 +175,7 @@ def raw_chunks(bodies: DataFrame, strategy: str, max_tokens: int) -> DataFrame:
                 lambda p: p["content"] != "",
             ),
         )
-        .drop("_lines", "_facts", "_spans")
+        .drop("_lines", "_facts", "_marks")
     )
 
 
