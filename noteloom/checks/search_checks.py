@@ -121,7 +121,7 @@ def vector_topk(spark, sf):
 
 _RRF_CTES = f"""{_BENCH_Q}, {hit_ctes('documents', 'doc_id', 'text', 'queries', 0.1)}, {_VECS},
 tl as (select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from hits) where rank <= 50),
-vs as (select q.vec_id as query_id, v.vec_id as doc_id, {_COSINE} as score from vecs q join queries on q.vec_id = queries.query_id cross join vecs v where q.norm > 0),
+vs as (select q.vec_id as query_id, v.vec_id as doc_id, {_COSINE} as score from vecs q join queries on q.vec_id = queries.query_id cross join vecs v where q.norm > 0 and v.vec_id in (select doc_id from documents)),
 vl as (select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from vs) where rank <= 50),
 fused as (select coalesce(tl.query_id, vl.query_id) as query_id, coalesce(tl.doc_id, vl.doc_id) as doc_id, tl.rank as tr, vl.rank as vr,
   round(coalesce(1 / (60 + tl.rank)::double, 0) + coalesce(1 / (60 + vl.rank)::double, 0), 9) as score
@@ -141,7 +141,8 @@ def rrf_hybrid(spark, sf):
     text = text_search.text_search(q, index, docs, "text", pool, 0.1)
     vectors = X.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
     q_vectors = vectors.join(q.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
-    near = vector_search.vector_topk(q_vectors, vectors, "doc_id", pool)
+    known = vectors.join(docs.select("doc_id"), "doc_id", "left_semi")  # vectors of missing documents take no place
+    near = vector_search.vector_topk(q_vectors, known, "doc_id", pool)
     return _long_rank(hybrid.fuse(text, near, "doc_id", 10, known=docs))
 
 

@@ -29,9 +29,13 @@ class Retriever:
     graph: DataFrame | None = None
 
     @classmethod
-    def build(cls, chunks: DataFrame, **parts) -> Retriever:
+    def build(cls, chunks: DataFrame, vectors: DataFrame | None = None, **parts) -> Retriever:
+        """Stage and index the chunks. Vectors whose chunk is gone are dropped here, once, so that they
+        cannot take a place in any ranked list."""
         chunks = spread(stage(chunks))
-        return cls(chunks, build_index(chunks, "chunk_id", "content", ["path", "chunk_index"]), **parts)
+        if vectors is not None:
+            vectors = stage(vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi"))
+        return cls(chunks, build_index(chunks, "chunk_id", "content", ["path", "chunk_index"]), vectors, **parts)
 
     def ranked(
         self, queries: DataFrame, k: int, min_score: float, query_vectors: DataFrame | None = None
@@ -47,7 +51,7 @@ class Retriever:
         pool = pool_size(k)
         text = text_search(queries, self.index, self.chunks, "content", pool, min_score)
         near = vector_topk(query_vectors, self.vectors, "chunk_id", pool)
-        return fuse(text, near, "chunk_id", k, known=self.chunks)
+        return fuse(text, near, "chunk_id", k)
 
     def search(
         self,
