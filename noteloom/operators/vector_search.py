@@ -63,19 +63,15 @@ def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> list[np.ndarray]:
     return picks
 
 
-def _frame(query_ids, scores, keys, k, key, exclude_self) -> pd.DataFrame:
-    if exclude_self:
-        scores = scores.copy()
-        scores[np.asarray(query_ids)[:, None] == keys[None, :]] = -np.inf
+def _frame(query_ids, scores, keys, k, key) -> pd.DataFrame:
     picks = _best(scores, keys, k)
-    frame = pd.DataFrame(
+    return pd.DataFrame(
         {
             "query_id": np.repeat(query_ids, [len(p) for p in picks]),
             key: np.concatenate([keys[p] for p in picks]) if picks else keys[:0],
             "score": np.concatenate([scores[i, p] for i, p in enumerate(picks)]) if picks else np.zeros(0),
         }
     )
-    return frame[np.isfinite(frame["score"])] if exclude_self else frame
 
 
 def _keep_best(frames: list[pd.DataFrame], key: str, k: int) -> pd.DataFrame:
@@ -91,7 +87,6 @@ def vector_topk(
     k: int,
     vector: str = "embedding",
     query_block: int = QUERY_BLOCK,
-    exclude_self: bool = False,
 ) -> DataFrame:
     """(query_id, key, score, rank): the k nearest vectors of each query, exactly.
 
@@ -128,7 +123,7 @@ def vector_topk(
                 for at in range(0, len(q_ids), _SCORE_BLOCK):
                     part = slice(at, at + _SCORE_BLOCK)
                     scores = _cosines(q_matrix[part], q_lengths[part], m, n)
-                    held.append(_frame(q_ids[part], scores, keys, k, key, exclude_self))
+                    held.append(_frame(q_ids[part], scores, keys, k, key))
                 if sum(map(len, held)) > 16 * k * len(q_ids):
                     held = [_keep_best(held, key, k)]
             if held:
@@ -136,11 +131,11 @@ def vector_topk(
 
         local = v.mapInPandas(scan, schema)
     else:
-        local = _grid(q, v, key, k, schema, exclude_self)
+        local = _grid(q, v, key, k, schema)
     return top_k(local, k, [key]).select("query_id", key, "score", F.col("rank").cast("int").alias("rank"))
 
 
-def _grid(q: DataFrame, v: DataFrame, key: str, k: int, schema: T.StructType, exclude_self: bool) -> DataFrame:
+def _grid(q: DataFrame, v: DataFrame, key: str, k: int, schema: T.StructType) -> DataFrame:
     columns = max(1, math.ceil(v.count() / _GRID_ROWS))
     rows = max(1, math.ceil(q.count() / _GRID_ROWS))
     dealt_q = q.withColumn("_r", F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int")).withColumn(
@@ -157,6 +152,6 @@ def _grid(q: DataFrame, v: DataFrame, key: str, k: int, schema: T.StructType, ex
         vm, vn = _matrix(right["v"])
         ids, keys = left["query_id"].to_numpy(), right[key].to_numpy()
         blocks = [slice(at, at + _SCORE_BLOCK) for at in range(0, len(ids), _SCORE_BLOCK)]
-        return pd.concat([_frame(ids[b], _cosines(qm[b], qn[b], vm, vn), keys, k, key, exclude_self) for b in blocks], ignore_index=True)
+        return pd.concat([_frame(ids[b], _cosines(qm[b], qn[b], vm, vn), keys, k, key) for b in blocks], ignore_index=True)
 
     return dealt_q.groupBy("_r", "_c").cogroup(dealt_v.groupBy("_r", "_c")).applyInPandas(cell, schema)
