@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from noteloom.llm.common import table
+from noteloom.llm.embed_dedup import near_vectors
 from noteloom.llm.minhash import minhash_components
 
 
@@ -13,5 +14,9 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {"op10_minhash_near_dedup": op10_minhash_near_dedup}
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op6_embedding_near_dedup, op10_minhash_near_dedup)}
 ORACLES: dict[str, str] = {}
