@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from noteloom.llm.common import table
 from noteloom.llm.embed_dedup import near_vectors
 from noteloom.llm.minhash import minhash_components
+from noteloom.llm.quality_rules import judge_quality
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,9 +15,18 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def good_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the rows that are labelled as good: the trusted target of the quality rules."""
+    return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"), good_rows(spark, sf_dir))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op6_embedding_near_dedup, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_embedding_near_dedup, op10_minhash_near_dedup)}
 ORACLES: dict[str, str] = {}
