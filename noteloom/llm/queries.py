@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from noteloom.llm.common import table
 from noteloom.llm.embed_dedup import near_vectors
 from noteloom.llm.minhash import minhash_components
+from noteloom.llm.mixing import mix
 from noteloom.llm.quality_rules import judge_quality
 
 
@@ -24,9 +25,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), good_rows(spark, sf_dir))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_embedding_near_dedup, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_source_mixing, op6_embedding_near_dedup, op10_minhash_near_dedup)}
 ORACLES: dict[str, str] = {}
