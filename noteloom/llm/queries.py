@@ -8,6 +8,7 @@ from noteloom.llm.common import table
 from noteloom.llm.embed_dedup import near_vectors
 from noteloom.llm.minhash import minhash_components
 from noteloom.llm.mixing import mix
+from noteloom.llm.pii import find_personal_data
 from noteloom.llm.quality_rules import judge_quality
 
 
@@ -34,5 +35,9 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_source_mixing, op6_embedding_near_dedup, op10_minhash_near_dedup)}
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_source_mixing, op6_embedding_near_dedup, op7_personal_data, op10_minhash_near_dedup)}
 ORACLES: dict[str, str] = {}
