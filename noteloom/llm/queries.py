@@ -10,6 +10,7 @@ from noteloom.llm.minhash import minhash_components
 from noteloom.llm.mixing import mix
 from noteloom.llm.pii import find_personal_data
 from noteloom.llm.quality_rules import judge_quality
+from noteloom.llm.warc import archive_pages
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,24 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op1_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = archive_pages(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# base 32 of the digest: every 10 hexadecimal digits are 8 characters of 5 bits
+OP1_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as hex from p),
+b as (select page_id, payload_bytes, array_to_string(flatten(list_transform(range(4), lambda g: list_transform(range(8),
+    lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((('0x' || substr(hex, g * 10 + 1, 10))::bigint >> (35 - 5 * k)) & 31)::int, 1)))), '') as payload_digest from d),
+r as (select *, min(page_id) over (partition by payload_digest) as lead from b)
+select page_id, payload_bytes, payload_digest, case when page_id = lead then 'response' else 'revisit' end as record_type,
+  case when page_id <> lead then lead end as refers_to from r
+"""
+
+
 def good_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of the rows that are labelled as good: the trusted target of the quality rules."""
     return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -39,5 +58,5 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_source_mixing, op6_embedding_near_dedup, op7_personal_data, op10_minhash_near_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_warc_from_arc, op2_quality_rules, op5_source_mixing, op6_embedding_near_dedup, op7_personal_data, op10_minhash_near_dedup)}
+ORACLES: dict[str, str] = {"op1_warc_from_arc": OP1_SQL}
