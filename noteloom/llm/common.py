@@ -114,27 +114,37 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of an odd number and of its inverse, modulo 2^64; kept for the next call."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        size = max(n + 1, 1 << 17)
+        both = []
+        for base in (int(_ODD), pow(int(_ODD), -1, 1 << 64)):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            both.append(np.multiply.accumulate(p))
+        _POWERS[:] = both
+    return _POWERS[0], _POWERS[1]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each word's bytes."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
+    """A 64-bit polynomial hash of each word's bytes; words come in order."""
     out = np.empty(len(starts), np.uint64)
-    block = 1 << 18  # words at a time: powers stay small and fit the cache
-    for a in range(0, len(starts), block):
-        s, e = starts[a : a + block], ends[a : a + block]
-        lo, hi = int(s[0]), int(e[-1])
-        powers = np.full(hi - lo + 1, _ODD, np.uint64)
-        powers[0] = 1
-        powers = np.multiply.accumulate(powers)
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * powers[:-1], out=total[1:])
-        inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-        back = np.full(hi - lo + 1, inverse, np.uint64)
-        back[0] = 1
-        back = np.multiply.accumulate(back)
-        h = (total[e - lo] - total[s - lo]) * back[s - lo]
-        out[a : a + block] = mix(h + (e - s).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-    return out
+    a = 0
+    while a < len(starts):
+        lo = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, lo + (1 << 16), side="right")))  # a block that fits the cache
+        s, e = starts[a:b] - lo, ends[a:b] - lo
+        n = int(e[-1])
+        powers, back = _powers(n)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((data[lo : lo + n].astype(np.uint64) + np.uint64(1)) * powers[:n], out=total[1:])
+        out[a:b] = (total[e] - total[s]) * back[s] + (e - s).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+        a = b
+    return mix(out)
 
 
 def staged(df: DataFrame) -> DataFrame:

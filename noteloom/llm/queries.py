@@ -8,6 +8,7 @@ from noteloom.llm.common import table
 from noteloom.llm.embed_dedup import near_vectors
 from noteloom.llm.minhash import minhash_components
 from noteloom.llm.mixing import mix
+from noteloom.llm.pieces import piece_digests
 from noteloom.llm.pii import find_personal_data
 from noteloom.llm.quality_rules import judge_quality
 from noteloom.llm.warc import archive_pages
@@ -45,6 +46,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), good_rows(spark, sf_dir))
 
 
+def piece_model() -> str:
+    """Path of the public BPE model."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"), piece_model())
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -58,5 +70,5 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_from_arc, op2_quality_rules, op5_source_mixing, op6_embedding_near_dedup, op7_personal_data, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc_from_arc, op2_quality_rules, op3_sentencepiece, op5_source_mixing, op6_embedding_near_dedup, op7_personal_data, op10_minhash_near_dedup)}
 ORACLES: dict[str, str] = {"op1_warc_from_arc": OP1_SQL}
