@@ -10,6 +10,7 @@ from noteloom.llm.minhash import minhash_components
 from noteloom.llm.mixing import mix
 from noteloom.llm.pieces import piece_digests
 from noteloom.llm.pii import find_personal_data
+from noteloom.llm.quality_model import score_quality
 from noteloom.llm.quality_rules import judge_quality
 from noteloom.llm.warc import archive_pages
 
@@ -70,5 +71,9 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_from_arc, op2_quality_rules, op3_sentencepiece, op5_source_mixing, op6_embedding_near_dedup, op7_personal_data, op10_minhash_near_dedup)}
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_from_arc, op2_quality_rules, op3_sentencepiece, op5_source_mixing, op6_embedding_near_dedup, op7_personal_data, op8_quality_classifier, op10_minhash_near_dedup)}
 ORACLES: dict[str, str] = {"op1_warc_from_arc": OP1_SQL}
