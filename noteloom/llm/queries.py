@@ -12,6 +12,7 @@ from noteloom.llm.pieces import piece_digests
 from noteloom.llm.pii import find_personal_data
 from noteloom.llm.quality_model import score_quality
 from noteloom.llm.quality_rules import judge_quality
+from noteloom.llm.toxicity import score_toxicity
 from noteloom.llm.warc import archive_pages
 
 
@@ -75,5 +76,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_from_arc, op2_quality_rules, op3_sentencepiece, op5_source_mixing, op6_embedding_near_dedup, op7_personal_data, op8_quality_classifier, op10_minhash_near_dedup)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_from_arc, op2_quality_rules, op3_sentencepiece, op5_source_mixing, op6_embedding_near_dedup, op7_personal_data, op8_quality_classifier, op9_toxicity, op10_minhash_near_dedup)}
 ORACLES: dict[str, str] = {"op1_warc_from_arc": OP1_SQL}
