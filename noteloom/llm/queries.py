@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from noteloom.llm.common import table
 from noteloom.llm.embed_dedup import near_vectors
@@ -12,6 +13,7 @@ from noteloom.llm.pieces import piece_digests
 from noteloom.llm.pii import find_personal_data
 from noteloom.llm.quality_model import score_quality
 from noteloom.llm.quality_rules import judge_quality
+from noteloom.llm.substring_dedup import remove_repeats
 from noteloom.llm.toxicity import score_toxicity
 from noteloom.llm.warc import archive_pages
 
@@ -59,6 +61,46 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(table(spark, sf_dir, "documents"))
+    spans = F.transform("removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
+    return done.select(
+        "doc_id",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(spans, ",").alias("removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"),
+    )
+
+
+# Units are cut with a mark after each newline and sentence end; a unit is the list of its words.
+OP4_SQL = r"""
+with t as (select doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low, text from documents),
+cutup as (
+  select doc_id, string_split(replace(low, chr(10), chr(10) || chr(1)), chr(1)) as p from t
+  union all
+  select doc_id, string_split(regexp_replace(replace(low, chr(10), chr(10) || chr(1)), '([.!?] )', '\1' || chr(1), 'g'), chr(1)) from t),
+e as (select doc_id, unnest(p) as piece, unnest(list_transform(range(len(p)),
+    lambda i: coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0))) as base from cutup),
+u as (select doc_id, base + length(piece) - length(ltrim(piece, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) as s,
+    base + length(rtrim(piece, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) as e,
+    regexp_extract_all(piece, '[^\x20\x09-\x0D]+') as w from e),
+k as (select distinct doc_id, s, e, md5(array_to_string(w, ' ')) as h from u where len(w) >= 8),
+r as (select *, row_number() over (partition by h order by doc_id, s) as n from k),
+g as (select doc_id, s, e, case when s <= max(e) over (partition by doc_id order by s, e rows between unbounded preceding and 1 preceding)
+    then 0 else 1 end as fresh from r where n > 1),
+m as (select doc_id, s, e, sum(fresh) over (partition by doc_id order by s, e rows unbounded preceding) as run from g),
+x as (select doc_id, run, min(s)::bigint as s, max(e)::bigint as e from m group by doc_id, run),
+y as (select doc_id, count(*) as n_removed, string_agg(s || ':' || e, ',' order by s) as removed,
+    list(s order by s) as ss, list(e order by s) as es from x group by doc_id)
+select d.doc_id, coalesce(n_removed, 0)::bigint as n_removed, coalesce(removed, '') as removed,
+  sha256(case when n_removed is null then coalesce(text, '') else
+    array_to_string(list_transform(range(n_removed + 1), lambda i: substr(text,
+      (case when i = 0 then 1 else es[i] + 1 end)::bigint,
+      (case when i = n_removed then length(text) else ss[i + 1] end - case when i = 0 then 0 else es[i] end)::bigint)), '') end) as clean_sha256
+from documents d left join y on d.doc_id = y.doc_id
+"""
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -80,5 +122,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_from_arc, op2_quality_rules, op3_sentencepiece, op5_source_mixing, op6_embedding_near_dedup, op7_personal_data, op8_quality_classifier, op9_toxicity, op10_minhash_near_dedup)}
-ORACLES: dict[str, str] = {"op1_warc_from_arc": OP1_SQL}
+QUERIES = {f.__name__: f for f in (op1_warc_from_arc, op2_quality_rules, op3_sentencepiece, op4_repeated_passages, op5_source_mixing, op6_embedding_near_dedup, op7_personal_data, op8_quality_classifier, op9_toxicity, op10_minhash_near_dedup)}
+ORACLES: dict[str, str] = {"op1_warc_from_arc": OP1_SQL, "op4_repeated_passages": OP4_SQL}
