@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from noteloom.checks import registry
 from noteloom.checks.compare import compare
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
 def test_names():
