@@ -25,8 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def words(text: str | Column) -> Column:
     """The words of a text as an array; null gives an empty array."""
     text = F.col(text) if isinstance(text, str) else text
-    parts = F.split(F.coalesce(text, F.lit("")), f"[{WHITE}]+")
-    return F.filter(parts, lambda w: w != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE_CHARS))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{WHITE}]+"))
 
 
 def hold(df: DataFrame, *columns: Column) -> DataFrame:

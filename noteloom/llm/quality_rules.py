@@ -1,6 +1,6 @@
 """Rule-based document quality: base counts and a hashed n-gram log-likelihood ratio.
 
-Two multinomials over hashed n-grams (words, pairs of words, pairs of word shapes) are counted: one over
+Two multinomials over hashed n-grams (words, and pairs of neighbouring word shapes) are counted: one over
 texts that are known to be good, one over the whole raw corpus. A word's shape has runs of small letters,
 capitals and digits replaced by one sign each, so it tells unusual writing from rare words. A document's score is the mean, over its n-grams, of
 the logarithm of the ratio of the two smoothed probabilities. Documents at or above the threshold are
@@ -27,17 +27,14 @@ SYMBOLS = "#*$%&|<>"
 _MICRO = 1_000_000
 
 
-def _pairs(w: str, salt: str, cells: int) -> Column:
-    return F.transform(
-        F.slice(F.col(w), F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))),
-        lambda x, i: F.pmod(F.xxhash64(F.lit(salt), F.get(F.col(w), i), x), F.lit(cells)).cast("int"),
-    )
-
-
 def _cells(cells: int) -> Column:
-    """Cells of all words and pairs of the array ``_w`` and of all pairs of the array ``_shapes``."""
+    """Cells of all words of the array ``_w`` and of all pairs of the array ``_shapes``."""
     one = F.transform("_w", lambda x: F.pmod(F.xxhash64(x), F.lit(cells)).cast("int"))
-    return F.concat(one, _pairs("_w", "pair", cells), _pairs("_shapes", "shape", cells))
+    pairs = F.transform(
+        F.slice(F.col("_shapes"), F.lit(2), F.greatest(F.size("_shapes") - 1, F.lit(0))),
+        lambda x, i: F.pmod(F.xxhash64(F.lit("shape"), F.get(F.col("_shapes"), i), x), F.lit(cells)).cast("int"),
+    )
+    return F.concat(one, pairs)
 
 
 def _shapes(text: str = "text") -> Column:
@@ -119,7 +116,7 @@ def score_documents(docs: DataFrame, model: list[int], threshold: float = THRESH
     literal = F.split(F.lit(",".join(map(str, model))), ",").cast("array<int>")  # folded once by the optimizer
     look = lambda cell: F.get(literal, cell)
     total = F.aggregate(_cells(cells), F.lit(0).cast("long"), lambda acc, c: acc + look(c))
-    n_grams = 3 * F.col("n_words") - 2
+    n_grams = 2 * F.col("n_words") - 1
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     df = hold(counted, F.when(F.col("n_words") > 0, total).otherwise(F.lit(0)).alias("_sum"))
     good = ~failed & (F.col("_sum") >= n_grams * F.lit(round(threshold * _MICRO)))

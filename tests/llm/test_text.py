@@ -70,7 +70,7 @@ def test_quality_verdict(spark, sf):
         for a, b in ((r"[^\W\d_A-ZÀ-ÖØ-Þ]+", "a"), (r"[A-ZÀ-ÖØ-Þ]+", "A"), (r"\d+", "0")):
             shape = re.sub(a, b, shape)
         s = words(shape)
-        return [cell(x) for x in w] + [cell("pair", a, b) for a, b in zip(w, w[1:])] + [cell("shape", a, b) for a, b in zip(s, s[1:])]
+        return [cell(x) for x in w] + [cell("shape", a, b) for a, b in zip(s, s[1:])]
 
     raw, fine, each = collections.Counter(), collections.Counter(), {}
     for i, t in rows:
