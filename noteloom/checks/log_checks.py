@@ -101,12 +101,13 @@ def clean_truncated_response(spark, sf):
 
 
 _ACTION = "case lang when 'en' then 'translate-ja' when 'fr' then 'translate-en' when 'de' then 'summarize' else 'explain' end"
-_TEMPLATE = "case a " + " ".join(f"when '{k}' then '{v}'" for k, v in context.QUICK_ACTIONS.items()) + " end"
+_TEMPLATES = {"summarize": "Sum up: ", "translate-en": "In English: ", "translate-ja": "In Japanese: ", "explain": "What is this? "}
+_TEMPLATE = "case a " + " ".join(f"when '{k}' then '{v}'" for k, v in _TEMPLATES.items()) + " end"
 
 
 @query(f"select doc_id, a as action_id, {_TEMPLATE} || text as prompt from (select *, {_ACTION} as a from documents)")
 def apply_prompt_template(spark, sf):
-    templates = spark.createDataFrame(list(context.QUICK_ACTIONS.items()), "action_id string, template string")
+    templates = spark.createDataFrame(list(_TEMPLATES.items()), "action_id string, template string")
     requests = X.table(spark, sf, "documents").select("doc_id", "text", F.expr(_ACTION).alias("action_id"))
     return context.apply_templates(requests, templates).select("doc_id", "action_id", "prompt")
 
@@ -234,9 +235,19 @@ def document_pairs(spark, sf):
     return spread(X.table(spark, sf, "documents")).select("doc_id", F.col("text").alias("old_text"), new.alias("new_text"))
 
 
-@query()
-def diff_lines(spark, sf):
-    return diff.diff_lines(document_pairs(spark, sf), "doc_id")
+@query("select doc_id, sha256(text) as old_sha256, true as new_equal from documents")
+def diff_rebuild(spark, sf):
+    """Kept and removed lines give the old text, kept and added lines the new one, for every document."""
+    pairs = document_pairs(spark, sf)
+    lines = stage(diff.diff_lines(pairs, "doc_id"))
+
+    def side(op):
+        rows = F.sort_array(F.collect_list(F.when(F.col("op").isin("same", op), F.struct("seq", "line"))))
+        return F.array_join(F.transform(rows, lambda x: x["line"]), "\n")
+
+    built = lines.groupBy("doc_id").agg(side("remove").alias("old"), side("add").alias("new"))
+    joined = built.join(pairs.select("doc_id", "new_text"), "doc_id")
+    return joined.select("doc_id", F.sha2("old", 256).alias("old_sha256"), (F.col("new") == F.col("new_text")).alias("new_equal"))
 
 
 _EDIT = "replace(replace(content, 'Preamble for', 'Introduction to'), 'orders on file', 'orders archived')"
@@ -246,6 +257,18 @@ def note_pairs(spark, sf):
     return X.notes(spark, sf).select("path", F.col("content").alias("old_text"), F.expr(_EDIT).alias("new_text"))
 
 
+@query(
+    f"""{S.WITH_NOTES}, ln as (select path, unnest(string_split(content, chr(10))) as o, unnest(string_split({_EDIT}, chr(10))) as n,
+      generate_subscripts(string_split(content, chr(10)), 1) - 1 as i from notes),
+    ops as (select *, i + sum(case when o <> n then 1 else 0 end) over (partition by path order by i) - (o <> n)::int as seq from ln),
+    d as (select path, seq, case when o = n then 'same' else 'remove' end as op, o as line from ops union all select path, seq + 1, 'add', n from ops where o <> n)
+    select path, seq::bigint as seq, op, line from d"""
+)
+def diff_lines(spark, sf):
+    rows = diff.diff_lines(note_pairs(spark, sf))
+    return rows.select("path", F.col("seq").cast("long").alias("seq"), "op", "line")
+
+
 @query(
     f"""{S.WITH_NOTES}, ln as (select path, unnest(string_split(content, chr(10))) as o, unnest(string_split({_EDIT}, chr(10))) as n,
       generate_subscripts(string_split(content, chr(10)), 1) - 1 as i from notes),

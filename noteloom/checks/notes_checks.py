@@ -389,7 +389,7 @@ def list_report(spark, sf):
     from page where pos <= 200"""
 )
 def render_table(spark, sf):
-    return listing.render_table(X.stored_notes(spark, sf), ["path", "size", "mtime"], [("mtime", "desc"), ("path", "asc")], links=["path"])
+    return listing.render_table(X.stored_notes(spark, sf), ["path", "size", "mtime"], [("mtime", "desc"), ("path", "asc")], links=["path"], cap=200)
 
 
 # --- ad-hoc queries over the note views ------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,15 +13,16 @@ from pyspark.sql import types as T
 
 from noteloom.functions.text import replace_first
 
-MAX_LINES = 2000  # fixed limit: beyond it every new line counts as added
 MERGE_GAP = 6
 CONTEXT = 3
 
 
 def _line_ops(old: list[str], new: list[str]) -> list[tuple[str, str]]:
-    """Longest-common-subsequence diff; among equal choices an addition is written last."""
-    if len(old) > MAX_LINES or len(new) > MAX_LINES:
-        return [("add", line) for line in new]
+    """Longest-common-subsequence diff; among equal choices an addition is written last.
+
+    Only every step-th row of the table is kept; the rows between two of them are computed again while
+    walking back, so memory grows with the root of the number of old lines.
+    """
     # Equal last lines are always kept, so only what precedes them needs the table.
     tail = 0
     while tail < min(len(old), len(new)) and old[-1 - tail] == new[-1 - tail]:
@@ -30,18 +32,30 @@ def _line_ops(old: list[str], new: list[str]) -> list[tuple[str, str]]:
     ids: dict[str, int] = {}
     a = np.array([ids.setdefault(x, len(ids)) for x in old])
     b = np.array([ids.setdefault(x, len(ids)) for x in new])
-    best = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int16)
-    steps = np.empty(len(b), dtype=np.int16)
-    for row, value in enumerate(a, start=1):
-        np.add(best[row - 1, :-1], b == value, out=steps)
-        np.maximum(steps, best[row - 1, 1:], out=steps)
-        np.maximum.accumulate(steps, out=best[row, 1:])
-    ops, i, j = [], len(a), len(b)
+
+    def following(row: np.ndarray, value: int) -> np.ndarray:
+        out = np.zeros_like(row)
+        np.maximum.accumulate(np.maximum(row[:-1] + (b == value), row[1:]), out=out[1:])
+        return out
+
+    step = math.isqrt(len(a)) + 1
+    row = np.zeros(len(b) + 1, dtype=np.int32)
+    saved = [row]
+    for i, value in enumerate(a, start=1):
+        row = following(row, value)
+        if i % step == 0:
+            saved.append(row)
+    ops, i, j, at, block = [], len(a), len(b), -1, []
     while i or j:
+        if i and (i - 1) // step != at:
+            at = (i - 1) // step
+            block = [saved[at]]
+            for value in a[at * step : (at + 1) * step]:
+                block.append(following(block[-1], value))
         if i and j and a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
             ops.append(("same", old[i]))
-        elif j and (not i or best[i, j - 1] >= best[i - 1, j]):
+        elif j and (not i or block[i - at * step][j - 1] >= block[i - 1 - at * step][j]):
             j -= 1
             ops.append(("add", new[j]))
         else:
@@ -53,14 +67,11 @@ def _line_ops(old: list[str], new: list[str]) -> list[tuple[str, str]]:
 def diff_lines(pairs: DataFrame, key: str = "path") -> DataFrame:
     """(key, seq, op, line) for version pairs (key, old_text, new_text); op is same, add or remove.
 
-    Equal pairs and pairs with a side over the limit are handled with built-ins; only true diffs
-    (at most 2,000 lines a side) reach Python.
+    Equal pairs are handled with built-ins; only true diffs reach Python. There is no limit of lines.
     """
-    lines_of = lambda c: F.split(c, "\n", -1)
     equal = F.col("old_text") == F.col("new_text")
-    small = (F.size(lines_of("old_text")) <= MAX_LINES) & (F.size(lines_of("new_text")) <= MAX_LINES)
-    whole = pairs.where(equal | ~small).select(
-        key, F.when(small, "same").otherwise("add").alias("op"), F.posexplode_outer(lines_of("new_text")).alias("seq", "line")
+    whole = pairs.where(equal).select(
+        key, F.lit("same").alias("op"), F.posexplode_outer(F.split("new_text", "\n", -1)).alias("seq", "line")
     )
     schema = T.StructType(
         [
@@ -80,7 +91,7 @@ def diff_lines(pairs: DataFrame, key: str = "path") -> DataFrame:
             ]
             yield pd.DataFrame(rows, columns=[key, "seq", "op", "line"])
 
-    changed = pairs.where(~equal & small).select(key, "old_text", "new_text").mapInPandas(run, schema)
+    changed = pairs.where(~equal).select(key, "old_text", "new_text").mapInPandas(run, schema)
     return whole.select(key, "seq", "op", "line").unionByName(changed)
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from noteloom.functions.text import bytes_label, file_name, minute_label, parent_folder
 
-MAX_PAGE = 200
 _SORTS = ("mtime", "ctime", "name", "size")
 _SIZES = (None, "empty", "small", "large")
 
@@ -90,7 +89,6 @@ def list_notes(
     """
     if sort_by not in _SORTS:
         raise ValueError(f"sort_by must be one of {_SORTS}")
-    limit = min(limit, MAX_PAGE)
     entries = list_entries(notes, **filters)
     page = entries.orderBy(*_page_order(sort_by)).offset(offset).limit(limit)
     total = entries.agg(F.count("*").alias("n")).scalar()
@@ -102,8 +100,8 @@ def _page_order(sort_by: str):
     return [first.get(sort_by, F.desc_nulls_last("mtime")), F.asc("path")]
 
 
-def _joined_lines(page: DataFrame, order, line, cap: int, count: str):
-    """Lines of an ordered page of at most ``cap`` rows, as one array."""
+def _joined_lines(page: DataFrame, order, line, count: str):
+    """Lines of an ordered page, as one array: the text is one value, so its rows meet in one task."""
     placed = page.select(F.row_number().over(Window.orderBy(*order)).alias("position"), line.alias("line"))
     return placed.agg(
         F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda l: l["line"]).alias("lines"),
@@ -111,9 +109,12 @@ def _joined_lines(page: DataFrame, order, line, cap: int, count: str):
     )
 
 
+def _first(rows: DataFrame, by: list, cap: int | None) -> DataFrame:
+    return rows if cap is None else rows.orderBy(*by).limit(cap)
+
+
 def list_report(notes: DataFrame, sort_by: str = "mtime", limit: int = 50, offset: int = 0, **filters) -> DataFrame:
-    """The page as one text: headline, table head, one line per entry (at most 200)."""
-    limit = min(limit, MAX_PAGE)
+    """The page as one text: headline, table head, one line per entry of the page."""
     entries = list_entries(notes, **filters)
     page = list_notes(notes, sort_by, limit, offset, **filters)
     items = F.concat(F.coalesce("children", F.lit(0)).cast("string"), F.lit(" items"))
@@ -124,7 +125,7 @@ def list_report(notes: DataFrame, sort_by: str = "mtime", limit: int = 50, offse
         F.when(F.col("type") == "folder", items).otherwise(bytes_label("size")),
         F.coalesce(minute_label("mtime"), F.lit("-")),
     )
-    body = _joined_lines(page, _page_order(sort_by), line, limit, "shown").withColumn(
+    body = _joined_lines(page, _page_order(sort_by), line, "shown").withColumn(
         "total", entries.agg(F.count("*").alias("n")).scalar()
     )
     more = F.when(F.lit(offset + limit) < F.col("total"), " (use offset for more)").otherwise("")
@@ -138,9 +139,9 @@ def list_report(notes: DataFrame, sort_by: str = "mtime", limit: int = 50, offse
 
 
 def render_table(
-    rows: DataFrame, columns: list[str], order: list[tuple[str, str]], links: list[str] | None = None, cap: int = 200
+    rows: DataFrame, columns: list[str], order: list[tuple[str, str]], links: list[str] | None = None, cap: int | None = None
 ) -> DataFrame:
-    """A query result as text: header, rule, up to ``cap`` rows, and a count of the rest.
+    """A query result as text: header, rule, all rows or the first ``cap`` and a count of the rest.
 
     Nulls are empty, times ``yyyy-MM-dd``, columns named in ``links`` become ``[[...]]``.
     """
@@ -156,35 +157,35 @@ def render_table(
 
     by = [F.desc(c) if d == "desc" else F.asc(c) for c, d in order]
     line = F.array_join(F.array(*[cell(c) for c in columns]), " | ")
-    body = _joined_lines(rows.orderBy(*by).limit(cap), by, line, cap, "shown").withColumn(
+    body = _joined_lines(_first(rows, by, cap), by, line, "shown").withColumn(
         "total", rows.agg(F.count("*").alias("n")).scalar()
     )
     return _with_rest(body, F.array(F.lit(" | ".join(columns)), F.lit(" | ".join("---" for _ in columns))), cap, "rows", "(No results)")
 
 
-def render_list(rows: DataFrame, column: str, order: list[tuple[str, str]], cap: int = 200) -> DataFrame:
+def render_list(rows: DataFrame, column: str, order: list[tuple[str, str]], cap: int | None = None) -> DataFrame:
     """A result column as a bullet list with the same cap."""
     by = [F.desc(c) if d == "desc" else F.asc(c) for c, d in order]
     line = F.concat(F.lit("- "), F.coalesce(F.col(column).cast("string"), F.lit("")))
-    body = _joined_lines(rows.orderBy(*by).limit(cap), by, line, cap, "shown").withColumn(
+    body = _joined_lines(_first(rows, by, cap), by, line, "shown").withColumn(
         "total", rows.agg(F.count("*").alias("n")).scalar()
     )
     return _with_rest(body, None, cap, "items", "(No results)")
 
 
-def render_tasks(tasks: DataFrame, order: list[tuple[str, str]], cap: int = 200) -> DataFrame:
+def render_tasks(tasks: DataFrame, order: list[tuple[str, str]], cap: int | None = None) -> DataFrame:
     """Tasks (completed, text) as check boxes with the same cap."""
     by = [F.desc(c) if d == "desc" else F.asc(c) for c, d in order]
     line = F.concat(F.when(F.col("completed"), "- [x] ").otherwise("- [ ] "), F.col("text"))
-    body = _joined_lines(tasks.orderBy(*by).limit(cap), by, line, cap, "shown").withColumn(
+    body = _joined_lines(_first(tasks, by, cap), by, line, "shown").withColumn(
         "total", tasks.agg(F.count("*").alias("n")).scalar()
     )
     return _with_rest(body, None, cap, "tasks", "(No tasks)")
 
 
-def _with_rest(body: DataFrame, head, cap: int, noun: str, nothing: str) -> DataFrame:
+def _with_rest(body: DataFrame, head, cap: int | None, noun: str, nothing: str) -> DataFrame:
     none = F.array().cast("array<string>")
-    rest = F.col("total") - cap
+    rest = F.col("total") - F.col("shown")
     tail = F.when(rest > 0, F.array(F.concat(F.lit("... and "), rest.cast("string"), F.lit(f" more {noun}")))).otherwise(none)
     text = F.array_join(F.concat(head if head is not None else none, F.col("lines"), tail), "\n")
     return body.select(F.when(F.col("total") == 0, nothing).otherwise(text).alias("text"))

@@ -38,7 +38,7 @@ def _cosines(queries: np.ndarray, q_len: np.ndarray, vectors: np.ndarray, v_len:
     width = min(queries.shape[1], vectors.shape[1])
     dot = queries[:, :width] @ vectors[:, :width].T
     q_norm = np.sqrt((queries * queries).sum(axis=1))
-    if (v_len <= q_len.min(initial=0)).all() if len(q_len) else True:
+    if len(q_len) == 0 or len(v_len) == 0 or v_len.max() <= q_len.min():
         v_norm = np.broadcast_to(np.sqrt((vectors * vectors).sum(axis=1)), dot.shape)
     else:
         squares = np.concatenate([np.zeros((len(vectors), 1)), np.cumsum(vectors * vectors, axis=1)], axis=1)

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from noteloom.functions.text import epoch_micros, file_name
 from noteloom.operators.context import ACTIVE_HEADER, FILES_HEADER, assemble_prompt, attached_context, linked_notes, note_block, rag_context
 from noteloom.operators.links import resolve_links, wikilinks
+from noteloom.operators.packing import LINKED_BUDGET, LINKED_MAX
 from noteloom.plans.retriever import Retriever
 from noteloom.runtime import checked, stage
 from noteloom.sources.notes import recent_paths
 
 SCOPES = ("active", "local", "vault")
-FILE_LIST = 200  # fixed limit of the file list part
 
 
 def _omitted_text() -> Column:
@@ -31,12 +31,20 @@ def build_prompts(
     instructions: str = "",
     k: int = 5,
     min_score: float = 0.3,
+    file_list: int | None = None,
+    linked_budget: int = LINKED_BUDGET,
+    linked_max: int = LINKED_MAX,
+    query_vectors: DataFrame | None = None,
+    rerank: bool = False,
 ) -> DataFrame:
     """(request_id, prompt) for requests (request_id, text, scope, anchor).
 
     Parts in order: system prompt, instructions, file list (vault scope without an index), attached
     notes (request_id, path, position), the anchor note, notes it links to (local scope), notes
     linked in the text, search results (vault scope). A note already in the context is not repeated.
+    ``file_list`` limits the file list (all files by default), ``linked_budget`` and ``linked_max`` the
+    linked notes. With ``query_vectors`` (query_id, vector) the search is hybrid, with ``rerank`` results
+    near the anchor move up.
     """
     req = stage(requests.select("request_id", "text", "scope", "anchor"))
     ids = req.select("request_id")
@@ -51,8 +59,8 @@ def build_prompts(
     if instructions:
         part(ids, 2, F.lit(instructions))
     if retriever is None:
-        # One list of at most 200 paths, shared by all requests as a scalar.
-        listed = recent_paths(notes, FILE_LIST).agg(F.array_sort(F.collect_list(F.struct((-epoch_micros("mtime")).alias("o"), "path"))).alias("l"))
+        # One list, shared by all requests as a scalar.
+        listed = recent_paths(notes, file_list).agg(F.array_sort(F.collect_list(F.struct((-epoch_micros("mtime")).alias("o"), "path"))).alias("l"))
         text = listed.select(F.concat(F.lit(FILES_HEADER + "\n"), F.array_join(F.transform("l", lambda x: x["path"]), "\n"))).scalar()
         part(req.where("scope = 'vault'"), 3, text)
     taken = None
@@ -73,7 +81,7 @@ def build_prompts(
     own_links = wikilinks(texts.join(checked(local.select("path").distinct()), "path", "left_semi"), distinct=False)
     targets = resolve_links(own_links, notes).where(F.col("target_path").isNotNull()).select("path", "target_path").distinct()
     linked = local.join(targets, "path").select("request_id", F.col("target_path").alias("path"))
-    picked, omitted = linked_notes(linked, notes, in_context)
+    picked, omitted = linked_notes(linked, notes, in_context, linked_budget, linked_max)
     packed = body.join(checked(picked.select("request_id", "path")), "path")
     parts.append(
         packed.select(
@@ -93,7 +101,8 @@ def build_prompts(
 
     if retriever is not None:
         vault = req.where("scope = 'vault'").select(F.col("request_id").alias("query_id"), "text")
-        context = rag_context(stage(retriever.search(vault, k, min_score)), vault)
+        near = anchors.select(F.col("request_id").alias("query_id"), F.col("path").alias("anchor_path")) if rerank else None
+        context = rag_context(stage(retriever.search(vault, k, min_score, query_vectors, near)), vault)
         part(context.withColumnRenamed("query_id", "request_id"), 8, F.col("context"))
     return assemble_prompt(parts)
 

@@ -15,7 +15,6 @@ from noteloom.operators.vector_search import vector_topk
 from noteloom.runtime import checked, spread, stage
 
 DEFAULTS = {"k": 5, "min_score": 0.3, "boost": 0.5}
-TOOL_MAX_K = 10
 
 
 @dataclass
@@ -38,17 +37,18 @@ class Retriever:
         return cls(chunks, build_index(chunks, "chunk_id", "content", ["path", "chunk_index"]), vectors, **parts)
 
     def ranked(
-        self, queries: DataFrame, k: int, min_score: float, query_vectors: DataFrame | None = None
+        self, queries: DataFrame, k: int, min_score: float, query_vectors: DataFrame | None = None, pool: int | None = None
     ) -> DataFrame:
         """(query_id, chunk_id, score, match_type, rank) without chunk text.
 
+        ``pool`` is the number of candidates of each list before fusion (default :func:`pool_size`).
         Queries without a vector, and every query when there are no vectors at all, fall back to
         the text list.
         """
         if self.vectors is None or query_vectors is None:
             hits = text_search(queries, self.index, self.chunks, "content", k, min_score)
             return hits.withColumn("match_type", F.lit("text"))
-        pool = pool_size(k)
+        pool = pool or pool_size(k)
         text = text_search(queries, self.index, self.chunks, "content", pool, min_score)
         near = vector_topk(query_vectors, self.vectors, "chunk_id", pool)
         return fuse(text, near, "chunk_id", k)
@@ -61,12 +61,13 @@ class Retriever:
         query_vectors: DataFrame | None = None,
         anchors: DataFrame | None = None,
         boost: float = DEFAULTS["boost"],
+        pool: int | None = None,
     ) -> DataFrame:
         """Result rows with their chunk. The at most k winners per query meet the texts at the end, by
         a broadcast of the winners unless the batch is very large."""
-        if not 1 <= k <= 20:
-            raise ValueError("k must lie in 1..20")
-        ranked = checked(self.ranked(queries, k, min_score, query_vectors))
+        if k < 1:
+            raise ValueError("k must be at least 1")
+        ranked = checked(self.ranked(queries, k, min_score, query_vectors, pool))
         columns = ("chunk_id", "path", "name", "chunk_index", "content", "heading", "start_line", "end_line")
         found = self.chunks.select(*columns).join(ranked, "chunk_id")
         if anchors is None:
@@ -76,4 +77,4 @@ class Retriever:
         return proximity_rerank(found, anchors, self.notes, self.graph, boost)
 
     def tool_search(self, queries: DataFrame, k: int | None = None, **options) -> DataFrame:
-        return self.search(queries, min(k or DEFAULTS["k"], TOOL_MAX_K), **options)
+        return self.search(queries, k or DEFAULTS["k"], **options)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     fallback = tempfile.mkdtemp(prefix="noteloom-")
     spark.conf.set("spark.checkpoint.dir", fallback)
@@ -52,9 +53,14 @@ def _run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/noteloom/{spark.sparkContext.applicationId}"
 
 
+def _prefix(spark: SparkSession) -> str:
+    """Of this application's staged tables; another application's tables are never dropped."""
+    return _TABLE + re.sub(r"\W", "_", spark.sparkContext.applicationId).lower() + "_"
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Remove everything this application staged. Frames built on it must not be used afterwards."""
-    for t in spark.catalog.listTables(pattern=f"{_TABLE}*"):
+    for t in spark.catalog.listTables(pattern=f"{_prefix(spark)}*"):
         spark.sql(f"drop table if exists {t.name}")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -75,7 +81,7 @@ def stage_bucketed(df: DataFrame, column: str, buckets: int | None = None) -> Da
     """Like :func:`stage`, bucketed by ``column``: later group-bys and joins on it need no shuffle."""
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"{_TABLE}{uuid.uuid4().hex}"
+    name = f"{_prefix(spark)}{uuid.uuid4().hex}"
     (
         df.repartition(n, column)
         .write.bucketBy(n, column)

@@ -78,9 +78,10 @@ def read_by_path(requests: DataFrame, notes: DataFrame) -> DataFrame:
     )
 
 
-def recent_paths(notes: DataFrame, limit: int = 2000) -> DataFrame:
-    """Paths by modification time, newest first."""
-    return markdown_only(notes).orderBy(F.desc("mtime"), "path").limit(limit).select("path", "mtime")
+def recent_paths(notes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Paths by modification time, newest first; all of them unless ``limit`` is given."""
+    ordered = markdown_only(notes).orderBy(F.desc("mtime"), "path")
+    return (ordered if limit is None else ordered.limit(limit)).select("path", "mtime")
 
 
 def upsert_notes(existing: DataFrame, updates: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.operators.changes import DEBOUNCE_MS, IDLE_MS, incremental_index, normalize_changes, remove_files
-from noteloom.sources.notes import write_partitioned
+from noteloom.sources.notes import not_excluded, write_partitioned
 
 CHANGE_SCHEMA = "path string, old_path string, op string, ts timestamp"
 
@@ -28,6 +30,25 @@ def debounced(events: DataFrame, key: str = "path", quiet_ms: int = DEBOUNCE_MS,
     )
 
 
+def debounced_changes(
+    events: DataFrame, quiet_ms: int = DEBOUNCE_MS, late: str = "10 minutes"
+) -> DataFrame:
+    """(path, op, last): a change per path and burst, with the burst's last operation.
+
+    A rename counts as a deletion of the old path and a modification of the new one, before bursts are
+    formed, so neither path is lost.
+    """
+    one = lambda path, op: F.struct(path.alias("path"), F.lit(op).alias("op"))
+    renamed = F.array(one(F.col("old_path"), "delete"), one(F.col("path"), "modify"))
+    plain = F.array(F.struct(F.col("path"), F.coalesce("op", F.lit("modify")).alias("op")))
+    single = events.withWatermark("ts", late).select(
+        "ts", F.explode(F.when((F.col("op") == "rename") & F.col("old_path").isNotNull(), renamed).otherwise(plain)).alias("c")
+    )
+    session = F.session_window("ts", f"{quiet_ms} milliseconds")
+    bursts = single.select("ts", "c.*").groupBy("path", session.alias("w"))
+    return bursts.agg(F.max_by("op", "ts").alias("op"), F.max("ts").alias("last")).drop("w")
+
+
 def idle(events: DataFrame, user: str, idle_ms: int = IDLE_MS, late: str = "10 minutes") -> DataFrame:
     """(user, last): the last activity before each silence of ``idle_ms``."""
     return debounced(events, user, idle_ms, late).select(user, "last")
@@ -38,16 +59,21 @@ class IndexMaintainer:
 
     A batch of changed paths re-reads those notes, replaces their chunks and file rows, drops their
     vectors and rewrites only the path-hash partitions concerned. The new rows are first written
-    beside the index under the batch id: a repeated batch finds them there and just swaps them in,
-    so a lost driver between the two steps costs nothing.
+    beside the index under the ids of stream and batch: a batch repeated after a loss in the middle of the
+    swap finds them there and swaps them in again. Afterwards they are removed; a batch repeated
+    later computes the same rows from the notes. Notes in folders named in ``exclude`` are not indexed.
     """
 
-    def __init__(self, notes, root: str, strategy: str = "section", max_tokens: int = 512, buckets: int = 64):
+    def __init__(
+        self, notes, root: str, strategy: str = "section", max_tokens: int = 512, buckets: int = 64, exclude: str = ""
+    ):
         self.notes = notes  # function returning the current notes
         self.root = root
         self.strategy = strategy
         self.max_tokens = max_tokens
         self.buckets = buckets
+        self.exclude = exclude
+        self.stream = uuid.uuid4().hex  # replaced by the id kept with the checkpoint when a stream starts
 
     def _has_vectors(self, spark: SparkSession) -> bool:
         """Vectors are optional: a table like the others, partitioned by path hash, with a ``path`` column."""
@@ -58,7 +84,7 @@ class IndexMaintainer:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        work = f"{self.root}/_pending/{batch_id}"
+        work = f"{self.root}/_pending/{self.stream}-{batch_id}"
         changes = batch if "op" in batch.columns else batch.select("path", F.lit("modify").alias("op"))
         if "old_path" in changes.columns:
             changes = normalize_changes(changes)
@@ -68,13 +94,14 @@ class IndexMaintainer:
             paths = spark.read.parquet(f"{work}/paths")
             touched = [r[0] for r in paths.select(self._bucket().alias("b")).distinct().collect()]  # at most `buckets` values
             if not touched:
+                _remove(spark, work)
                 return
             in_touched = F.col("bucket").isin(touched)
             files = spark.read.parquet(f"{self.root}/files").where(in_touched).drop("bucket")
             chunks = spark.read.parquet(f"{self.root}/chunks").where(in_touched).drop("bucket")
             asked_files = files.join(paths, "path", "left_semi")
             asked_chunks = chunks.join(paths, "path", "left_semi")
-            current = self.notes().join(paths, "path", "left_semi")
+            current = self.notes().where(not_excluded(F.col("path"), self.exclude)).join(paths, "path", "left_semi")
             new_files, new_chunks, found = incremental_index(current, asked_files, asked_chunks, self.strategy, self.max_tokens)
             files.join(paths, "path", "left_anti").unionByName(new_files).write.mode("overwrite").parquet(f"{work}/files")
             if self._has_vectors(spark):
@@ -90,6 +117,7 @@ class IndexMaintainer:
             rows = spark.read.parquet(f"{work}/{table}")
             write_partitioned(rows, f"{self.root}/{table}", self.buckets)
             self._clear_empty(spark, rows, table, work)
+        _remove(spark, work)
 
     def _clear_empty(self, spark: SparkSession, rows: DataFrame, table: str, work: str) -> None:
         """Partitions whose last row disappeared are not overwritten by the dynamic write; drop them."""
@@ -120,8 +148,21 @@ def _remove(spark: SparkSession, path: str) -> None:
         fs.delete(target, True)
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id written into the checkpoint folder; created with it."""
+    where = f"{checkpoint}/noteloom_stream"
+    if not _finished(spark, where):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "id string").write.mode("overwrite").json(where)
+    return spark.read.schema("id string").json(where).first()[0]
+
+
 def maintain_index(changes: DataFrame, maintainer: IndexMaintainer, checkpoint: str, interval: str | None = "30 seconds"):
-    """Start the upkeep query; ``interval`` None processes what is available and stops."""
+    """Start the upkeep query; ``interval`` None processes what is available and stops.
+
+    A new checkpoint gets a new stream id, kept beside it, so batch numbers that start again never meet
+    rows that another stream left.
+    """
+    maintainer.stream = _stream_id(changes.sparkSession, checkpoint)
     writer = changes.writeStream.foreachBatch(maintainer).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     return writer.start()

@@ -224,8 +224,6 @@ def pack(items, budget, cap=None):
 
 def diff(old, new):
     a, b = old.split("\n"), new.split("\n")
-    if max(len(a), len(b)) > 2000:
-        return [("add", x) for x in b]
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):
         for j in range(len(b)):

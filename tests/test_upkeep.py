@@ -185,3 +185,29 @@ def test_stream_keeps_index_equal_to_notes(spark, tmp_path):
     # a repeated batch changes nothing
     keep(spark.createDataFrame(list(itertools.chain(*events)), stream.CHANGE_SCHEMA).where(F.endswith("path", F.lit(".md"))), 0)
     assert {(r.chunk_id, r.content) for r in spark.read.parquet(f"{root}/chunks").collect()} == want
+    # a new checkpoint counts batches from 0 again and must not meet the first stream's rows
+    state["d/1.md"] = ("# T1\nthird text", 20)
+    state["tmp/z.md"] = ("# hidden", 20)
+    more = str(tmp_path / "feed2")
+    rows = [("d/1.md", None, "modify", at(20)), ("tmp/z.md", None, "modify", at(21))]
+    spark.createDataFrame(rows, stream.CHANGE_SCHEMA).coalesce(1).write.parquet(more)
+    again = stream.IndexMaintainer(lambda: _notes(spark, state), root, buckets=4, exclude="tmp")
+    q = stream.maintain_index(stream.read_changes(spark, more), again, str(tmp_path / "cp3"), interval=None)
+    q.awaitTermination(240)
+    assert q.exception() is None and again.stream != keep.stream
+    got = {r.path: r.content for r in spark.read.parquet(f"{root}/chunks").where("path in ('d/1.md', 'tmp/z.md')").collect()}
+    assert set(got) == {"d/1.md"} and "third text" in got["d/1.md"]
+    assert not list((tmp_path / "ix" / "_pending").glob("*"))
+
+
+def test_stream_rename_keeps_both_paths(spark, tmp_path):
+    rows = [("b.md", None, "modify", BASE), ("new.md", "b.md", "rename", BASE + dt.timedelta(milliseconds=200))]
+    flush = [("zz.md", None, "modify", BASE + dt.timedelta(hours=2))]
+    folder = _feed(spark, tmp_path, [rows, flush])
+    q = (
+        stream.debounced_changes(stream.read_changes(spark, folder))
+        .writeStream.format("memory").queryName("ren").outputMode("append")
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    q.awaitTermination(180)
+    assert {(r.path, r.op) for r in spark.table("ren").collect()} == {("b.md", "delete"), ("new.md", "modify")}
