@@ -49,13 +49,16 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     df = hold(docs, words(text).alias("_w"), F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{WHITE}]")).alias("_lines"))
     n = F.size("_w")
-    windows = F.transform(
+    hashes = F.transform(
         F.slice(F.col("_w"), F.lit(3), F.greatest(n - 2, F.lit(0))),
-        lambda x, i: F.struct(
-            F.xxhash64(F.get(F.col("_w"), i), F.get(F.col("_w"), i + 1), x).alias("h"), i.cast("int").alias("i")
-        ),
+        lambda x, i: F.xxhash64(F.get(F.col("_w"), i), F.get(F.col("_w"), i + 1), x),
     )
-    df = hold(df, F.sort_array(windows).alias("_s"))
+    df = hold(df, hashes.alias("_h"))
+    # only a text in which a window comes twice needs its windows sorted
+    some = F.size(F.array_distinct("_h")) < F.size("_h")
+    windows = F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.cast("int").alias("i")))
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    df = hold(df, F.when(some, F.sort_array(windows)).otherwise(none).alias("_s"))
     k = F.size("_s")
     twice = F.zip_with(
         F.slice(F.col("_s"), F.lit(1), F.greatest(k - 1, F.lit(0))),
