@@ -1,14 +1,15 @@
-"""Near-duplicate vectors by sorted projection passes.
-
-Each pass draws random hyperplanes, turns a vector into the string of its signs and orders the vectors of
-a label by these strings; vectors that point the same way stand close together. Every vector is compared
-with its next neighbours in the order (a bounded window), and pairs at or above the threshold are
-united across passes. Equal vectors are one class before the first pass.
-
-The number of passes follows from the number of vectors of the largest label: a pair at the threshold
-must fall into one window in some pass with the chosen probability. Windows find the components;
-afterwards the links of each vector are counted against its whole component, in blocks, so that a
-dense group larger than the window loses none of its links.
+"""Near-duplicate vectors by random projection trees, compared in full leaf by leaf.
+
+Each pass draws random hyperplanes; vectors of a label with the same leading signs form a leaf, and all
+pairs of a leaf are compared, in pairs of blocks where the leaf is large. Two vectors share a sign with a
+probability that depends on their angle alone, so depth and passes bound the chance of missing a pair
+whatever the data look like: a dense cluster makes leaves larger and never loses pairs. Equal vectors
+are one class before the first pass.
+
+A label of at most ``leaf`` vectors is one leaf (exact). For a larger one the leaves that some depths give
+are counted on trial projections, and the depth with the least work is taken; the number of passes
+follows from it. Leaves find the components; afterwards the links of each vector are counted against
+its whole component, in blocks.
 """
 
 from __future__ import annotations
@@ -18,28 +19,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import staged
+from noteloom.llm.common import small, staged
 from noteloom.llm.graph import components
 
-WINDOW = 48
-MISS = 0.005  # chance that a pair exactly at the threshold is in no window
-BITS = 62
+LEAF = 2048  # vectors of a label that are compared whole
+MISS = 0.005  # chance that a pair exactly at the threshold is in no leaf
+DEPTHS = range(2, 25, 2)  # leading signs that are tried for a larger label
+TRIALS = 2
 BLOCK = 2048
 
 
-def passes_for(n: int, threshold: float, window: int, miss: float) -> int:
-    """Passes after which a pair at ``threshold`` has been missed with probability ``miss`` at most.
+def passes_at(depth: int, threshold: float, miss: float) -> int:
+    """Passes after which a pair at ``threshold`` has shared no leaf of ``depth`` signs with probability ``miss`` at most.
 
-    A window holds the vectors that share about log2(n / window) leading signs; two vectors share one
-    sign with probability 1 - angle / pi.
+    Two vectors share one sign with probability 1 - angle / pi.
     """
-    agree = 1 - math.acos(threshold) / math.pi
-    found = agree ** max(1.0, math.log2(max(2, n) / window) + 1)
-    return max(2, math.ceil(math.log(miss) / math.log1p(-found)))
+    found = (1 - math.acos(threshold) / math.pi) ** depth
+    return 1 if depth == 0 else max(2, math.ceil(math.log(miss) / math.log1p(-found)))
+
+
+def passes_for(n: int, threshold: float, window: int, miss: float) -> int:
+    """Passes for ``n`` vectors that spread evenly over leaves of about ``window`` / 2."""
+    return passes_at(max(1, math.ceil(math.log2(max(2, n) / window) + 1)), threshold, miss)
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
@@ -52,19 +56,26 @@ def unit_rows(column: pa.Array) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True)).clip(1e-300)
 
 
-def _keys(passes: int, seed: int):
-    """Adds the sort key of every pass: the signs of BITS projections, first one most significant."""
-    planes: dict[int, np.ndarray] = {}
+def _signs(unit: np.ndarray, passes: int, depth: int, seed: int) -> np.ndarray:
+    """For each row and pass the first ``depth`` signs as a number."""
+    planes = np.random.default_rng([seed, unit.shape[1], depth]).standard_normal((unit.shape[1], passes * depth))
+    signs = (unit @ planes > 0).reshape(-1, passes, depth)
+    return signs.astype(np.int64) @ (np.int64(1) << np.arange(depth - 1, -1, -1, dtype=np.int64))
+
+
+def _keys(fixed: tuple[int, int] | None, seed: int):
+    """Adds the leading signs of every pass; depth and passes come from the row or are ``fixed``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.asarray(batch.column("dim"))
-            for dim in np.unique(sizes):
-                part = batch.filter(pa.array(sizes == dim))
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), passes * BITS))
-                signs = (unit_rows(part.column("vector")) @ planes[dim] > 0).reshape(-1, passes, BITS)
-                keys = signs.astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+            names = ["dim"] if fixed else ["dim", "depth", "passes"]
+            kinds = np.stack([np.asarray(batch.column(n)) for n in names], 1)
+            for kind in np.unique(kinds, axis=0):
+                part = batch.filter(pa.array((kinds == kind).all(1)))
+                depth, passes = fixed or (int(kind[1]), int(kind[2]))
+                keys = np.zeros((part.num_rows, passes), np.int64)
+                if depth:
+                    keys = _signs(unit_rows(part.column("vector")), passes, depth, seed)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(len(keys) + 1) * passes, pa.int32()), pa.array(keys.ravel())
                 )
@@ -73,127 +84,110 @@ def _keys(passes: int, seed: int):
     return run
 
 
-def _forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for i, j in pairs:
-        for x, y in zip(i.tolist(), j.tolist()):
-            a, b = find(x), find(y)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((x, y))
-    return out
-
+def _planned(classes: DataFrame, threshold: float, leaf: int, miss: float, seed: int) -> DataFrame:
+    """(label, dim, depth, passes) of every label with more than ``leaf`` vectors of one length.
 
-def _neighbours(vectors: np.ndarray, group: np.ndarray, window: int, threshold: float, cut: int | None = None):
-    """Pairs (i, j), i < j <= i + window, of one group with cosine >= threshold; only across ``cut`` if given."""
-    out = []
-    for k in range(1, min(window, len(vectors) - 1) + 1):
-        i = np.arange(len(vectors) - k) if cut is None else np.arange(max(0, cut - k), min(cut, len(vectors) - k))
-        i = i[(group[i] == group[i + k]).astype(bool)]
-        close = np.einsum("ij,ij->i", vectors[i], vectors[i + k]) >= threshold
-        out.append((i[close], i[close] + k))
+    The work of a depth is its passes times the pairs inside leaves, as counted over all vectors, and the
+    moving of each vector, which counts as ``LEAF`` pairs.
+    """
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > leaf)
+    sizes = staged(sizes)
+    if sizes.isEmpty():
+        return sizes.select("label", "dim", F.lit(0).alias("depth"), F.lit(1).alias("passes"))
+    light = classes.select("label", "dim", "vector").join(small(sizes, 64), ["label", "dim"])
+    deepest = max(DEPTHS)
+    tried = light.mapInArrow(_keys((deepest, TRIALS), seed + 1), light._jdf.schema().toDDL() + ", keys array<long>")
+    tried = tried.select("label", "dim", "n", F.posexplode("keys").alias("trial", "key"))
+    depths = F.array(*[F.lit(d) for d in (0, *DEPTHS)])
+    tried = tried.withColumn("depth", F.explode(depths))
+    prefix = F.expr(f"shiftright(key, {deepest} - depth)")
+    counts = tried.groupBy("label", "dim", "n", "trial", "depth", prefix.alias("prefix")).agg(F.count("*").cast("double").alias("c"))
+    pairs = counts.groupBy("label", "dim", "n", "depth").agg((F.sum(F.col("c") * F.col("c")) / TRIALS).alias("pairs"))
+    of = {d: passes_at(d, threshold, miss) for d in (0, *DEPTHS)}
+    passes = F.element_at(F.create_map(*[F.lit(x) for kv in of.items() for x in kv]), F.col("depth"))
+    work = passes * (F.col("pairs") + float(LEAF) * F.col("n"))
+    best = pairs.groupBy("label", "dim").agg(F.min_by(F.struct("depth", passes.alias("passes")), F.struct(work, "depth")).alias("best"))
+    return staged(best.select("label", "dim", "best.depth", "best.passes"))
+
+
+def _forest(close: np.ndarray, cross: bool) -> list[tuple[int, int]]:
+    """A spanning forest of the links of a square matrix, or of those between rows and columns if ``cross``.
+
+    Columns are numbered after the rows.
+    """
+    n, out = len(close), []
+    if not cross:
+        np.fill_diagonal(close, False)
+    back = close.T if cross else close
+    fresh = [np.ones(n, bool), np.ones(close.shape[1], bool)] if cross else [np.ones(n, bool)] * 2
+    for first in np.flatnonzero(close.any(1)).tolist():
+        if not fresh[0][first]:
+            continue
+        fresh[0][first] = False
+        todo = [(first, 0)]
+        while todo:
+            x, side = todo.pop()
+            links, other = (close, 1) if side == 0 else (back, 0)
+            near = np.flatnonzero(links[x] & fresh[other])
+            fresh[other][near] = False
+            for y in near.tolist():
+                out.append((x + n * side, y + n * other) if cross else (x, y))
+                todo.append((y, other if cross else 0))
     return out
 
 
-_RIM = ["cid", "label", "dim", "pass", "vector"]
-
+def _link(threshold: float):
+    """For one task: a spanning forest of the links inside a block or between two blocks of a leaf."""
 
-def _windows(window: int, threshold: float):
-    """Edges inside one sorted partition, then its first and last ``window`` rows for the neighbours."""
-
-    def edges(table: pa.Table) -> tuple[list, list]:
+    def run(table: pa.Table) -> pa.Table:
         a, b = [], []
-        dims = np.asarray(table.column("dim"))
-        changes = np.flatnonzero((dims[1:] != dims[:-1])) + 1
-        for rows in np.split(np.arange(table.num_rows), changes):
-            part = table.slice(int(rows[0]), len(rows))
-            keys = list(zip(part.column("label").to_pylist(), part.column("pass").to_pylist()))
-            names: dict = {}
-            group = np.array([names.setdefault(k, len(names)) for k in keys])
-            cid = part.column("cid").to_pylist()
-            for x, y in _forest(len(cid), _neighbours(unit_rows(part.column("vector")), group, window, threshold)):
-                a.append(cid[x])
-                b.append(cid[y])
-        return a, b
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part_id = TaskContext.get().partitionId()
-        head, tail = None, None
-        for batch in batches:
-            fresh = pa.Table.from_batches([batch])
-            table = fresh if tail is None else pa.concat_tables([tail, fresh])
-            a, b = edges(table)
-            yield _edge_rows(a, b)
-            if head is None or head.num_rows < window:
-                head = table.slice(0, window)
-            tail = table.slice(max(0, table.num_rows - window))
-        for rim, at, side in ((head, part_id - 1, 1), (tail, part_id, 0)):
-            if rim is not None:
-                yield _rim_rows(rim, at, side)
+        part = np.asarray(table.column("part"))
+        order = np.argsort(part, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            if len(rows) < 2:
+                continue
+            piece = table.take(pa.array(rows))
+            unit = unit_rows(piece.column("vector"))
+            side = np.asarray(piece.column("side"))
+            cross = bool(side[0] != 2)
+            left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else [np.arange(len(side))] * 2
+            close = np.zeros((len(left), len(right)), bool)
+            for k in range(0, len(left), 256):
+                close[k : k + 256] = unit[left[k : k + 256]] @ unit[right].T >= threshold
+            at = np.concatenate([left, right])
+            names = piece.column("cid")
+            for x, y in _forest(close, cross):
+                a.append(names[int(at[x])].as_py())
+                b.append(names[int(at[y])].as_py())
+        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
 
     return run
 
 
-def _edge_rows(a: list, b: list) -> pa.RecordBatch:
-    none = [None] * len(a)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.string()), pa.array(b, pa.string())]
-        + [pa.array(none, k) for k in (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32())]
-        + [pa.array(none, pa.list_(pa.float64()))],
-        names=["a", "b", "rim", "side", "pos", "label", "dim", "pass", "vector"],
-    )
-
-
-def _rim_rows(rim: pa.Table, at: int, side: int) -> pa.RecordBatch:
-    n = rim.num_rows
-    rim = rim.combine_chunks()
-    get = lambda c, kind: rim.column(c).combine_chunks().cast(kind)
-    return pa.RecordBatch.from_arrays(
-        [
-            get("cid", pa.string()),
-            pa.array([None] * n, pa.string()),
-            pa.array([at] * n, pa.int32()),
-            pa.array([side] * n, pa.int32()),
-            pa.array(np.arange(n), pa.int32()),
-            get("label", pa.string()),
-            get("dim", pa.int32()),
-            get("pass", pa.int32()),
-            get("vector", pa.list_(pa.float64())),
-        ],
-        names=["a", "b", "rim", "side", "pos", "label", "dim", "pass", "vector"],
+def _leaf_links(classes: DataFrame, threshold: float, leaf: int, miss: float, block: int, seed: int) -> DataFrame:
+    """(a, b): links that connect all classes that share a leaf in some pass and reach the threshold."""
+    plan = _planned(classes, threshold, leaf, miss, seed)
+    light = classes.select("cid", "label", "vector", "dim").join(small(plan, 64), ["label", "dim"], "left")
+    light = light.select("cid", "label", "vector", "dim", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("passes", F.lit(1)).alias("passes"))
+    keyed = light.mapInArrow(_keys(None, seed), light._jdf.schema().toDDL() + ", keys array<long>")
+    entries = keyed.select("cid", "label", "vector", "dim", F.posexplode("keys").alias("pass", "key"))
+    entries = staged(entries.select("cid", "vector", F.xxhash64("label", "dim", "pass", "key").alias("leaf")))
+    sizes = entries.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = staged(sizes.select("leaf", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    tasks = 1 + entries.count() * 2 // block
+    large = small(staged(sizes.where("blocks > 1").select("leaf", "blocks")), 16)
+    dealt = entries.join(large, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("at", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = F.xxhash64("leaf", F.least("at", "other"), F.greatest("at", "other"))
+    dealt = dealt.select(
+        "cid",
+        "vector",
+        F.when(F.col("at") == F.col("other"), 2).when(F.col("at") < F.col("other"), 0).otherwise(1).alias("side"),
+        own.alias("part"),
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("leaf"), F.lit(tasks))).otherwise(own).alias("task"),
     )
-
-
-def _rims(window: int, threshold: float):
-    """Edges across the border of two partitions: the tail of one and the head of the next."""
-
-    def run(table: pa.Table) -> pa.Table:
-        a, b = [], []
-        table = table.sort_by([("side", "ascending"), ("pos", "ascending")])
-        sides, dims = np.asarray(table.column("side")), np.asarray(table.column("dim"))
-        cut = int((sides == 0).sum())
-        if 0 < cut < len(sides) and dims[cut - 1] == dims[cut]:
-            same = np.flatnonzero(dims == dims[cut])
-            part, cut = table.take(pa.array(same)), int((same < cut).sum())
-            names: dict = {}
-            keys = zip(part.column("label").to_pylist(), part.column("pass").to_pylist())
-            group = np.array([names.setdefault(k, len(names)) for k in keys])
-            cid = part.column("a").to_pylist()
-            pairs = _neighbours(unit_rows(part.column("vector")), group, window, threshold, cut)
-            for x, y in _forest(len(cid), pairs):
-                a.append(cid[x])
-                b.append(cid[y])
-        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
-
-    return run
+    return dealt.groupBy("task").applyInArrow(_link(threshold), "a string, b string")
 
 
 def _count_links(threshold: float):
@@ -235,7 +229,7 @@ def is_vector(v: str | Column) -> Column:
 
 
 def near_vectors(
-    vectors: DataFrame, threshold: float = 0.98, window: int = WINDOW, miss: float = MISS, block: int = BLOCK, seed: int = 7
+    vectors: DataFrame, threshold: float = 0.98, leaf: int = LEAF, miss: float = MISS, block: int = BLOCK, seed: int = 7
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding, label, ...).
 
@@ -260,19 +254,7 @@ def near_vectors(
         )
         .withColumn("dim", F.size("vector"))
     )
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    passes = passes_for(largest, threshold, window, miss)
-
-    light = classes.select("cid", "label", "vector", "dim")
-    keyed = light.mapInArrow(_keys(passes, seed), light._jdf.schema().toDDL() + ", keys array<long>")
-    entries = keyed.select("cid", "label", "vector", "dim", F.posexplode("keys").alias("pass", "key"))
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["pass", "dim", "label", "key", "cid"]
-    ordered = entries.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    kinds = "a string, b string, rim int, side int, pos int, label string, dim int, pass int, vector array<double>"
-    found = staged(ordered.drop("key").select("cid", "label", "dim", "pass", "vector").mapInArrow(_windows(window, threshold), kinds))
-    rims = found.where(F.col("rim") >= 0).groupBy("rim").applyInArrow(_rims(window, threshold), "a string, b string")
-    linked = components(found.where("rim is null").select("a", "b").union(rims))
+    linked = components(_leaf_links(classes, threshold, leaf, miss, block, seed))
 
     members = linked.withColumnRenamed("node", "cid").join(classes, "cid")
     members = staged(members.select("cid", "root", "vector", "copies", "first_id"))

@@ -180,5 +180,29 @@ def test_vector_query(spark, sf):
     assert got == brute_vectors(rows)
 
 
+def hot_cluster(n=12_000, dim=32, pairs=400):
+    """One label, half of it in a narrow cone with cosines near 0.9; pairs at cosine 0.981 stand apart in the cone."""
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    axis = unit(rng.standard_normal((1, dim)))
+    cone = unit(3 * axis + unit(rng.standard_normal((n // 2, dim))))
+    left = cone[:pairs]
+    aside = rng.standard_normal((pairs, dim))
+    aside = unit(aside - (aside * left).sum(1, keepdims=True) * left)
+    right = 0.981 * left + math.sqrt(1 - 0.981**2) * aside
+    rows = np.concatenate([cone, right, unit(rng.standard_normal((n // 2 - pairs, dim)))]).astype(np.float32)
+    return [(i, v.tolist(), 0) for i, v in enumerate(rows)]
+
+
+def test_pairs_in_a_hot_cluster_are_found(spark):
+    rows = hot_cluster()
+    v = np.array([r[1] for r in rows], np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = (v @ v.T >= 0.98).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in near_vectors(vectors(spark, rows)).collect()}
+    missed = sum(int(want[i]) - got[i] for i in got)
+    assert want.sum() >= 800 and 0 <= missed <= 0.01 * want.sum()
+
+
 def test_passes_grow_slowly():
     assert passes_for(10**4, 0.98, 48, 0.005) < passes_for(10**9, 0.98, 48, 0.005) < 60
