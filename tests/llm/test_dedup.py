@@ -204,5 +204,24 @@ def test_pairs_in_a_hot_cluster_are_found(spark):
     assert want.sum() >= 800 and 0 <= missed <= 0.01 * want.sum()
 
 
+def test_links_do_not_depend_on_the_number_of_partitions(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(600):
+        v = rng.standard_normal(32)
+        v /= np.linalg.norm(v)
+        aside = rng.standard_normal(32)
+        aside -= (aside @ v) * v
+        near = 0.981 * v + math.sqrt(1 - 0.981**2) * aside / np.linalg.norm(aside)
+        rows += [(2 * i, v.tolist(), i % 10), (2 * i + 1, near.tolist(), i % 10)]
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = sorted((tuple(r) for r in near_vectors(vectors(spark, rows)).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got == brute_vectors(rows)
+
+
 def test_passes_grow_slowly():
     assert passes_for(10**4, 0.98, 48, 0.005) < passes_for(10**9, 0.98, 48, 0.005) < 60
