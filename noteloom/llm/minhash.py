@@ -315,12 +315,12 @@ def minhash_components(
     )
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of ``docs`` without near duplicates: one row of each component stays, columns unchanged.
 
-    Rows that repeat both id and text count as copies of each other; one of them stays.
+    Documents are near from a similarity of ``percent``; bands and rows must suit it. Rows that repeat both id and text count as copies of each other; one of them stays.
     """
-    found = staged(minhash_components(docs).select("doc_id", "tkey", "kept"))
+    found = staged(minhash_components(docs, percent, bands=bands, rows=rows).select("doc_id", "tkey", "kept"))
     gone = small(staged(found.where("not kept").distinct()), 24)
     again = found.where("kept").groupBy("doc_id", "tkey").count().where("count > 1").drop("count")
     again = small(staged(again), 24)

@@ -311,6 +311,16 @@ def test_archive_edges(spark):
     assert archive_pages(pages.limit(0)).count() == 0
 
 
+def test_pipeline_drops_near_copies_from_80_percent(spark, sf):
+    """104 distinct words, the last ones replaced: 90 of 110 and 88 of 112 shared windows of five words."""
+    rows = []
+    for k, changed in enumerate((10, 12)):
+        w = [f"d{k}w{j}" for j in range(104)]
+        rows += [(10 * k, " ".join(w)), (10 * k + 1, " ".join(w[:-changed] + [f"x{k}n{j}" for j in range(changed)]))]
+    left = corpus_pipeline.near_duplicates(spark, edge_docs(spark, rows), sf)
+    assert sorted(r.doc_id for r in left.collect()) == [0, 10, 11]
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, counts = docs.columns, [docs.count()]
