@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import struct
 
@@ -70,7 +71,7 @@ def test_quality_verdict(spark, sf):
         for a, b in ((r"[^\W\d_A-ZÀ-ÖØ-Þ]+", "a"), (r"[A-ZÀ-ÖØ-Þ]+", "A"), (r"\d+", "0")):
             shape = re.sub(a, b, shape)
         s = words(shape)
-        return [cell(x) for x in w] + [cell("shape", a, b) for a, b in zip(s, s[1:])]
+        return [cell(x) for x in w] + [cell("pair", a, b) for a, b in zip(w, w[1:])] + [cell("shape", a, b) for a, b in zip(s, s[1:])]
 
     raw, fine, each = collections.Counter(), collections.Counter(), {}
     for i, t in rows:
@@ -87,6 +88,26 @@ def test_quality_verdict(spark, sf):
         assert r.kept == (not r.base_failed and mean >= -0.2)
 
 
+def test_order_of_words_counts(spark):
+    """Usual words in garbage order score lower than the same words in their order."""
+    rng = random.Random(9)
+    follow = {f"w{k}": [f"w{(7 * k + j) % 60}" for j in range(3)] for k in range(60)}
+
+    def walk(n):
+        out = ["w0"]
+        while len(out) < n:
+            out.append(rng.choice(follow[out[-1]]))
+        return out
+
+    one = walk(120)
+    mixed = rng.sample(one, len(one))
+    good = [(k, " ".join(walk(120))) for k in range(40)] + [(100, " ".join(one))]
+    bad = [(200 + k, " ".join(rng.sample(w, len(w)))) for k in range(40) for w in [walk(120)]] + [(300, " ".join(mixed))]
+    trusted = spark.createDataFrame([(i,) for i, _ in good[:40]], "doc_id long")
+    got = {r.doc_id: r.llr for r in judge_quality(edge_docs(spark, good + bad), trusted).collect()}
+    assert got[100] > got[300] + 0.05
+
+
 def _chain(xxhash, parts):
     seed = 42
     for p in parts:
