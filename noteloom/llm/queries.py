@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from noteloom.llm.common import table
 from noteloom.llm.embed_dedup import near_vectors
+from noteloom.llm.hard_negatives import mine_hard_negatives
+from noteloom.llm.heap_clusters import clusters_with_inertia
 from noteloom.llm.minhash import minhash_components
 from noteloom.llm.mixing import mix
 from noteloom.llm.pieces import piece_digests
@@ -15,6 +17,7 @@ from noteloom.llm.quality_model import score_quality
 from noteloom.llm.quality_rules import judge_quality
 from noteloom.llm.substring_dedup import remove_repeats
 from noteloom.llm.toxicity import score_toxicity
+from noteloom.llm.url_filter import DAMPING, DISTRUST_SHARE, ROUNDS, UNITS, Rule, filter_urls
 from noteloom.llm.warc import archive_pages
 
 
@@ -122,5 +125,108 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_from_arc, op2_quality_rules, op3_sentencepiece, op4_repeated_passages, op5_source_mixing, op6_embedding_near_dedup, op7_personal_data, op8_quality_classifier, op9_toxicity, op10_minhash_near_dedup)}
-ORACLES: dict[str, str] = {"op1_warc_from_arc": OP1_SQL, "op4_repeated_passages": OP4_SQL}
+def op11_heap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters_with_inertia(table(spark, sf_dir, "embeddings"))
+
+
+def clusters_sql(rounds: int = 10) -> str:
+    """Plain rounds of assignment and means; list positions are components."""
+    distance = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint"
+    parts = [
+        """with v as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as x
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+c0 as materialized (select row_number() over (order by sha256('3:' || vec_id) nulls last, x) - 1 as c, x from v
+  qualify row_number() over (order by sha256('3:' || vec_id) nulls last, x) <= 8)"""
+    ]
+    for k in range(rounds + 1):
+        parts.append(f"""a{k} as materialized (select r, min(struct_pack(d := {distance}, c := c)) as best from v cross join c{k} c group by r)""")
+        if k < rounds:
+            parts.append(f"""s{k} as (select best.c as c, i, sum(x[i])::hugeint as s, count(*) as n from a{k} join v using (r), range(1, 65) t(i) group by best.c, i),
+m{k} as (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as x from s{k} group by c),
+c{k + 1} as materialized (select c{k}.c as c, coalesce(m{k}.x, c{k}.x) as x from c{k} left join m{k} on c{k}.c = m{k}.c)""")
+    return ",\n".join(parts) + f"""
+select vec_id, best.c::int as cluster, best.d as distance, sum(best.d) over (partition by best.c)::bigint as cluster_inertia,
+  sum(best.d) over ()::bigint as inertia, sha256(array_to_string(c.x, ',')) as centroid_sha256
+from a{rounds} join v using (r) join c{rounds} c on c.c = best.c"""
+
+
+RULES = [
+    Rule(True, "com", "/"),
+    Rule(False, "example.com", "/en/"),
+    Rule(True, "www.example.com", "/en/"),
+    Rule(False, "net", "/es/"),
+    Rule(False, "net", "/fr/"),
+]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+def urls_sql(rounds: int = ROUNDS) -> str:
+    """The rules as one CASE, the two ranks as one table per round."""
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    after = lambda u: f"(case when contains({u}, '://') then substr({u}, instr({u}, '://') + 3) else '' end)"
+    host = lambda u: f"translate(regexp_extract({after(u)}, '^[^/?#]*'), {letters})"
+    longest = sorted(RULES, key=lambda r: -len(r.text))
+    fits = " ".join(f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then '{r.text}'" for r in longest)
+    allowed = ", ".join(f"'{r.text}'" for r in RULES if r.allow)
+    parts = [
+        f"""with h as (select page_id, html, coalesce({host("url")}, '') as host,
+  coalesce(regexp_extract(regexp_extract({after("url")}, '^[^?#]*'), '^[^/]*(/.*)?$', 1, 's'), '') as path from pages),
+p as materialized (select *, rule in ({allowed}) as allow from (select *, case {fits} end as rule from h)),
+hosts as materialized (select host, sum(case when allow then 1 when not allow then -1 else 0 end) as votes from p where host <> '' group by host),
+n as (select greatest(count(*) filter (votes > 0), 1) as good, greatest(count(*) filter (votes < 0), 1) as bad from hosts),
+r0 as materialized (select case when votes > 0 then 'trust' else 'distrust' end as kind, host,
+  round(round({float(UNITS)}::double / case when votes > 0 then good else bad end)::bigint * (1 - {DAMPING}::double))::bigint as mass
+  from hosts, n where votes <> 0),
+found as (select page_id, host as src, unnest(regexp_extract_all(html,
+  '(?i)(?:href|src|action)\\s*=\\s*["'']?\\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\\s<>]+)', 1)) as link, row_number() over () as r from p),
+targets as (select distinct r, src, {host("case when starts_with(link, '//') then ':' || link else link end")} as dst
+  from (select page_id, src, link, r from found)),
+links as (select src, dst, count(*) as n from targets where src <> '' and dst <> '' and src <> dst group by src, dst),
+edges as materialized (select 'trust' as kind, src, dst, n from links union all select 'distrust', dst, src, n from links),
+totals as (select kind, src, sum(n) as total from edges group by kind, src)"""
+    ]
+    for k in range(1, rounds + 1):
+        parts.append(f"""r{k} as materialized (select kind, host, sum(mass)::bigint as mass from (select * from r0 union all
+  select e.kind, e.dst, round((r.mass * {DAMPING}::double / total) * e.n)::bigint from edges e
+  join totals t on t.kind = e.kind and t.src = e.src join r{k - 1} r on r.kind = e.kind and r.host = e.src) group by kind, host)""")
+    return ",\n".join(parts) + f""",
+scores as (select host, coalesce(sum(mass) filter (kind = 'trust'), 0)::bigint as trust, coalesce(sum(mass) filter (kind = 'distrust'), 0)::bigint as distrust
+  from r{rounds} group by host)
+select page_id, p.host as host, path, rule, case when coalesce(allow, not (distrust > 0 and distrust >= {DISTRUST_SHARE}::double * (trust + distrust)), true)
+  then 'allow' else 'block' end as verdict, coalesce(trust, 0)::bigint as trust, coalesce(distrust, 0)::bigint as distrust
+from p left join scores s on s.host = p.host"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+with v as materialized (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+  list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as x from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as materialized (select a.vec_id as anchor_id, v.vec_id, a.label = v.label as same,
+  list_sum(list_transform(list_zip(a.x, v.x), lambda p: p[1] * p[2]))::bigint as score
+  from v a join v on a.vec_id <> v.vec_id and len(a.x) = len(v.x) where a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify rank <= 5
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_from_arc, op2_quality_rules, op3_sentencepiece, op4_repeated_passages, op5_source_mixing, op6_embedding_near_dedup, op7_personal_data, op8_quality_classifier, op9_toxicity, op10_minhash_near_dedup, op11_heap_clusters, op12_url_filter, op13_hard_negatives)}
+ORACLES: dict[str, str] = {
+    "op1_warc_from_arc": OP1_SQL,
+    "op4_repeated_passages": OP4_SQL,
+    "op11_heap_clusters": clusters_sql(),
+    "op12_url_filter": urls_sql(),
+    "op13_hard_negatives": OP13_SQL,
+}
