@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import WHITE, WHITE_CHARS, hold, small, staged, words
+from noteloom.llm.common import WHITE, hold, small, staged, words
 
 CELLS = 1 << 15
 SMOOTHING = 50.0  # occurrences at the corpus' own ratio that are added to every cell
@@ -27,49 +27,63 @@ SYMBOLS = "#*$%&|<>"
 _MICRO = 1_000_000
 
 
-def _pairs(w: str, salt: str, cells: int) -> Column:
-    return F.transform(
-        F.slice(F.col(w), F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))),
-        lambda x, i: F.pmod(F.xxhash64(F.lit(salt), F.get(F.col(w), i), x), F.lit(cells)).cast("int"),
-    )
+def _next_to(a: str, b: str, ahead: int) -> Column:
+    """Hash of each entry of ``a`` with the entry of ``b`` that stands ``ahead`` places further on."""
+    n = F.greatest(F.size(b) - ahead, F.lit(0))
+    return F.zip_with(F.slice(F.col(a), F.lit(1), n), F.slice(F.col(b), F.lit(ahead + 1), n), lambda x, y: F.xxhash64(x, y))
+
 
+def _cell(hashed: str | Column, cells: int) -> Column:
+    return F.pmod(hashed, F.lit(cells)).cast("int")
 
-def _cells(cells: int) -> Column:
-    """Cells of all words and pairs of the array ``_w`` and of all pairs of the array ``_shapes``."""
-    one = F.transform("_w", lambda x: F.pmod(F.xxhash64(x), F.lit(cells)).cast("int"))
-    return F.concat(one, _pairs("_w", "pair", cells), _pairs("_shapes", "shape", cells))
 
+def _hashed(df: DataFrame) -> DataFrame:
+    """Adds hashes of all words (``_x``) and word pairs (``_p``) of the array ``_w``, each word being read once."""
+    df = hold(df, F.transform("_w", lambda x: F.xxhash64(x)).alias("_x"))
+    return hold(df, _next_to("_x", "_x", 1).alias("_p"))
 
-def _shapes(text: str = "text") -> Column:
+
+def _shape_hashes(text: str = "text") -> Column:
     shape = F.coalesce(F.col(text), F.lit(""))
     for letters, sign in ((r"\p{Ll}+", "a"), (r"\p{Lu}+", "A"), (r"\p{N}+", "0")):
         shape = F.regexp_replace(shape, letters, sign)
-    return words(shape)
+    return F.transform(words(shape), lambda x: F.xxhash64(F.lit("shape"), x))
+
+
+def _with_shapes(df: DataFrame) -> DataFrame:
+    """Adds ``_grams``: the hashes of all words, pairs of words and pairs of word shapes."""
+    df = hold(df, _shape_hashes().alias("_y"))
+    return hold(df, F.concat("_x", "_p", _next_to("_y", "_y", 1)).alias("_grams"))
+
+
+def _windows_twice(df: DataFrame) -> DataFrame:
+    """Adds ``_at``: the sorted starts of all 3-word windows that come twice or more in the text.
+
+    Only a text in which a window comes twice is looked at closer. Half of each hash with the window's start makes one
+    number, which sorts fast; windows that agree in that half with another one are compared by the whole hash.
+    """
+    df = hold(df, _next_to("_p", "_x", 2).alias("_h"))
+    half = F.lit(-1 << 32)
+    keys = F.sort_array(F.transform("_h", lambda h, i: h.bitwiseAND(half).bitwiseOR(i.cast("long"))))
+    some = F.size(F.array_distinct("_h")) < F.size("_h")
+    df = hold(df, F.when(some, keys).otherwise(F.array().cast("array<bigint>")).alias("_k"))
+
+    def alike(a: str, same, number) -> Column:
+        n = F.greatest(F.size(a) - 1, F.lit(0))
+        both = F.zip_with(F.slice(F.col(a), F.lit(1), n), F.slice(F.col(a), F.lit(2), n), lambda x, y: F.when(same(x, y), F.array(number(x), number(y))))
+        return F.array_distinct(F.flatten(F.filter(both, lambda x: x.isNotNull())))
+
+    start = lambda key: key.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    df = hold(df, alike("_k", lambda x, y: F.shiftright(x, 32) == F.shiftright(y, 32), start).alias("_c"))
+    df = hold(df, F.sort_array(F.transform("_c", lambda i: F.struct(F.get("_h", i).alias("h"), i.alias("i")))).alias("_s"))
+    return hold(df, F.sort_array(alike("_s", lambda x, y: x["h"] == y["h"], lambda x: x["i"])).alias("_at"))
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the word array ``_w``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``."""
+    """Adds ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, and ``_x`` and ``_p`` of :func:`_hashed`."""
     t = F.coalesce(F.col(text), F.lit(""))
     df = hold(docs, words(text).alias("_w"), F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{WHITE}]")).alias("_lines"))
-    n = F.size("_w")
-    hashes = F.transform(
-        F.slice(F.col("_w"), F.lit(3), F.greatest(n - 2, F.lit(0))),
-        lambda x, i: F.xxhash64(F.get(F.col("_w"), i), F.get(F.col("_w"), i + 1), x),
-    )
-    df = hold(df, hashes.alias("_h"))
-    # only a text in which a window comes twice needs its windows sorted
-    some = F.size(F.array_distinct("_h")) < F.size("_h")
-    windows = F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.cast("int").alias("i")))
-    none = F.array().cast("array<struct<h:bigint,i:int>>")
-    df = hold(df, F.when(some, F.sort_array(windows)).otherwise(none).alias("_s"))
-    k = F.size("_s")
-    twice = F.zip_with(
-        F.slice(F.col("_s"), F.lit(1), F.greatest(k - 1, F.lit(0))),
-        F.slice(F.col("_s"), F.lit(2), F.greatest(k - 1, F.lit(0))),
-        lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])),
-    )
-    starts = F.sort_array(F.flatten(F.filter(twice, lambda x: x.isNotNull())))
-    df = hold(df, starts.alias("_at"))
+    df = _windows_twice(_hashed(df))
     steps = F.zip_with(
         "_at", F.concat(F.array(F.lit(-3)), F.slice(F.col("_at"), F.lit(1), F.greatest(F.size("_at") - 1, F.lit(0)))),
         lambda x, before: F.least(F.lit(3), x - before),
@@ -77,10 +91,11 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.when(F.size("_at") == 0, F.lit(0)).otherwise(F.aggregate(steps, F.lit(0), lambda a, x: a + x))
     return df.select(
         *docs.columns,
-        "_w",
-        n.cast("long").alias("n_words"),
-        F.length(F.translate(t, WHITE_CHARS, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        "_x",
+        "_p",
+        F.size("_w").cast("long").alias("n_words"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        (F.size(F.split(t, f"[{SYMBOLS}]")) - 1).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
     )
@@ -95,9 +110,9 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, cells: int = CELLS, smoothing
     """
     trusted = small(staged(trusted.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()), 16)
     marked = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_id"), "left")
-    marked = hold(marked.select("text", F.col("_id").isNotNull().cast("long").alias("_good")), words("text").alias("_w"), _shapes().alias("_shapes"))
-    grams = marked.select("_good", F.explode(_cells(cells)).alias("cell"))
-    counts = grams.groupBy("cell").agg(F.count("*").alias("raw"), F.sum("_good").alias("good"))
+    marked = hold(marked.select("text", F.col("_id").isNotNull().cast("long").alias("_good")), words("text").alias("_w"))
+    grams = _with_shapes(_hashed(marked)).select("_good", F.explode("_grams").alias("_gram"))
+    counts = grams.groupBy(_cell("_gram", cells).alias("cell")).agg(F.count("*").alias("raw"), F.sum("_good").alias("good"))
     totals = staged(counts)
     sums = totals.agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).first()
     raw, good = float(sums["raw"] or 0), float(sums["good"] or 0)
@@ -118,10 +133,9 @@ def score_documents(docs: DataFrame, model: list[int], threshold: float = THRESH
     Rows are judged one by one, so repeated ids, null ids and further columns do not matter.
     """
     cells = len(model)
-    counted = hold(base_counts(docs), _shapes().alias("_shapes"))
+    counted = _with_shapes(base_counts(docs))
     literal = F.split(F.lit(",".join(map(str, model))), ",").cast("array<int>")  # folded once by the optimizer
-    look = lambda cell: F.get(literal, cell)
-    total = F.aggregate(_cells(cells), F.lit(0).cast("long"), lambda acc, c: acc + look(c))
+    total = F.aggregate("_grams", F.lit(0).cast("long"), lambda acc, h: acc + F.get(literal, _cell(h, cells)))
     n_grams = 3 * F.col("n_words") - 2
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     df = hold(counted, F.when(F.col("n_words") > 0, total).otherwise(F.lit(0)).alias("_sum"))

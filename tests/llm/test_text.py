@@ -71,7 +71,8 @@ def test_quality_verdict(spark, sf):
         for a, b in ((r"[^\W\d_A-ZÀ-ÖØ-Þ]+", "a"), (r"[A-ZÀ-ÖØ-Þ]+", "A"), (r"\d+", "0")):
             shape = re.sub(a, b, shape)
         s = words(shape)
-        return [cell(x) for x in w] + [cell("pair", a, b) for a, b in zip(w, w[1:])] + [cell("shape", a, b) for a, b in zip(s, s[1:])]
+        x, y = [_chain(xxhash, [v]) for v in w], [_chain(xxhash, ["shape", v]) for v in s]
+        return [h % cells for h in x] + [cell(a, b) for a, b in zip(x, x[1:])] + [cell(a, b) for a, b in zip(y, y[1:])]
 
     raw, fine, each = collections.Counter(), collections.Counter(), {}
     for i, t in rows:
@@ -111,7 +112,7 @@ def test_order_of_words_counts(spark):
 def _chain(xxhash, parts):
     seed = 42
     for p in parts:
-        seed = xxhash.xxh64_intdigest(p.encode(), seed=seed)
+        seed = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else p.to_bytes(8, "little", signed=True), seed=seed)
     return seed if seed < 1 << 63 else seed - (1 << 64)
 
 
