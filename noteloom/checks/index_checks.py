@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from noteloom.checks import sqltext as S
 from noteloom.checks import tables as X
 from noteloom.checks.notes_checks import DOC_NOTES, LINK_CTES
-from noteloom.checks.search_checks import CHUNK_CTES, FOUND_CTES, note_queries, note_retriever
+from noteloom.checks.search_checks import CHUNK_CTES, FOUND_CTES, note_queries, note_retriever, tf_ctes
 from noteloom.functions import text as t
 from noteloom.operators import changes, context, embedding, packing
 from noteloom.operators.chunking import chunk_documents
 from noteloom.plans.prompt import build_prompts
+from noteloom.plans.retriever import Retriever
 from noteloom.runtime import shared_dir, stage
 from noteloom.sources import index_store
+from noteloom.sources.stored_index import IndexSettings, StoredIndex
 from noteloom.sources.vectors import read_shards, write_shards
 
 QUERIES: dict = {}
@@ -106,6 +108,61 @@ def export_index(spark, sf):
     return index_store.export_files(files, chunk_documents(notes)).withColumnRenamed("mtime", "mtime_us")
 
 
+# --- a stored index: written from the stale notes, brought up to date, opened again --------------
+
+
+def _stale_store(spark, sf):
+    root = f"{shared_dir(spark)}/noteloom/index-{uuid.uuid4().hex}"
+    notes = X.stored_notes(spark, sf)
+    store = StoredIndex.create(stage(_cached(spark, sf, notes)), root)
+    store.update(notes)
+    return notes, root
+
+
+@query(f"{S.WITH_NOTES}, {CHUNK_CTES}, {tf_ctes('chunks', 'chunk_id', 'content')} select term, df, round(idf, 9) as idf from st")
+def stored_index_terms(spark, sf):
+    """Document frequencies kept by signed changes over an update equal those of the current chunks."""
+    _, root = _stale_store(spark, sf)
+    index = StoredIndex.open(spark, root).text_index()
+    return index.terms.select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@query(f"{S.WITH_NOTES}, {FOUND_CTES} select query_id, chunk_id, path, heading, score, rank from found")
+def stored_index_search(spark, sf):
+    """Search over the updated store: the hits of an index built from the current notes."""
+    _, root = _stale_store(spark, sf)
+    found = Retriever.stored(StoredIndex.open(spark, root)).search(note_queries(spark, sf).select("query_id", "text"), 5, 0.2)
+    return found.select("query_id", "chunk_id", "path", "heading", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"{S.WITH_NOTES}, {LINK_CTES} select src, dst from graph")
+def stored_index_graph(spark, sf):
+    """The link graph of the updated store, resolved against the files there are after the update."""
+    _, root = _stale_store(spark, sf)
+    return StoredIndex.open(spark, root).graph()
+
+
+_TRIED = [("section", 512, "", True), ("section", 256, "", False), ("paragraph", 512, "", False), ("section", 512, "Old", False)]
+
+
+@query(
+    f"""{S.WITH_NOTES}, {CHUNK_CTES}, s(strategy, max_tokens, folders, fits) as (values {", ".join(str(t) for t in _TRIED)})
+    select strategy, max_tokens::bigint as max_tokens, folders, path, case when fits then n end as n_chunks
+    from s cross join (select path, (select count(*) from chunks where chunks.path = notes.path) as n from notes)"""
+)
+def stored_index_settings(spark, sf):
+    """Files that a store offers to sessions of several settings: all of them with its own, else none."""
+    notes, root = _stale_store(spark, sf)
+    out = None
+    for strategy, max_tokens, folders, _ in _TRIED:
+        store = StoredIndex.open(spark, root, IndexSettings(strategy, max_tokens, folders))
+        paths = notes.select("path")
+        counts = paths.select("path", F.lit(None).cast("long").alias("n_chunks")) if store is None else paths.join(store.files(), "path", "left").select("path", "n_chunks")
+        tried = counts.select(F.lit(strategy).alias("strategy"), F.lit(max_tokens).cast("long").alias("max_tokens"), F.lit(folders).alias("folders"), "path", "n_chunks")
+        out = tried if out is None else out.unionByName(tried)
+    return out
+
+
 # --- change events ---------------------------------------------------------------------------
 
 _EVENTS = """select concat('u', {uid}, '.md') as path, case when event_type = 'signup' then concat('old', {uid}, '.md') end as old_path,

@@ -67,7 +67,12 @@ def resolve_links(links: DataFrame, notes: DataFrame, source: str | None = "path
 
 def note_edges(notes: DataFrame) -> DataFrame:
     """(src, dst, n): resolved links of every note with their multiplicity."""
-    resolved = resolve_links(wikilinks(notes, distinct=False), notes)
+    return note_edges_of(wikilinks(notes, distinct=False), notes)
+
+
+def note_edges_of(links: DataFrame, notes: DataFrame) -> DataFrame:
+    """Edges of written ``links`` (path, target) between ``notes`` (path)."""
+    resolved = resolve_links(links, notes)
     return resolved.where(F.col("target_path").isNotNull()).groupBy(F.col("path").alias("src"), F.col("target_path").alias("dst")).agg(
         F.count("*").alias("n")
     )

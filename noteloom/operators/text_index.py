@@ -92,10 +92,20 @@ def build_index(docs: DataFrame, key: str, text: str, ties: list[str] | None = N
 
     Rank columns are stored beside the norms, so that a search orders ties without the documents.
     """
-    ties = ties or [key]
     postings = stage_bucketed(term_frequencies(docs, key, text), key)
-    n_docs = docs.count()
-    terms = stage(document_frequencies(postings).withColumn("idf", idf(F.col("df"), n_docs)))
+    return assemble_index(postings, document_frequencies(postings), docs, docs.count(), key, ties)
+
+
+def assemble_index(
+    postings: DataFrame, frequencies: DataFrame, docs: DataFrame, n_docs: int, key: str, ties: list[str] | None = None
+) -> TextIndex:
+    """The index over bucketed ``postings`` whose ``frequencies`` (term, df) are known; texts are not read.
+
+    Weights and norms depend on the number of documents and on every df, so they are computed here and
+    never stored.
+    """
+    ties = ties or [key]
+    terms = stage(frequencies.withColumn("idf", idf(F.col("df"), n_docs)))
     n_terms = terms.count()
     norms = (
         weighted_postings(postings, terms, n_terms)
@@ -108,16 +118,20 @@ def build_index(docs: DataFrame, key: str, text: str, ties: list[str] | None = N
     return TextIndex(key, ties, n_docs, postings, terms, stage_bucketed(norms, key), n_terms)
 
 
+def frequency_changes(removed: DataFrame, added: DataFrame) -> DataFrame:
+    """(term, d): by how much the df of each touched term changes when postings leave and arrive."""
+    both = removed.select("term", F.lit(-1).alias("d")).unionByName(added.select("term", F.lit(1).alias("d")))
+    return both.groupBy("term").agg(F.sum("d").alias("d")).where("d <> 0")
+
+
+def summed_frequencies(changes: DataFrame) -> DataFrame:
+    """(term, df) from all signed changes (term, d) since the index was empty."""
+    return changes.groupBy("term").agg(F.sum("d").alias("df")).where(F.col("df") > 0)
+
+
 def updated_document_frequencies(df_old: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
     """New (term, df) from the old one plus the postings that left and arrived.
 
     Both deltas are aggregated before they meet the old table, so only touched terms move.
     """
-    delta = (
-        removed.select("term", F.lit(-1).alias("d"))
-        .unionByName(added.select("term", F.lit(1).alias("d")))
-        .groupBy("term")
-        .agg(F.sum("d").alias("d"))
-    )
-    merged = df_old.select("term", F.col("df").alias("d")).unionByName(delta).groupBy("term").agg(F.sum("d").alias("df"))
-    return merged.where(F.col("df") > 0)
+    return summed_frequencies(df_old.select("term", F.col("df").alias("d")).unionByName(frequency_changes(removed, added)))

@@ -13,6 +13,7 @@ from noteloom.operators.text_index import TextIndex, build_index
 from noteloom.operators.text_search import text_search
 from noteloom.operators.vector_search import vector_topk
 from noteloom.runtime import checked, spread, stage
+from noteloom.sources.stored_index import StoredIndex
 
 DEFAULTS = {"k": 5, "min_score": 0.3, "boost": 0.5}
 
@@ -36,6 +37,15 @@ class Retriever:
             vectors = stage(vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi"))
         return cls(chunks, build_index(chunks, "chunk_id", "content", ["path", "chunk_index"]), vectors, **parts)
 
+    @classmethod
+    def stored(cls, store: StoredIndex, vectors: DataFrame | None = None, notes: DataFrame | None = None) -> Retriever:
+        """Search over a stored index: nothing is chunked or tokenised. ``vectors`` (chunk_id, path, hash, embedding) of
+        replaced texts are dropped."""
+        if vectors is not None:
+            vectors = stage(store.live_vectors(vectors))
+        graph = stage(store.graph()) if notes is not None else None
+        return cls(store.chunks(), store.text_index(), vectors, notes, graph)
+
     def ranked(
         self, queries: DataFrame, k: int, min_score: float, query_vectors: DataFrame | None = None, pool: int | None = None
     ) -> DataFrame:

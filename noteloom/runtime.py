@@ -92,6 +92,12 @@ def stage_bucketed(df: DataFrame, column: str, buckets: int | None = None) -> Da
     return spark.table(name)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any file system Spark reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rebalance an input that arrives in fewer splits than there are cores.
 

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.operators.changes import DEBOUNCE_MS, IDLE_MS, incremental_index, normalize_changes, remove_files
-from noteloom.sources.notes import not_excluded, write_partitioned
+from noteloom.operators.changes import DEBOUNCE_MS, IDLE_MS, normalize_changes
+from noteloom.runtime import exists
+from noteloom.sources.stored_index import StoredIndex
 
 CHANGE_SCHEMA = "path string, old_path string, op string, ts timestamp"
 
@@ -57,101 +58,25 @@ def idle(events: DataFrame, user: str, idle_ms: int = IDLE_MS, late: str = "10 m
 class IndexMaintainer:
     """``foreachBatch`` handler that keeps a stored index equal to the current notes.
 
-    A batch of changed paths re-reads those notes, replaces their chunks and file rows, drops their
-    vectors and rewrites only the path-hash partitions concerned. The new rows are first written
-    beside the index under the ids of stream and batch: a batch repeated after a loss in the middle of the
-    swap finds them there and swaps them in again. Afterwards they are removed; a batch repeated
-    later computes the same rows from the notes. Notes in folders named in ``exclude`` are not indexed.
+    A micro-batch of changed paths becomes one batch of the index, named by stream and batch number; a repeated
+    micro-batch finds that name and does nothing. Chunks, postings, term counts, links and file states move
+    together. Notes in the excluded folders of the index's settings are not indexed.
     """
 
-    def __init__(
-        self, notes, root: str, strategy: str = "section", max_tokens: int = 512, buckets: int = 64, exclude: str = ""
-    ):
+    def __init__(self, notes, store: StoredIndex):
         self.notes = notes  # function returning the current notes
-        self.root = root
-        self.strategy = strategy
-        self.max_tokens = max_tokens
-        self.buckets = buckets
-        self.exclude = exclude
+        self.store = store
         self.stream = uuid.uuid4().hex  # replaced by the id kept with the checkpoint when a stream starts
 
-    def _has_vectors(self, spark: SparkSession) -> bool:
-        """Vectors are optional: a table like the others, partitioned by path hash, with a ``path`` column."""
-        return _exists(spark, f"{self.root}/vectors")
-
-    def _bucket(self):
-        return F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int")
-
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        work = f"{self.root}/_pending/{self.stream}-{batch_id}"
-        changes = batch if "op" in batch.columns else batch.select("path", F.lit("modify").alias("op"))
-        if "old_path" in changes.columns:
-            changes = normalize_changes(changes)
-        if not _finished(spark, f"{work}/chunks"):
-            paths = changes.select("path").distinct()
-            paths.write.mode("overwrite").parquet(f"{work}/paths")
-            paths = spark.read.parquet(f"{work}/paths")
-            touched = [r[0] for r in paths.select(self._bucket().alias("b")).distinct().collect()]  # at most `buckets` values
-            if not touched:
-                _remove(spark, work)
-                return
-            in_touched = F.col("bucket").isin(touched)
-            files = spark.read.parquet(f"{self.root}/files").where(in_touched).drop("bucket")
-            chunks = spark.read.parquet(f"{self.root}/chunks").where(in_touched).drop("bucket")
-            asked_files = files.join(paths, "path", "left_semi")
-            asked_chunks = chunks.join(paths, "path", "left_semi")
-            current = self.notes().where(not_excluded(F.col("path"), self.exclude)).join(paths, "path", "left_semi")
-            new_files, new_chunks, found = incremental_index(current, asked_files, asked_chunks, self.strategy, self.max_tokens)
-            files.join(paths, "path", "left_anti").unionByName(new_files).write.mode("overwrite").parquet(f"{work}/files")
-            if self._has_vectors(spark):
-                # Only texts that really changed lose their vectors; the embedding job finds them pending.
-                stale = found.where(F.col("status").isin("modified", "deleted"))
-                vectors = spark.read.parquet(f"{self.root}/vectors").where(in_touched).drop("bucket")
-                remove_files(vectors, stale).write.mode("overwrite").parquet(f"{work}/vectors")
-            # Last, because its success mark tells a repeated batch that everything is there.
-            chunks.join(paths, "path", "left_anti").unionByName(new_chunks).write.mode("overwrite").parquet(f"{work}/chunks")
-        for table in ("files", "chunks", "vectors"):
-            if table == "vectors" and not _finished(spark, f"{work}/vectors"):
-                continue
-            rows = spark.read.parquet(f"{work}/{table}")
-            write_partitioned(rows, f"{self.root}/{table}", self.buckets)
-            self._clear_empty(spark, rows, table, work)
-        _remove(spark, work)
-
-    def _clear_empty(self, spark: SparkSession, rows: DataFrame, table: str, work: str) -> None:
-        """Partitions whose last row disappeared are not overwritten by the dynamic write; drop them."""
-        paths = spark.read.parquet(f"{work}/paths").select(self._bucket().alias("b")).distinct()
-        gone = paths.join(rows.select(self._bucket().alias("b")).distinct(), "b", "left_anti")
-        for r in gone.collect():  # at most `buckets` values
-            _remove(spark, f"{self.root}/{table}/bucket={r[0]}")
-
-
-def _fs_path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, target = _fs_path(spark, path)
-    return fs.exists(target)
-
-
-def _finished(spark: SparkSession, path: str) -> bool:
-    return _exists(spark, f"{path}/_SUCCESS")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    fs, target = _fs_path(spark, path)
-    if fs.exists(target):
-        fs.delete(target, True)
+        changes = normalize_changes(batch) if "old_path" in batch.columns else batch
+        self.store.update(self.notes(), changes.select("path"), f"{self.stream}-{batch_id}")
 
 
 def _stream_id(spark: SparkSession, checkpoint: str) -> str:
     """The id written into the checkpoint folder; created with it."""
     where = f"{checkpoint}/noteloom_stream"
-    if not _finished(spark, where):
+    if not exists(spark, f"{where}/_SUCCESS"):
         spark.createDataFrame([(uuid.uuid4().hex,)], "id string").write.mode("overwrite").json(where)
     return spark.read.schema("id string").json(where).first()[0]
 

@@ -3,12 +3,16 @@ import itertools
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from noteloom.operators import changes
+from noteloom.operators import changes, links, text_index
 from noteloom.operators.chunking import chunk_documents
 from noteloom.sources import index_store
+from noteloom.plans.retriever import Retriever
+from noteloom.runtime import stage
 from noteloom.sources import notes as src
+from noteloom.sources.stored_index import IndexSettings, StoredIndex
 from noteloom.streaming import changes as stream
 
 BASE = dt.datetime(2024, 1, 1)
@@ -159,10 +163,9 @@ def test_stream_debounce_equals_batch(spark, tmp_path):
 def test_stream_keeps_index_equal_to_notes(spark, tmp_path):
     state = {f"d/{i}.md": (f"# T{i}\ntext {i}", 0) for i in range(8)}
     notes = _notes(spark, state)
-    root = str(tmp_path / "ix")
-    index_store.save_index(src.with_hash(notes).select("path", "hash", "mtime"), chunk_documents(notes), root, 4)
-    src.write_partitioned(chunk_documents(notes).select("path", "chunk_id", F.array(F.lit(1.0)).alias("embedding")), f"{root}/vectors", 4)
-    state["d/1.md"] = ("# T1\nnew text", 5)
+    store = StoredIndex.create(notes, str(tmp_path / "ix"), IndexSettings(exclude_folders="tmp"))
+    vectors = stage(chunk_documents(notes).join(store.files(), "path").select("path", "hash", "chunk_id", F.array(F.lit(1.0)).alias("embedding")))
+    state["d/1.md"] = ("# T1\nnew text [[renamed]]", 5)
     state["d/renamed.md"] = state.pop("d/2.md")
     del state["d/3.md"]
     state["d/4.md"] = (state["d/4.md"][0], 9)
@@ -172,32 +175,119 @@ def test_stream_keeps_index_equal_to_notes(spark, tmp_path):
         [("d/3.md", None, "delete", at(7)), ("d/4.md", None, "modify", at(9)), ("x.txt", None, "modify", at(9))],
     ]
     folder = _feed(spark, tmp_path, events)
-    keep = stream.IndexMaintainer(lambda: _notes(spark, state), root, buckets=4)
+    keep = stream.IndexMaintainer(lambda: _notes(spark, state), store)
     q = stream.maintain_index(stream.read_changes(spark, folder), keep, str(tmp_path / "cp2"), interval=None)
     q.awaitTermination(240)
     assert q.exception() is None
-    files, chunks = index_store.load_index(spark, root)
     want = {(r.chunk_id, r.content) for r in chunk_documents(_notes(spark, state)).collect()}
-    assert {(r.chunk_id, r.content) for r in chunks.collect()} == want
-    assert {r.path: r.mtime for r in files.collect()} == {r.path: r.mtime for r in _notes(spark, state).collect()}
+    assert {(r.chunk_id, r.content) for r in store.chunks().collect()} == want
+    assert {r.path: r.mtime for r in store.files().collect()} == {r.path: r.mtime for r in _notes(spark, state).collect()}
+    assert [(r.src, r.dst) for r in store.edges().collect()] == [("d/1.md", "d/renamed.md")]
+    same_index(spark, store, _notes(spark, state))
     # changed and removed notes lost their vectors, a touched one kept them
-    assert {r.path for r in spark.read.parquet(f"{root}/vectors").collect()} == {f"d/{i}.md" for i in (0, 4, 5, 6, 7)}
-    # a repeated batch changes nothing
-    keep(spark.createDataFrame(list(itertools.chain(*events)), stream.CHANGE_SCHEMA).where(F.endswith("path", F.lit(".md"))), 0)
-    assert {(r.chunk_id, r.content) for r in spark.read.parquet(f"{root}/chunks").collect()} == want
+    assert {r.path for r in store.live_vectors(vectors).collect()} == {f"d/{i}.md" for i in (0, 4, 5, 6, 7)}
+    # a repeated batch changes nothing, even if the notes have moved on
+    state["d/5.md"] = ("# later", 11)
+    n = store._files().agg(F.max("batch")).first()[0]
+    keep(spark.createDataFrame([("d/5.md", None, "modify", at(1))], stream.CHANGE_SCHEMA), 0)
+    assert {(r.chunk_id, r.content) for r in store.chunks().collect()} == want and store._files().agg(F.max("batch")).first()[0] == n
     # a new checkpoint counts batches from 0 again and must not meet the first stream's rows
     state["d/1.md"] = ("# T1\nthird text", 20)
     state["tmp/z.md"] = ("# hidden", 20)
     more = str(tmp_path / "feed2")
     rows = [("d/1.md", None, "modify", at(20)), ("tmp/z.md", None, "modify", at(21))]
     spark.createDataFrame(rows, stream.CHANGE_SCHEMA).coalesce(1).write.parquet(more)
-    again = stream.IndexMaintainer(lambda: _notes(spark, state), root, buckets=4, exclude="tmp")
+    again = stream.IndexMaintainer(lambda: _notes(spark, state), StoredIndex.open(spark, store.root, store.settings))
     q = stream.maintain_index(stream.read_changes(spark, more), again, str(tmp_path / "cp3"), interval=None)
     q.awaitTermination(240)
     assert q.exception() is None and again.stream != keep.stream
-    got = {r.path: r.content for r in spark.read.parquet(f"{root}/chunks").where("path in ('d/1.md', 'tmp/z.md')").collect()}
+    got = {r.path: r.content for r in store.chunks().where("path in ('d/1.md', 'tmp/z.md')").collect()}
     assert set(got) == {"d/1.md"} and "third text" in got["d/1.md"]
-    assert not list((tmp_path / "ix" / "_pending").glob("*"))
+
+
+# --- stored index ----------------------------------------------------------------------------
+
+
+def same_index(spark, store, notes):
+    """Postings, frequencies, norms and hits of the store equal those of an index built from the notes."""
+    chunks = chunk_documents(notes)
+    fresh, kept = text_index.build_index(chunks, "chunk_id", "content", ["path", "chunk_index"]), store.text_index()
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert kept.n_docs == fresh.n_docs
+    assert rows(kept.postings.select("chunk_id", "term", "n", "tf")) == rows(fresh.postings.select("chunk_id", "term", "n", "tf"))
+    assert rows(kept.terms.select("term", "df", "idf")) == rows(fresh.terms.select("term", "df", "idf"))
+    norm = F.round("norm", 9).alias("norm")
+    assert rows(kept.norms.select("chunk_id", "path", "chunk_index", norm)) == rows(fresh.norms.select("chunk_id", "path", "chunk_index", norm))
+
+
+WORDS = ["# A", "text one", "## B", "more text [[d/3]]", "", "日本語", "alpha beta", "beta gamma"]
+
+
+def test_stored_index_follows_the_notes(spark, tmp_path):
+    rng = random.Random(6)
+    state = {f"d/{i}.md": ("\n".join(rng.choices(WORDS, k=7)), 0) for i in range(20)}
+    store = StoredIndex.create(_notes(spark, state), str(tmp_path / "ix"))
+    same_index(spark, store, _notes(spark, state))
+    assert store.update(_notes(spark, state)) is None  # nothing to do, nothing written
+    for step in range(1, 4):
+        for p in rng.sample(sorted(state), 3):
+            state[p] = ("\n".join(rng.choices(WORDS, k=7)), step)
+        gone = rng.choice(sorted(state))
+        was = state.pop(gone)
+        state[f"d/new{step}.md"] = ("# New\nalpha text", step)
+        touched = rng.choice(sorted(state))
+        state[touched] = (state[touched][0], step)  # a new time, the same text
+        assert store.update(_notes(spark, state)) == step
+        notes = _notes(spark, state)
+        assert sorted(map(str, store.chunks().select("chunk_id", "content", "heading").collect())) == sorted(
+            map(str, chunk_documents(notes).select("chunk_id", "content", "heading").collect())
+        )
+        assert {r.path: r.mtime for r in store.files().collect()} == {r.path: r.mtime for r in notes.collect()}
+        assert sorted(map(str, store.edges().collect())) == sorted(map(str, links.note_edges(notes).collect()))
+        same_index(spark, store, notes)
+        if step == 2:
+            state[gone] = (was[0], 9)  # a deleted note comes back
+    queries = spark.createDataFrame([(1, "alpha gamma"), (2, "日本"), (3, "none of it")], "query_id long, text string")
+    found = Retriever.stored(StoredIndex.open(spark, store.root), notes=_notes(spark, state)).search(queries, 4, 0.1)
+    want = Retriever.build(chunk_documents(_notes(spark, state))).search(queries, 4, 0.1)
+    assert found.count() > 4 and sorted(map(str, found.collect())) == sorted(map(str, want.select(found.columns).collect()))
+
+
+def test_update_reads_only_the_asked_paths(spark, tmp_path):
+    state = {f"{i}.md": (f"text {i}", 0) for i in range(6)}
+    store = StoredIndex.create(_notes(spark, state), str(tmp_path / "ix"))
+    for i in range(6):
+        state[f"{i}.md"] = (f"other {i}", 1)
+    asked = spark.createDataFrame([("1.md",), ("1.md",), ("9.md",)], "path string")
+    assert store.update(_notes(spark, state), asked) == 1
+    assert {r.path: r.content.split()[0] for r in store.chunks().collect()} == {f"{i}.md": "other" if i == 1 else "text" for i in range(6)}
+    # what a loss left of an unfinished batch does not count, and the next one replaces it
+    half = store.spark.read.parquet(f"{store.root}/terms/batch=1")
+    half.write.parquet(f"{store.root}/terms/batch=2")
+    store.spark.read.parquet(f"{store.root}/postings/batch=0").write.parquet(f"{store.root}/postings/batch=2")
+    now = {p: (v if p == "1.md" else (f"text {p[0]}", 0)) for p, v in state.items()}
+    same_index(spark, store, _notes(spark, now))
+    assert store.update(_notes(spark, state)) == 2
+    same_index(spark, store, _notes(spark, state))
+
+
+def test_stored_index_is_opened_with_its_settings_only(spark, tmp_path):
+    notes = _notes(spark, {"a.md": ("x y", 1), "Old/b.md": ("z", 1)})
+    store = StoredIndex.create(notes, str(tmp_path / "ix"), IndexSettings("paragraph", 100, " Old ,Tmp"))
+    assert [r.path for r in store.files().collect()] == ["a.md"]
+    opened = lambda *a: StoredIndex.open(spark, store.root, IndexSettings(*a)) is not None
+    assert opened("paragraph", 100, "Old,Tmp")
+    assert not opened("section", 100, "Old,Tmp") and not opened("paragraph", 101, "Old,Tmp") and not opened("paragraph", 100, "Old")
+    assert StoredIndex.open(spark, str(tmp_path / "nothing")) is None
+    with pytest.raises(ValueError):
+        StoredIndex.create(notes, store.root)
+
+
+def test_stored_index_of_nothing(spark, tmp_path):
+    store = StoredIndex.create(_notes(spark, {"a.md": ("x", 1)}).limit(0), str(tmp_path / "ix"))
+    assert store.files().count() == store.chunks().count() == store.edges().count() == 0
+    assert store.update(_notes(spark, {"a.md": ("word", 1)})) == 1
+    same_index(spark, store, _notes(spark, {"a.md": ("word", 1)}))
 
 
 def test_stream_rename_keeps_both_paths(spark, tmp_path):
