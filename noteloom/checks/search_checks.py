@@ -10,6 +10,7 @@ from noteloom.checks.notes_checks import _SECTION_CTES, LINK_CTES
 from noteloom.functions import text as t
 from noteloom.operators import hybrid, links, proximity, text_index, text_search, vector_search
 from noteloom.operators.chunking import chunk_documents
+from noteloom.operators.vector_index import VectorIndex
 from noteloom.plans.retriever import Retriever
 from noteloom.runtime import spread, stage
 
@@ -119,6 +120,18 @@ def vector_topk(spark, sf):
     return _long_rank(vector_search.vector_topk(e.select(F.col("vec_id").alias("query_id"), "embedding"), e, "vec_id", 10))
 
 
+_VECTOR_HITS = f"""with {_VECS}, scored as (select q.vec_id as query_id, v.vec_id, {_COSINE} as score from vecs q cross join vecs v where q.norm > 0 and q.vec_id % 20 = 0)
+    select query_id, vec_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 10"""
+
+
+@query(_VECTOR_HITS)
+def vector_index_search(spark, sf):
+    """Every twentieth vector as a query against an index of all of them."""
+    e = X.table(spark, sf, "embeddings")
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _long_rank(VectorIndex.build(e, "vec_id").search(queries, 10)[0])
+
+
 _RRF_CTES = f"""{_BENCH_Q}, {hit_ctes('documents', 'doc_id', 'text', 'queries', 0.1)}, {_VECS},
 tl as (select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from hits) where rank <= 50),
 vs as (select q.vec_id as query_id, v.vec_id as doc_id, {_COSINE} as score from vecs q join queries on q.vec_id = queries.query_id cross join vecs v where q.norm > 0 and v.vec_id in (select doc_id from documents)),

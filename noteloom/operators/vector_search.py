@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,66 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noteloom.operators.text_search import top_k
+from noteloom.operators.vector_index import VectorIndex
+from noteloom.operators.vector_math import SCORE_BLOCK, best_rows, cosines, matrix
 from noteloom.runtime import bounded_rows
 
 # Query vectors shipped to every task: 2,048 x 3,072 doubles are 48 MB.
 QUERY_BLOCK = 2048
-_SCORE_BLOCK = 256  # queries scored at once: 256 x 10,000 scores are 20 MB
-_GRID_ROWS = 10_000  # vectors and queries per grid cell
-
-
-def _matrix(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Rows padded with zeros to one width, and their lengths."""
-    arrays = [np.asarray(v, dtype=np.float64) for v in vectors]
-    lengths = np.array([len(a) for a in arrays], dtype=np.int64)
-    if len(arrays) and (lengths == lengths[0]).all():
-        return np.vstack(arrays) if lengths[0] else np.zeros((len(arrays), 0)), lengths
-    out = np.zeros((len(arrays), int(lengths.max()) if len(arrays) else 0))
-    for i, a in enumerate(arrays):
-        out[i, : len(a)] = a
-    return out, lengths
-
-
-def _cosines(queries: np.ndarray, q_len: np.ndarray, vectors: np.ndarray, v_len: np.ndarray) -> np.ndarray:
-    """Scores (queries x vectors). Vectors of different length are compared on the common prefix:
-    the query norm uses its full length, the vector norm the prefix; a zero norm scores 0."""
-    width = min(queries.shape[1], vectors.shape[1])
-    dot = queries[:, :width] @ vectors[:, :width].T
-    q_norm = np.sqrt((queries * queries).sum(axis=1))
-    if len(q_len) == 0 or len(v_len) == 0 or v_len.max() <= q_len.min():
-        v_norm = np.broadcast_to(np.sqrt((vectors * vectors).sum(axis=1)), dot.shape)
-    else:
-        squares = np.concatenate([np.zeros((len(vectors), 1)), np.cumsum(vectors * vectors, axis=1)], axis=1)
-        v_norm = np.sqrt(squares[:, np.minimum(q_len, vectors.shape[1])]).T
-    norm = q_norm[:, None] * v_norm
-    with np.errstate(divide="ignore", invalid="ignore"):
-        scores = np.where(norm > 0, dot / norm, 0.0)
-    return np.round(scores, 9) + 0.0
-
-
-def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> list[np.ndarray]:
-    """Per query the positions of the k best, ties by key; everything tied with the k-th counts."""
-    order = np.argsort(keys, kind="stable")
-    picks = []
-    for row in scores:
-        if len(row) > k:
-            floor = np.partition(row, len(row) - k)[len(row) - k]
-            candidates = order[row[order] >= floor]
-        else:
-            candidates = order
-        picks.append(candidates[np.argsort(-row[candidates], kind="stable")][:k])
-    return picks
-
-
-def _frame(query_ids, scores, keys, k, key) -> pd.DataFrame:
-    picks = _best(scores, keys, k)
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(query_ids, [len(p) for p in picks]),
-            key: np.concatenate([keys[p] for p in picks]) if picks else keys[:0],
-            "score": np.concatenate([scores[i, p] for i, p in enumerate(picks)]) if picks else np.zeros(0),
-        }
-    )
 
 
 def _keep_best(frames: list[pd.DataFrame], key: str, k: int) -> pd.DataFrame:
@@ -91,9 +36,8 @@ def vector_topk(
     """(query_id, key, score, rank): the k nearest vectors of each query, exactly.
 
     A query batch within ``query_block`` rows is shipped to the vector scan; each Arrow batch is one
-    matrix product and emits at most k rows per query. A longer batch is cut into a grid: vectors
-    and queries are dealt at random over (row, column) cells of bounded size and every cell does
-    the same product, so neither side is ever broadcast and no cell depends on the data's skew.
+    matrix product and emits at most k rows per query. For a longer batch the vectors are indexed around pivots
+    (:class:`VectorIndex`) and each query visits only the blocks that can hold one of its neighbours.
     """
     q = queries.select("query_id", F.col(vector).alias("qv")).where(
         F.exists("qv", lambda x: x != 0)  # a zero query has no neighbours
@@ -109,8 +53,8 @@ def vector_topk(
     rows = bounded_rows(q, query_block)
     if rows is not None:
         ids = np.array([r["query_id"] for r in rows])
-        matrix, lengths = _matrix(pd.Series([r["qv"] for r in rows], dtype=object))
-        shipped = queries.sparkSession.sparkContext.broadcast((ids, matrix, lengths))
+        rows_matrix, lengths = matrix(pd.Series([r["qv"] for r in rows], dtype=object))
+        shipped = queries.sparkSession.sparkContext.broadcast((ids, rows_matrix, lengths))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             q_ids, q_matrix, q_lengths = shipped.value
@@ -118,12 +62,12 @@ def vector_topk(
             for batch in batches:
                 if not len(batch):
                     continue
-                m, n = _matrix(batch["v"])
+                m, n = matrix(batch["v"])
                 keys = batch[key].to_numpy()
-                for at in range(0, len(q_ids), _SCORE_BLOCK):
-                    part = slice(at, at + _SCORE_BLOCK)
-                    scores = _cosines(q_matrix[part], q_lengths[part], m, n)
-                    held.append(_frame(q_ids[part], scores, keys, k, key))
+                for at in range(0, len(q_ids), SCORE_BLOCK):
+                    part = slice(at, at + SCORE_BLOCK)
+                    scores = cosines(q_matrix[part], q_lengths[part], m, n)
+                    held.append(best_rows(q_ids[part], scores, keys, k, key))
                 if sum(map(len, held)) > 16 * k * len(q_ids):
                     held = [_keep_best(held, key, k)]
             if held:
@@ -131,27 +75,5 @@ def vector_topk(
 
         local = v.mapInPandas(scan, schema)
     else:
-        local = _grid(q, v, key, k, schema)
+        return VectorIndex.build(v, key, "v").search(q, k, "qv")[0]
     return top_k(local, k, [key]).select("query_id", key, "score", F.col("rank").cast("int").alias("rank"))
-
-
-def _grid(q: DataFrame, v: DataFrame, key: str, k: int, schema: T.StructType) -> DataFrame:
-    columns = max(1, math.ceil(v.count() / _GRID_ROWS))
-    rows = max(1, math.ceil(q.count() / _GRID_ROWS))
-    dealt_q = q.withColumn("_r", F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int")).withColumn(
-        "_c", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))
-    )
-    dealt_v = v.withColumn("_c", F.pmod(F.xxhash64(key), F.lit(columns)).cast("int")).withColumn(
-        "_r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))
-    )
-
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": left["query_id"][:0], key: right[key][:0], "score": np.zeros(0)})
-        qm, qn = _matrix(left["qv"])
-        vm, vn = _matrix(right["v"])
-        ids, keys = left["query_id"].to_numpy(), right[key].to_numpy()
-        blocks = [slice(at, at + _SCORE_BLOCK) for at in range(0, len(ids), _SCORE_BLOCK)]
-        return pd.concat([_frame(ids[b], _cosines(qm[b], qn[b], vm, vn), keys, k, key) for b in blocks], ignore_index=True)
-
-    return dealt_q.groupBy("_r", "_c").cogroup(dealt_v.groupBy("_r", "_c")).applyInPandas(cell, schema)

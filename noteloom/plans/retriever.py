@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from noteloom.operators.hybrid import fuse, pool_size
 from noteloom.operators.proximity import proximity_rerank
 from noteloom.operators.text_index import TextIndex, build_index
 from noteloom.operators.text_search import text_search
+from noteloom.operators.vector_index import VectorIndex
 from noteloom.operators.vector_search import vector_topk
 from noteloom.runtime import checked, spread, stage
 from noteloom.sources.stored_index import StoredIndex
@@ -27,6 +28,11 @@ class Retriever:
     vectors: DataFrame | None = None
     notes: DataFrame | None = None
     graph: DataFrame | None = None
+    near: VectorIndex | None = None  # set by with_vector_index
+
+    def with_vector_index(self) -> Retriever:
+        """Index the vectors once, for sessions that search them often; results do not change."""
+        return replace(self, near=VectorIndex.build(self.vectors, "chunk_id"))
 
     @classmethod
     def build(cls, chunks: DataFrame, vectors: DataFrame | None = None, **parts) -> Retriever:
@@ -60,7 +66,7 @@ class Retriever:
             return hits.withColumn("match_type", F.lit("text"))
         pool = pool or pool_size(k)
         text = text_search(queries, self.index, self.chunks, "content", pool, min_score)
-        near = vector_topk(query_vectors, self.vectors, "chunk_id", pool)
+        near = self.near.search(query_vectors, pool)[0] if self.near else vector_topk(query_vectors, self.vectors, "chunk_id", pool)
         return fuse(text, near, "chunk_id", k)
 
     def search(

@@ -1,12 +1,14 @@
 import itertools
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from noteloom.operators import hybrid, proximity
 from noteloom.operators.links import apply_edge_changes, link_graph, note_edges, resolve_links
 from noteloom.operators.text_index import build_index, document_frequencies, term_frequencies, updated_document_frequencies
 from noteloom.operators.text_search import _gram_pairs, cosine_hits, text_search
+from noteloom.operators.vector_index import VectorIndex
 from noteloom.operators.vector_search import vector_topk
 from tests import models as m
 
@@ -91,6 +93,50 @@ def test_vector_topk_matches_model(spark):
             assert got[i] == sorted(scored, key=lambda r: (-r[1], r[0]))[:4], i
 
 
+def _clustered(n, dim, seed, spread=0.05):
+    rng = np.random.default_rng(seed)
+    centers = rng.standard_normal((8, dim))
+    return [(f"v{i}", [float(np.float32(c)) for c in centers[i % 8] * rng.uniform(0.5, 2) + rng.standard_normal(dim) * spread]) for i in range(n)]
+
+
+def _index_case(spark, rows, queries, k, monkeypatch=None, **sizes):
+    import noteloom.operators.vector_index as module
+
+    for name, value in sizes.items():
+        monkeypatch.setattr(module, name, value)
+    v = spark.createDataFrame(rows, "id string, embedding array<float>")
+    q = spark.createDataFrame(queries, "query_id long, embedding array<float>")
+    hits, visited = module.VectorIndex.build(v, "id").search(q, k)
+    got = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.score))
+    for i, qv in queries:
+        if any(qv):
+            scored = [(d, round(m.cosine(qv, vec), 9) + 0.0) for d, vec in rows if vec is not None]
+            assert got[i] == sorted(scored, key=lambda r: (-r[1], r[0]))[:k], i
+    return {r.query_id: r.visited for r in visited.collect()}
+
+
+def test_vector_index_skips_clusters_and_loses_nothing(spark, monkeypatch):
+    rows = _clustered(1500, 6, 1)
+    queries = [(i, v) for i, (_, v) in enumerate(rows[::50])] + [(100, [-c for c in rows[3][1]])]
+    visited = _index_case(spark, rows, queries, 7, monkeypatch, CLUSTER_ROWS=60, BLOCK_ROWS=40, BLOCKS=10**9)
+    near = [visited[i] for i in range(30)]
+    assert sum(near) < 0.4 * len(near) * len(rows)
+
+
+def test_vector_index_on_odd_rows(spark, monkeypatch):
+    """Zero vectors, other lengths, one very common vector, ties, nulls, fewer vectors than asked for."""
+    rows = _clustered(60, 4, 2) + [(f"same{i:03}", [1.0, 2.0, 0.5, 0.0]) for i in range(90)]
+    rows += [("zero", [0.0] * 4), ("short", [1.0, 2.0]), ("long", [1.0, 2.0, 0.5, 0.0, 7.0]), ("none", None)]
+    queries = [(1, [1.0, 2.0, 0.5, 0.0]), (2, [1.0, 2.0]), (3, [0.0] * 4), (4, [0.0, -1.0, 0.0, 0.0]), (5, [1.0, 2.0, 0.5, 0.0, 7.0])]
+    visited = _index_case(spark, rows, queries, 12, monkeypatch, CLUSTER_ROWS=20, BLOCK_ROWS=16, BLOCKS=10**9)
+    assert set(visited) == {1, 2, 4, 5}
+    _index_case(spark, rows[:3], queries, 12)
+    empty = spark.createDataFrame([], "id string, embedding array<float>")
+    assert VectorIndex.build(empty, "id").search(spark.createDataFrame(queries, "query_id long, embedding array<float>"), 3)[0].count() == 0
+
+
 def _list(spark, rows):
     return spark.createDataFrame(rows, "query_id int, id string, score double, rank int")
 
