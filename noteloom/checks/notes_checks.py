@@ -316,6 +316,35 @@ def resolve_links(spark, sf):
     return links.resolve_links(links.wikilinks(notes, distinct=False), notes).select("path", F.col("pos").cast("long").alias("pos"), "target", "target_path")
 
 
+# links of every customer's note to its nation, its peer and itself, in many spellings
+_FORMS = """select a.path, 0 as form, concat(n_name, '#Profile') as target from {notes} a join {customer} on c_name = a.basename join {nation} on n_nationkey = c_nationkey
+union all select a.path, 1, upper(c_name) from {notes} a join {customer} on c_name = a.basename
+union all select a.path, 2, concat(lower(n_name), '/', c_name, '.md') from {notes} a join {customer} on c_name = a.basename join {nation} on n_nationkey = c_nationkey
+union all select a.path, 3, concat('../../', r_name, '.MD#^b1') from {notes} a join {customer} on c_name = a.basename join {nation} on n_nationkey = c_nationkey join {region} on r_regionkey = n_regionkey
+union all select a.path, 4, concat('./', c_name) from {notes} a join {customer} on c_custkey % 100 = 1 where a.path like '%/NATION_1%'
+union all select a.path, 5, '#Profile' from {notes} a union all select a.path, 6, concat('no/', a.basename) from {notes} a"""
+
+
+@query(
+    f"""{S.WITH_NOTES}, l as ({_FORMS.format(notes="notes", customer="customer", nation="nation", region="region")}),
+    k as (select *, regexp_replace(regexp_replace(cut, '^(\.{{0,2}}/)+', ''), '\.[mM][dD]$', '') as key, regexp_extract(path, '^(.*)/[^/]*$', 1) as folder
+      from (select *, 0 as step, target as cut from l union all select *, 6, split_part(target, '#', 1) from l)),
+    m as (select path as hit, regexp_replace(path, '\.md$', '') as whole, length(path) as len from notes),
+    e as (select hit, len, unnest(list_transform(range(1, len(string_split(whole, '/')) + 1), lambda i: array_to_string(string_split(whole, '/')[i:], '/'))) as ending, whole from m),
+    t as (select path, form, target, hit, len, step + case when whole = key then 0 else 1 end as prio from k join m on lower(whole) = lower(key)
+      union all select path, form, target, hit, len, step + case when whole = folder || '/' || key then 2 else 3 end from k join m on folder <> '' and key <> '' and lower(whole) = lower(folder || '/' || key)
+      union all select path, form, target, hit, len, step + case when ending = key then 4 else 5 end from k join e on lower(ending) = lower(key)),
+    best as (select path, form, target, arg_min(hit, struct_pack(p := prio, l := len, h := hit)) as target_path from t group by all)
+    select path, form::bigint as form, target, target_path from l left join best using (path, form, target)"""
+)
+def resolve_link_forms(spark, sf):
+    """Subpaths, capitals, ends of paths, relative and broken links."""
+    notes = X.stored_notes(spark, sf)
+    forms = spark.sql(_FORMS, notes=notes, **{n: X.table(spark, sf, n) for n in ("customer", "nation", "region")})
+    found = links.resolve_links(forms, notes)
+    return found.select("path", F.col("form").cast("long").alias("form"), "target", "target_path")
+
+
 @query(f"{S.WITH_NOTES}, {LINK_CTES} select src, dst from graph union all select path, null from notes where path not in (select src from graph)")
 def link_graph(spark, sf):
     notes = X.stored_notes(spark, sf)

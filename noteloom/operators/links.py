@@ -1,12 +1,12 @@
-"""Wiki links: extraction, resolution to notes, link graph and its upkeep."""
+"""Links between notes: extraction, resolution to notes, link graph and its upkeep."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.functions.text import base_name, js_trim, parent_folder
-from noteloom.runtime import lookup_join
+from noteloom.functions.text import js_trim, parent_folder
+from noteloom.runtime import lookup_join, stage
 
 WIKILINK = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"  # fixed pattern: [[target]] or [[target|alias]]
 
@@ -23,51 +23,92 @@ def wikilinks(docs: DataFrame, key: str = "path", text: str = "content", distinc
     return found.where(F.col("target").isNotNull())
 
 
-def resolve_links(links: DataFrame, notes: DataFrame, source: str | None = "path") -> DataFrame:
+# fixed pattern: [text](target), [text](<target>) and [text](target "title")
+MARKDOWN_LINK = r"""\[[^\[\]\n]*\]\(<?([^()<>\n]+?)>?(?:\s+"[^"\n]*")?\)"""
+
+
+def markdown_targets(text: Column | str) -> Column:
+    """Decoded targets of Markdown links in order of appearance; links with a scheme lead out of the notes and are left out."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(MARKDOWN_LINK), F.lit(1)), js_trim)
+    inside = F.filter(found, lambda x: ~x.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"))
+    return F.transform(inside, lambda x: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x))
+
+
+def written_links(docs: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
+    """(key, pos, target): one row per wiki or Markdown link, the wiki links of a text first."""
+    both = F.concat(link_targets(text, False), markdown_targets(text))
+    found = docs.select(key, F.posexplode_outer(both).alias("pos", "target"))
+    return found.where(F.col("target").isNotNull())
+
+
+def link_key(target: Column | str, subpath: bool = True) -> Column:
+    """What of a target names the note: without leading ``/`` ``./`` ``../`` and ``.md``, and, if it has a ``subpath``,
+    without ``#heading`` or ``#^block``."""
+    target = F.col(target) if isinstance(target, str) else target
+    bare = js_trim(F.substring_index(target, "#", 1)) if subpath else js_trim(target)
+    return F.regexp_replace(F.regexp_replace(bare, r"^(?:\.{0,2}/)+", ""), r"(?i)\.md$", "")
+
+
+def link_keys(notes: DataFrame) -> DataFrame:
+    """(kind, key, hit): the best note of every name a link can use; build once, use for many :func:`resolve_links`.
+
+    Kinds are ``path`` for whole paths and ``end`` for all their ends at folder borders, each as written and, as
+    ``path/i`` and ``end/i``, in small letters. Of several notes the one with the shortest path counts, then by alphabet.
+    """
+    whole = F.regexp_replace("path", r"(?i)\.md$", "")
+    parts = F.split(whole, "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    one = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    names = F.concat(
+        F.array(one("path", whole), one("path/i", F.lower(whole))),
+        F.transform(ends, lambda e: one("end", e)),
+        F.transform(ends, lambda e: one("end/i", F.lower(e))),
+    )
+    named = notes.select("path", F.explode(names).alias("k")).select("k.*", F.struct(F.char_length("path").alias("len"), "path").alias("hit"))
+    return named.groupBy("kind", "key").agg(F.min("hit").alias("hit"))
+
+
+def _looked_up(asked: DataFrame, by: list[str], tries: list[tuple[int, str, Column]], keys: DataFrame) -> DataFrame:
+    """(by, _hit) of the first of the ``tries`` (priority, kind, key) that names a note."""
+    options = F.array(*[F.struct(F.lit(prio).alias("prio"), F.lit(kind).alias("kind"), key.alias("key")) for prio, kind, key in tries])
+    found = asked.select(*by, F.explode(F.array_distinct(options)).alias("o")).select(*by, "o.*").join(keys, ["kind", "key"])
+    return found.groupBy(*by).agg(F.min(F.struct("prio", F.col("hit.path").alias("path"))).alias("_hit"))
+
+
+def resolve_links(links: DataFrame, notes: DataFrame, source: str | None = "path", keys: DataFrame | None = None) -> DataFrame:
     """Add ``target_path`` (null when unknown) to rows with ``target``.
 
-    Order of preference: exact path, path without '.md', same basename in the source's folder,
-    shortest path with that basename (then alphabetically). Every candidate list is an aggregate
-    with one row per key, and links are reduced to distinct (target, folder) pairs first, so
-    neither a basename shared by many notes nor a target linked from everywhere multiplies rows.
+    Order of preference: the note with that path; the note at that path below the source's folder; the note whose path
+    ends with it, the shortest first. At each step the same spelling goes before another use of capitals. A target counts without leading
+    dots and ``.md``; if it names no note as a whole, what follows its first ``#`` is a subpath and is left out (:func:`link_key`).
+    ``keys`` are the notes' :func:`link_keys`, if they are needed more than once.
+
+    Each target is looked up once, whatever the number of its links, and each (target, folder) once for the
+    source's folder; both answers are joined to the links with very frequent targets by broadcast.
     """
+    keys = stage(link_keys(notes)) if keys is None else keys
     folder = parent_folder(source) if source else F.lit("")
     tagged = links.withColumn("_folder", folder)
-    asked = tagged.groupBy("target", "_folder").agg(F.count("*").alias("_n"))
-    key = F.regexp_replace("target", "^/+", "")
-
-    def ranked(keyed, prio):
-        return notes.select(
-            keyed.alias("_key"), F.struct(F.lit(prio).alias("prio"), F.char_length("path").alias("len"), F.col("path")).alias("hit")
-        )
-
-    anywhere = (
-        ranked(F.col("path"), 0)
-        .unionByName(ranked(F.regexp_replace("path", r"\.md$", ""), 1))
-        .unionByName(ranked(base_name("path"), 3))
-        .groupBy("_key")
-        .agg(F.min("hit").alias("hit"))
-    )
-    nearby = notes.groupBy(base_name("path").alias("_key"), parent_folder("path").alias("_folder")).agg(
-        F.min("path").alias("near")
-    )
-    answers = (
-        asked.withColumn("_key", key)
-        .join(anywhere, "_key", "left")
-        .join(nearby, ["_key", "_folder"], "left")
-        .select(
-            "target",
-            "_folder",
-            "_n",
-            F.when(F.col("hit.prio") <= 1, F.col("hit.path")).otherwise(F.coalesce("near", "hit.path")).alias("target_path"),
-        )
-    )
-    return lookup_join(tagged, answers, ["target", "_folder"], weight="_n", how="inner").drop("_folder", "_n")
+    asked = stage(tagged.groupBy("target", "_folder").agg(F.count("*").alias("_n")))
+    anywhere, nearby = [], []
+    for step, key in ((0, link_key("target", False)), (6, link_key("target"))):
+        below = F.when(key != "", F.concat("_folder", F.lit("/"), key))
+        for folded in (0, 1):
+            name = (lambda k: F.lower(k)) if folded else (lambda k: k)
+            kind = "/i" if folded else ""
+            anywhere += [(step + folded, "path" + kind, name(key)), (step + 4 + folded, "end" + kind, name(key))]
+            nearby.append((step + 2 + folded, "path" + kind, name(below)))
+    targets = asked.groupBy("target").agg(F.sum("_n").alias("_n"))
+    any_hit = _looked_up(targets, ["target", "_n"], anywhere, keys).withColumnRenamed("_hit", "_any")
+    near_hit = _looked_up(asked.where(F.col("_folder") != ""), ["target", "_folder", "_n"], nearby, keys).withColumnRenamed("_hit", "_near")
+    answered = lookup_join(tagged, any_hit, ["target"], weight="_n", how="left").drop("_n")
+    answered = lookup_join(answered, near_hit, ["target", "_folder"], weight="_n", how="left").drop("_n")
+    return answered.withColumn("target_path", F.least("_any", "_near")["path"]).drop("_folder", "_any", "_near")
 
 
 def note_edges(notes: DataFrame) -> DataFrame:
     """(src, dst, n): resolved links of every note with their multiplicity."""
-    return note_edges_of(wikilinks(notes, distinct=False), notes)
+    return note_edges_of(written_links(notes), notes)
 
 
 def note_edges_of(links: DataFrame, notes: DataFrame) -> DataFrame:

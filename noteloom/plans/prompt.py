@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noteloom.functions.text import epoch_micros, file_name
 from noteloom.operators.context import ACTIVE_HEADER, FILES_HEADER, assemble_prompt, attached_context, linked_notes, note_block, rag_context
-from noteloom.operators.links import resolve_links, wikilinks
+from noteloom.operators.links import link_keys, resolve_links, written_links
 from noteloom.operators.packing import LINKED_BUDGET, LINKED_MAX
 from noteloom.plans.retriever import Retriever
 from noteloom.runtime import checked, stage
@@ -78,8 +78,9 @@ def build_prompts(
     body = notes.select("path", "name", "content", "mtime")
 
     local = anchors.where("scope = 'local'")
-    own_links = wikilinks(texts.join(checked(local.select("path").distinct()), "path", "left_semi"), distinct=False)
-    targets = resolve_links(own_links, notes).where(F.col("target_path").isNotNull()).select("path", "target_path").distinct()
+    keys = stage(link_keys(notes))
+    own_links = written_links(texts.join(checked(local.select("path").distinct()), "path", "left_semi"))
+    targets = resolve_links(own_links, notes, keys=keys).where(F.col("target_path").isNotNull()).select("path", "target_path").distinct()
     linked = local.join(targets, "path").select("request_id", F.col("target_path").alias("path"))
     picked, omitted = linked_notes(linked, notes, in_context, linked_budget, linked_max)
     packed = body.join(checked(picked.select("request_id", "path")), "path")
@@ -93,8 +94,8 @@ def build_prompts(
     )
     part(omitted.where("omitted > 0"), 6, _omitted_text(), F.lit(1_000_000))
 
-    asked = wikilinks(req, "request_id", "text")
-    named = resolve_links(asked, notes, source=None).where(F.col("target_path").isNotNull())
+    asked = written_links(req, "request_id", "text")
+    named = resolve_links(asked, notes, source=None, keys=keys).where(F.col("target_path").isNotNull())
     named = named.groupBy("request_id", F.col("target_path").alias("path")).agg(F.min("pos").alias("pos"))
     named = body.drop("mtime").join(checked(named.join(in_context.distinct(), ["request_id", "path"], "left_anti")), "path")
     part(named, 7, note_block(), F.col("pos"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from noteloom.operators.changes import detect_changes
 from noteloom.operators.chunking import chunk_documents
-from noteloom.operators.links import link_graph, note_edges_of, wikilinks
+from noteloom.operators.links import link_graph, note_edges_of, written_links
 from noteloom.operators.text_index import (
     TextIndex,
     assemble_index,
@@ -124,7 +124,7 @@ class StoredIndex:
         new = self.spark.read.parquet(where("postings"))
         gone = self.postings(batch).join(stale, "path", "left_semi") if batch else new.limit(0)
         put(frequency_changes(gone, new), "terms")
-        put(wikilinks(changed, distinct=False), "links")
+        put(written_links(changed), "links")
         sizes = chunks.groupBy("path").agg(F.count("*").alias("n_chunks"))
         if "since" not in known.columns:
             known = known.withColumn("since", F.lit(0)).withColumn("n_chunks", F.lit(0).cast("long"))

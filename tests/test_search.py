@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from noteloom.operators import hybrid, proximity
-from noteloom.operators.links import apply_edge_changes, link_graph, note_edges, resolve_links
+from noteloom.operators.links import apply_edge_changes, link_graph, note_edges, resolve_links, written_links
 from noteloom.operators.text_index import build_index, document_frequencies, term_frequencies, updated_document_frequencies
 from noteloom.operators.text_search import _gram_pairs, cosine_hits, text_search
 from noteloom.operators.vector_index import VectorIndex
@@ -180,6 +180,32 @@ def test_link_resolution(spark):
     assert {r.path: r.target_path for r in resolve_links(asked, notes).collect()} == {"c/deep/n.md": "c/deep/z.md", "n.md": "a/z.md"}
 
 
+def test_link_forms(spark):
+    """Subpaths, other capitals, ends of paths, Markdown links, relative links; links that lead out or nowhere."""
+    text = """[[Note#Head]] [[NOTE#^b1]] [[sub/note|x]] [a](other.md) [b](<My Page.md>) [c](My%20Page.md#top "title") [d](../c++.md)
+    [[#here]] [e](https://x.org/note.md) [f](mailto:a@b.c) ![[Note]] [[x/Note]] [g](100%.md) [[./Sub/Note.MD]]"""
+    notes = _notes(spark, [("a/src.md", text), ("Note.md", ""), ("note.md", ""), ("z/Sub/Note.md", ""), ("a/other.md", ""), ("other.md", ""), ("My Page.md", ""), ("c++.md", ""), ("100%.md", "")])
+    found = sorted((r.pos, r.target, r.target_path) for r in resolve_links(written_links(notes), notes).collect())
+    assert found == [
+        (0, "Note#Head", "Note.md"),
+        (1, "NOTE#^b1", "Note.md"),  # neither spelling is the same: the first by alphabet
+        (2, "sub/note", "z/Sub/Note.md"),
+        (3, "#here", None),
+        (4, "Note", "Note.md"),
+        (5, "x/Note", None),
+        (6, "./Sub/Note.MD", "z/Sub/Note.md"),
+        (7, "other.md", "other.md"),
+        (8, "My Page.md", "My Page.md"),
+        (9, "My Page.md#top", "My Page.md"),
+        (10, "../c++.md", "c++.md"),
+        (11, "100%.md", "100%.md"),
+    ]
+    asked = spark.createDataFrame([("a/b.md", "OTHER"), ("q/b.md", "Other"), ("a/b.md", "src"), ("a/b.md", "")], "path string, target string")
+    got = {(r.path, r.target): r.target_path for r in resolve_links(asked, notes).collect()}
+    assert got == {("a/b.md", "OTHER"): "other.md", ("q/b.md", "Other"): "other.md", ("a/b.md", "src"): "a/src.md", ("a/b.md", ""): None}
+    assert resolve_links(asked, notes.limit(0)).where("target_path is not null").count() == 0
+
+
 def test_edge_changes_keep_other_notes_links(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "src string, dst string")
     changed = spark.createDataFrame([("a", False)], "path string, deleted boolean")
