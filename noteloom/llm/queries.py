@@ -113,6 +113,33 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+OP6_SQL = """
+with recursive v as materialized (select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
+u as materialized (select *, sqrt(list_dot_product(e, e)) as n from v where label is not null and len(e) > 0
+  and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as materialized (select a.r as a, b.r as b from u a join u b on a.label = b.label and a.r <> b.r
+  where case when len(a.e) = len(b.e) then list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98 else false end),
+c(r, root) as (select r, vec_id from v union select l.b, c.root from c join l on l.a = c.r),
+m as (select r, min(root) as root from c group by r),
+n as (select a as r, count(*) as links from l group by a)
+select vec_id, coalesce(links, 0)::bigint as n_links, root as component_id, vec_id is not distinct from root as kept
+from v join m using (r) left join n using (r)
+"""
+
+OP10_SQL = r"""
+with recursive d as materialized (select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (select r, doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from d),
+x as materialized (select r, md5(unnest(s)) as h from s),
+i as (select a.r as a, b.r as b, count(*) as n from x a join x b on a.h = b.h and a.r <> b.r group by all),
+l as materialized (select a, b from i join s p on p.r = a join s q on q.r = b where 100 * n >= 85 * (len(p.s) + len(q.s) - n)),
+c(r, root) as (select r, doc_id from s union select l.b, c.root from c join l on l.a = c.r),
+m as (select r, min(root) as root from c group by r)
+select doc_id, len(s)::bigint as n_shingles, root as component_id, doc_id is not distinct from root as kept from s join m using (r)
+"""
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -226,6 +253,8 @@ QUERIES = {f.__name__: f for f in (op1_warc_from_arc, op2_quality_rules, op3_sen
 ORACLES: dict[str, str] = {
     "op1_warc_from_arc": OP1_SQL,
     "op4_repeated_passages": OP4_SQL,
+    "op6_embedding_near_dedup": OP6_SQL,
+    "op10_minhash_near_dedup": OP10_SQL,
     "op11_heap_clusters": clusters_sql(),
     "op12_url_filter": urls_sql(),
     "op13_hard_negatives": OP13_SQL,

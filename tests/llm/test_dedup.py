@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from noteloom.llm import queries
-from noteloom.llm.embed_dedup import near_vectors, passes_for
+from noteloom.llm.embed_dedup import most_differences, near_vectors, passes_at, window_pairs
 from noteloom.llm.graph import components
 from noteloom.llm.minhash import keep_one_of_each, least_matches, minhash_components
 from noteloom.llm.substring_dedup import remove_repeats
@@ -224,4 +224,39 @@ def test_links_do_not_depend_on_the_number_of_partitions(spark):
 
 
 def test_passes_grow_slowly():
-    assert passes_for(10**4, 0.98, 48, 0.005) < passes_for(10**9, 0.98, 48, 0.005) < 60
+    assert passes_at(0, 0.98, 0.0005) == 1 < passes_at(8, 0.98, 0.0005) < passes_at(24, 0.98, 0.0005) < 60
+
+
+def test_signatures_keep_pairs_at_the_threshold():
+    rng = np.random.default_rng(6)
+    most = most_differences(0.98)
+    differ = rng.binomial(128, math.acos(0.98) / math.pi, 200_000)
+    assert (differ > most).mean() < 1e-4 and most < 40
+
+
+def test_window_over_the_whole_order():
+    """Each pair at most a window apart in one pass and group, once, however the order is cut into batches."""
+    rng = np.random.default_rng(7)
+    n, window = 300, 5
+    rows = {"nid": np.arange(n), "grp": np.repeat([1, 2], n // 2), "pass": np.repeat([0, 1, 0], n // 3), "run": np.arange(n) // 10}
+    rows |= {"s0": rng.integers(0, 4, n), "s1": rng.integers(0, 4, n), "long": np.arange(n) // 10 % 7 == 0}
+    def near(i, j):
+        bits = bin(rows["s0"][i] ^ rows["s0"][j]).count("1") + bin(rows["s1"][i] ^ rows["s1"][j]).count("1")
+        inside = rows["long"][i] and rows["run"][i] == rows["run"][j]
+        return rows["grp"][i] == rows["grp"][j] and rows["pass"][i] == rows["pass"][j] and bits <= 2 and not inside
+    want = {(i, j) for i in range(n) for j in range(i + 1, min(n, i + window + 1)) if near(i, j)}
+    assert set(zip(*(x.tolist() for x in window_pairs(rows, window, 2)))) == want
+    cut = []
+    for a in range(0, n, 17):
+        start = max(0, a - window)
+        i, j = window_pairs({f: v[start : a + 17] for f, v in rows.items()}, window, 2, a - start)
+        cut += [(int(x) + start, int(y) + start) for x, y in zip(i, j)]
+    assert len(cut) == len(set(cut)) and set(cut) == want
+
+
+@pytest.mark.parametrize("window", [1, 6])
+def test_a_narrow_window_finds_what_a_wide_one_does(spark, window):
+    """Runs longer than the window are compared in full."""
+    rows = near_rows()
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(vectors(spark, rows), window=window, block=32).collect()), key=repr)
+    assert got == brute_vectors(rows)

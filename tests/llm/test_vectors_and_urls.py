@@ -53,7 +53,7 @@ def odd_rows(dim):
     ]
 
 
-@pytest.mark.parametrize("name", ["op11_heap_clusters", "op12_url_filter", "op13_hard_negatives", "op1_warc_from_arc", "op4_repeated_passages"])
+@pytest.mark.parametrize("name", ["op11_heap_clusters", "op12_url_filter", "op13_hard_negatives", "op1_warc_from_arc", "op4_repeated_passages", "op6_embedding_near_dedup", "op10_minhash_near_dedup"])
 def test_sql(spark, sf, name):
     assert compare(spark, sf, queries.QUERIES[name], queries.ORACLES[name]) == ""
 
