@@ -207,9 +207,9 @@ def _across(window: int, most: int):
     return run
 
 
-def _window_candidates(entries: DataFrame, window: int, most: int) -> DataFrame:
-    """(a, b): distinct pairs that are neighbours in some pass; the order goes through all partitions."""
-    parts = 1 + entries.count() // 200_000
+def _window_candidates(entries: DataFrame, n: int, window: int, most: int) -> DataFrame:
+    """(a, b): distinct pairs that are neighbours in some pass among ``n`` entries; the order goes through all partitions."""
+    parts = 1 + n // 200_000
     order = ["grp", "pass", "key", "nid"]
     ordered = entries.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found = staged(ordered.mapInArrow(_windows(window, most), _FOUND))
@@ -296,9 +296,9 @@ def _link(threshold: float):
     return run
 
 
-def _run_links(entries: DataFrame, classes: DataFrame, threshold: float, block: int) -> DataFrame:
+def _run_links(crowded: DataFrame, classes: DataFrame, threshold: float, block: int) -> DataFrame:
     """(a, b): links that connect what is connected inside long runs, which are compared in full, in pairs of blocks."""
-    members = staged(entries.where("long").select("nid", F.xxhash64("grp", "pass", "run").alias("leaf")))
+    members = staged(crowded.select("nid", F.xxhash64("grp", "pass", "run").alias("leaf")))
     sizes = members.groupBy("leaf").agg(F.count("*").alias("n"))
     sizes = staged(sizes.select("leaf", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     tasks = 1 + members.count() * 2 // block
@@ -325,8 +325,9 @@ def _near_links(classes: DataFrame, threshold: float, window: int, miss: float,
     runs = entries.groupBy("grp", "pass", "run").agg(F.count("*").alias("n")).where(F.col("n") > window)
     runs = small(staged(runs.select("grp", "pass", "run", F.lit(True).alias("long"))), 32)
     marked = entries.join(runs, ["grp", "pass", "run"], "left").withColumn("long", F.coalesce("long", F.lit(False)))
-    candidates = _window_candidates(marked, window, most_differences(threshold))
-    return staged(_verified(candidates, classes, threshold).unionByName(_run_links(marked, classes, threshold, block)))
+    candidates = _window_candidates(marked, entries.count(), window, most_differences(threshold))
+    crowded = entries.join(runs, ["grp", "pass", "run"])
+    return staged(_verified(candidates, classes, threshold).unionByName(_run_links(crowded, classes, threshold, block)))
 
 
 def _count_links(threshold: float):

@@ -75,19 +75,24 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Units are cut with a mark after each newline and sentence end; a unit is the list of its words.
+# Pieces are cut with a mark after each newline or blank line and after sentences; a unit is the list of its words.
 OP4_SQL = r"""
 with t as (select doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low, text from documents),
+b as (select doc_id, low, replace(low, chr(10), chr(10) || chr(1)) as by_line, regexp_replace(low, '(\n[\x20\x09\x0B-\x0D]*\n)', '\1' || chr(1), 'g') as by_blank from t),
 cutup as (
-  select doc_id, string_split(replace(low, chr(10), chr(10) || chr(1)), chr(1)) as p from t
-  union all
-  select doc_id, string_split(regexp_replace(replace(low, chr(10), chr(10) || chr(1)), '([.!?] )', '\1' || chr(1), 'g'), chr(1)) from t),
-e as (select doc_id, unnest(p) as piece, unnest(list_transform(range(len(p)),
-    lambda i: coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0))) as base from cutup),
-u as (select doc_id, base + length(piece) - length(ltrim(piece, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) as s,
-    base + length(rtrim(piece, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) as e,
-    regexp_extract_all(piece, '[^\x20\x09-\x0D]+') as w from e),
-k as (select distinct doc_id, s, e, md5(array_to_string(w, ' ')) as h from u where len(w) >= 8),
+  select doc_id, 0 as level, string_split(by_line, chr(1)) as p from b
+  union all select doc_id, 1, string_split(regexp_replace(by_line, '([.!?]["'')\]]{0,2}[\x20\x09-\x0D])', '\1' || chr(1), 'g'), chr(1)) from b
+  union all select doc_id, 2, string_split(by_blank, chr(1)) from b
+  union all select doc_id, 3, string_split(regexp_replace(by_blank, '([.!?]["'')\]]{0,2}[\x20\x09-\x0D])', '\1' || chr(1), 'g'), chr(1)) from b),
+e as (select doc_id, level, unnest(p) as piece, generate_subscripts(p, 1) as i from cutup),
+o as (select *, len(regexp_extract_all(piece, '[^\x20\x09-\x0D]+')) as n, sum(length(piece)) over (partition by doc_id, level order by i) - length(piece) as base from e),
+c as (select doc_id, level, sum(n) over (partition by doc_id, level order by i) as upto, n,
+    (base + length(piece) - length(ltrim(piece, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))::bigint as s,
+    (base + length(rtrim(piece, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))::bigint as e from o where n > 0),
+u as (select distinct a.doc_id, a.s, z.e, a.upto - a.n as first, z.upto as last from c a asof join c z
+    on a.doc_id = z.doc_id and a.level = z.level and a.upto - a.n + 8 <= z.upto),
+w as (select doc_id, regexp_extract_all(low, '[^\x20\x09-\x0D]+') as w from t),
+k as (select u.doc_id, s, e, md5(array_to_string(w[(first + 1)::bigint:last::bigint], ' ')) as h from u join w on u.doc_id = w.doc_id),
 r as (select *, row_number() over (partition by h order by doc_id, s) as n from k),
 g as (select doc_id, s, e, case when s <= max(e) over (partition by doc_id order by s, e rows between unbounded preceding and 1 preceding)
     then 0 else 1 end as fresh from r where n > 1),

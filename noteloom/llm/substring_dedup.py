@@ -1,9 +1,14 @@
-"""Repeated passages: lines and the sentences in them, found by global digests and removed but for the first.
+"""Repeated passages: lines, sentences and paragraphs, found by global digests and removed but for the first.
 
-Units are normalised (ASCII letters small, white space collapsed), so a unit is the sequence of its words, and
-hashed to 128 bits. Digests are grouped over the whole corpus with a combined minimum of the rank (document
-id, offset) before the shuffle; every other occurrence is removed. Sentences catch passages that stand in
-the middle of longer lines. Units of few words are left alone: short sentences repeat by chance.
+A text is cut in four ways: into lines; into the sentences of its lines; into paragraphs (between blank lines); and into
+sentences that may go over line ends. A unit is a piece of at least MIN_WORDS words; a shorter piece is joined by the
+pieces that follow it until the words are enough, so that a passage in short lines is found by its runs
+of lines, and a short piece on its own, which repeats by chance, is left alone. Units are normalised (ASCII letters small, white space
+collapsed), so a unit is the sequence of its words, and hashed to 128 bits. Digests are grouped over the whole corpus with a
+combined minimum of the rank (document id, offset) before the shuffle; every other occurrence is removed.
+
+Sentences end at ``.`` ``!`` ``?``, with up to two closing quotes or brackets, before white space. Full stops of
+scripts without white space end none: their words are runs without white space, too.
 
 Only digests and offsets are shuffled. Offsets are code points of the original text.
 """
@@ -22,34 +27,49 @@ from noteloom.llm.common import _powers, byte_rows, mix, pieces_of, small, stage
 MIN_WORDS = 8
 
 
-def unit_bounds(data: np.ndarray, offsets: np.ndarray, sentences: bool) -> np.ndarray:
-    """Byte positions at which a unit begins, and the end: after each newline, and after ``. `` ``! `` ``? ``."""
+LINES, LINE_SENTENCES, PARAGRAPHS, SENTENCES = LEVELS = range(4)
+
+
+def unit_bounds(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, level: int) -> np.ndarray:
+    """Byte positions at which a piece begins, and the end; ``starts`` are those of the words."""
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
-    cut[1:] |= data == 10
-    if sentences and len(data) > 1:
-        stop = (data[:-1] == 46) | (data[:-1] == 33) | (data[:-1] == 63)
-        cut[2:] |= stop & (data[1:] == 32)
+    newline = np.flatnonzero(data == 10)
+    if level in (LINES, LINE_SENTENCES):
+        cut[newline + 1] = True
+    elif len(newline) > 1:  # a blank line has no word between its ends
+        seen = np.searchsorted(starts, newline)
+        cut[newline[1:][seen[1:] == seen[:-1]] + 1] = True
+    if level in (LINE_SENTENCES, SENTENCES):
+        white = np.flatnonzero((data == 32) | ((data >= 9) & (data <= 13)))
+        before = white - 1
+        for _ in range(2):  # closing quotes and brackets
+            there = before >= 0
+            before = before - (there & np.isin(data[np.maximum(before, 0)], (34, 39, 41, 93)))
+        stop = (before >= 0) & np.isin(data[np.maximum(before, 0)], (33, 46, 63))
+        cut[white[stop] + 1] = True
     cut[0] = cut[-1] = True
     return np.flatnonzero(cut)
 
 
 def units(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """Row, start and end in bytes, and two digests of every line and sentence of at least ``min_words`` words."""
+    """Row, start and end in bytes, and two digests of every unit of at least ``min_words`` words."""
     low = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
-    starts, ends, _ = word_bounds(low, offsets)
+    starts, ends, of_row = word_bounds(low, offsets)
     hashes = word_hashes(low, starts, ends)
+    last = of_row[np.searchsorted(offsets, starts, side="right")] if len(starts) else np.zeros(0, np.int64)  # end of the word's row
     found = []
-    for sentences in (False, True):
-        at = unit_bounds(data, offsets, sentences)
-        first = np.searchsorted(starts, at)
-        a, b = first[:-1], first[1:]
-        big = np.flatnonzero(b - a >= min_words)
-        found.append((starts[a[big]], ends[b[big] - 1], a[big], b[big]))
-    start, end, a, b = (np.concatenate(c) for c in zip(*found))
-    if len(start):  # a line of one sentence is one unit
-        _, once = np.unique(start * (len(data) + 1) + end, return_index=True)
-        start, end, a, b = start[once], end[once], a[once], b[once]
+    for level in LEVELS:
+        edges = np.unique(np.searchsorted(starts, unit_bounds(data, offsets, starts, level)))  # in words
+        a = edges[edges < len(starts)]
+        at = np.searchsorted(edges, a + min_words)
+        b = edges[np.minimum(at, len(edges) - 1)]
+        whole = (at < len(edges)) & (b <= last[a])
+        found.append((a[whole], b[whole]))
+    a, b = (np.concatenate(c) for c in zip(*found))
+    _, once = np.unique(a * (len(starts) + 1) + b, return_index=True)  # a line of one sentence is one unit
+    a, b = a[once], b[once]
+    start, end = starts[a], ends[b - 1]
     powers, back = _powers(len(hashes))
     digests = []
     for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -122,6 +123,71 @@ def test_repeated_passages(spark):
     assert [len(got[3][1])] == [2] or got[3][0].strip() == shared
 
 
+def plain_units(text, least=8):
+    """(start, end, words) of every unit, by the four ways to cut."""
+    low = (text or "").translate(LOWER)
+    stop = r"[.!?][\"')\]]{0,2}[ \t-\r]"
+    out = set()
+    for breaks in (["\n"], ["\n", stop], [r"\n[ \t\x0b-\r]*(?=\n)"], [r"\n[ \t\x0b-\r]*(?=\n)", stop]):
+        cuts = {0, len(low)}
+        for b in breaks:
+            for hit in re.finditer(b, low):
+                cuts.add(hit.end() + (1 if "(?=" in b else 0))
+        cuts = sorted(cuts)
+        pieces = [[m for m in re.finditer(r"[^ \t-\r]+", low) if a <= m.start() < b] for a, b in zip(cuts, cuts[1:])]
+        pieces = [p for p in pieces if p]
+        for i in range(len(pieces)):
+            run = []
+            for p in pieces[i:]:
+                run += p
+                if len(run) >= least:
+                    out.add((run[0].start(), run[-1].end(), tuple(m.group() for m in run)))
+                    break
+    return sorted(out)
+
+
+def plain_removal(rows):
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        gone = set()
+        for start, end, unit in plain_units(text):
+            if unit in seen:
+                gone |= set(range(start, end))
+            seen.add(unit)
+        out[i] = "".join(c for k, c in enumerate(text) if k not in gone)
+    return out
+
+
+VERSE = [" ".join(f"v{7 * line + k}" for k in range(7)) for line in range(10)]
+PASSAGES = [
+    (1, "Own words here.\n" + "\n".join(VERSE) + "\nand an end"),
+    (2, "Another start\n" + "\n".join(VERSE).upper() + "\nother"),
+    (3, 'He said "stop." Then (all of them left the old house together.) And so it ended for everyone there.\n\nNew  para graph with\nmore than eight words in its lines'),
+    (4, "x\n\n \t\nNew para graph\nwith more than eight\nwords in its lines\n\ntail of it"),
+    (5, "First. Then (all of them left the old house together.) And so it\nended for everyone there. Last one"),
+    (6, "yes\nno\nmaybe\nyes"),
+    (7, "no\nyes\nyes\nmaybe"),
+]
+
+
+def test_short_lines_and_paragraphs(spark):
+    got = {r.doc_id: r.text for r in remove_repeats(edge_docs(spark, PASSAGES)).collect()}
+    assert got == plain_removal(PASSAGES)
+    assert got[2] == "Another start\n\nother"  # ten lines of seven words
+    assert "para" not in got[4] and got[6] == PASSAGES[5][1] and got[7] == PASSAGES[6][1]
+
+
+def test_units_equal_plain_ones(spark):
+    """Random texts of few words, line ends, stops and closing marks."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(["a", "b", "c", "é", "B"]) + rng.choice(["", "", "", ".", '."', "?)", "!"]) for _ in range(rng.randrange(40))]
+        rows.append((i, "".join(p + rng.choice([" ", " ", " ", "\n", "\n\n", "\n \n", "\t"]) for p in parts)))
+    got = {r.doc_id: r.text for r in remove_repeats(edge_docs(spark, rows)).collect()}
+    assert got == plain_removal(rows)
+
+
 def test_passages_on_edge_rows(spark):
     assert remove_repeats(edge_docs(spark)).count() == len(TEXTS)
 
