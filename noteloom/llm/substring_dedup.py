@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.llm.common import _powers, byte_rows, mix, pieces_of, small, staged, text_key, word_bounds, word_hashes
@@ -110,6 +110,17 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return again.select("doc_id", "tkey", "start", "end")
 
 
+def _joined_spans(found: DataFrame) -> DataFrame:
+    """(_d, _t, cuts): the sorted spans of each text, joined where they touch. A window holds one text's spans."""
+    text = Window.partitionBy("_d", "_t").orderBy("start", "end")
+    found = found.select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"), "start", "end")
+    reach = F.max("end").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    opens = found.withColumn("opens", F.when(F.col("start") <= reach, 0).otherwise(1))
+    islands = opens.withColumn("island", F.sum("opens").over(text.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = islands.groupBy("_d", "_t", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return staged(islands.groupBy("_d", "_t").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts")))
+
+
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text, removed) for every row of ``docs`` (doc_id, text, ...): what is left and what went.
 
@@ -117,10 +128,9 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     overlap. A null text stays null. Rows with equal ids stay separate rows; an empty table gives an empty
     result; other columns are ignored.
     """
-    spans = repeated_units(docs, min_words).groupBy(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"))
-    spans = staged(spans.agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts")))
+    spans = _joined_spans(repeated_units(docs, min_words))
     n, total = spans.agg(F.count("*"), F.sum(F.size("cuts"))).first()
-    spans = small(spans, 24 + 8 * int((total or 0) / max(n, 1) + 1))
+    spans = small(spans, 100 + 40 * int((total or 0) / max(n, 1) + 1))
     keyed = docs.select("doc_id", "text", text_key().alias("tkey"))
     keyed = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["_d"]) & (keyed["tkey"] == spans["_t"]), "left")
 
@@ -128,17 +138,12 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for batch in batches:
             texts, removed = [], []
             for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
-                merged: list[list[int]] = []
-                for c in cuts or []:
-                    if merged and c["start"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], c["end"])
-                    else:
-                        merged.append([c["start"], c["end"]])
-                if merged:
-                    edges = [0, *[x for m in merged for x in m], len(text)]
+                cuts = cuts or []
+                if cuts:
+                    edges = [0, *[x for c in cuts for x in (c["start"], c["end"])], len(text)]
                     text = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 texts.append(text)
-                removed.append([{"start": a, "end": b} for a, b in merged])
+                removed.append(cuts)
             spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             columns = [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(removed, spans_type)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "removed"])
