@@ -263,7 +263,11 @@ def minhash_components(
     classes = staged(
         signed.where(F.col("cls").isNotNull())
         .groupBy("cls")
-        .agg(F.min("doc_id").alias("doc_id"), *[some(c).alias(c) for c in ("n_shingles", "sig", "bands")])
+        .agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("lead"),
+            *[some(c).alias(c) for c in ("n_shingles", "sig", "bands")],
+        )
+        .select("cls", "lead.doc_id", "lead.tkey", "n_shingles", "sig", "bands")
     )
     entries = classes.select("cls", F.explode("bands").alias("band"))
     buckets = entries.groupBy("band").agg(F.min("cls").alias("lead"), F.max("cls").alias("top"))
@@ -285,6 +289,7 @@ def minhash_components(
     own = F.xxhash64("root", lo, hi)
     dealt = dealt.select(
         F.col("doc_id").alias("member_id"),
+        F.col("tkey").alias("member_key"),
         "cls",
         "sig",
         "bands",
@@ -292,9 +297,10 @@ def minhash_components(
         own.alias("part"),
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(shared_tasks))).otherwise(own).alias("task"),
     )
-    dealt = small(staged(dealt), 64 + bands * (rows + 8))
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    texts = texts.join(dealt, texts["doc_id"].eqNullSafe(dealt["member_id"])).select(
+    dealt = small(staged(dealt), 72 + bands * (rows + 8))
+    # one text of each member: rows that share its id, or have none, are told apart by their text
+    texts = docs.select("doc_id", text_key().alias("tkey"), F.col("text").cast("binary").alias("text"))
+    texts = texts.join(dealt, texts["doc_id"].eqNullSafe(dealt["member_id"]) & (texts["tkey"] == dealt["member_key"])).select(
         "text", "cls", "sig", "bands", "side", "part", "task"
     )
     kinds = "cls binary, sig binary, bands array<long>, side int, part long, task long, shingles binary"
@@ -318,20 +324,22 @@ def minhash_components(
 def keep_one_of_each(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of ``docs`` without near duplicates: one row of each component stays, columns unchanged.
 
-    Documents are near from a similarity of ``percent``; bands and rows must suit it. Rows that repeat both id and text count as copies of each other; one of them stays.
+    Documents are near from a similarity of ``percent``; bands and rows must suit it. Rows that repeat both id and text
+    count as copies of each other; one of them stays. A null, empty or white text is near to none: its rows stay, but for
+    repeated ones. An empty table gives an empty result; columns of any name keep their values.
     """
     found = staged(minhash_components(docs, percent, bands=bands, rows=rows).select("doc_id", "tkey", "kept"))
     gone = small(staged(found.where("not kept").distinct()), 24)
     again = found.where("kept").groupBy("doc_id", "tkey").count().where("count > 1").drop("count")
     again = small(staged(again), 24)
-    keyed = docs.withColumn("tkey", text_key())
+    keyed = docs.select("doc_id", text_key().alias("tkey"), F.struct(*docs.columns).alias("row"))  # names of docs stay inside
 
     def match(other):
         return keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed["tkey"] == other["tkey"])
 
     left = keyed.join(gone, match(gone), "left_anti")
     if again.isEmpty():
-        return left.select(*docs.columns)
+        return left.select("row.*")
     once = left.join(again, match(again), "left_anti")
     twice = left.join(again, match(again), "left_semi").dropDuplicates(["doc_id", "tkey"])
-    return once.unionByName(twice).select(*docs.columns)
+    return once.unionByName(twice).select("row.*")

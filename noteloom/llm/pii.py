@@ -273,7 +273,11 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; overlapping spans become one. Columns unchanged."""
+    """``docs`` with every span replaced by its kind in brackets; overlapping spans become one.
+
+    Other columns, of any name, keep their values, and so does a null or empty text. Rows that repeat are all redacted; an
+    empty table gives an empty result.
+    """
     spans = find_spans(docs).where("kind is not null")
     order = Window.partitionBy("uid").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -286,10 +290,10 @@ def redact(docs: DataFrame) -> DataFrame:
     per = staged(per.groupBy(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t")).agg(F.first("cuts").alias("_cuts")))
     weight = per.agg(F.sum(40 + 16 * F.size("_cuts"))).first()[0] or 0
     per = small(per, int(weight / max(1, per.count())) + 1)
-    keyed = docs.withColumn("_key", text_key())
-    keyed = keyed.join(per, keyed["doc_id"].eqNullSafe(per["_d"]) & (keyed["_key"] == per["_t"]), "left")
+    keyed = docs.select(F.col("doc_id").alias("_i"), F.col("text").alias("_text"), text_key().alias("_key"), F.struct(*docs.columns).alias("_row"))
+    keyed = keyed.join(per, keyed["_i"].eqNullSafe(per["_d"]) & (keyed["_key"] == per["_t"]), "left")
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text, cuts = F.col("text"), F.col("_cuts")
+    text, cuts = F.col("_text"), F.col("_cuts")
     parts = F.transform(
         cuts,
         lambda c, i: F.concat(
@@ -300,4 +304,4 @@ def redact(docs: DataFrame) -> DataFrame:
     )
     rest = F.substring(text, (F.element_at(cuts, -1)["end"] + 1).cast("int"), F.length(text))
     clean = F.when(cuts.isNull(), text).otherwise(F.concat(F.array_join(parts, ""), rest))
-    return keyed.withColumn("text", clean).select(*docs.columns)
+    return keyed.select(*[(clean if c == "text" else F.col("_row").getField(c)).alias(c) for c in docs.columns])

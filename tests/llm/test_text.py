@@ -355,3 +355,24 @@ def test_pipeline(spark, sf):
     assert all(max(r.ids, default=0) < library.get_piece_size() for r in docs.limit(20).collect())
     sizes = corpus_pipeline.run(spark, sf).agg(F.count("*")).first()[0]
     assert sizes == counts[-1]
+
+
+CLASHES = ["_cuts", "_row", "row", "_d", "_t", "_key", "_i", "_text", "_k", "_s", "lead", "root", "n_words", "copies", "uid", "_x"]
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES[:-1], ids=lambda s: s[0])
+def test_stages_keep_columns_of_any_name(spark, sf, stage):
+    """Columns named like those inside the operators keep their values, row by row; empty tables stay empty."""
+    docs = edge_docs(spark, TEXTS + PII)
+    for name in CLASHES:
+        if name not in docs.columns:
+            docs = docs.withColumn(name, F.concat(F.lit(f"mine {name} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    name, run = stage
+    out = run(spark, docs, sf)
+    assert out.columns == docs.columns
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    known = {str([r[c] for c in others]) for r in docs.collect()}
+    got = [str([r[c] for c in others]) for r in out.collect()]
+    assert got and set(got) <= known
+    nothing = run(spark, docs.limit(0), sf)
+    assert nothing.columns == docs.columns and nothing.count() == 0
