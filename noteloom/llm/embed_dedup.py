@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from noteloom.llm.common import small, staged
 from noteloom.llm.graph import components
+from noteloom.runtime import lookup_join
 
 WINDOW = 48  # neighbours in a pass's order that a vector is compared with
 MISS = 0.0005  # chance that a pair exactly at the threshold is in no window
@@ -405,7 +406,9 @@ def near_vectors(
     sizes = staged(sizes.withColumn("blocks", F.ceil(F.col("n_sets") / block).cast("int")))
     small_sets = sizes.where("blocks = 1").agg(F.sum("n_sets")).first()[0] or 0
     tasks = 1 + int(small_sets * 2 // block)
-    dealt = members.join(sizes, "root").withColumn("at", F.pmod(F.xxhash64("nid"), "blocks").cast("int"))
+    # a root may stand for very many members: such roots are joined by broadcast
+    n_roots = sizes.count()
+    dealt = lookup_join(members, sizes, ["root"], weight="n_sets", dim_rows=n_roots).withColumn("at", F.pmod(F.xxhash64("nid"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = F.xxhash64("root", F.least("at", "other"), F.greatest("at", "other"))
     dealt = dealt.select(
@@ -418,7 +421,8 @@ def near_vectors(
     )
     links = dealt.groupBy("task").applyInArrow(_count_links(threshold), "nid long, links long")
     links = links.groupBy("nid").agg(F.sum("links").alias("links"))
-    result = members.select("cid", "nid", "root").join(sizes.select("root", "lowest"), "root").join(links, "nid", "left")
+    named = lookup_join(members.select("cid", "nid", "root"), sizes.select("root", "lowest", "n_sets"), ["root"], weight="n_sets", dim_rows=n_roots)
+    result = named.join(links, "nid", "left")
     result = classes.select("cid", "copies", "first_id").join(result, "cid", "left")
     result = staged(
         result.select(

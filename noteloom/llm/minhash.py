@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from noteloom.llm.common import byte_rows, mix, pieces_of, small, staged, text_key, word_bounds, word_hashes
 from noteloom.llm.graph import components
+from noteloom.runtime import lookup_join
 
 BANDS, ROWS = 20, 6
 BATCH = 12  # signature positions compared between two looks at the posterior
@@ -278,11 +279,12 @@ def minhash_components(
     members = staged(groups.withColumnRenamed("node", "cls").join(classes, "cls"))
     sizes = members.groupBy("root").agg(F.count("*").alias("n_sets"), F.sum("n_shingles").alias("weight"))
     blocks = F.greatest(F.ceil(F.col("n_sets") / block_sets), F.ceil(F.col("weight") / block_shingles), F.lit(1))
-    sizes = staged(sizes.select("root", "weight", blocks.cast("int").alias("blocks")))
+    sizes = staged(sizes.select("root", "n_sets", "weight", blocks.cast("int").alias("blocks")))
     weight = sizes.where("blocks = 1").agg(F.sum("weight")).first()[0] or 0
     shared_tasks = 1 + int(weight * 2 // block_shingles)
 
-    dealt = members.join(sizes.select("root", "blocks"), "root")
+    # a root may stand for very many members: such roots are joined by broadcast
+    dealt = lookup_join(members, sizes.select("root", "blocks", "n_sets"), ["root"], weight="n_sets", dim_rows=sizes.count())
     block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
@@ -310,8 +312,8 @@ def minhash_components(
     linked = components(links)
 
     named = classes.select("cls", "doc_id").join(linked.withColumnRenamed("node", "cls"), "cls")
-    lowest = named.groupBy("root").agg(F.min("doc_id").alias("lowest"))
-    lowest = linked.join(lowest, "root").select(F.col("node").alias("cls"), "lowest")
+    lowest = named.groupBy("root").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("n"))
+    lowest = lookup_join(linked, lowest, ["root"], weight="n").select(F.col("node").alias("cls"), "lowest")
     names = classes.select("cls", "doc_id").join(lowest, "cls", "left")
     names = staged(names.select("cls", F.coalesce("lowest", "doc_id").alias("component_id")))
     rows_out = signed.select("doc_id", "tkey", "n_shingles", "cls").join(names, "cls", "left")
