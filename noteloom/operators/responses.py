@@ -42,6 +42,11 @@ def _result(content, model, usage, tokens_in, tokens_out, finish, uses) -> Colum
     )
 
 
+def _is_json(text: Column) -> Column:
+    """Whether a text is JSON; an object may repeat a key, which a variant does not allow."""
+    return F.try_parse_json(text).isNotNull() | F.get_json_object(text, "$").isNotNull()
+
+
 def normalize_responses(logs: DataFrame) -> DataFrame:
     """Response logs (response_id, provider, body) in one shape whatever the provider.
 
@@ -52,7 +57,7 @@ def normalize_responses(logs: DataFrame) -> DataFrame:
     first = F.get(o["choices"], F.lit(0))
     calls = F.filter(first["message"]["tool_calls"], lambda c: c["function"].isNotNull())
     arguments = lambda c: F.when(_blank(c["function"]["arguments"]) == "", "{}").otherwise(c["function"]["arguments"])
-    calls = F.filter(calls, lambda c: F.try_parse_json(arguments(c)).isNotNull())
+    calls = F.filter(calls, lambda c: _is_json(arguments(c)))
     openai = _result(
         _blank(first["message"]["content"]),
         o["model"],
@@ -130,10 +135,21 @@ def _pick_token(event: dict, provider: str) -> str:
         return ""
 
 
+def _complete_event(payload: str, provider: str) -> dict | None:
+    """The event of a line that needs no other line, None for a fragment or any other JSON."""
+    try:
+        event = json.loads(payload)
+    except ValueError:
+        return None
+    name = {"anthropic": "type", "gemini": "candidates"}.get(provider, "choices")
+    return event if isinstance(event, dict) and name in event else None
+
+
 def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Tokens of broken responses, whose lines arrive in order: fragments are glued until they parse.
 
-    Lines stream through; only the text of the response at hand is held.
+    A ``data:`` line that is a whole event of its own ends a fragment that has not become one: the fragment is lost, and
+    what follows is not. Lines stream through; only the text of the response at hand is held.
     """
     current, held, out = None, "", []
     for batch in batches:
@@ -144,6 +160,11 @@ def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     done.append((current, "".join(out)))
                 current, held, out = rid, "", []
             if line.startswith("data: "):
+                alone = _complete_event(line[6:], provider) if held else None
+                if alone is not None:
+                    held = ""
+                    out.append(_pick_token(alone, provider))
+                    continue
                 held += line[6:]
             elif held:
                 held += line
@@ -172,7 +193,7 @@ def sse_reassemble(lines: DataFrame) -> DataFrame:
     is_data = F.startswith(F.col("line"), F.lit("data: ")) & (F.col("line") != "data: [DONE]")
     payload = F.when(is_data, F.substring("line", 7, 1 << 30))
     events = trimmed.withColumn("_payload", payload)
-    torn = F.col("_payload").isNotNull() & F.try_parse_json("_payload").isNull()
+    torn = F.col("_payload").isNotNull() & ~_is_json(F.col("_payload"))
     tokens = events.select("response_id", "line_no", F.when(~torn, _token(F.col("_payload"))).alias("t"), torn.alias("torn"))
     # Lines without a token leave no entry in the lists: collect_list skips nulls.
     entry = lambda order: F.when(F.coalesce("t", F.lit("")) != "", F.struct(order, "t"))

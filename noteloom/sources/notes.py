@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterator
+from fnmatch import fnmatch
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +17,13 @@ from noteloom.runtime import checked, stage
 
 def scan_files(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
     """Markdown files below ``root`` as notes. Metadata-only queries never open the files' text:
-    ``size`` and ``mtime`` come from the listing."""
-    # Built from the directory's own URI so that the prefix matches whatever the file system is.
+    ``size`` and ``mtime`` come from the listing.
+
+    Spark's readers leave out names that begin with ``_`` or ``.``. Files and folders with ``_`` are notes like
+    others here: they are listed apart and read by the tasks. Names with ``.`` are hidden.
+    """
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toUri()
     raw = (
         spark.read.format("text")
         .option("wholetext", True)
@@ -26,10 +37,41 @@ def scan_files(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
             F.col("_metadata.file_modification_time").alias("mtime"),
         )
     )
-    prefix = root.rstrip("/") + "/"
-    prefix = prefix.split(":", 1)[1].lstrip("/") if ":" in prefix else prefix.lstrip("/")
-    path = F.substring("uri", F.position(F.lit(prefix), F.col("uri")) + len(prefix), F.char_length("uri"))
-    return as_notes(raw.withColumn("path", path))
+    whole = F.regexp_replace("uri", r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?", "")
+    start = len(base.getPath().rstrip("/")) + 2  # behind the root's own path and its slash
+    seen = raw.withColumn("path", F.substring(whole, start, 1 << 30)).drop("uri")
+    apart = _underscored(spark, base, glob)
+    return as_notes(seen if apart is None else seen.unionByName(apart))
+
+
+def _underscored(spark: SparkSession, base, glob: str) -> DataFrame | None:
+    """Notes whose path below ``base`` has a part that begins with ``_``; None if there are none."""
+    uri = base.toString()
+    try:
+        system, top = fs.FileSystem.from_uri(base.getPath() if base.getScheme() == "file" else uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):  # a store that only Spark's readers reach
+        warnings.warn(f"notes with names that begin with _ cannot be listed below {uri}", stacklevel=3)
+        return None
+    found = []
+    for info in system.get_file_info(fs.FileSelector(top, recursive=True)):
+        path = info.path[len(top.rstrip("/")) + 1 :]
+        parts = path.split("/")
+        if info.is_file and any(p[:1] == "_" for p in parts) and not any(p[:1] == "." for p in parts) and fnmatch(parts[-1], glob):
+            found.append((path, info.path, info.size, info.mtime))
+    if not found:
+        return None
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                with system.open_input_stream(batch.column("at")[i].as_py()) as stream:
+                    text = stream.read().decode("utf-8", "replace")
+                row = batch.slice(i, 1)
+                columns = [row.column("path"), pa.array([text]), row.column("size"), row.column("mtime")]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "content", "size", "mtime"])
+
+    listed = spark.createDataFrame(found, "path string, at string, size long, mtime timestamp")
+    return listed.mapInArrow(read, "path string, content string, size long, mtime timestamp")
 
 
 def as_notes(df: DataFrame) -> DataFrame:

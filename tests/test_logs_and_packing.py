@@ -316,3 +316,20 @@ def test_retriever_hybrid_fallback(spark):
     assert rows[2, "n0.md::0"].score > 0.3
     with pytest.raises(ValueError):
         r.search(queries, 0)
+
+
+def test_tool_calls_with_repeated_keys_stay(spark):
+    call = {"id": "c", "function": {"name": "f", "arguments": '{"a": 1, "a": 2}'}}
+    broken = {"id": "d", "function": {"name": "g", "arguments": '{"a": 1, "a": 2'}}
+    body = json.dumps({"choices": [{"message": {"content": "x", "tool_calls": [call, broken]}}]})
+    got = responses.normalize_responses(spark.createDataFrame([("r", "openai", body)], "response_id string, provider string, body string")).first()
+    assert [(t["name"], t["input"]) for t in got.tool_uses] == [("f", '{"a": 1, "a": 2}')]
+
+
+def test_a_broken_fragment_does_not_swallow_the_rest(spark):
+    event = lambda t: json.dumps({"choices": [{"delta": {"content": t}}]})
+    torn = event("C")
+    lines = ["data: " + event("A"), 'data: {"choices": [{"del', "data: " + event("B"), "data: " + torn[:20], torn[20:], "data: " + torn[:9], "data: " + torn[9:], "data: " + event("D")]
+    rows = [("r", "openai", i, line) for i, line in enumerate(lines)]
+    got = responses.sse_reassemble(spark.createDataFrame(rows, "response_id string, provider string, line_no int, line string")).collect()
+    assert [(r.response_id, r.content) for r in got] == [("r", "ABCCD")]

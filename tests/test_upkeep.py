@@ -130,6 +130,20 @@ def test_scan_files(spark, tmp_path):
     assert [r.path for r in src.in_folder(src.scan_files(spark, str(root)), "sub dir").collect()] == ["sub dir/ü.md"]
 
 
+def test_scan_files_keeps_underscored_names_and_roots(spark, tmp_path, monkeypatch):
+    root = tmp_path / "vault" / "a" / "vault"  # a name that comes twice in the path
+    for name in ("_template.md", "sub/_index.md", "_dir/x.md", "plain.md", ".hidden.md", ".trash/y.md", "_no.txt", "a+b c%.md"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"text of {name} é")
+    want = {n: f"text of {n} é" for n in ("_template.md", "sub/_index.md", "_dir/x.md", "plain.md", "a+b c%.md")}
+    monkeypatch.chdir(tmp_path)
+    for given in (str(root), f"{root}/", f"file:{root}", f"file://{root}"):
+        got = {r.path: r for r in src.scan_files(spark, given).collect()}
+        assert {p: r.content for p, r in got.items()} == want, given
+        assert all(r.size == len(r.content.encode()) and r.mtime is not None for r in got.values())
+    assert {r.name for r in src.scan_files(spark, str(root)).where("path like '%_index.md'").collect()} == {"_index"}
+
+
 # --- streaming -------------------------------------------------------------------------------
 
 
