@@ -326,7 +326,7 @@ union all select a.path, 5, '#Profile' from {notes} a union all select a.path, 6
 
 
 @query(
-    f"""{S.WITH_NOTES}, l as ({_FORMS.format(notes="notes", customer="customer", nation="nation", region="region")}),
+    rf"""{S.WITH_NOTES}, l as ({_FORMS.format(notes="notes", customer="customer", nation="nation", region="region")}),
     k as (select *, regexp_replace(regexp_replace(cut, '^(\.{{0,2}}/)+', ''), '\.[mM][dD]$', '') as key, regexp_extract(path, '^(.*)/[^/]*$', 1) as folder
       from (select *, 0 as step, target as cut from l union all select *, 6, split_part(target, '#', 1) from l)),
     m as (select path as hit, regexp_replace(path, '\.md$', '') as whole, length(path) as len from notes),
