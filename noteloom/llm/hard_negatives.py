@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.llm.common import BROADCAST_BYTES, staged
-from noteloom.llm.heap_clusters import all_finite, whole_numbers
+from noteloom.llm.heap_clusters import all_finite
 
 BUCKET = 1024  # vectors in a length bucket
 ANCHORS = 256  # anchors in a block
