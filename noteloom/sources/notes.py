@@ -11,7 +11,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.functions.text import base_name, content_hash, extension, file_name
+from noteloom.functions.text import base_name, content_hash, extension
 from noteloom.runtime import checked, stage
 
 
