@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,13 +14,42 @@ from noteloom.functions.text import replace_first
 
 MERGE_GAP = 6
 CONTEXT = 3
+MANY_PLACES = 16
+
+
+def _masks(new: list[str]) -> Callable[[str], int]:
+    """Function from a line to the bits of its places in ``new``.
+
+    Bits of lines that stand at many places are kept; there are few of those. Others are set anew for each use, so that
+    a text of all different lines does not hold a bit row for each.
+    """
+    places: dict[str, list[int]] = {}
+    for j, line in enumerate(new):
+        places.setdefault(line, []).append(j)
+    width = len(new) // 8 + 1
+    kept: dict[str, int] = {}
+
+    def mask(line: str) -> int:
+        if line in kept:
+            return kept[line]
+        bits = bytearray(width)
+        for j in places.get(line, ()):
+            bits[j >> 3] |= 1 << (j & 7)
+        value = int.from_bytes(bits, "little")
+        if len(places.get(line, ())) > MANY_PLACES:
+            kept[line] = value
+        return value
+
+    return lambda line: mask(line) if line in places else 0
 
 
 def _line_ops(old: list[str], new: list[str]) -> list[tuple[str, str]]:
     """Longest-common-subsequence diff; among equal choices an addition is written last.
 
-    Only every step-th row of the table is kept; the rows between two of them are computed again while
-    walking back, so memory grows with the root of the number of old lines.
+    A row of the table of lengths is one whole number: a bit of 0 says that the length grows by one at that new line, so a row
+    follows from the one before by an addition and two logical operations over all new lines at once. Only every
+    step-th row is kept; the rows between two of them are computed again while walking back, so memory
+    grows with the root of the number of old lines.
     """
     # Equal last lines are always kept, so only what precedes them needs the table.
     tail = 0
@@ -29,38 +57,39 @@ def _line_ops(old: list[str], new: list[str]) -> list[tuple[str, str]]:
         tail += 1
     kept = [("same", line) for line in old[len(old) - tail :]]
     old, new = old[: len(old) - tail], new[: len(new) - tail]
-    ids: dict[str, int] = {}
-    a = np.array([ids.setdefault(x, len(ids)) for x in old])
-    b = np.array([ids.setdefault(x, len(ids)) for x in new])
+    if not old or not new:
+        return [("remove", line) for line in old] + [("add", line) for line in new] + kept
+    mask = _masks(new)
+    every = (1 << len(new)) - 1
 
-    def following(row: np.ndarray, value: int) -> np.ndarray:
-        out = np.zeros_like(row)
-        np.maximum.accumulate(np.maximum(row[:-1] + (b == value), row[1:]), out=out[1:])
-        return out
+    def following(row: int, line: str) -> int:
+        met = row & mask(line)
+        return ((row + met) | (row - met)) & every if met else row
 
-    step = math.isqrt(len(a)) + 1
-    row = np.zeros(len(b) + 1, dtype=np.int32)
+    step = math.isqrt(len(old)) + 1
+    row = every
     saved = [row]
-    for i, value in enumerate(a, start=1):
-        row = following(row, value)
+    for i, line in enumerate(old, start=1):
+        row = following(row, line)
         if i % step == 0:
             saved.append(row)
-    ops, i, j, at, block = [], len(a), len(b), -1, []
-    while i or j:
-        if i and (i - 1) // step != at:
+    ops, i, j, at, block = [], len(old), len(new), -1, []
+    while i and j:
+        if (i - 1) // step != at:
             at = (i - 1) // step
             block = [saved[at]]
-            for value in a[at * step : (at + 1) * step]:
-                block.append(following(block[-1], value))
-        if i and j and a[i - 1] == b[j - 1]:
+            for line in old[at * step : (at + 1) * step]:
+                block.append(following(block[-1], line))
+        if old[i - 1] == new[j - 1]:
             i, j = i - 1, j - 1
             ops.append(("same", old[i]))
-        elif j and (not i or block[i - at * step][j - 1] >= block[i - 1 - at * step][j]):
+        elif block[i - at * step] >> (j - 1) & 1:  # as long without this new line
             j -= 1
             ops.append(("add", new[j]))
         else:
             i -= 1
             ops.append(("remove", old[i]))
+    ops += [("add", line) for line in reversed(new[:j])] + [("remove", line) for line in reversed(old[:i])]
     return ops[::-1] + kept
 
 

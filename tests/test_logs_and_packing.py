@@ -2,6 +2,8 @@ import json
 import random
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from noteloom.operators import chatlog, context, diff, embedding, packing, responses
@@ -56,10 +58,18 @@ def test_diff_matches_model(spark):
         assert got[i] == m.diff(a, b), (a, b)
 
 
-def test_long_diff_keeps_every_line():
-    """5,000 lines a side: the kept and removed lines are the old text, the kept and added ones the new."""
+@given(st.lists(st.sampled_from("abc"), max_size=40), st.lists(st.sampled_from("abc"), max_size=40))
+def test_line_ops_take_the_models_path(old, new):
+    """Rows of bits choose the same one of several longest diffs as the full table, also where kept rows are computed again."""
+    got = diff._line_ops([*old, "x"], [*new, "y"])
+    assert got == m.diff("\n".join([*old, "x"]), "\n".join([*new, "y"]))
+
+
+@pytest.mark.parametrize("kinds", [300, 10**9])
+def test_long_diff_keeps_every_line(kinds):
+    """50,000 lines a side: the kept and removed lines are the old text, the kept and added ones the new."""
     rng = random.Random(4)
-    old = [f"l{rng.randrange(900)}" for _ in range(5000)]
+    old = [f"l{rng.randrange(kinds)}" for _ in range(50_000)]
     new = [x for x in old if rng.random() > 0.1] + ["end"]
     ops = diff._line_ops(old, new)
     assert [x for op, x in ops if op != "add"] == old and [x for op, x in ops if op != "remove"] == new
