@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions.text import base_name, char_bigrams, epoch_micros, folder_segments
-from noteloom.runtime import checked, rounded, stage
+from noteloom.runtime import BROADCAST_ROWS, rounded, stage
 
 # --- fixed values: weights of the four parts and the link scores by distance ---
 WEIGHTS = {"link": 0.4, "folder": 0.3, "name": 0.15, "time": 0.15}
 LINK_SELF, LINK_ONE, LINK_TWO = 1.0, 0.8, 0.4
 HALF_WIDTH_DAYS = 7
 # -------------------------------------------------------------------------------
-_SALTS = 16
+HUB_PART = 10_000  # neighbours
+_HUBS = 100_000
 
 
 def folder_score(a: Column | str, b: Column | str) -> Column:
@@ -45,36 +46,60 @@ def time_score(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(F.exp(-days / F.lit(float(HALF_WIDTH_DAYS))), F.lit(0.0))
 
 
-def link_scores(pairs: DataFrame, graph: DataFrame) -> DataFrame:
+def _split_hubs(arcs: DataFrame, n_arcs: int, degree: DataFrame, part: int) -> tuple[DataFrame, DataFrame]:
+    """(arcs, parts): arcs (near, mid, _part) with the lists of hubs dealt to parts; (src, _parts) of every hub.
+
+    A hub has more than ``part`` neighbours and more than 1/100,000 of all arcs, so there are never more than
+    100,000 of them and they may be broadcast, whatever the graph.
+    """
+    size = max(part, n_arcs // _HUBS)
+    hubs = degree.where(F.col("deg") > size).select("src", F.ceil(F.col("deg") / size).cast("int").alias("_parts"))
+    dealt = arcs.join(F.broadcast(hubs), "src", "left").select(
+        F.col("src").alias("near"),
+        F.col("dst").alias("mid"),
+        F.pmod(F.xxhash64("dst"), F.coalesce("_parts", F.lit(1))).cast("int").alias("_part"),
+    )
+    return dealt, hubs
+
+
+def link_scores(pairs: DataFrame, graph: DataFrame, few: int = BROADCAST_ROWS // 2, part: int = HUB_PART) -> DataFrame:
     """(anchor, target, link): 1 for the note itself, 0.8 for a neighbour, 0.4 for two hops, else 0.
 
     A two-hop test asks whether two neighbour lists meet. Only the shorter list of each pair is
     expanded and its members are looked up as (middle, other end) edges, so a hub is expanded only
-    when both ends are hubs; the expansion join is salted for that case. The graph is reduced to
-    what the pairs touch before anything else; few pairs are broadcast to it.
+    when both ends are hubs. Up to ``few`` pairs are broadcast to the graph, which then is not shuffled.
+    Beyond that pairs and lists meet by shuffle, and the list of a hub is split by its counted length into parts of about
+    ``part`` neighbours, tasks of their own. Only the distinct pairs are staged.
     """
-    asked = checked(pairs.select("anchor", "target").distinct())
-    direct = graph.select(F.col("src").alias("anchor"), F.col("dst").alias("target")).join(asked, ["anchor", "target"], "left_semi")
-    known = stage(asked.join(direct.withColumn("_one", F.lit(True)), ["anchor", "target"], "left"))
-    open_pairs = known.where(F.col("_one").isNull() & (F.col("anchor") != F.col("target"))).select("anchor", "target")
-    ends = checked(open_pairs.select(F.explode(F.array("anchor", "target")).alias("src")).distinct())
-    degree = stage(graph.join(ends, "src", "left_semi").groupBy("src").agg(F.count("*").alias("deg")))
-    sized = open_pairs.join(degree.select(F.col("src").alias("anchor"), F.col("deg").alias("_da")), "anchor").join(
+    asked = stage(pairs.select("anchor", "target").distinct())
+    small = asked.count() <= few
+    sent = F.broadcast if small else (lambda df: df)
+    arcs = graph.select(F.col("src").alias("anchor"), F.col("dst").alias("target"))
+    one = arcs.join(sent(asked), ["anchor", "target"], "left_semi").withColumn("_one", F.lit(True))
+    apart = asked.where(F.col("anchor") != F.col("target")).join(sent(one), ["anchor", "target"], "left_anti")
+    ends = sent(apart.select(F.explode(F.array("anchor", "target")).alias("src")).distinct())
+    touched = graph.select("src", "dst").join(ends, "src", "left_semi")
+    degree = sent(touched.groupBy("src").agg(F.count("*").alias("deg")))
+    sized = apart.join(degree.select(F.col("src").alias("anchor"), F.col("deg").alias("_da")), "anchor").join(
         degree.select(F.col("src").alias("target"), F.col("deg").alias("_dt")), "target"
     )
-    small_is_anchor = F.col("_da") <= F.col("_dt")
+    swap = F.col("_da") > F.col("_dt")
     probes = sized.select(
         "anchor",
         "target",
-        F.when(small_is_anchor, F.col("anchor")).otherwise(F.col("target")).alias("near"),
-        F.when(small_is_anchor, F.col("target")).otherwise(F.col("anchor")).alias("far"),
-    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    arcs = graph.select(
-        F.col("src").alias("near"), F.col("dst").alias("mid"), F.pmod(F.xxhash64("dst"), F.lit(_SALTS)).cast("int").alias("_salt")
+        F.when(swap, F.col("target")).otherwise(F.col("anchor")).alias("near"),
+        F.when(swap, F.col("anchor")).otherwise(F.col("target")).alias("far"),
     )
+    if small:
+        met = touched.select(F.col("src").alias("near"), F.col("dst").alias("mid")).join(F.broadcast(probes), "near")
+    else:
+        lists, hubs = _split_hubs(touched, graph.count(), degree, part)
+        split = probes.join(F.broadcast(hubs.withColumnRenamed("src", "near")), "near", "left").withColumn(
+            "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+        )
+        met = lists.join(split, ["near", "_part"])
     two = (
-        arcs.join(checked(probes), ["near", "_salt"])
-        .join(graph.select(F.col("src").alias("mid"), F.col("dst").alias("far")), ["mid", "far"], "left_semi")
+        met.join(touched.select(F.col("src").alias("far"), F.col("dst").alias("mid")), ["far", "mid"], "left_semi")
         .select("anchor", "target")
         .distinct()
         .withColumn("_two", F.lit(True))
@@ -85,7 +110,11 @@ def link_scores(pairs: DataFrame, graph: DataFrame) -> DataFrame:
         .when(F.col("_two"), LINK_TWO)
         .otherwise(0.0)
     )
-    return known.join(two, ["anchor", "target"], "left").select("anchor", "target", score.alias("link"))
+    return (
+        asked.join(sent(one), ["anchor", "target"], "left")
+        .join(sent(two), ["anchor", "target"], "left")
+        .select("anchor", "target", score.alias("link"))
+    )
 
 
 def proximity_scores(pairs: DataFrame, notes: DataFrame, graph: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from noteloom.operators import hybrid, proximity
@@ -215,7 +216,9 @@ def test_edge_changes_keep_other_notes_links(spark):
     assert apply_edge_changes(edges, gone, fresh.limit(0)).collect() == []
 
 
-def test_link_scores_against_bfs(spark):
+@pytest.mark.parametrize("options", [{}, {"few": 0}, {"few": 0, "part": 3}])
+def test_link_scores_against_bfs(spark, options):
+    """Broadcast, by shuffle, and by shuffle with lists of more than 3 neighbours split."""
     pairs = [(f"n{i}", f"n{j}") for i, j in [(0, 1), (0, 2), (0, 3), (4, 5), (6, 7), (1, 8), (2, 9), (3, 10)]] + [("n0", f"n{i}") for i in range(11, 40)]
     graph = link_graph(spark.createDataFrame(pairs, "src string, dst string"))
     near = {}
@@ -224,7 +227,9 @@ def test_link_scores_against_bfs(spark):
         near.setdefault(b, set()).add(a)
     names = [f"n{i}" for i in range(14)] + ["lonely"]
     asked = spark.createDataFrame([(a, b) for a in names for b in names], "anchor string, target string")
-    for r in proximity.link_scores(asked, graph).collect():
+    found = proximity.link_scores(asked, graph, **options).collect()
+    assert len(found) == len(names) ** 2
+    for r in found:
         hops = near.get(r.anchor, set())
         want = 1.0 if r.anchor == r.target else 0.8 if r.target in hops else 0.4 if any(r.target in near[x] for x in hops) else 0.0
         assert r.link == want, (r.anchor, r.target)
