@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions.text import count_occurrences, js_trim, tokenize, utf16_length
 from noteloom.operators.text_index import TextIndex, term_counts
-from noteloom.runtime import BROADCAST_ROWS, bounded_rows, rounded, stage
+from noteloom.runtime import BROADCAST_ROWS, bounded_rows, checked, rounded, stage
 
-# A query list up to this size is shipped as literals; longer ones are joined by character pairs.
+# A query list up to this size is shipped as literals; longer ones are looked up by runs of characters.
 FALLBACK_QUERIES = 200
-_SALTS = 32
+GRAM = 3
+_PIECE = 1 << 14  # characters of a text that are cut into runs at a time
 
 
 def top_k(scored: DataFrame, k: int, ties: list[str], by: str = "query_id", score: str = "score") -> DataFrame:
@@ -162,26 +163,52 @@ def substring_hits(
     return pairs.select("query_id", key, *extra, rounded(score).alias("score"))
 
 
-def _gram_pairs(plain: DataFrame, low: DataFrame, key: str) -> DataFrame:
-    """Candidate pairs for many fallback queries: equi-join on the query's first one or two
-    characters, salted by document because a common pair may occur in most documents."""
-    head = F.substring("q", 1, 2)
-    salted_q = plain.withColumn("_g", head).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    n = F.char_length("_low")
-    at = F.sequence(F.lit(1), n)
-    grams = F.array_distinct(
-        F.concat(
-            F.transform(at, lambda i: F.substring(F.col("_low"), i, F.lit(1))),
-            F.transform(at, lambda i: F.substring(F.col("_low"), i, F.lit(2))),
-        )
+def _runs(chars: Column, n: int) -> Column:
+    """All runs of ``n`` neighbours of an array of characters, joined."""
+    starts = F.sequence(F.lit(1), F.size(chars) - (n - 1))
+    whole = F.transform(starts, lambda i: F.array_join(F.slice(chars, i, n), ""))
+    return F.when(F.size(chars) >= n, whole).otherwise(F.array().cast("array<string>"))
+
+
+def _gram_postings(low: DataFrame, needed: DataFrame, key: str) -> DataFrame:
+    """(key, gram): which documents hold which of the ``needed`` runs of characters.
+
+    Texts are read in pieces that overlap by what a run needs, so the work per text is linear and a very long
+    text never becomes one array.
+    """
+    lengths = [n for n in range(1, GRAM + 1) if needed.where(F.char_length("gram") == n).limit(1).count()]
+    pieces = low.where(F.col("_low") != "").select(
+        key, "_low", F.explode(F.sequence(F.lit(0), F.floor((F.char_length("_low") - 1) / _PIECE).cast("int"))).alias("_at")
     )
-    salted_d = (
-        low.where(n > 0)
-        .select(key, F.pmod(F.xxhash64(key), F.lit(_SALTS)).cast("int").alias("_s"), F.explode(grams).alias("_g"))
-        .join(plain.select(head.alias("_g")).distinct(), "_g", "left_semi")
+    piece = F.substring("_low", F.col("_at") * _PIECE + 1, F.lit(_PIECE + GRAM - 1))
+    chars = pieces.select(key, F.split(piece, "").alias("_chars"))
+    grams = F.array_distinct(F.concat(F.array().cast("array<string>"), *[_runs(F.col("_chars"), n) for n in lengths]))
+    found = chars.select(key, F.explode(grams).alias("gram")).join(needed, "gram", "left_semi")
+    return found.distinct()
+
+
+def _gram_pairs(plain: DataFrame, low: DataFrame, key: str) -> DataFrame:
+    """Matching (document, query) pairs for many fallback queries, by postings of character runs.
+
+    A query of up to 3 characters is a run itself; of a longer one the run that the fewest documents hold produces the
+    candidates, which are verified. A query with a run that no document holds has none. Equal queries are looked up
+    once. Only ids and runs are shuffled; the texts meet the candidates at the end.
+    """
+    texts = plain.select("q").distinct()
+    parts = F.when(F.char_length("q") <= GRAM, F.array("q")).otherwise(F.array_distinct(_runs(F.split("q", ""), GRAM)))
+    runs = stage(texts.select("q", F.explode(parts).alias("gram")))
+    postings = stage(_gram_postings(low, checked(runs.select("gram").distinct()), key))
+    held = postings.groupBy("gram").agg(F.count("*").alias("_n"))
+    rarest = (
+        runs.join(held, "gram", "left")
+        .groupBy("q")
+        .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("best"))
+        .where("best.n > 0")
+        .select("q", F.col("best.gram").alias("gram"))
     )
-    found = salted_d.join(salted_q, ["_g", "_s"]).select(key, "query_id", "q")
-    return found.join(low, key).where(F.contains(F.col("_low"), F.col("q")))
+    candidates = checked(postings.join(checked(rarest), "gram").select(key, "q"))
+    found = low.join(candidates, key).where(F.contains(F.col("_low"), F.col("q")))
+    return found.join(checked(plain), "q")
 
 
 def text_search(

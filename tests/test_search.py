@@ -1,11 +1,13 @@
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from noteloom.operators import hybrid, proximity
+from noteloom.operators import text_search as search_operators
 from noteloom.operators.links import apply_edge_changes, link_graph, note_edges, resolve_links, written_links
 from noteloom.operators.text_index import build_index, document_frequencies, term_frequencies, updated_document_frequencies
 from noteloom.operators.text_search import _gram_pairs, cosine_hits, text_search
@@ -67,6 +69,31 @@ def test_gram_join_equals_literal_scan(spark):
     assert got == want
 
 
+def test_runs_of_characters_equal_the_literal_scan(spark, monkeypatch):
+    """Both ways give the same hits: runs over the border of pieces, wide characters, repeated queries, empty texts."""
+    rng = random.Random(5)
+    rows = [(f"d{i}", "".join(rng.choice("e.,!?-😀é日 ") for _ in range(rng.randrange(60)))) for i in range(60)]
+    rows += [("long", "e." * 8191 + "!?-.,e😀" + "x" * 40_000 + "?!"), ("empty", ""), ("same", rows[0][1])]
+    docs = spark.createDataFrame(rows, "id string, text string")
+    asked = [".,", "?!", "日", "😀", "😀!", "e.", "e😀!?", "!?-.,", "?-.,-", "--!!--!!", "e."]
+    asked += ["".join(rng.choice(".,!?-😀") for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, text string")
+    found = []
+    for limit in (10_000, 0):
+        monkeypatch.setattr(search_operators, "FALLBACK_QUERIES", limit)
+        found.append(sorted(map(tuple, search_operators.substring_hits(q, docs, "id", "text").collect())))
+    assert found[0] == found[1] and {"!?-.,", "?!"} <= {asked[i] for i, d, _ in found[1] if d == "long"}
+
+
+def test_rare_runs_give_the_candidates(spark):
+    """A run that every document holds brings no candidates for a query that also has a rare one."""
+    docs = spark.createDataFrame([(i, "e. " + ("?!," if i == 7 else "-")) for i in range(50)], "id int, _low string")
+    needed = spark.createDataFrame([("e. ",), (". ?",)], "gram string")
+    assert {(r.id, r.gram) for r in search_operators._gram_postings(docs, needed, "id").collect()} == {(i, "e. ") for i in range(50)} | {(7, ". ?")}
+    q = spark.createDataFrame([(0, "e. ?!"), (1, "e. ?-")], "query_id int, q string")
+    assert [(r.query_id, r.id) for r in _gram_pairs(q, docs, "id").collect()] == [(0, 7)]
+
+
 def test_document_frequencies_update(spark):
     docs, _ = _frames(spark)
     tf = term_frequencies(docs, "id", "text")
