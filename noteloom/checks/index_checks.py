@@ -111,7 +111,7 @@ def export_index(spark, sf):
 # --- a stored index: written from the stale notes, brought up to date, opened again --------------
 
 
-def _stale_store(spark, sf):
+def stale_store(spark, sf):
     root = f"{shared_dir(spark)}/noteloom/index-{uuid.uuid4().hex}"
     notes = X.stored_notes(spark, sf)
     store = StoredIndex.create(stage(_cached(spark, sf, notes)), root)
@@ -122,7 +122,7 @@ def _stale_store(spark, sf):
 @query(f"{S.WITH_NOTES}, {CHUNK_CTES}, {tf_ctes('chunks', 'chunk_id', 'content')} select term, df, round(idf, 9) as idf from st")
 def stored_index_terms(spark, sf):
     """Document frequencies kept by signed changes over an update equal those of the current chunks."""
-    _, root = _stale_store(spark, sf)
+    _, root = stale_store(spark, sf)
     index = StoredIndex.open(spark, root).text_index()
     return index.terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
@@ -130,7 +130,7 @@ def stored_index_terms(spark, sf):
 @query(f"{S.WITH_NOTES}, {FOUND_CTES} select query_id, chunk_id, path, heading, score, rank from found")
 def stored_index_search(spark, sf):
     """Search over the updated store: the hits of an index built from the current notes."""
-    _, root = _stale_store(spark, sf)
+    _, root = stale_store(spark, sf)
     found = Retriever.stored(StoredIndex.open(spark, root)).search(note_queries(spark, sf).select("query_id", "text"), 5, 0.2)
     return found.select("query_id", "chunk_id", "path", "heading", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -138,7 +138,7 @@ def stored_index_search(spark, sf):
 @query(f"{S.WITH_NOTES}, {LINK_CTES} select src, dst from graph")
 def stored_index_graph(spark, sf):
     """The link graph of the updated store, resolved against the files there are after the update."""
-    _, root = _stale_store(spark, sf)
+    _, root = stale_store(spark, sf)
     return StoredIndex.open(spark, root).graph()
 
 
@@ -152,7 +152,7 @@ _TRIED = [("section", 512, "", True), ("section", 256, "", False), ("paragraph",
 )
 def stored_index_settings(spark, sf):
     """Files that a store offers to sessions of several settings: all of them with its own, else none."""
-    notes, root = _stale_store(spark, sf)
+    notes, root = stale_store(spark, sf)
     out = None
     for strategy, max_tokens, folders, _ in _TRIED:
         store = StoredIndex.open(spark, root, IndexSettings(strategy, max_tokens, folders))

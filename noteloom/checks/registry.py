@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("notes_checks", "search_checks", "log_checks", "index_checks")
+_MODULES = ("notes_checks", "search_checks", "log_checks", "index_checks", "plan_checks")
 
 
 def _modules():

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.functions.text import WS_CLASS, js_rtrim, js_trim, short_title
-from noteloom.runtime import lookup_join
+from noteloom.runtime import checked, lookup_join
 
 # --- fixed values: tag formats and the title of an empty conversation ---
 READ_TAG = r"<vault_read>([^<]+)</vault_read>"
@@ -60,10 +60,16 @@ def truncate_last_user(messages: DataFrame) -> DataFrame:
 
 
 def truncate_at(messages: DataFrame, edits: DataFrame) -> DataFrame:
-    """Messages before an edited user message (conv_id, at_turn); other conversations are kept whole."""
-    targets = edits.join(messages.where(F.col("role") == "user").select("conv_id", F.col("turn").alias("at_turn")), ["conv_id", "at_turn"], "left_semi")
-    joined = messages.join(targets.groupBy("conv_id").agg(F.min("at_turn").alias("_cut")), "conv_id", "left")
-    return joined.where(F.col("_cut").isNull() | (F.col("turn") < F.col("_cut"))).drop("_cut")
+    """Messages before an edited user message (conv_id, at_turn); other conversations are kept whole.
+
+    Of several edits of a conversation the first counts. Cuts are joined by size, as in :func:`truncate_last_user`.
+    """
+    edited = checked(edits.select("conv_id", F.col("at_turn").alias("turn")).distinct())
+    targets = messages.where(F.col("role") == "user").select("conv_id", "turn").join(edited, ["conv_id", "turn"], "left_semi")
+    first = targets.groupBy("conv_id").agg(F.min("turn").alias("_cut"))
+    sizes = messages.join(checked(first.select("conv_id")), "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("_n"))
+    joined = lookup_join(messages, first.join(sizes, "conv_id"), ["conv_id"], weight="_n", how="left")
+    return joined.where(F.col("_cut").isNull() | (F.col("turn") < F.col("_cut"))).drop("_cut", "_n")
 
 
 def read_tags(text: Column | str) -> Column:

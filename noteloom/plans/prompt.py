@@ -43,7 +43,7 @@ def build_prompts(
     notes (request_id, path, position), the anchor note, notes it links to (local scope), notes
     linked in the text, search results (vault scope). A note already in the context is not repeated.
     ``file_list`` limits the file list (all files by default), ``linked_budget`` and ``linked_max`` the
-    linked notes. With ``query_vectors`` (query_id, vector) the search is hybrid, with ``rerank`` results
+    linked notes. With ``query_vectors`` (query_id, embedding) the search is hybrid, with ``rerank`` results
     near the anchor move up.
     """
     req = stage(requests.select("request_id", "text", "scope", "anchor"))
@@ -102,7 +102,7 @@ def build_prompts(
 
     if retriever is not None:
         vault = req.where("scope = 'vault'").select(F.col("request_id").alias("query_id"), "text")
-        near = anchors.select(F.col("request_id").alias("query_id"), F.col("path").alias("anchor_path")) if rerank else None
+        near = anchors.select(F.col("request_id").alias("query_id"), F.col("path").alias("anchor")) if rerank else None
         context = rag_context(stage(retriever.search(vault, k, min_score, query_vectors, near)), vault)
         part(context.withColumnRenamed("query_id", "request_id"), 8, F.col("context"))
     return assemble_prompt(parts)
