@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions.text import js_trim
-from noteloom.runtime import stage
+from noteloom.runtime import checked, stage
 
 _USES = "array<struct<id:string,name:string,input:string>>"
 _OPENAI = (
@@ -115,6 +116,8 @@ def usage_by_model(responses: DataFrame) -> DataFrame:
 
 # --- stream logs -----------------------------------------------------------------------------
 
+_BLOCK = 4096  # lines
+
 
 def _token(payload: Column) -> Column:
     anthropic = F.when(F.get_json_object(payload, "$.type") == "content_block_delta", F.get_json_object(payload, "$.delta.text"))
@@ -135,83 +138,133 @@ def _pick_token(event: dict, provider: str) -> str:
         return ""
 
 
-def _complete_event(payload: str, provider: str) -> dict | None:
-    """The event of a line that needs no other line, None for a fragment or any other JSON."""
-    try:
-        event = json.loads(payload)
-    except ValueError:
-        return None
-    name = {"anthropic": "type", "gemini": "candidates"}.get(provider, "choices")
-    return event if isinstance(event, dict) and name in event else None
+_MARKS = re.compile(r'\\.?|["{}\[\]]', re.DOTALL)
+
+
+class _Fragment:
+    """The text of an event that arrives in pieces; every character is looked at once."""
+
+    def __init__(self) -> None:
+        self.pieces: list[str] = []
+        self.depth, self.quoted, self.escaped = 0, False, False
+
+    def add(self, piece: str) -> bool:
+        """Take a piece; whether all brackets and quotes are closed now."""
+        self.pieces.append(piece)
+        start = 1 if self.escaped and piece else 0
+        self.escaped = self.escaped and not piece
+        for mark in _MARKS.finditer(piece, start):
+            found = mark.group()
+            if found == "\\":
+                self.escaped = True
+            elif self.quoted:
+                self.quoted = found != '"'
+            elif found == '"':
+                self.quoted = True
+            elif found in "{[":
+                self.depth += 1
+            elif found in "}]":
+                self.depth -= 1
+        return self.depth <= 0 and not self.quoted and not self.escaped
 
 
-def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Tokens of broken responses, whose lines arrive in order: fragments are glued until they parse.
+def _glue(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(response_id, line_no, t): tokens of events in pieces. The lines of a stretch arrive in order.
 
-    A ``data:`` line that is a whole event of its own ends a fragment that has not become one: the fragment is lost, and
-    what follows is not. Lines stream through; only the text of the response at hand is held.
+    An event starts at a ``data:`` line with an opening brace and is read when its brackets are closed. If it is not
+    JSON then, it is lost, and so is one that the stretch leaves open. Only the event at hand is held.
     """
-    current, held, out = None, "", []
+    stretch, held = None, None
     for batch in batches:
-        done = []
-        for rid, provider, line in zip(batch["response_id"], batch["provider"], batch["line"]):
-            if rid != current:
-                if current is not None:
-                    done.append((current, "".join(out)))
-                current, held, out = rid, "", []
-            if line.startswith("data: "):
-                alone = _complete_event(line[6:], provider) if held else None
-                if alone is not None:
-                    held = ""
-                    out.append(_pick_token(alone, provider))
+        rows = []
+        columns = ("response_id", "_stretch", "provider", "line_no", "line")
+        for rid, part, provider, line_no, line in zip(*[batch[c] for c in columns]):
+            if (rid, part) != stretch:
+                stretch, held = (rid, part), None
+            is_data = line.startswith("data: ")
+            piece = line[6:] if is_data else line
+            if held is None:
+                if not is_data or not piece.lstrip().startswith("{"):
                     continue
-                held += line[6:]
-            elif held:
-                held += line
-            else:
-                continue
-            try:
-                event = json.loads(held)
-            except ValueError:
-                continue
-            held = ""
-            if isinstance(event, dict):
-                out.append(_pick_token(event, provider))
-        yield pd.DataFrame(done, columns=["response_id", "content"])
-    if current is not None:
-        yield pd.DataFrame([(current, "".join(out))], columns=["response_id", "content"])
+                held = _Fragment()
+            if held.add(piece):
+                text, held = "".join(held.pieces), None
+                try:
+                    token = _pick_token(json.loads(text), provider)
+                except ValueError:
+                    continue
+                rows.append((rid, line_no, token))
+        yield pd.DataFrame(rows, columns=["response_id", "line_no", "t"])
+
+
+def _stretches(events: DataFrame) -> DataFrame:
+    """Add ``_stretch``: the number of whole events before and at a line of its response.
+
+    Counted within blocks of lines and then over the blocks, so no window holds more than a block's lines or a
+    response's blocks.
+    """
+    lines = events.withColumn("_block", F.floor(F.col("line_no") / _BLOCK))
+    whole = F.col("whole").cast("long")
+    blocks = lines.groupBy("response_id", "_block").agg(F.sum(whole).alias("_n"))
+    before = Window.partitionBy("response_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("response_id", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("response_id", "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        lines.withColumn("_inside", F.sum(whole).over(inside))
+        .join(offsets, ["response_id", "_block"])
+        .withColumn("_stretch", F.col("_before") + F.col("_inside"))
+    )
+
+
+def _joined_tokens(tokens: DataFrame, *more: Column) -> DataFrame:
+    """(response_id, content, more) of (response_id, line_no, t): blocks of lines are joined, then the blocks, so a very
+    long response is built by many tasks."""
+    # Lines without a token leave no entry in the lists: collect_list skips nulls.
+    entry = lambda order: F.when(F.coalesce("t", F.lit("")) != "", F.struct(order, "t"))
+    text = lambda order: F.array_join(F.transform(F.array_sort(F.collect_list(entry(order))), lambda x: x["t"]), "")
+    blocks = tokens.groupBy("response_id", F.floor(F.col("line_no") / _BLOCK).alias("block")).agg(text("line_no").alias("t"), *more)
+    return blocks.groupBy("response_id").agg(text("block").alias("content"), *more)
 
 
 def sse_reassemble(lines: DataFrame) -> DataFrame:
     """(response_id, content) from stream log lines (response_id, provider, line_no, line).
 
-    A log whose ``data:`` lines all hold complete JSON is handled line by line with built-ins; only
-    responses with a fragment go to Python, streamed in line order. Complete responses are joined
-    in two levels (blocks of lines, then blocks), so a very long one is built by many tasks.
+    A log whose ``data:`` lines all hold complete JSON is handled line by line with built-ins. Another is
+    cut at its whole events, which end whatever was left open before them; only the stretches between them that
+    hold a torn line go to Python, each a group of its own. So a long response is repaired by many tasks,
+    in time linear in its text, and a lost fragment costs no more than its stretch.
     """
     trimmed = lines.withColumn("line", js_trim("line"))
     is_data = F.startswith(F.col("line"), F.lit("data: ")) & (F.col("line") != "data: [DONE]")
-    payload = F.when(is_data, F.substring("line", 7, 1 << 30))
-    events = trimmed.withColumn("_payload", payload)
+    events = trimmed.withColumn("_payload", F.when(is_data, F.substring("line", 7, 1 << 30)))
     torn = F.col("_payload").isNotNull() & ~_is_json(F.col("_payload"))
-    tokens = events.select("response_id", "line_no", F.when(~torn, _token(F.col("_payload"))).alias("t"), torn.alias("torn"))
-    # Lines without a token leave no entry in the lists: collect_list skips nulls.
-    entry = lambda order: F.when(F.coalesce("t", F.lit("")) != "", F.struct(order, "t"))
-    text = lambda order: F.array_join(F.transform(F.array_sort(F.collect_list(entry(order))), lambda x: x["t"]), "")
-    blocks = tokens.groupBy("response_id", F.floor(F.col("line_no") / 4096).alias("block")).agg(
-        text("line_no").alias("t"), F.max("torn").alias("torn")
-    )
-    done = stage(blocks.groupBy("response_id").agg(text("block").alias("content"), F.max("torn").alias("torn")))
-    broken = done.where("torn").select("response_id")
-    repaired = (
-        trimmed.where(F.col("line") != "data: [DONE]")
+    token = F.when(~F.col("torn"), _token(F.col("_payload"))).alias("t")
+    read = events.withColumn("torn", torn).select("response_id", "line_no", token, "torn")
+    done = stage(_joined_tokens(read, F.max("torn").alias("torn")))
+    broken = checked(done.where("torn").select("response_id"))
+
+    event_key = F.when(F.col("provider") == "anthropic", "type").when(F.col("provider") == "gemini", "candidates").otherwise("choices")
+    keys = F.when(~F.col("torn"), F.json_object_keys("_payload"))
+    cut = (
+        events.where(F.col("line") != "data: [DONE]")
         .join(broken, "response_id", "left_semi")
-        .select("response_id", "provider", "line_no", "line")
-        .repartition("response_id")
-        .sortWithinPartitions("response_id", "line_no")
-        .mapInPandas(_repair, lines.select("response_id", F.lit("").alias("content")).schema)
+        .withColumn("torn", torn)
+        .withColumn("whole", F.coalesce(F.array_contains(keys, event_key), F.lit(False)))
+    )
+    parts = stage(_stretches(cut).select("response_id", "provider", "line_no", "line", "_payload", "torn", "whole", "_stretch"))
+    to_glue = parts.where("torn").select("response_id", "_stretch").distinct()
+    between = parts.where(~F.col("whole"))
+    glued = (
+        between.join(to_glue, ["response_id", "_stretch"], "left_semi")
+        .select("response_id", "_stretch", "provider", "line_no", "line")
+        .repartition("response_id", "_stretch")
+        .sortWithinPartitions("response_id", "_stretch", "line_no")
+        .mapInPandas(_glue, lines.select("response_id", "line_no", F.lit("").alias("t")).schema)
     )
-    return done.where(~F.col("torn")).select("response_id", "content").unionByName(repaired)
+    alone = parts.where("whole").unionByName(between.join(to_glue, ["response_id", "_stretch"], "left_anti"))
+    nothing = broken.select("response_id", F.lit(0).cast(lines.schema["line_no"].dataType).alias("line_no"), F.lit("").alias("t"))
+    found = alone.select("response_id", "line_no", token).unionByName(glued).unionByName(nothing)
+    return done.where(~F.col("torn")).select("response_id", "content").unionByName(_joined_tokens(found))
 
 
 # --- requests --------------------------------------------------------------------------------

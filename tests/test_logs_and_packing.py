@@ -171,6 +171,89 @@ def test_stream_logs(spark):
     assert got == {"plain": "a b", "torn": "broken!", "lost": "", "empty": ""}
 
 
+def _read_stream(logs):
+    """Plain model: whole events end what is open; an event in pieces is read when its brackets close, or lost."""
+    out, held = "", ""
+
+    def token(text):
+        event = json.loads(text)
+        try:
+            return event["choices"][0]["delta"]["content"]
+        except (KeyError, IndexError):
+            return ""
+
+    def closed(text):
+        depth, quoted, skip = 0, False, False
+        for ch in text:
+            if skip:
+                skip = False
+            elif ch == "\\":
+                skip = True
+            elif ch == '"':
+                quoted = not quoted
+            elif not quoted:
+                depth += (ch in "{[") - (ch in "}]")
+        return depth <= 0 and not quoted and not skip
+
+    for line in logs:
+        data = line.startswith("data: ")
+        text = line[6:] if data else line
+        try:
+            event = json.loads(text)
+            whole = data and isinstance(event, dict) and "choices" in event
+        except ValueError:
+            whole = False
+        if whole:
+            held, out = "", out + token(text)
+        elif held or (data and text.startswith("{")):
+            held += text
+            if closed(held):
+                try:
+                    out += token(held)
+                except ValueError:
+                    pass
+                held = ""
+    return out
+
+
+def test_torn_stream_logs_match_model(spark, monkeypatch):
+    """Events torn anywhere, also within escapes and in many pieces, lost heads, tails and middles; blocks of 4 lines."""
+    monkeypatch.setattr(responses, "_BLOCK", 4)
+    rng = random.Random(8)
+    logs = {}
+    for n in range(120):
+        lines = []
+        for _ in range(rng.randrange(1, 14)):
+            said = "".join(rng.choice(['a', '"', "\\", "{", "]", "é", "\n", "b"]) for _ in range(rng.randrange(1, 6)))
+            event = json.dumps({"choices": [{"delta": {"content": said}}]}, ensure_ascii=rng.random() < 0.5)
+            if rng.random() < 0.5:
+                pieces = ["data: " + event]
+            else:
+                at = sorted(rng.sample(range(1, len(event)), rng.randrange(1, 4)))
+                pieces = [event[i:j] for i, j in zip([0, *at], [*at, len(event)])]
+                pieces = ["data: " + pieces[0]] + [rng.choice(["", "data: "]) + p for p in pieces[1:]]
+                if rng.random() < 0.3:
+                    del pieces[rng.randrange(len(pieces))]
+            lines += pieces + rng.choice([[], [""], [": ping"], ['data: {"other":1}'], ["data: nonsense"]])
+        # pieces with white space at their ends are trimmed like any line: both sides see trimmed lines
+        logs[f"r{n}"] = [line.strip() for line in lines]
+    rows = [(k, "openai", i, line) for k, ls in logs.items() for i, line in enumerate(ls)]
+    df = spark.createDataFrame(rows, "response_id string, provider string, line_no int, line string")
+    got = {r.response_id: r.content for r in responses.sse_reassemble(df).collect()}
+    assert got == {k: _read_stream(ls) for k, ls in logs.items()}
+
+
+def test_torn_responses_are_cut_at_whole_events(spark):
+    """A long response is dealt in stretches; gluing looks at every character once, also for an event in 20,000 pieces."""
+    event = json.dumps({"choices": [{"delta": {"content": "x" * 200_000}}]})
+    rows = [("r", "openai", i, ("data: " if i == 0 else "") + event[10 * i : 10 * i + 10]) for i in range(len(event) // 10 + 1)]
+    rows += [("r", "openai", len(rows) + i, line) for i, line in enumerate(['data: {"choices":[]}', 'data: {"cho', 'ices":[{"delta":{"content":"y"}}]}'])]
+    df = spark.createDataFrame(rows, "response_id string, provider string, line_no int, line string")
+    whole = df.withColumn("whole", F.expr("line = 'data: {\"choices\":[]}'"))
+    assert responses._stretches(whole).select("_stretch").distinct().count() == 2
+    assert responses.sse_reassemble(df).first().content == "x" * 200_000 + "y"
+
+
 def test_request_payloads(spark):
     reqs = [
         ("a", "openai", "o3-mini", "sys", 0.2, 10, True),
