@@ -189,7 +189,7 @@ def sse_lines(spark, sf):
 
 @query("select conv_id || '-' || turn as response_id, text as content from conversations where role = 'assistant'")
 def sse_reassemble(spark, sf):
-    return responses.sse_reassemble(stage(sse_lines(spark, sf)))
+    return responses.sse_reassemble(stage(spread(sse_lines(spark, sf))))
 
 
 _PAYLOAD = """with m as (select conv_id, list(struct_pack("role" := role, content := text) order by turn) as all_m,

@@ -251,7 +251,8 @@ def sse_reassemble(lines: DataFrame) -> DataFrame:
         .withColumn("torn", torn)
         .withColumn("whole", F.coalesce(F.array_contains(keys, event_key), F.lit(False)))
     )
-    parts = stage(_stretches(cut).select("response_id", "provider", "line_no", "line", "_payload", "torn", "whole", "_stretch"))
+    rest = F.when(~F.col("whole"), F.col("line")).alias("line")
+    parts = stage(_stretches(cut).select("response_id", "provider", "line_no", rest, token, "torn", "whole", "_stretch"))
     to_glue = parts.where("torn").select("response_id", "_stretch").distinct()
     between = parts.where(~F.col("whole"))
     glued = (
@@ -263,7 +264,7 @@ def sse_reassemble(lines: DataFrame) -> DataFrame:
     )
     alone = parts.where("whole").unionByName(between.join(to_glue, ["response_id", "_stretch"], "left_anti"))
     nothing = broken.select("response_id", F.lit(0).cast(lines.schema["line_no"].dataType).alias("line_no"), F.lit("").alias("t"))
-    found = alone.select("response_id", "line_no", token).unionByName(glued).unionByName(nothing)
+    found = alone.select("response_id", "line_no", "t").unionByName(glued).unionByName(nothing)
     return done.where(~F.col("torn")).select("response_id", "content").unionByName(_joined_tokens(found))
 
 
