@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ MODELS = [
 ]
 BATCH, QUEUE = 100, 100
 ATTEMPTS = 3
+OUT_CELLS = 1 << 20  # numbers of vectors that a task holds before it passes them on: 4 MB
 # -----------------------------------------------------------------------------------------------------
 
 Embedder = Callable[[list[str]], "tuple[Sequence[Sequence[float]], int]"]
@@ -106,28 +108,35 @@ def embed_chunks(
         ]
     )
 
+    def table(keys: list, vectors: list, tokens: list[int], states: list[str]) -> pd.DataFrame:
+        dims = pd.array([None if v is None else len(v) for v in vectors], "Int32")
+        return pd.DataFrame(
+            {key: keys, "provider": provider, "model": model, "dims": dims, "embedding": vectors, "tokens": tokens, "status": states}
+        )
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for start in range(0, len(frame), batch):
-                part = frame.iloc[start : start + batch]
+            keys, texts = frame[key].tolist(), frame[text].tolist()
+            vectors, tokens, states, first, cells = [], [], [], 0, 0
+            for start in range(0, len(texts), batch):
+                part = texts[start : start + batch]
                 try:
-                    vectors, tokens = with_retry(embed, part[text].tolist(), attempts, pause)
-                    if len(vectors) != len(part):
+                    found, used = with_retry(embed, part, attempts, pause)
+                    if len(found) != len(part):
                         raise ValueError("one vector per text expected")
+                    found = [None if v is None else np.array([float(x) for x in v], np.float32) for v in found]
                     status = "ok"
                 except Exception:  # noqa: BLE001 - any failure of the user's function skips its slice
-                    vectors, tokens, status = [None] * len(part), 0, "failed"
-                yield pd.DataFrame(
-                    {
-                        key: part[key].to_numpy(),
-                        "provider": provider,
-                        "model": model,
-                        "dims": [None if v is None else len(v) for v in vectors],
-                        "embedding": [None if v is None else [float(x) for x in v] for v in vectors],
-                        "tokens": [tokens] + [0] * (len(part) - 1),
-                        "status": status,
-                    }
-                ).astype({"dims": "Int32"})
+                    found, used, status = [None] * len(part), 0, "failed"
+                vectors += found
+                tokens += [used] + [0] * (len(part) - 1)
+                states += [status] * len(part)
+                cells += sum(len(v) for v in found if v is not None)
+                if cells >= OUT_CELLS:  # wide vectors leave in parts, narrow ones a frame at a time
+                    yield table(keys[first : first + len(vectors)], vectors, tokens, states)
+                    first, vectors, tokens, states, cells = first + len(vectors), [], [], [], 0
+            if vectors:
+                yield table(keys[first:], vectors, tokens, states)
 
     return pending.select(key, text).mapInPandas(run, schema)
 

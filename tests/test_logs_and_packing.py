@@ -443,3 +443,24 @@ def test_user_function_of_the_retry_query_travels_alone(spark, monkeypatch):
     assert {r.chunk_id: (r.status, r.tokens, r.embedding and r.embedding[0]) for r in done} == {
         "a": ("ok", 3, 3.0), "b": ("failed", 0, None), "c": ("ok", 0, None), "d": ("ok", 3, 3.0)
     }
+
+
+@pytest.mark.parametrize("cells", [1, 5, 1 << 20])
+def test_embedded_slices_leave_together(spark, monkeypatch, cells):
+    """One table for many slices (its pieces bounded by numbers, not by slices), with each slice's own outcome."""
+    monkeypatch.setattr(embedding, "OUT_CELLS", cells)
+
+    def embed(texts):
+        if "x3" in texts:
+            raise RuntimeError("no")
+        return [[1.0, float(x[1:])] for x in texts], len(texts)
+
+    texts = spark.createDataFrame([(i, f"x{i}") for i in range(20)], "chunk_id long, content string").coalesce(1)
+    frames = []
+    monkeypatch.setattr(type(texts), "mapInPandas", lambda self, run, schema: frames.extend(run(iter([self.toPandas()]))))
+    embedding.embed_chunks(texts, embed, "p", "m", batch=2)
+    assert len(frames) == {1: 9, 5: 5, 1 << 20: 1}[cells]  # the failed slice waits for the next
+    done = [r for f in frames for r in f.to_dict("records")]
+    assert [r["chunk_id"] for r in done] == list(range(20)) and sum(r["tokens"] for r in done) == 18
+    assert [r["chunk_id"] for r in done if r["status"] == "failed"] == [2, 3] and done[2]["embedding"] is None
+    assert all(list(r["embedding"]) == [1.0, r["chunk_id"]] and r["dims"] == 2 for r in done if r["status"] == "ok")
