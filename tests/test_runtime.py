@@ -49,3 +49,17 @@ def test_staged_tables_can_be_dropped(spark):
     runtime.drop_staged(other)
     assert not fs.exists(fs_path)
     assert not [t for t in other.catalog.listTables() if t.name.startswith("noteloom_staged_")]
+
+
+def test_lookup_join_broadcasts_the_most_frequent_keys(spark, monkeypatch):
+    """Most rows of a skewed table stay where they are, although no key holds a thousandth of them; the broadcast is bounded."""
+    monkeypatch.setattr(runtime, "HOT_ROWS", 2500)
+    often = spark.range(40_000).select((F.col("id") % 2000).alias("k"))
+    facts = often.unionByName(spark.range(4000).select((F.col("id") + 2000).alias("k")))
+    dim = facts.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 10)
+    sent = []
+    plain = F.broadcast
+    monkeypatch.setattr(runtime.F, "broadcast", lambda df: sent.append(df.count()) or plain(df))
+    split = runtime.lookup_join(facts, dim, ["k"], weight="n", how="left", dim_rows=runtime.BROADCAST_ROWS + 1)
+    assert sent == [2000, 2000]
+    assert split.count() == 44_000 and split.where("v = k * 10").count() == 44_000
