@@ -103,7 +103,7 @@ def _long_rank(df):
 def substring_search(spark, sf):
     """The last two characters of every benchmark text: mostly a letter and a full stop, no token."""
     q = X.queries(spark, sf).select("query_id", F.expr("right(text, 2)").alias("text"))
-    hits = text_search.substring_hits(q, _docs(spark, sf), "doc_id", "text")
+    hits = text_search.substring_hits(q, _docs(spark, sf), "doc_id", "text", k=5)
     return _long_rank(text_search.top_k(hits, 5, ["doc_id"]))
 
 

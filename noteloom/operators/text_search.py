@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteloom.functions.text import count_occurrences, js_trim, tokenize, utf16_length
+from noteloom.functions.text import js_trim, tokenize, utf16_length
 from noteloom.operators.text_index import TextIndex, term_counts
 from noteloom.runtime import BROADCAST_ROWS, bounded_rows, checked, rounded, stage
 
@@ -131,36 +131,39 @@ def _zero_fill(queries: DataFrame, hits: DataFrame, docs: DataFrame, key: str, t
 
 
 def substring_hits(
-    queries: DataFrame, docs: DataFrame, key: str, text: str, ties: list[str] | None = None
+    queries: DataFrame, docs: DataFrame, key: str, text: str, ties: list[str] | None = None, k: int | None = None
 ) -> DataFrame:
     """Case-insensitive literal matches for queries that yield no token (punctuation, one CJK character...).
 
     score = min(1, occurrences * query length / max(document length, 100)). The threshold of the
-    token search does not apply here.
+    token search does not apply here. Queries with the same text have the same hits: each text is looked up and counted once
+    and, with ``k``, only its best k rows (in the order of ``ties``) meet the queries.
     """
     plain = (
         queries.where((js_trim("text") != "") & (F.size(tokenize("text")) == 0))
         .select("query_id", F.lower(js_trim("text")).alias("q"))
         .where(F.col("q") != "")
     )
-    extra = [t for t in ties or [] if t != key]
-    low = docs.select(key, *extra, F.lower(text).alias("_low"))
+    ties = ties or [key]
+    extra = [t for t in ties if t != key]
+    lower = docs.select(key, *extra, F.lower(text).alias("_low"))
+    low = lower.select("*", F.char_length("_low").alias("_chars"), F.greatest(utf16_length("_low"), F.lit(100)).alias("_size"))
     few = bounded_rows(plain, FALLBACK_QUERIES)
     if few is not None and not few:
         id_type = plain.schema["query_id"].dataType
-        return low.where(F.lit(False)).select(F.lit(None).cast(id_type).alias("query_id"), key, *extra, F.lit(0.0).alias("score"))
+        return lower.where(F.lit(False)).select(F.lit(None).cast(id_type).alias("query_id"), key, *extra, F.lit(0.0).alias("score"))
     if few is not None:
-        known = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.lit(r["q"]).alias("q")) for r in few])
-        matching = F.filter(known, lambda e: F.contains(F.col("_low"), e["q"]))
-        pairs = low.select(key, *extra, "_low", F.explode(matching).alias("e")).select(key, *extra, "_low", "e.query_id", "e.q")
+        known = F.array(*[F.lit(q) for q in sorted({r["q"] for r in few})])
+        pairs = low.select("*", F.explode(F.filter(known, lambda q: F.contains(F.col("_low"), q))).alias("q"))
     else:
-        pairs = _gram_pairs(plain, low, key)
-    n16 = utf16_length("q")
-    score = F.least(
-        F.lit(1.0),
-        count_occurrences(F.col("_low"), F.col("q")) * n16 / F.greatest(utf16_length("_low"), F.lit(100)),
-    )
-    return pairs.select("query_id", key, *extra, rounded(score).alias("score"))
+        pairs = _gram_matches(plain, low, key)
+    gone = F.char_length(F.replace(F.col("_low"), F.col("q"), F.lit("")))
+    times = ((F.col("_chars") - gone) / F.char_length("q")).cast("long")
+    score = F.least(F.lit(1.0), times * utf16_length("q") / F.col("_size"))
+    scored = pairs.select("q", key, *extra, rounded(score).alias("score"))
+    if k is not None:
+        scored = top_k(scored, k, ties, by="q").drop("rank")
+    return scored.join(checked(plain), "q").select("query_id", key, *extra, "score")
 
 
 def _runs(chars: Column, n: int) -> Column:
@@ -187,8 +190,8 @@ def _gram_postings(low: DataFrame, needed: DataFrame, key: str) -> DataFrame:
     return found.distinct()
 
 
-def _gram_pairs(plain: DataFrame, low: DataFrame, key: str) -> DataFrame:
-    """Matching (document, query) pairs for many fallback queries, by postings of character runs.
+def _gram_matches(plain: DataFrame, low: DataFrame, key: str) -> DataFrame:
+    """Matching (document, query text) pairs for many fallback queries, by postings of character runs.
 
     A query of up to 3 characters is a run itself; of a longer one the run that the fewest documents hold produces the
     candidates, which are verified. A query with a run that no document holds has none. Equal queries are looked up
@@ -207,8 +210,12 @@ def _gram_pairs(plain: DataFrame, low: DataFrame, key: str) -> DataFrame:
         .select("q", F.col("best.gram").alias("gram"))
     )
     candidates = checked(postings.join(checked(rarest), "gram").select(key, "q"))
-    found = low.join(candidates, key).where(F.contains(F.col("_low"), F.col("q")))
-    return found.join(checked(plain), "q")
+    return low.join(candidates, key).where(F.contains(F.col("_low"), F.col("q")))
+
+
+def _gram_pairs(plain: DataFrame, low: DataFrame, key: str) -> DataFrame:
+    """The matches of every query: equal texts share theirs."""
+    return _gram_matches(plain, low, key).join(checked(plain), "q")
 
 
 def text_search(
@@ -225,5 +232,5 @@ def text_search(
     if min_score <= 0:
         hits = stage(hits)
         hits = hits.unionByName(_zero_fill(queries, hits, docs, key, ties, k))
-    scored = hits.unionByName(substring_hits(queries, docs, key, text, ties).select(hits.columns))
+    scored = hits.unionByName(substring_hits(queries, docs, key, text, ties, k).select(hits.columns))
     return top_k(scored, k, ties).select("query_id", key, "score", F.col("rank").cast("int").alias("rank"))

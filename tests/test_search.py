@@ -85,6 +85,20 @@ def test_runs_of_characters_equal_the_literal_scan(spark, monkeypatch):
     assert found[0] == found[1] and {"!?-.,", "?!"} <= {asked[i] for i, d, _ in found[1] if d == "long"}
 
 
+def test_best_hits_of_repeated_queries(spark, monkeypatch):
+    """Repeated texts are looked up once; each query has its own best rows in the order of the ties, under its own type of id."""
+    docs = spark.createDataFrame([(i, i % 3, "?!" * (i % 4) + "." * i) for i in range(40)], "id int, part int, text string")
+    asked = ["?!", ".", "?!", "..", "?!", ".", "-"]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    for limit in (200, 0):
+        monkeypatch.setattr(search_operators, "FALLBACK_QUERIES", limit)
+        every = search_operators.substring_hits(q, docs, "id", "text", ["part", "id"])
+        best = search_operators.substring_hits(q, docs, "id", "text", ["part", "id"], k=3)
+        want = sorted((r.query_id, r.id, r.score) for r in search_operators.top_k(every, 3, ["part", "id"]).collect())
+        assert sorted((r.query_id, r.id, r.score) for r in best.collect()) == want and len(want) == 18
+        assert dict(best.dtypes)["query_id"] == "bigint"
+
+
 def test_rare_runs_give_the_candidates(spark):
     """A run that every document holds brings no candidates for a query that also has a rare one."""
     docs = spark.createDataFrame([(i, "e. " + ("?!," if i == 7 else "-")) for i in range(50)], "id int, _low string")
