@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +15,9 @@ from noteloom.functions.text import replace_first
 MERGE_GAP = 6
 CONTEXT = 3
 MANY_PLACES = 16
+# Lines and characters of diffs that leave the worker together.
+SEND_LINES = 10_000
+SEND_CHARS = 4 << 20
 
 
 def _masks(new: list[str]) -> Callable[[str], int]:
@@ -93,10 +96,32 @@ def _line_ops(old: list[str], new: list[str]) -> list[tuple[str, str]]:
     return ops[::-1] + kept
 
 
+def _sent_diffs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Diffs (key, seq, op, line) of batches (key, old_text, new_text), in batches of bounded size."""
+    for batch in batches:
+        names = batch.column(key)
+        at, seqs, ops, lines, chars = [], [], [], [], 0
+
+        def sent():
+            columns = [names.take(pa.array(at, pa.int32())), pa.array(seqs, pa.int32()), pa.array(ops, pa.string()), pa.array(lines, pa.string())]
+            return pa.RecordBatch.from_arrays(columns, [key, "seq", "op", "line"])
+
+        for i, (old, new) in enumerate(zip(batch.column("old_text"), batch.column("new_text"))):
+            for seq, (op, line) in enumerate(_line_ops(old.as_py().split("\n"), new.as_py().split("\n"))):
+                at.append(i), seqs.append(seq), ops.append(op), lines.append(line)
+                chars += len(line)
+                if len(at) >= SEND_LINES or chars >= SEND_CHARS:
+                    yield sent()
+                    at, seqs, ops, lines, chars = [], [], [], [], 0
+        if at:
+            yield sent()
+
+
 def diff_lines(pairs: DataFrame, key: str = "path") -> DataFrame:
     """(key, seq, op, line) for version pairs (key, old_text, new_text); op is same, add or remove.
 
-    Equal pairs are handled with built-ins; only true diffs reach Python. There is no limit of lines.
+    Equal pairs are handled with built-ins; only true diffs reach Python. There is no limit of lines. A worker holds one
+    pair's diff and what it sends next, whatever the number of pairs.
     """
     equal = F.col("old_text") == F.col("new_text")
     whole = pairs.where(equal).select(
@@ -111,16 +136,7 @@ def diff_lines(pairs: DataFrame, key: str = "path") -> DataFrame:
         ]
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (k, seq, op, line)
-                for k, old, new in zip(batch[key], batch["old_text"], batch["new_text"])
-                for seq, (op, line) in enumerate(_line_ops(old.split("\n"), new.split("\n")))
-            ]
-            yield pd.DataFrame(rows, columns=[key, "seq", "op", "line"])
-
-    changed = pairs.where(~equal).select(key, "old_text", "new_text").mapInPandas(run, schema)
+    changed = pairs.where(~equal).select(key, "old_text", "new_text").mapInArrow(lambda batches: _sent_diffs(batches, key), schema)
     return whole.select(key, "seq", "op", "line").unionByName(changed)
 
 

@@ -1,6 +1,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -58,6 +59,19 @@ def test_diff_matches_model(spark):
         assert got[i] == m.diff(a, b), (a, b)
 
 
+def test_diffs_leave_the_worker_in_bounded_pieces():
+    """One batch of many pairs and long lines gives all lines in order, never more at once than the bounds."""
+    pairs = [(f"p{i}", "a\n" * 3000, "a\nb\n" * (2000 + i)) for i in range(8)] + [("wide", "w" * 3_000_000 + "\nx", "w" * 3_000_000 + "\ny\n" + "z" * 3_000_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pairs)], ["path", "old_text", "new_text"])
+    sent = list(diff._sent_diffs(iter([batch]), "path"))
+    assert max(b.num_rows for b in sent) <= diff.SEND_LINES and len(sent) > 4
+    longest = 3_000_000
+    assert all(sum(map(len, b.column("line").to_pylist())) < diff.SEND_CHARS + longest for b in sent)
+    got = [tuple(r.values()) for b in sent for r in b.to_pylist()]
+    want = [(k, i, op, line) for k, old, new in pairs for i, (op, line) in enumerate(diff._line_ops(old.split("\n"), new.split("\n")))]
+    assert got == want
+
+
 @given(st.lists(st.sampled_from("abc"), max_size=40), st.lists(st.sampled_from("abc"), max_size=40))
 def test_line_ops_take_the_models_path(old, new):
     """Rows of bits choose the same one of several longest diffs as the full table, also where kept rows are computed again."""
