@@ -73,8 +73,7 @@ def idf(spark, sf):
 @query(f"with {tf_ctes('documents', 'doc_id', 'text')} select doc_id, term, round(w, 9) as weight, round(norm, 9) as norm from w join norms using (doc_id)")
 def tfidf(spark, sf):
     index = text_index.build_index(_docs(spark, sf), "doc_id", "text")
-    weights = text_index.weighted_postings(index.postings, index.terms, index.n_terms)
-    return weights.join(index.norms, "doc_id").select(
+    return text_index.weighted_postings(index).select(
         "doc_id", "term", F.round("weight", 9).alias("weight"), F.round("norm", 9).alias("norm")
     )
 

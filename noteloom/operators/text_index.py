@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.functions.text import tokenize
-from noteloom.runtime import lookup_join, stage, stage_bucketed
+from noteloom.runtime import dealt, lookup_parts, stage, stage_bucketed
 
 _COUNTS = "array<struct<term:string,n:int>>"
 
@@ -81,18 +81,28 @@ class TextIndex:
     n_terms: int
 
 
-def weighted_postings(postings: DataFrame, terms: DataFrame, n_terms: int | None = None) -> DataFrame:
-    """Postings with their idf and weight. Very frequent terms never meet in one task."""
-    joined = lookup_join(postings, terms, ["term"], weight="df", dim_rows=n_terms)
-    return joined.withColumn("weight", F.col("tf") * F.col("idf"))
+def weighted_parts(postings: DataFrame, terms: DataFrame, n_terms: int | None = None) -> list[DataFrame]:
+    """Postings with their idf and weight, in parts: those of frequent terms stay in their buckets, only those of rare terms
+    are shuffled. Very frequent terms never meet in one task."""
+    parts = lookup_parts(postings, terms, ["term"], weight="df", dim_rows=n_terms)
+    return [p.withColumn("weight", F.col("tf") * F.col("idf")) for p in parts]
+
+
+def weighted_postings(index: TextIndex) -> DataFrame:
+    """Postings of an index with idf, weight and their document's norm; each part meets the norms where it lies."""
+    first, *rest = [p.join(index.norms, index.key) for p in weighted_parts(index.postings, index.terms, index.n_terms)]
+    for part in rest:
+        first = first.unionByName(part)
+    return first
 
 
 def build_index(docs: DataFrame, key: str, text: str, ties: list[str] | None = None) -> TextIndex:
-    """Index ``docs``: one pass over the texts, then only the compact postings are read again.
+    """Index ``docs``: one pass over the texts, then only the compact postings are read again. The texts are dealt to the
+    buckets, not the postings, which are several times as long.
 
     Rank columns are stored beside the norms, so that a search orders ties without the documents.
     """
-    postings = stage_bucketed(term_frequencies(docs, key, text), key)
+    postings = stage_bucketed(term_frequencies(dealt(docs.select(key, text), key), key, text), key, is_dealt=True)
     return assemble_index(postings, document_frequencies(postings), docs, docs.count(), key, ties)
 
 
@@ -107,11 +117,12 @@ def assemble_index(
     ties = ties or [key]
     terms = stage(frequencies.withColumn("idf", idf(F.col("df"), n_docs)))
     n_terms = terms.count()
-    norms = (
-        weighted_postings(postings, terms, n_terms)
-        .groupBy(key)
-        .agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    )
+    # Squares are summed per part before the parts meet: a row per document, not one per posting.
+    squares = [p.groupBy(key).agg(F.sum(F.col("weight") * F.col("weight")).alias("_sq")) for p in weighted_parts(postings, terms, n_terms)]
+    if len(squares) == 1:
+        norms = squares[0].select(key, F.sqrt("_sq").alias("norm"))
+    else:
+        norms = squares[0].unionByName(squares[1]).groupBy(key).agg(F.sqrt(F.sum("_sq")).alias("norm"))
     extra = [t for t in ties if t != key]
     if extra:
         norms = norms.join(docs.select(key, *extra), key)

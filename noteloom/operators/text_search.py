@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noteloom.functions.text import js_trim, tokenize, utf16_length
 from noteloom.operators.text_index import TextIndex, term_counts
@@ -14,6 +19,7 @@ from noteloom.runtime import BROADCAST_ROWS, bounded_rows, checked, rounded, sta
 # A query list up to this size is shipped as literals; longer ones are looked up by runs of characters.
 FALLBACK_QUERIES = 200
 GRAM = 3
+DENSE = 1 << 19  # products and scores (documents times queries) that a task holds at a time, one document's at least
 _PIECE = 1 << 14  # characters of a text that are cut into runs at a time
 
 
@@ -59,60 +65,114 @@ def query_weights(queries: DataFrame, index: TextIndex, min_score: float) -> Dat
     )
 
 
-def _score_block(index: TextIndex, weights: DataFrame, min_score: float, any_common: bool) -> DataFrame:
-    """Scores of one broadcast block of query terms.
-
-    The postings are bucketed by document, so the broadcast join, the sum per (document, query),
-    the norm lookup and the threshold all run inside the scan's own tasks, without a shuffle. Only
-    distinctive terms are joined; common ones are added afterwards for the documents found.
+def _rows_of(names: np.ndarray, n: int, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Columns ordered by ``names`` (0 to n - 1), after the places where each name's rows start."""
+    order = np.argsort(names, kind="stable")
+    return (np.concatenate([[0], np.cumsum(np.bincount(names, minlength=n))]), *(c[order] for c in columns))
+
+
+def _spelled_out(starts: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For a list of names: the place in the list and the row, for every row of every name."""
+    counts = starts[names + 1] - starts[names]
+    at = np.repeat(np.arange(len(names)), counts)
+    return at, np.arange(len(at)) + np.repeat(starts[names] - np.cumsum(counts) + counts, counts)
+
+
+def _scorer(weights: pa.Table, terms: pa.Array, columns: list[str], min_score: float):
+    """Function from batches of documents (columns, norm, matched terms) to their rows (query_id, columns, score)."""
+    ids = weights.column("query_id").combine_chunks()
+    asked = ids.unique()
+    query = pc.index_in(ids, value_set=asked).to_numpy(zero_copy_only=False)
+    term = pc.index_in(weights.column("term").combine_chunks(), value_set=terms).to_numpy(zero_copy_only=False)
+    w, common = weights.column("w").to_numpy(), weights.column("common").to_numpy()
+    norms = np.ones(len(asked))
+    norms[query] = weights.column("qnorm").to_numpy()
+    by_term, of_query, of_w = _rows_of(term[~common], len(terms), query[~common], w[~common])
+    place, frequent = np.full(len(terms), -1), np.unique(term[common])
+    place[frequent] = np.arange(len(frequent))
+    by_query, more_at, more_w = _rows_of(query[common], len(asked), place[term[common]], w[common])
+    most = np.bincount(query[common], w[common], minlength=len(asked))  # tf is 1 at most
+    wide = max(len(asked), len(frequent), 1)
+    least = min_score - 1e-8  # rounded and compared by Spark
+
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lists = batch.column("_m")
+        t = lists.flatten().field("t").to_numpy()
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        work = np.concatenate([[0], np.cumsum(by_term[t + 1] - by_term[t])])[ends]  # products up to each document
+        at = 0
+        while at < batch.num_rows:
+            n = int(np.searchsorted(work, work[at] + DENSE, side="right")) - 1 - at
+            n = max(1, min(n, DENSE // wide))
+            yield batch.slice(at, n)
+            at += n
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs in cut(batch):
+                lists, norm = docs.column("_m"), docs.column("norm").to_numpy()
+                doc = np.repeat(np.arange(len(norm)), pc.list_value_length(lists).to_numpy())
+                flat = lists.flatten()
+                t, tf = flat.field("t").to_numpy(), flat.field("tf").to_numpy()
+                entry, row = _spelled_out(by_term, t)
+                dots = np.bincount(doc[entry] * len(asked) + of_query[row], tf[entry] * of_w[row], minlength=len(norm) * len(asked))
+                pairs = np.flatnonzero(dots)  # weights are positive: these share a distinctive term
+                d, q = pairs // len(asked), pairs % len(asked)
+                dot, scale = dots[pairs], norms[q] * norm[d]
+                near = dot + most[q] >= least * scale
+                d, q, dot, scale = d[near], q[near], dot[near], scale[near]
+                if len(frequent):
+                    held = np.zeros((len(norm), len(frequent)))
+                    known = place[t] >= 0
+                    held[doc[known], place[t[known]]] = tf[known]
+                    entry, row = _spelled_out(by_query, q)
+                    dot = dot + np.bincount(entry, held[d[entry], more_at[row]] * more_w[row], minlength=len(dot))
+                found = dot >= least * scale
+                d, q = pa.array(d[found]), pa.array(q[found])
+                out = [asked.take(q), *[docs.column(c).take(d) for c in columns], pa.array((dot / scale)[found])]
+                yield pa.RecordBatch.from_arrays(out, ["query_id", *columns, "score"])
+
+    return score
+
+
+def _score_block(index: TextIndex, weights: DataFrame, min_score: float) -> DataFrame:
+    """Scores of one block of query terms, which is bounded and travels to every task.
+
+    The postings are bucketed by document, so the terms asked for, their list per document, the norm and the products all stay
+    in the scan's own tasks, without a shuffle. Only distinctive terms produce candidates; common ones are added for those.
     """
-    key = index.key
-    rare = weights.where(~F.col("common")).select("query_id", "term", "w", "qnorm")
-    dots = (
+    key, spark = index.key, weights.sparkSession
+    table = weights.select("query_id", "term", "w", "qnorm", "common").toArrow()
+    terms = table.column("term").combine_chunks().unique()
+    named = spark.createDataFrame(pa.table({"term": terms, "t": pa.array(range(len(terms)), pa.int32())}))
+    lists = (
         index.postings.select(key, "term", "tf")
-        .join(F.broadcast(rare), "term")
-        .groupBy(key, "query_id")
-        .agg(F.sum(F.col("tf") * F.col("w")).alias("dot"), F.first("qnorm").alias("qnorm"))
+        .join(F.broadcast(named), "term")
+        .groupBy(key)
+        .agg(F.collect_list(F.struct("t", "tf")).alias("_m"))
     )
-    if any_common:
-        common = weights.where("common")
-        per_query = common.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("more"))
-        # The common terms of each document as one small map (same bucketing: no shuffle either).
-        tfs = (
-            index.postings.select(key, "term", "tf")
-            .join(F.broadcast(common.select("term").distinct()), "term", "left_semi")
-            .groupBy(key)
-            .agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tfs"))
-        )
-        added = F.aggregate(
-            F.coalesce("more", F.array().cast("array<struct<term:string,w:double>>")),
-            F.lit(0.0),
-            lambda acc, m: acc + F.coalesce(F.try_element_at("tfs", m["term"]) * m["w"], F.lit(0.0)),
-        )
-        dots = dots.join(F.broadcast(per_query), "query_id", "left").join(tfs, key, "left").select(
-            key, "query_id", "qnorm", (F.col("dot") + added).alias("dot")
-        )
-    score = rounded(F.col("dot") / (F.col("qnorm") * F.col("norm")))
-    scored = dots.join(index.norms, key).withColumn("score", score)
-    return scored.select("query_id", key, *[t for t in index.ties if t != key], "score").where(F.col("score") >= min_score)
+    columns = [key, *[t for t in index.ties if t != key]]
+    docs = lists.join(index.norms.hint("shuffle_hash"), key).select(*columns, "norm", "_m")
+    schema = T.StructType([T.StructField("query_id", weights.schema["query_id"].dataType), *[docs.schema[c] for c in columns], T.StructField("score", T.DoubleType())])
+    scored = docs.mapInArrow(_scorer(table, terms, columns, min_score), schema)
+    return scored.withColumn("score", rounded(F.col("score"))).where(F.col("score") >= min_score)
 
 
 def cosine_hits(queries: DataFrame, index: TextIndex, min_score: float, block_terms: int = BROADCAST_ROWS) -> DataFrame:
     """All (query_id, key, rank columns, score) with a shared term and ``score >= min_score``.
 
-    Queries are handled in blocks of bounded size, each broadcast to the postings, so the query
+    Queries are handled in blocks of bounded size, each sent to the tasks of the postings, so the query
     batch may be arbitrarily large.
     """
     weights = stage(query_weights(queries, index, min_score))
-    size = weights.agg(F.count("*").alias("n"), F.coalesce(F.max("common"), F.lit(False)).alias("common")).first()
-    blocks = max(1, math.ceil(size.n / block_terms))
+    blocks = max(1, math.ceil(weights.count() / block_terms))
     parts = [
         weights if blocks == 1 else weights.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         for b in range(blocks)
     ]
-    out = _score_block(index, parts[0], min_score, size.common)
+    out = _score_block(index, parts[0], min_score)
     for part in parts[1:]:
-        out = out.unionByName(_score_block(index, part, min_score, size.common))
+        out = out.unionByName(_score_block(index, part, min_score))
     return out
 
 

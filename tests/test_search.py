@@ -6,10 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from noteloom import runtime
 from noteloom.operators import hybrid, proximity
 from noteloom.operators import text_search as search_operators
 from noteloom.operators.links import apply_edge_changes, link_graph, note_edges, resolve_links, written_links
-from noteloom.operators.text_index import build_index, document_frequencies, term_frequencies, updated_document_frequencies
+from noteloom.operators.text_index import build_index, document_frequencies, term_frequencies, updated_document_frequencies, weighted_parts, weighted_postings
 from noteloom.operators.text_search import _gram_pairs, cosine_hits, text_search
 from noteloom.operators.vector_index import VectorIndex
 from noteloom.operators.vector_search import vector_topk
@@ -52,6 +53,46 @@ def test_text_search_matches_model(spark):
             assert got.get(i, []) == m.text_search(DOCS, q, k, floor), (q, k, floor)
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_reads_the_postings_once_and_moves_nothing(spark, monkeypatch):
+    """Lists of one document are scored where they lie, in pieces of any size, with and without common terms."""
+    docs, queries = _frames(spark)
+    index = build_index(docs, "id", "text")
+    for floor in (0.1, 0.6):
+        hits = cosine_hits(queries, index, floor)
+        plan = _plan(hits)
+        assert plan.count("tf#") and "hashpartitioning" not in plan and "Window" not in plan
+        assert plan.count("FileScan parquet spark_catalog") == 2  # postings and norms
+        whole = sorted(hits.collect())
+        monkeypatch.setattr(search_operators, "DENSE", 1)
+        weights = search_operators.query_weights(queries, index, floor).select("query_id", "term", "w", "qnorm", "common").toArrow()
+        terms = weights.column("term").combine_chunks().unique()
+        named = spark.createDataFrame([(t, i) for i, t in enumerate(terms.to_pylist())], "term string, t int")
+        rows = index.postings.join(named, "term").groupBy("id").agg(F.collect_list(F.struct("t", "tf")).alias("_m")).join(index.norms, "id")
+        batches = rows.select("id", "norm", "_m").toArrow().to_batches()
+        got = [tuple(r.values()) for b in search_operators._scorer(weights, terms, ["id"], floor)(iter(batches)) for r in b.to_pylist()]
+        assert sorted((q, d, round(x, 9)) for q, d, x in got if round(x, 9) >= floor) == [tuple(r) for r in whole]
+        monkeypatch.undo()
+
+
+def test_postings_of_frequent_terms_stay_in_their_buckets(spark, monkeypatch):
+    """With more terms than may be broadcast, weights and norms are the same and only postings of rare terms move."""
+    rows = [(f"d{i}", "common words here " + " ".join(f"only{i}x{j}" for j in range(60))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "id string, text string")
+    whole = build_index(docs, "id", "text")
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(runtime, "HOT_ROWS", 2)
+    index = build_index(docs, "id", "text")
+    near = lambda df: sorted((r.id, r.term, round(r.weight, 9), round(r.norm, 9)) for r in df.collect())
+    assert near(weighted_postings(index)) == near(weighted_postings(whole))
+    hot, cold = weighted_parts(index.postings, index.terms, index.n_terms)
+    assert 0 < hot.count() and 0 < cold.count()
+    assert "hashpartitioning" not in _plan(hot.join(index.norms, "id"))
+
+
 def test_query_blocks_agree(spark):
     docs, queries = _frames(spark)
     index = build_index(docs, "id", "text")
