@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.functions.text import js_trim, parent_folder
-from noteloom.runtime import lookup_join, stage
+from noteloom.runtime import checked, lookup_join, stage
 
 WIKILINK = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"  # fixed pattern: [[target]] or [[target|alias]]
 
@@ -71,7 +71,8 @@ def link_keys(notes: DataFrame) -> DataFrame:
 def _looked_up(asked: DataFrame, by: list[str], tries: list[tuple[int, str, Column]], keys: DataFrame) -> DataFrame:
     """(by, _hit) of the first of the ``tries`` (priority, kind, key) that names a note."""
     options = F.array(*[F.struct(F.lit(prio).alias("prio"), F.lit(kind).alias("kind"), key.alias("key")) for prio, kind, key in tries])
-    found = asked.select(*by, F.explode(F.array_distinct(options)).alias("o")).select(*by, "o.*").join(keys, ["kind", "key"])
+    names = checked(asked.select(*by, F.explode(F.array_distinct(options)).alias("o")).select(*by, "o.*"))
+    found = names.join(keys, ["kind", "key"])
     return found.groupBy(*by).agg(F.min(F.struct("prio", F.col("hit.path").alias("path"))).alias("_hit"))
 
 
@@ -102,7 +103,7 @@ def resolve_links(links: DataFrame, notes: DataFrame, source: str | None = "path
     any_hit = _looked_up(targets, ["target", "_folders"], anywhere, keys).withColumnRenamed("_hit", "_any")
     near_hit = _looked_up(asked.where(F.col("_folder") != ""), ["target", "_folder"], nearby, keys).withColumnRenamed("_hit", "_near")
     answers = lookup_join(asked, any_hit, ["target"], weight="_folders", how="left").drop("_folders")
-    answers = answers.join(near_hit, ["target", "_folder"], "left").withColumn("target_path", F.least("_any", "_near")["path"])
+    answers = answers.join(near_hit.hint("merge"), ["target", "_folder"], "left").withColumn("target_path", F.least("_any", "_near")["path"])
     answers = answers.select("target", "_folder", "_n", "target_path")  # unknown ones too: a frequent unknown target meets no single task
     return lookup_join(tagged, answers, ["target", "_folder"], weight="_n", how="left").drop("_folder", "_n")
 

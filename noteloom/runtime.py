@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only after it was counted and found below this many rows.
+# A side is broadcast only after it was counted and found below this many rows and bytes.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 # Of a longer lookup table, the most frequent keys up to this number are broadcast.
 HOT_ROWS = 250_000
 _TABLE = "noteloom_staged_"
@@ -131,14 +132,31 @@ def bounded_rows(df: DataFrame, limit: int) -> list[Row] | None:
     return rows if len(rows) <= limit else None
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: its text as JSON, and what Spark adds to every value."""
+    return F.octet_length(F.to_json(F.struct(*df.columns))) + 8 * (len(df.columns) + 2)
+
+
+def _size(staged: DataFrame) -> Row:
+    """(n, size): rows and, if they are within the bound, bytes."""
+    n = staged.count()
+    return Row(n=n, size=staged.agg(F.coalesce(F.sum(row_bytes(staged)), F.lit(0))).first()[0] if n <= BROADCAST_ROWS else None)
+
+
+def _kept_apart(df: DataFrame) -> DataFrame:
+    """``df`` for a join by shuffle. Spark would go by the bytes of the files, and paths are many times as long in memory."""
+    return df.hint("merge")
+
+
 def checked(df: DataFrame) -> DataFrame:
-    """Write ``df`` once, count it, and mark it for broadcast if it is within the bound.
+    """Write ``df`` once, count its rows and bytes, and mark it for broadcast if it is within the bounds.
 
     For the side of a join that is usually small next to note texts (winners of a search, changed
-    paths): within the bound the texts are not shuffled, beyond it Spark joins by shuffle.
+    paths): within the bounds the texts are not shuffled, beyond them Spark joins by shuffle.
     """
     staged = stage(df)
-    return F.broadcast(staged) if staged.count() <= BROADCAST_ROWS else staged
+    size = _size(staged)
+    return F.broadcast(staged) if size.n <= BROADCAST_ROWS and size.size <= BROADCAST_BYTES else _kept_apart(staged)
 
 
 def lookup_join(
@@ -153,7 +171,7 @@ def lookup_join(
     """Join a large table to a table with one row per key, safe for very frequent keys.
 
     ``weight`` is a column of ``dim`` holding the number of fact rows of each key. If the whole
-    dimension is small it is broadcast. Otherwise the most frequent keys are joined by broadcast, up to HOT_ROWS
+    dimension is small it is broadcast. Otherwise the most frequent keys are joined by broadcast, up to HOT_ROWS and BROADCAST_BYTES
     of them by counted weights and in any case those carrying more than ``1/hot_share`` of all fact rows (there
     can be at most ``hot_share`` of them, whatever the data). Only the rest is shuffled, so that no task receives
     a hot key and most fact rows stay where they are.
@@ -172,26 +190,32 @@ def lookup_parts(
     dim_rows: int | None = None,
 ) -> list[DataFrame]:
     """:func:`lookup_join` in one part or two: rows joined by broadcast, which stay in their buckets, and the rest."""
+    most = HOT_ROWS
+    fits = True
     if dim_rows is None:
         dim = stage(dim)  # counted, and read again for the join
-        dim_rows = dim.count()
-    if dim_rows <= BROADCAST_ROWS:
+        dim_rows, size = _size(dim)
+        if size is None:
+            size = dim.limit(BROADCAST_ROWS).agg(F.sum(row_bytes(dim))).first()[0] * dim_rows // BROADCAST_ROWS
+        fits = size <= BROADCAST_BYTES
+        most = min(most, BROADCAST_BYTES * dim_rows // max(size, 1))
+    if dim_rows <= BROADCAST_ROWS and fits:
         return [facts.join(F.broadcast(dim), keys, how)]
     if weight is None:
-        return [facts.join(dim, keys, how)]
+        return [facts.join(_kept_apart(dim), keys, how)]
     level = F.floor(F.log2(F.col(weight)) * 4)  # a few hundred levels, whatever the weights
     levels = dim.groupBy(level.alias("at")).agg(F.count("*").alias("n"), F.sum(weight).alias("w")).where("at is not null").orderBy(F.desc("at")).collect()
     total, held, least = sum(r["w"] for r in levels), 0, None
     for r in levels:
         held += r["n"]
-        if held > HOT_ROWS:
+        if held > most:
             break
         least = r["at"]
     frequent = F.col(weight) > total / hot_share
     frequent = F.coalesce(frequent if least is None else frequent | (level >= least), F.lit(False))
     hot, cold = dim.where(frequent), dim.where(~frequent)
     hot_keys = hot.select(*keys)
-    return [facts.join(F.broadcast(hot), keys, "inner"), facts.join(F.broadcast(hot_keys), keys, "left_anti").join(cold, keys, how)]
+    return [facts.join(F.broadcast(hot), keys, "inner"), facts.join(F.broadcast(hot_keys), keys, "left_anti").join(_kept_apart(cold), keys, how)]
 
 
 def rounded(score: Column) -> Column:

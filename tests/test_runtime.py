@@ -63,3 +63,21 @@ def test_lookup_join_broadcasts_the_most_frequent_keys(spark, monkeypatch):
     split = runtime.lookup_join(facts, dim, ["k"], weight="n", how="left", dim_rows=runtime.BROADCAST_ROWS + 1)
     assert sent == [2000, 2000]
     assert split.count() == 44_000 and split.where("v = k * 10").count() == 44_000
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sides_are_broadcast_by_bytes_too(spark, monkeypatch):
+    """Few long rows are as heavy as many short ones; what is too large is not broadcast by Spark's guess from file sizes either."""
+    side = spark.range(1000).select("id", F.repeat(F.lit("path/"), 20).alias("path"), F.lit(1).alias("n"))
+    facts = spark.range(5000).select((F.col("id") % 1500).alias("id"))
+    want = facts.join(side, "id").count()
+    small = runtime.lookup_join(facts, side, ["id"], weight="n", how="left")
+    assert "BroadcastHashJoin" in _plan(facts.join(runtime.checked(side), "id")) and "BroadcastHashJoin" in _plan(small)
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 50_000)
+    met = facts.join(runtime.checked(side), "id")
+    assert "BroadcastHashJoin" not in _plan(met) and met.count() == want
+    apart = runtime.lookup_join(facts, side.withColumn("n", F.when(F.col("id") < 3, 10_000).otherwise(1)), ["id"], weight="n", how="left")
+    assert "SortMergeJoin" in _plan(apart) and apart.where("path is not null").count() == want and apart.count() == 5000
