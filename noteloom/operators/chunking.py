@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.functions.text import WS_CLASS, estimate_tokens, js_ltrim, js_trim
+from noteloom.functions.text import WS_CLASS, bound, estimate_tokens, js_ltrim, js_trim
 from noteloom.operators.frontmatter import with_frontmatter
 
 STRATEGIES = ("section", "paragraph", "fixed")
@@ -18,16 +18,21 @@ _HEADING = rf"^#{{1,6}}[{WS_CLASS}]"
 _MARK = 2**31  # a mark packs a break's line number and a heading's line number into one long
 
 
-def _line_facts(lines: Column) -> Column:
+def _line_facts(lines: Column, strategy: str) -> Column:
+    """What the strategy asks of every line: the cost of a line is dear and only a budget needs it."""
+
     def facts(line, i):
         is_heading = F.startswith(line, F.lit("#")) & line.rlike(_HEADING)
-        return F.struct(
+        asked = [
             i.alias("i"),
             F.startswith(js_ltrim(line), F.lit("```")).alias("fence"),
             F.when(is_heading, js_trim(F.ltrim(line, F.lit("#")))).alias("heading"),
-            (js_trim(line) == "").alias("blank"),
-            estimate_tokens(line).alias("cost"),
-        )
+        ]
+        if strategy == "paragraph":
+            asked.append((js_trim(line) == "").alias("blank"))
+        elif strategy == "fixed":
+            asked.append(estimate_tokens(line).alias("cost"))
+        return F.struct(*asked)
 
     return F.transform(lines, facts)
 
@@ -107,13 +112,8 @@ def _text(lines: Column, first: Column, last: Column) -> Column:
     return js_trim(F.array_join(F.slice(lines, first + 1, last - first + 1), "\n"))
 
 
-def _bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times inside a lambda."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _piece(content, heading, start_line, end_line) -> Column:
-    return _bind(
+    return bound(
         content,
         lambda text: F.struct(
             text.alias("content"),
@@ -142,7 +142,7 @@ def split_large(chunk: Column, max_tokens: int) -> Column:
         costs = F.transform(lines, lambda l, i: F.struct(i.alias("i"), estimate_tokens(l).alias("cost")))
         marks = F.aggregate(costs, start, step, lambda a: F.array_append(a["marks"], _mark(F.size(lines), F.lit(-1))))
         return F.transform(
-            _bind(marks, _ranges),
+            bound(marks, _ranges),
             lambda s: _piece(
                 _text(lines, s["first"], s["last"]),
                 chunk["heading"],
@@ -151,14 +151,14 @@ def split_large(chunk: Column, max_tokens: int) -> Column:
             ),
         )
 
-    return F.filter(_bind(F.split(chunk["content"], "\n", -1), pieces), lambda p: p["content"] != "")
+    return F.filter(bound(F.split(chunk["content"], "\n", -1), pieces), lambda p: p["content"] != "")
 
 
 def raw_chunks(bodies: DataFrame, strategy: str, max_tokens: int) -> DataFrame:
     """Add ``raw``: the strategy's chunks of ``body`` before oversize splitting."""
     return (
         bodies.withColumn("_lines", F.split("body", "\n", -1))
-        .withColumn("_facts", _line_facts(F.col("_lines")))
+        .withColumn("_facts", _line_facts(F.col("_lines"), strategy))
         .withColumn("_marks", _marks(F.col("_facts"), F.size("_lines"), strategy, max_tokens))
         .withColumn(
             "raw",

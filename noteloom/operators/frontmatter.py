@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.functions.text import js_ltrim, js_trim
+from noteloom.functions.text import bound, js_ltrim, js_trim
 
 _ENTRIES = "array<struct<key:string,values:array<string>,is_list:boolean>>"
 _QUOTES = r"^[\"']|[\"']$"
@@ -32,8 +32,11 @@ def _yaml_entries(block: Column) -> Column:
 
     def step(acc, line):
         colon = F.instr(line, ":")
-        key = js_trim(F.substring(line, F.lit(1), colon - 1))
         value = js_trim(F.substring(line, colon + 1, F.char_length(line)))
+        return bound(F.struct(colon.alias("colon"), value.alias("value")), lambda cut: state_after(acc, line, cut["colon"], cut["value"]))
+
+    def state_after(acc, line, colon, value):
+        key = js_trim(F.substring(line, F.lit(1), colon - 1))
         inner = F.substring(value, F.lit(2), F.char_length(value) - 2)
         parts = F.transform(F.split(inner, ","), lambda p: F.regexp_replace(js_trim(p), _QUOTES, ""))
         inline = F.filter(parts, lambda p: p != "")

@@ -55,16 +55,18 @@ def link_keys(notes: DataFrame) -> DataFrame:
     Kinds are ``path`` for whole paths and ``end`` for all their ends at folder borders, each as written and, as
     ``path/i`` and ``end/i``, in small letters. Of several notes the one with the shortest path counts, then by alphabet.
     """
-    whole = F.regexp_replace("path", r"(?i)\.md$", "")
-    parts = F.split(whole, "/")
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    # Columns of their own, one step after the other: a lambda would work them out again for every element.
+    split = notes.select("path", F.regexp_replace("path", r"(?i)\.md$", "").alias("_whole")).withColumn("_parts", F.split("_whole", "/"))
+    end = lambda i: F.array_join(F.slice("_parts", i, F.size("_parts")), "/")
+    cut = split.withColumn("_ends", F.transform(F.sequence(F.lit(1), F.size("_parts")), end))
+    whole, ends = F.col("_whole"), F.col("_ends")
     one = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
     names = F.concat(
         F.array(one("path", whole), one("path/i", F.lower(whole))),
         F.transform(ends, lambda e: one("end", e)),
         F.transform(ends, lambda e: one("end/i", F.lower(e))),
     )
-    named = notes.select("path", F.explode(names).alias("k")).select("k.*", F.struct(F.char_length("path").alias("len"), "path").alias("hit"))
+    named = cut.select("path", F.explode(names).alias("k")).select("k.*", F.struct(F.char_length("path").alias("len"), "path").alias("hit"))
     return named.groupBy("kind", "key").agg(F.min("hit").alias("hit"))
 
 

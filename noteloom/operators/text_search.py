@@ -140,19 +140,24 @@ def _score_block(index: TextIndex, weights: DataFrame, min_score: float) -> Data
 
     The postings are bucketed by document, so the terms asked for, their list per document, the norm and the products all stay
     in the scan's own tasks, without a shuffle. Only distinctive terms produce candidates; common ones are added for those.
+    A document whose terms, each at its best for any query, stay below the threshold never leaves for Python (an exact bound).
     """
     key, spark = index.key, weights.sparkSession
     table = weights.select("query_id", "term", "w", "qnorm", "common").toArrow()
     terms = table.column("term").combine_chunks().unique()
-    named = spark.createDataFrame(pa.table({"term": terms, "t": pa.array(range(len(terms)), pa.int32())}))
+    most = np.zeros(len(terms))  # of a query's score that the term can bring to a document of norm 1
+    at = pc.index_in(table.column("term").combine_chunks(), value_set=terms).to_numpy(zero_copy_only=False)
+    np.maximum.at(most, at, table.column("w").to_numpy() / table.column("qnorm").to_numpy())
+    named = spark.createDataFrame(pa.table({"term": terms, "t": pa.array(range(len(terms)), pa.int32()), "most": most}))
     lists = (
         index.postings.select(key, "term", "tf")
         .join(F.broadcast(named), "term")
         .groupBy(key)
-        .agg(F.collect_list(F.struct("t", "tf")).alias("_m"))
+        .agg(F.collect_list(F.struct("t", "tf")).alias("_m"), F.sum(F.col("tf") * F.col("most")).alias("_most"))
     )
     columns = [key, *[t for t in index.ties if t != key]]
-    docs = lists.join(index.norms.hint("shuffle_hash"), key).select(*columns, "norm", "_m")
+    reached = F.col("_most") >= F.lit(min_score - 1e-6) * F.col("norm")
+    docs = lists.join(index.norms.hint("shuffle_hash"), key).where(reached).select(*columns, "norm", "_m")
     schema = T.StructType([T.StructField("query_id", weights.schema["query_id"].dataType), *[docs.schema[c] for c in columns], T.StructField("score", T.DoubleType())])
     scored = docs.mapInArrow(_scorer(table, terms, columns, min_score), schema)
     return scored.withColumn("score", rounded(F.col("score"))).where(F.col("score") >= min_score)

@@ -13,9 +13,11 @@ from noteloom.operators.text_index import TextIndex, build_index
 from noteloom.operators.text_search import text_search
 from noteloom.operators.vector_index import VectorIndex
 from noteloom.operators.vector_search import vector_topk
-from noteloom.runtime import checked, spread, stage
+from noteloom.runtime import checked, spread, stage, staged_once
 from noteloom.sources.stored_index import StoredIndex
 
+# Of a chunk, what a search reads and returns; front matter is neither parsed nor written for it.
+COLUMNS = ("chunk_id", "path", "name", "chunk_index", "content", "heading", "start_line", "end_line")
 DEFAULTS = {"k": 5, "min_score": 0.3, "boost": 0.5}
 
 
@@ -38,7 +40,7 @@ class Retriever:
     def build(cls, chunks: DataFrame, vectors: DataFrame | None = None, **parts) -> Retriever:
         """Stage and index the chunks. Vectors whose chunk is gone are dropped here, once, so that they
         cannot take a place in any ranked list."""
-        chunks = spread(stage(chunks))
+        chunks = spread(staged_once(chunks, *COLUMNS))
         if vectors is not None:
             vectors = stage(vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi"))
         return cls(chunks, build_index(chunks, "chunk_id", "content", ["path", "chunk_index"]), vectors, **parts)
@@ -84,8 +86,7 @@ class Retriever:
         if k < 1:
             raise ValueError("k must be at least 1")
         ranked = checked(self.ranked(queries, k, min_score, query_vectors, pool))
-        columns = ("chunk_id", "path", "name", "chunk_index", "content", "heading", "start_line", "end_line")
-        found = self.chunks.select(*columns).join(ranked, "chunk_id")
+        found = self.chunks.select(*COLUMNS).join(ranked, "chunk_id")
         if anchors is None:
             return found
         if self.notes is None or self.graph is None:

@@ -78,7 +78,14 @@ def stage(df: DataFrame) -> DataFrame:
     """
     path = f"{_run_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged._noteloom_staged = True
+    return staged
+
+
+def staged_once(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` as it is if :func:`stage` returned it, else a staged copy of its ``columns``."""
+    return df if getattr(df, "_noteloom_staged", False) is True else stage(df.select(*columns))
 
 
 def dealt(df: DataFrame, column: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from noteloom import runtime
 from noteloom.operators import hybrid, proximity
 from noteloom.operators import text_search as search_operators
-from noteloom.operators.links import apply_edge_changes, link_graph, note_edges, resolve_links, written_links
+from noteloom.operators.links import apply_edge_changes, link_graph, link_keys, note_edges, resolve_links, written_links
 from noteloom.operators.text_index import build_index, document_frequencies, term_frequencies, updated_document_frequencies, weighted_parts, weighted_postings
 from noteloom.operators.text_search import _gram_pairs, cosine_hits, text_search
 from noteloom.operators.vector_index import VectorIndex
@@ -361,3 +361,34 @@ def test_vector_pieces_bound_what_travels(spark, monkeypatch):
     scores = np.round(unit @ unit.T, 9)
     want = {(i, int(j)) for i in range(700) for j in np.lexsort((np.arange(700), -scores[i]))[:3]}
     assert {(r.query_id, r.id) for r in hits} == want
+
+
+def test_names_of_notes_are_cut_once(spark):
+    """Paths are split in a column of their own: not again for every end of every path."""
+    notes = spark.createDataFrame([("a/B/c.md",), ("c.md",)], "path string")
+    keys = link_keys(notes)
+    assert keys._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    got = {(r.kind, r.key): r.hit.path for r in keys.collect()}
+    assert got["end", "c"] == "c.md" and got["end/i", "b/c"] == got["end", "B/c"] == got["path", "a/B/c"] == got["path/i", "a/b/c"] == "a/B/c.md"
+
+
+def test_documents_without_a_chance_stay_out_of_python(spark, monkeypatch):
+    """A document whose terms cannot reach the threshold for any query is dropped before the products, and no hit is lost."""
+    rows = [(i, "word " + " ".join(f"filler{i}x{j}" for j in range(30 if i % 3 else 1))) for i in range(30)]
+    index = build_index(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    queries = spark.createDataFrame([(1, "word filler0x0"), (2, "word")], "query_id long, text string")
+    want = sorted(cosine_hits(queries, index, 0.2).collect())
+    scorer = search_operators._scorer
+
+    def strict(*args):
+        inner = scorer(*args)
+
+        def run(batches):
+            for batch in batches:
+                assert all(i % 3 == 0 for i in batch.column("id").to_pylist()), "a document without a chance"
+                yield from inner(iter([batch]))
+
+        return run
+
+    monkeypatch.setattr(search_operators, "_scorer", strict)
+    assert sorted(cosine_hits(queries, index, 0.2).collect()) == want and {r.id for r in want} == set(range(0, 30, 3))

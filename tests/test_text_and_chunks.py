@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from noteloom.functions import text as t
-from noteloom.operators.chunking import STRATEGIES, chunk_documents
+from noteloom.operators.chunking import STRATEGIES, _line_facts, chunk_documents
 from noteloom.operators.frontmatter import with_frontmatter
 from tests import models as m
 
@@ -118,3 +118,21 @@ def test_paths(spark):
     df = spark.createDataFrame([("a/b/c.d.md",), ("root.md",), ("x/noext",), (".hidden",)], "p string")
     got = df.select(t.base_name("p"), t.parent_folder("p"), t.folder_segments("p"), t.extension("p")).collect()
     assert [tuple(r) for r in got] == [("c.d", "a/b", ["a", "b"], "md"), ("root", "", [], "md"), ("noext", "x", ["x"], ""), ("", "", [], "hidden")]
+
+
+@pytest.mark.parametrize("strategy, asked", [("section", []), ("paragraph", ["blank"]), ("fixed", ["cost"])])
+def test_lines_are_asked_what_the_strategy_needs(spark, strategy, asked):
+    facts = spark.range(1).select(_line_facts(F.array(F.lit("a")), strategy).alias("f")).schema["f"].dataType.elementType
+    assert facts.names == ["i", "fence", "heading", *asked]
+
+
+def test_search_chunks_are_written_once_and_without_front_matter(spark):
+    from noteloom.plans.retriever import COLUMNS, Retriever
+    from noteloom.runtime import stage
+
+    notes = spark.createDataFrame([(f"n{i}.md", f"n{i}", f"---\na: [x, 'y']\nb: c:d\n---\n# T\nword{i}") for i in range(20)], "path string, name string, content string")
+    chunks = chunk_documents(notes)
+    assert Retriever.build(chunks).chunks.columns == list(COLUMNS)
+    staged = stage(chunks.select(*COLUMNS))
+    assert sorted(Retriever.build(staged).chunks.inputFiles()) == sorted(staged.inputFiles())
+    assert {tuple(sorted((k, tuple(v)) for k, v in r.metadata.items())) for r in chunks.collect()} == {(("a", ("x", "y")), ("b", ("c:d",)))}
