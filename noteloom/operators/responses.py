@@ -48,6 +48,14 @@ def _is_json(text: Column) -> Column:
     return F.try_parse_json(text).isNotNull() | F.get_json_object(text, "$").isNotNull()
 
 
+# How a JSON text can begin; and an object without a closing brace is none. Java throws, at length, for every other text.
+_BEGINS = r"^[\s\x{FEFF}]*(?:true|false|null|NaN|Infinity|INF|[^a-zA-Z{\s\x{FEFF}]|\{[^}]*+\})"
+
+
+def _may_be_json(text: Column) -> Column:
+    return text.rlike(_BEGINS)
+
+
 def normalize_responses(logs: DataFrame) -> DataFrame:
     """Response logs (response_id, provider, body) in one shape whatever the provider.
 
@@ -119,12 +127,19 @@ def usage_by_model(responses: DataFrame) -> DataFrame:
 _BLOCK = 4096  # lines
 
 
-def _token(payload: Column) -> Column:
+def _found_token(payload: Column) -> Column:
+    """An event's token, null where it has none. The whole event is parsed for it, so where one is found the event is JSON."""
     anthropic = F.when(F.get_json_object(payload, "$.type") == "content_block_delta", F.get_json_object(payload, "$.delta.text"))
     gemini = F.get_json_object(payload, "$.candidates[0].content.parts[0].text")
     openai = F.get_json_object(payload, "$.choices[0].delta.content")
-    picked = F.when(F.col("provider") == "anthropic", anthropic).when(F.col("provider") == "gemini", gemini).otherwise(openai)
-    return F.coalesce(picked, F.lit(""))
+    return F.when(F.col("provider") == "anthropic", anthropic).when(F.col("provider") == "gemini", gemini).otherwise(openai)
+
+
+def _judged(events: DataFrame) -> DataFrame:
+    """Add ``t``, the token of a whole event, and ``torn``: each from a column of its own, so that no event is parsed twice for one answer."""
+    payload = F.col("_payload")
+    parsed = events.withColumn("_may", _may_be_json(payload)).withColumn("t", F.when(F.col("_may"), _found_token(payload)))
+    return parsed.withColumn("torn", payload.isNotNull() & F.col("t").isNull() & (~F.col("_may") | ~_is_json(payload)))
 
 
 def _pick_token(event: dict, provider: str) -> str:
@@ -237,22 +252,17 @@ def sse_reassemble(lines: DataFrame) -> DataFrame:
     trimmed = lines.withColumn("line", js_trim("line"))
     is_data = F.startswith(F.col("line"), F.lit("data: ")) & (F.col("line") != "data: [DONE]")
     events = trimmed.withColumn("_payload", F.when(is_data, F.substring("line", 7, 1 << 30)))
-    torn = F.col("_payload").isNotNull() & ~_is_json(F.col("_payload"))
-    token = F.when(~F.col("torn"), _token(F.col("_payload"))).alias("t")
-    read = events.withColumn("torn", torn).select("response_id", "line_no", token, "torn")
+    read = _judged(events).select("response_id", "line_no", "t", "torn")
     done = stage(_joined_tokens(read, F.max("torn").alias("torn")))
     broken = checked(done.where("torn").select("response_id"))
 
     event_key = F.when(F.col("provider") == "anthropic", "type").when(F.col("provider") == "gemini", "candidates").otherwise("choices")
     keys = F.when(~F.col("torn"), F.json_object_keys("_payload"))
-    cut = (
-        events.where(F.col("line") != "data: [DONE]")
-        .join(broken, "response_id", "left_semi")
-        .withColumn("torn", torn)
-        .withColumn("whole", F.coalesce(F.array_contains(keys, event_key), F.lit(False)))
-    )
+    whole = F.coalesce(F.array_contains(keys, event_key), F.lit(False))
+    again = _judged(events.where(F.col("line") != "data: [DONE]").join(broken, "response_id", "left_semi")).withColumn("whole", whole)
     rest = F.when(~F.col("whole"), F.col("line")).alias("line")
-    parts = stage(_stretches(cut).select("response_id", "provider", "line_no", rest, token, "torn", "whole", "_stretch"))
+    cut = stage(again.select("response_id", "provider", "line_no", rest, "t", "torn", "whole"))  # read twice below
+    parts = stage(_stretches(cut).select("response_id", "provider", "line_no", "line", "t", "torn", "whole", "_stretch"))
     to_glue = parts.where("torn").select("response_id", "_stretch").distinct()
     between = parts.where(~F.col("whole"))
     glued = (

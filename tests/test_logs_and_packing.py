@@ -478,3 +478,19 @@ def test_embedded_slices_leave_together(spark, monkeypatch, cells):
     assert [r["chunk_id"] for r in done] == list(range(20)) and sum(r["tokens"] for r in done) == 18
     assert [r["chunk_id"] for r in done if r["status"] == "failed"] == [2, 3] and done[2]["embedding"] is None
     assert all(list(r["embedding"]) == [1.0, r["chunk_id"]] and r["dims"] == 2 for r in done if r["status"] == "ok")
+
+
+def test_events_are_judged_by_one_parse_and_torn_ones_by_their_looks(spark):
+    """What cannot be JSON by its first characters is not parsed, and a token is only found in a whole event."""
+    event = {
+        "openai": '{"choices":[{"delta":{"content":"a}b"}}],"x":1}',
+        "anthropic": '{"type":"content_block_delta","delta":{"text":"a"},"x":[2]}',
+        "gemini": '{"candidates":[{"content":{"parts":[{"text":"a"}]}}],"x":1}',
+    }
+    texts = [(p, e[i:j]) for p, e in event.items() for i, j in [(0, n) for n in range(1, len(e) + 1)] + [(n, len(e)) for n in range(1, len(e))]]
+    texts += [("openai", x) for x in ("true", " null", "nul", "false", "fals", "NaN", "Infinity", "-1", "1e5", "x", '"s"', "'s'", "[1", "[1]", "{}", "{", "{'a':1}", "", " ", "\ufeff{}", "{}x")]
+    df = spark.createDataFrame(texts, "provider string, p string")
+    rows = df.select("p", responses._is_json(F.col("p")).alias("json"), responses._may_be_json(F.col("p")).alias("may"), responses._found_token(F.col("p")).alias("t")).collect()
+    assert all(r.may for r in rows if r.json) and all(r.json for r in rows if r.t is not None)
+    assert not any(r.may for r in rows if r.p in ('{"choices":[{"d', "lta", "x", "nul", "{", ""))
+    assert sorted(r.p for r in rows if r.t is not None) == sorted(event.values())
