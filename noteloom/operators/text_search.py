@@ -20,6 +20,7 @@ from noteloom.runtime import BROADCAST_ROWS, bounded_rows, checked, rounded, sta
 FALLBACK_QUERIES = 200
 GRAM = 3
 DENSE = 1 << 19  # products and scores (documents times queries) that a task holds at a time, one document's at least
+_LEVELLED = 2e-9  # scores further apart differ after rounding to 9 digits
 _PIECE = 1 << 14  # characters of a text that are cut into runs at a time
 
 
@@ -78,8 +79,34 @@ def _spelled_out(starts: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.
     return at, np.arange(len(at)) + np.repeat(starts[names] - np.cumsum(counts) + counts, counts)
 
 
-def _scorer(weights: pa.Table, terms: pa.Array, columns: list[str], min_score: float):
-    """Function from batches of documents (columns, norm, matched terms) to their rows (query_id, columns, score)."""
+def _in_order(docs: pa.RecordBatch, ties: list[str]) -> np.ndarray:
+    """Each document's place in the order of ``ties``, as Spark sorts them: nulls first, texts by their bytes."""
+    order = pc.sort_indices(docs.select(ties), sort_keys=[(t, "ascending") for t in ties], null_placement="at_start").to_numpy()
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return place
+
+
+def _contenders(query: np.ndarray, score: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """Rows that can be among the best ``k`` of their query once scores are rounded to 9 digits and ties are ordered by ``place``.
+
+    A row is left out only if k others of its query are surely before it: their scores are higher by more than rounding can
+    level, or equal and their places earlier.
+    """
+    order = np.lexsort((place, -score, query))
+    q, s = query[order], score[order]
+    n = np.arange(len(q))
+    new_query = np.r_[True, q[1:] != q[:-1]][: len(q)]
+    new_score = new_query | np.r_[True, s[1:] != s[:-1]][: len(q)]
+    first = np.maximum.accumulate(np.where(new_query, n, 0))
+    kth = np.minimum(first + k - 1, len(q) - 1)
+    behind = (n - first >= k) & (s < s[kth] - _LEVELLED)
+    return order[~behind & (n - np.maximum.accumulate(np.where(new_score, n, 0)) < k)]
+
+
+def _scorer(weights: pa.Table, terms: pa.Array, columns: list[str], min_score: float, k: int | None = None, ties: list[str] | None = None):
+    """Function from batches of documents (columns, norm, matched terms) to their rows (query_id, columns, score); with ``k``
+    only to those that can be among the best k of their query."""
     ids = weights.column("query_id").combine_chunks()
     asked = ids.unique()
     query = pc.index_in(ids, value_set=asked).to_numpy(zero_copy_only=False)
@@ -128,14 +155,18 @@ def _scorer(weights: pa.Table, terms: pa.Array, columns: list[str], min_score: f
                     entry, row = _spelled_out(by_query, q)
                     dot = dot + np.bincount(entry, held[d[entry], more_at[row]] * more_w[row], minlength=len(dot))
                 found = dot >= least * scale
-                d, q = pa.array(d[found]), pa.array(q[found])
-                out = [asked.take(q), *[docs.column(c).take(d) for c in columns], pa.array((dot / scale)[found])]
+                d, q, scores = d[found], q[found], (dot / scale)[found]
+                if k is not None and len(q) > k:
+                    best = _contenders(q, scores, _in_order(docs, ties)[d], k)
+                    d, q, scores = d[best], q[best], scores[best]
+                d, q = pa.array(d), pa.array(q)
+                out = [asked.take(q), *[docs.column(c).take(d) for c in columns], pa.array(scores)]
                 yield pa.RecordBatch.from_arrays(out, ["query_id", *columns, "score"])
 
     return score
 
 
-def _score_block(index: TextIndex, weights: DataFrame, min_score: float) -> DataFrame:
+def _score_block(index: TextIndex, weights: DataFrame, min_score: float, k: int | None = None) -> DataFrame:
     """Scores of one block of query terms, which is bounded and travels to every task.
 
     The postings are bucketed by document, so the terms asked for, their list per document, the norm and the products all stay
@@ -159,12 +190,17 @@ def _score_block(index: TextIndex, weights: DataFrame, min_score: float) -> Data
     reached = F.col("_most") >= F.lit(min_score - 1e-6) * F.col("norm")
     docs = lists.join(index.norms.hint("shuffle_hash"), key).where(reached).select(*columns, "norm", "_m")
     schema = T.StructType([T.StructField("query_id", weights.schema["query_id"].dataType), *[docs.schema[c] for c in columns], T.StructField("score", T.DoubleType())])
-    scored = docs.mapInArrow(_scorer(table, terms, columns, min_score), schema)
+    kinds = [docs.schema[t].dataType for t in index.ties]
+    best = k if all(x == T.StringType() or isinstance(x, T.IntegralType) for x in kinds) else None  # Arrow orders these as Spark does
+    scored = docs.mapInArrow(_scorer(table, terms, columns, min_score, best, index.ties), schema)
     return scored.withColumn("score", rounded(F.col("score"))).where(F.col("score") >= min_score)
 
 
-def cosine_hits(queries: DataFrame, index: TextIndex, min_score: float, block_terms: int = BROADCAST_ROWS) -> DataFrame:
-    """All (query_id, key, rank columns, score) with a shared term and ``score >= min_score``.
+def cosine_hits(
+    queries: DataFrame, index: TextIndex, min_score: float, block_terms: int = BROADCAST_ROWS, k: int | None = None
+) -> DataFrame:
+    """All (query_id, key, rank columns, score) with a shared term and ``score >= min_score``; with ``k`` at least those
+    among the best k of their query (by score, then the index's ties): a task leaves out what k of its own rows surely precede.
 
     Queries are handled in blocks of bounded size, each sent to the tasks of the postings, so the query
     batch may be arbitrarily large.
@@ -175,9 +211,9 @@ def cosine_hits(queries: DataFrame, index: TextIndex, min_score: float, block_te
         weights if blocks == 1 else weights.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         for b in range(blocks)
     ]
-    out = _score_block(index, parts[0], min_score)
+    out = _score_block(index, parts[0], min_score, k)
     for part in parts[1:]:
-        out = out.unionByName(_score_block(index, part, min_score))
+        out = out.unionByName(_score_block(index, part, min_score, k))
     return out
 
 
@@ -293,7 +329,7 @@ def text_search(
 ) -> DataFrame:
     """(query_id, key, score, rank) for every query with text; blank queries have no rows."""
     key, ties = index.key, index.ties
-    hits = cosine_hits(queries, index, min_score)
+    hits = cosine_hits(queries, index, min_score, k=k if min_score > 0 else None)
     if min_score <= 0:
         hits = stage(hits)
         hits = hits.unionByName(_zero_fill(queries, hits, docs, key, ties, k))

@@ -392,3 +392,41 @@ def test_documents_without_a_chance_stay_out_of_python(spark, monkeypatch):
 
     monkeypatch.setattr(search_operators, "_scorer", strict)
     assert sorted(cosine_hits(queries, index, 0.2).collect()) == want and {r.id for r in want} == set(range(0, 30, 3))
+
+
+def test_tasks_send_only_rows_that_can_win(spark, monkeypatch):
+    """Of many equal hits a task sends the k best of a query, not all of them; the result is the same."""
+    docs = spark.createDataFrame([(i, "same words here" if i % 3 else "same words") for i in range(400)], "id long, text string")
+    queries = spark.createDataFrame([(1, "same words"), (2, "here"), (3, "words here")], "query_id int, text string")
+    index = build_index(docs, "id", "text")
+    want = sorted(search_operators.top_k(cosine_hits(queries, index, 0.1), 4, ["id"]).select("query_id", "id", "score", "rank").collect())
+    scorer = search_operators._scorer
+
+    def strict(*args):
+        inner = scorer(*args)
+
+        def run(batches):
+            for batch in batches:
+                for out in inner(iter([batch])):
+                    assert out.num_rows <= 3 * 4 * 2, "rows that cannot win"  # queries, k, distinct scores
+                    yield out
+
+        return run
+
+    monkeypatch.setattr(search_operators, "_scorer", strict)
+    assert sorted(text_search(queries, index, docs, "text", 4, 0.1).collect()) == want and len(want) == 12
+
+
+def test_contenders_hold_the_best_of_every_query():
+    """Against a full sort of rounded scores, with ties, near ties and queries of fewer than k rows."""
+    rng = np.random.default_rng(5)
+    for k in (1, 3, 10):
+        query = rng.integers(0, 9, 600) ** 2 // 8
+        score = rng.choice([0.3, 0.5, 0.5 + 4e-10, 0.5 + 6e-10, 0.5 + 3e-9, 0.7], 600) + rng.choice([0, 1e-16, 1e-10], 600)
+        place = rng.permutation(600)
+        kept = set(search_operators._contenders(query, score, place, k).tolist())
+        for q in set(query.tolist()):
+            rows = sorted(np.flatnonzero(query == q).tolist(), key=lambda i: (-round(score[i], 9), place[i]))
+            assert set(rows[:k]) <= kept
+        assert len(kept) < 600 or k == 10
+    assert len(search_operators._contenders(np.array([], int), np.array([]), np.array([], int), 2)) == 0
