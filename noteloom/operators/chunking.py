@@ -18,23 +18,34 @@ _HEADING = rf"^#{{1,6}}[{WS_CLASS}]"
 _MARK = 2**31  # a mark packs a break's line number and a heading's line number into one long
 
 
+def _heading(line: Column) -> Column:
+    return js_trim(F.ltrim(line, F.lit("#")))
+
+
 def _line_facts(lines: Column, strategy: str) -> Column:
-    """What the strategy asks of every line: the cost of a line is dear and only a budget needs it."""
+    """What the strategy asks of the lines: the cost of a line is dear and only a budget needs it, of every line.
 
-    def facts(line, i):
-        is_heading = F.startswith(line, F.lit("#")) & line.rlike(_HEADING)
-        asked = [
-            i.alias("i"),
-            F.startswith(js_ltrim(line), F.lit("```")).alias("fence"),
-            F.when(is_heading, js_trim(F.ltrim(line, F.lit("#")))).alias("heading"),
-        ]
-        if strategy == "paragraph":
-            asked.append((js_trim(line) == "").alias("blank"))
-        elif strategy == "fixed":
-            asked.append(estimate_tokens(line).alias("cost"))
-        return F.struct(*asked)
+    The other strategies change their state at headings, fences and (paragraphs) blank lines only; most lines are neither and
+    are dropped here, by two plain comparisons.
+    """
+    is_heading = lambda line: F.startswith(line, F.lit("#")) & line.rlike(_HEADING)
+    is_fence = lambda line: F.contains(line, F.lit("```")) & F.startswith(js_ltrim(line), F.lit("```"))
 
-    return F.transform(lines, facts)
+    def fact(i, fence, heading, **asked):
+        return F.struct(i.alias("i"), fence.alias("fence"), heading.cast("string").alias("heading"), *[c.alias(n) for n, c in asked.items()])
+
+    if strategy == "fixed":
+        return F.transform(
+            lines, lambda line, i: fact(i, is_fence(line), F.when(is_heading(line), _heading(line)), cost=estimate_tokens(line))
+        )
+    no, yes, none = F.lit(False), F.lit(True), F.lit(None)
+    blank = (lambda c: {"blank": c}) if strategy == "paragraph" else (lambda c: {})
+
+    def turn(line, i):
+        found = F.when(is_heading(line), fact(i, no, _heading(line), **blank(no))).when(is_fence(line), fact(i, yes, none, **blank(no)))
+        return found.when(js_trim(line) == "", fact(i, no, none, **blank(yes))) if strategy == "paragraph" else found
+
+    return F.filter(F.transform(lines, turn), lambda f: f.isNotNull())
 
 
 def _mark(line: Column, heading_line: Column) -> Column:
@@ -45,22 +56,18 @@ def _no_marks() -> Column:
     return F.array().cast("array<bigint>")
 
 
-def _state(in_code, held, used, heading_line, marks) -> Column:
-    return F.struct(
-        in_code.alias("in_code"),
-        held.cast("int").alias("held"),
-        used.cast("int").alias("used"),
-        heading_line.cast("int").alias("heading_line"),
-        marks.alias("marks"),
-    )
+def _state(in_code, heading_line, marks, **counts) -> Column:
+    counted = [c.cast("int").alias(n) for n, c in counts.items()]
+    return F.struct(in_code.alias("in_code"), heading_line.cast("int").alias("heading_line"), marks.alias("marks"), *counted)
 
 
 def _marks(facts: Column, n_lines: Column, strategy: str, max_tokens: int) -> Column:
     """Where the raw chunks end, each with the line of its heading (-1: none), closed by the last line.
 
-    The fold copies its state at every line, so the state holds numbers only.
+    The fold copies its state at every fact, so the state holds numbers only.
     """
-    start = _state(F.lit(False), F.lit(0), F.lit(0), F.lit(-1), _no_marks())
+    none = {"held": F.lit(0), "used": F.lit(0)} if strategy == "fixed" else {}
+    start = _state(F.lit(False), F.lit(-1), _no_marks(), **none)
 
     def mark_if(acc, cut, line, heading_line):
         return F.when(cut, F.array_append(acc["marks"], _mark(line, heading_line))).otherwise(acc["marks"])
@@ -69,14 +76,14 @@ def _marks(facts: Column, n_lines: Column, strategy: str, max_tokens: int) -> Co
         in_code = acc["in_code"] != f["fence"]
         opens = ~in_code & f["heading"].isNotNull()
         heading_line = F.when(opens, f["i"]).otherwise(acc["heading_line"])
-        cut = opens & (acc["held"] > 0)
-        return _state(in_code, acc["held"] + 1, F.lit(0), heading_line, mark_if(acc, cut, f["i"], acc["heading_line"]))
+        cut = opens & (f["i"] > 0)
+        return _state(in_code, heading_line, mark_if(acc, cut, f["i"], acc["heading_line"]))
 
     def paragraph(acc, f):
         in_code = acc["in_code"] != f["fence"]
         heading_line = F.when(~in_code & f["heading"].isNotNull(), f["i"]).otherwise(acc["heading_line"])
         gap = f["blank"] & ~in_code
-        return _state(in_code, acc["held"], F.lit(0), heading_line, mark_if(acc, gap, f["i"], heading_line))
+        return _state(in_code, heading_line, mark_if(acc, gap, f["i"], heading_line))
 
     def fixed(acc, f):
         in_code = acc["in_code"] != f["fence"]
@@ -84,10 +91,10 @@ def _marks(facts: Column, n_lines: Column, strategy: str, max_tokens: int) -> Co
         full = (acc["used"] + f["cost"] > max_tokens) & (acc["held"] > 0) & ~in_code
         return _state(
             in_code,
-            F.when(full, F.lit(1)).otherwise(acc["held"] + 1),
-            F.when(full, f["cost"]).otherwise(acc["used"] + f["cost"]),
             heading_line,
             mark_if(acc, full, f["i"], heading_line),
+            held=F.when(full, F.lit(1)).otherwise(acc["held"] + 1),
+            used=F.when(full, f["cost"]).otherwise(acc["used"] + f["cost"]),
         )
 
     step = {"paragraph": paragraph, "fixed": fixed}.get(strategy, section)
@@ -158,8 +165,7 @@ def raw_chunks(bodies: DataFrame, strategy: str, max_tokens: int) -> DataFrame:
     """Add ``raw``: the strategy's chunks of ``body`` before oversize splitting."""
     return (
         bodies.withColumn("_lines", F.split("body", "\n", -1))
-        .withColumn("_facts", _line_facts(F.col("_lines"), strategy))
-        .withColumn("_marks", _marks(F.col("_facts"), F.size("_lines"), strategy, max_tokens))
+        .withColumn("_marks", _marks(_line_facts(F.col("_lines"), strategy), F.size("_lines"), strategy, max_tokens))
         .withColumn(
             "raw",
             F.filter(
@@ -167,7 +173,7 @@ def raw_chunks(bodies: DataFrame, strategy: str, max_tokens: int) -> DataFrame:
                     _ranges(F.col("_marks"), skip=1 if strategy == "paragraph" else 0),
                     lambda s: _piece(
                         _text(F.col("_lines"), s["first"], s["last"]),
-                        F.when(s["heading_line"] >= 0, F.get("_facts", s["heading_line"])["heading"]),
+                        F.when(s["heading_line"] >= 0, _heading(F.get("_lines", s["heading_line"]))),
                         F.col("body_start_line") + s["first"],
                         F.col("body_start_line") + s["last"],
                     ),
@@ -175,7 +181,7 @@ def raw_chunks(bodies: DataFrame, strategy: str, max_tokens: int) -> DataFrame:
                 lambda p: p["content"] != "",
             ),
         )
-        .drop("_lines", "_facts", "_marks")
+        .drop("_lines", "_marks")
     )
 
 
@@ -184,11 +190,12 @@ def chunk_documents(notes: DataFrame, strategy: str = "section", max_tokens: int
     if max_tokens <= 0:
         raise ValueError("max_tokens must be positive")
     split = raw_chunks(with_frontmatter(notes.select("path", "name", "content")), strategy, max_tokens)
-    final = F.flatten(
+    cut = F.flatten(
         F.transform(
             "raw", lambda c: F.when(c["tokens"] <= max_tokens, F.array(c)).otherwise(split_large(c, max_tokens))
         )
     )
+    final = F.when(F.exists("raw", lambda c: c["tokens"] > max_tokens), cut).otherwise(F.col("raw"))  # most notes have no large chunk
     has_meta = F.size("metadata") > 0
     meta = [F.when(has_meta, F.col(c)).alias(c) for c in ("metadata", "metadata_is_list")]
     return (

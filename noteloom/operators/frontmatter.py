@@ -11,6 +11,11 @@ _ENTRIES = "array<struct<key:string,values:array<string>,is_list:boolean>>"
 _QUOTES = r"^[\"']|[\"']$"
 
 
+def _unquoted(value: Column) -> Column:
+    quoted = F.contains(value, F.lit("'")) | F.contains(value, F.lit('"'))  # most values need no pattern
+    return F.when(quoted, F.regexp_replace(value, _QUOTES, "")).otherwise(value)
+
+
 def _yaml_entries(block: Column) -> Column:
     """Fold the YAML lines into (key, values, is_list) entries in writing order."""
     lines = F.transform(F.split(block, "\n"), js_trim)
@@ -38,7 +43,7 @@ def _yaml_entries(block: Column) -> Column:
     def state_after(acc, line, colon, value):
         key = js_trim(F.substring(line, F.lit(1), colon - 1))
         inner = F.substring(value, F.lit(2), F.char_length(value) - 2)
-        parts = F.transform(F.split(inner, ","), lambda p: F.regexp_replace(js_trim(p), _QUOTES, ""))
+        parts = F.transform(F.split(inner, ","), lambda p: _unquoted(js_trim(p)))
         inline = F.filter(parts, lambda p: p != "")
         is_item = acc["open"] & F.startswith(line, F.lit("- "))
         opens = (value == "") | (value == "[]")
@@ -54,7 +59,7 @@ def _yaml_entries(block: Column) -> Column:
             F.array_append(acc["items"], js_trim(F.substring(line, F.lit(3), F.char_length(line)))),
             acc["done"],
         )
-        scalar = F.array(F.regexp_replace(value, _QUOTES, ""))
+        scalar = F.array(_unquoted(value))
         return (
             F.when(is_item, item)
             .when(colon <= 1, acc)

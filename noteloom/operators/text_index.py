@@ -18,7 +18,8 @@ _COUNTS = "array<struct<term:string,n:int>>"
 
 
 def term_counts(tokens: Column | str) -> Column:
-    """Distinct tokens with their counts: sort, find run starts, subtract. Linear after the sort."""
+    """Distinct tokens with their counts: sort, find run starts, subtract. Linear after the sort. A text that repeats no
+    token needs none of this."""
     tokens = F.col(tokens) if isinstance(tokens, str) else tokens
 
     def runs(ordered):
@@ -42,7 +43,9 @@ def term_counts(tokens: Column | str) -> Column:
         )
 
     counted = F.element_at(F.transform(F.array(F.sort_array(tokens)), runs), 1)
-    return F.when(F.size(tokens) > 0, counted).otherwise(F.array().cast(_COUNTS))
+    once = F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(1).alias("n")))
+    repeats = F.size(F.array_distinct(tokens)) < F.size(tokens)
+    return F.when(F.size(tokens) > 0, F.when(repeats, counted).otherwise(once)).otherwise(F.array().cast(_COUNTS))
 
 
 def term_frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:

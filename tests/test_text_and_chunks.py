@@ -136,3 +136,28 @@ def test_search_chunks_are_written_once_and_without_front_matter(spark):
     staged = stage(chunks.select(*COLUMNS))
     assert sorted(Retriever.build(staged).chunks.inputFiles()) == sorted(staged.inputFiles())
     assert {tuple(sorted((k, tuple(v)) for k, v in r.metadata.items())) for r in chunks.collect()} == {(("a", ("x", "y")), ("b", ("c:d",)))}
+
+
+def test_only_lines_that_change_the_state_are_folded(spark):
+    text = "plain\n# One\n## not`` `\n\n```sql\n# code\n  ```\n#no\nmore"
+    for strategy, lines in (("section", [1, 2, 4, 5, 6]), ("paragraph", [1, 2, 3, 4, 5, 6]), ("fixed", list(range(9)))):
+        facts = spark.range(1).select(_line_facts(F.split(F.lit(text), "\n"), strategy).alias("f")).first().f
+        assert [f.i for f in facts] == lines and [f.i for f in facts if f.fence] == [4, 6]
+        assert [f.heading for f in facts if f.heading is not None] == ["One", "not`` `", "code"]
+
+
+def test_plain_text_takes_the_short_way_to_its_tokens(spark):
+    """Every pair of ASCII characters between words: the pattern for ASCII text cuts as the general one does."""
+    texts = [f"aB{chr(i)}C{chr(j)}{chr(j)}the{chr(i)}x9" for i in range(128) for j in range(0, 128, 5)]
+    df = spark.createDataFrame([(x,) for x in texts], "s string")
+    short = F.filter(F.regexp_extract_all(F.lower("s"), F.lit(t._ASCII_WORDS), F.lit(0)), lambda w: ~w.isin(t.STOP_WORDS))
+    for r in df.select("s", short.alias("short"), t.tokenize("s").alias("tk")).collect():
+        assert list(r.tk) == list(r.short) == m.tokens(r.s), r.s
+
+
+def test_counts_of_texts_with_and_without_repeats(spark):
+    from noteloom.operators.text_index import term_counts
+
+    rows = [(["b", "a"],), (["b", "a", "b"],), ([],), (None,)]
+    got = spark.createDataFrame(rows, "k array<string>").select(term_counts("k").alias("c")).collect()
+    assert [sorted((c.term, c.n) for c in r.c) for r in got] == [[("a", 1), ("b", 1)], [("a", 1), ("b", 2)], [], []]
