@@ -441,3 +441,28 @@ def test_vectors_are_assigned_once(spark, monkeypatch):
     rows = [(i, [float(i % 7), 1.0, float(i)]) for i in range(50)]
     VectorIndex.build(spark.createDataFrame(rows, "id long, embedding array<double>"), "id")
     assert [p.count("MapInArrow") for p in plans] == [1, 1]
+
+
+def test_settled_targets_part_links_before_they_are_made(spark, monkeypatch):
+    """Frequent targets that no folder changes are told apart below the join that makes the links; all answers stay the same."""
+    from noteloom.operators import links as module
+
+    notes = spark.createDataFrame([(f"{f}/n{i}.md",) for f in "abc" for i in range(40)] + [("a/x.md",), ("b/x.md",), ("b/deep/y.md",)], "path string")
+    names = spark.createDataFrame([("y",), ("x",), ("n1",), ("B/deep/Y#h",), ("no",), ("no/b",), ("y#a",), (None,)], "target string")
+    own = notes.select("path", F.concat(F.lit("./"), F.regexp_extract("path", "([^/]*)$", 1)).alias("target"))
+    links = notes.crossJoin(names).unionByName(own)
+    want = sorted(map(repr, resolve_links(links, notes).select("path", "target", "target_path").collect()))
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 100)
+    monkeypatch.setattr(module, "SETTLED_SHARE", 50)
+    parted = resolve_links(links, notes).select("path", "target", "target_path")
+    assert sorted(map(repr, parted.collect())) == want and len(want) == 9 * 123
+    got = {(r.path, r.target): r.target_path for r in parted.collect()}
+    assert (got["a/n1.md", "x"], got["b/n1.md", "x"], got["c/n1.md", "x"]) == ("a/x.md", "b/x.md", "a/x.md")
+    assert got["c/n2.md", "y"] == got["c/n2.md", "B/deep/Y#h"] == "b/deep/y.md" and got["c/n2.md", "no"] is None
+    plan = parted._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    crosses = [i for i, line in enumerate(plan) if "Join Cross" in line]
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    assert len(crosses) == 2
+    for at in crosses:
+        below = [line for line in plan[at + 1 :] if depth(line) > depth(plan[at])]
+        assert any("xxhash64" in line for line in below[:8]), "links are made before they are parted"
