@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A side is broadcast only after it was counted and found below this many rows and bytes.
 BROADCAST_ROWS = 1_000_000
@@ -83,6 +85,14 @@ def stage(df: DataFrame) -> DataFrame:
     return staged
 
 
+def staged_parts(spark: SparkSession, schema: T.StructType, parts: Iterable[DataFrame]) -> DataFrame:
+    """All rows of ``parts``, written one part after the other as by :func:`stage`; a part is asked for when the one before is written."""
+    path, n = f"{_run_dir(spark)}/{uuid.uuid4().hex}", 0
+    for n, part in enumerate(parts, 1):
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path) if n else spark.createDataFrame([], schema)
+
+
 def staged_once(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` as it is if :func:`stage` returned it, else a staged copy of its ``columns``."""
     return df if getattr(df, "_noteloom_staged", False) is True else stage(df.select(*columns))

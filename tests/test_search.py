@@ -466,3 +466,53 @@ def test_settled_targets_part_links_before_they_are_made(spark, monkeypatch):
     for at in crosses:
         below = [line for line in plan[at + 1 :] if depth(line) > depth(plan[at])]
         assert any("xxhash64" in line for line in below[:8]), "links are made before they are parted"
+
+
+def test_queries_do_not_travel_to_every_block(spark, monkeypatch):
+    """What is written of the queries does not grow with the blocks they visit; rounds and odd rows lose nothing."""
+    import noteloom.operators.vector_index as module
+
+    monkeypatch.setattr(module, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(module, "PIECE_BYTES", 128)
+    monkeypatch.setattr(module, "UNIT", 3)
+    monkeypatch.setattr(module, "ROUND_BYTES", 8192)
+    rng = np.random.default_rng(4)
+    rows = [(f"v{i:03}", [float(np.float32(x)) for x in rng.standard_normal(8)]) for i in range(500)]
+    rows += [(f"w{i:03}", rows[i][1]) for i in range(40)] + [("zero", [0.0] * 8), ("short", [1.0, 2.0]), ("long", [1.0] * 9)]
+    v = spark.createDataFrame(rows, "id string, embedding array<float>")
+    q = v.select(F.col("id").alias("query_id"), "embedding")
+    index = module.VectorIndex.build(v, "id")
+    assert len(index.rings[1]) > 30
+    seen, real = [], module.stage
+    monkeypatch.setattr(module, "stage", lambda df: seen.append(real(df)) or seen[-1])
+    hits, visited = index.search(q, 5)
+    got = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.score))
+    travelled = sum(f.agg(F.sum(F.size("q_ids"))).first()[0] for f in seen if "q_ids" in f.columns)
+    assert travelled <= 6 * len(rows), "queries are written for every block"
+    assert visited.agg(F.avg("visited")).first()[0] > 100
+    assert set(got) == {i for i, _ in rows} - {"zero"}
+    for i in ("v000", "v017", "w005", "short", "long"):
+        qv = dict(rows)[i]
+        scored = [(d, round(m.cosine(qv, vec), 9) + 0.0) for d, vec in rows]
+        assert got[i] == sorted(scored, key=lambda r: (-r[1], r[0]))[:5], i
+
+
+def test_best_rows_of_many_blocks():
+    """Against a full sort: ties, several blocks, a floor known beforehand, keys that are no numbers."""
+    from noteloom.operators.vector_math import Best
+
+    rng = np.random.default_rng(6)
+    vectors = rng.integers(-2, 3, (300, 4)).astype(float)
+    queries = vectors[:50][(vectors[:50] != 0).any(1)]
+    unit = lambda x: x / np.where((n := np.sqrt((x * x).sum(1, keepdims=True))) > 0, n, 1)
+    scores = np.round(unit(queries) @ unit(vectors).T, 9) + 0.0
+    for kind in (np.int64, object):
+        keys = rng.permutation(300).astype(kind) if kind is np.int64 else np.array([f"k{i}" for i in rng.permutation(300)], object)
+        want = [sorted(range(300), key=lambda j: (-scores[i, j], keys[j]))[:7] for i in range(len(queries))]
+        for floor in (np.full(len(queries), -2.0), np.array([scores[i, w[-1]] for i, w in enumerate(want)])):
+            best = Best(queries, floor, 7, np.dtype(kind))
+            for a in range(0, 300, 64):
+                best.add(np.arange(len(queries)), vectors[a : a + 64], np.full(len(vectors[a : a + 64]), 4), keys[a : a + 64])
+            assert [list(r) for r in best.keys] == [[keys[j] for j in w] for w in want]
